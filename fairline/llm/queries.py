@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairline.llm.html_text import page_texts
+from fairline.llm.quartile_digest import fingerprints
 from fairline.llm.store import table
 from fairline.llm.url_reputation import judged_pages
 from fairline.llm.url_reputation import oracle as url_oracle
@@ -14,5 +16,19 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_pages(table(spark, sf_dir, "pages"), labels)
 
 
-QUERIES = {"op4_url_reputation": op4_url_reputation}
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartile digests of every document and its edited text."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op4_url_reputation": op4_url_reputation,
+    "op7_html_text": op7_html_text,
+    "op8_quartile_digest": op8_quartile_digest,
+}
 ORACLES = {"op4_url_reputation": url_oracle()}
