@@ -45,6 +45,10 @@ LABELLED = """
 12 0.50 60 0.00 44 0.00 1 0 0 1 | 4 1.00 50 0.00 61 0.00 1 0 0 1 | 150 0.02 8 0.00 20 0.00 1 0 0 1 | 7 0.00 80 0.00 9 0.20 1 0 0 1
 2 0.00 0 0.00 30 0.00 1 0 1 1 | 25 0.00 0 0.00 0 0.00 1 0 0 1 | 5 0.00 20 0.00 6 0.30 1 0 0 1 | 33 0.10 2 0.00 3 1.00 1 0 0 1
 1 0.00 2 0.00 90 0.00 1 0 1 1 | 18 0.90 22 0.00 30 0.00 1 0 0 1 | 300 0.00 0 0.00 0 0.00 1 0 0 1 | 6 0.00 1 1.00 2 0.00 1 0 1 1
+4 0.00 30 0.00 9 0.30 1 0 0 1 | 4 0.00 3 0.00 2 0.00 1 0 0 1 | 20 0.95 3 1.00 8 1.00 1 0 0 1 | 3 0.67 4 1.00 60 0.00 1 0 0 1
+5 0.00 2 1.00 3 1.00 1 0 0 1 | 6 0.30 60 0.00 0 0.00 1 0 0 1 | 2 1.00 1 1.00 2 1.00 1 0 0 1 | 1 1.00 0 0.00 1 1.00 1 0 0 1
+4 0.00 0 0.00 6 0.20 1 0 1 1 | 12 0.00 2 1.00 5 0.60 1 0 0 1 | 50 0.60 20 0.00 3 1.00 1 0 0 1 | 9 0.00 6 0.20 2 1.00 1 0 0 1
+4 0.25 50 0.00 7 0.20 1 0 0 1 | 14 0.00 9 0.00 12 0.50 1 0 0 1 | 3 0.00 4 1.00 2 1.00 1 0 1 1 | 8 1.00 70 0.00 8 1.00 1 0 0 1
 20 0.00 50 0.00 6 0.20 1 1 0 0 | 8 0.00 30 0.00 44 0.00 1 1 0 0 | 2 1.00 35 0.00 2 1.00 1 1 0 0 | 60 0.00 80 0.00 3 0.00 1 1 0 0
 4 0.00 50 0.00 30 0.00 1 1 1 0 | 1 0.00 1 0.00 1 0.00 1 1 0 0 | 120 0.00 9 0.00 40 0.00 1 1 0 0 | 15 0.50 12 0.00 70 0.00 1 1 0 0
 2 1.00 0 0.00 1 1.00 -1 1 0 0 | 6 0.20 70 0.00 0 0.00 -1 1 0 0 | 14 0.00 3 1.00 9 0.00 -1 1 0 0 | 80 0.00 2 0.00 90 0.00 -1 1 0 0
@@ -55,6 +59,11 @@ LABELLED = """
 55 0.00 8 0.00 60 0.00 0 0 0 1 | 30 0.05 50 0.00 42 0.00 0 0 0 1 | 90 0.00 2 1.00 3 1.00 0 0 0 1 | 16 0.00 70 0.00 22 0.00 0 0 0 1
 200 0.01 0 0.00 0 0.00 0 0 0 1 | 12 0.00 40 0.00 35 0.00 0 0 0 1 | 6 0.00 55 0.00 48 0.00 0 0 0 1 | 22 0.20 33 0.00 41 0.00 0 0 0 1
 8 0.00 3 1.00 64 0.00 0 0 1 1 | 5 0.00 45 0.00 50 0.00 0 0 1 1 | 11 0.00 2 0.00 38 0.00 0 0 1 1 | 4 0.00 0 0.00 80 0.00 0 0 1 1
+40 0.00 8 0.00 3 0.00 0 0 0 1 | 6 0.00 0 0.00 0 0.00 0 0 0 1 | 9 0.00 0 0.00 0 0.00 0 0 0 1 | 25 0.00 40 0.00 0 0.00 0 0 0 1
+40 0.00 0 0.00 10 0.00 0 0 0 1 | 14 0.00 30 0.00 12 0.00 0 0 0 1 | 1 0.00 40 0.00 50 0.00 0 0 0 1 | 40 0.10 10 0.00 20 0.00 0 0 0 1
+18 0.00 4 0.00 25 0.00 0 0 0 1 | 35 0.00 2 1.00 1 1.00 0 0 0 1 | 2 0.00 0 0.00 0 0.00 0 0 0 1 | 8 0.00 1 1.00 40 0.00 0 0 1 1
+2 0.00 6 0.00 40 0.00 0 0 1 1 | 3 1.00 60 0.00 70 0.00 0 0 0 0 | 12 1.00 40 0.00 2 1.00 0 0 0 0 | 1 1.00 2 0.00 40 0.00 0 0 0 0
+30 0.80 40 0.00 50 0.00 0 0 0 0 | 4 0.75 0 0.00 20 0.00 0 0 0 0 | 25 0.60 1 1.00 1 1.00 0 0 0 0 | 2 1.00 50 0.00 0 0.00 0 0 0 0
 2 1.00 1 1.00 2 1.00 0 0 0 0 | 1 1.00 0 0.00 1 1.00 0 0 0 0 | 3 0.67 4 1.00 60 0.00 0 0 0 0 | 20 0.95 3 1.00 8 1.00 0 0 0 0
 5 0.00 2 1.00 3 1.00 0 0 0 0 | 6 0.30 60 0.00 0 0.00 0 0 0 0 | 3 0.00 4 1.00 2 1.00 0 0 1 0 | 4 0.00 3 0.00 2 0.00 0 0 0 0
 30 0.00 5 0.00 40 0.00 0 1 0 0 | 9 0.00 60 0.00 2 1.00 0 1 0 0 | 2 1.00 2 1.00 2 1.00 0 1 0 0 | 75 0.00 60 0.00 80 0.00 0 1 0 0
