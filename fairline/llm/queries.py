@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairline.llm.circulant_minhash import near_duplicates
 from fairline.llm.html_text import page_texts
 from fairline.llm.quartile_digest import fingerprints
 from fairline.llm.store import table
@@ -26,9 +27,15 @@ def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_url_reputation": op4_url_reputation,
     "op7_html_text": op7_html_text,
     "op8_quartile_digest": op8_quartile_digest,
+    "op9_circulant_minhash": op9_circulant_minhash,
 }
 ORACLES = {"op4_url_reputation": url_oracle()}
