@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairline.llm import lz_spans
 from fairline.llm.circulant_minhash import near_duplicates
 from fairline.llm.html_text import page_texts
 from fairline.llm.quartile_digest import fingerprints
@@ -11,6 +12,11 @@ from fairline.llm.url_reputation import judged_pages
 from fairline.llm.url_reputation import oracle as url_oracle
 
 
+def op1_lz_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document once repeated windows of 35 words are removed."""
+    return lz_spans.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host reputation and rules over every row of pages; a page is bad if its label says low quality or toxic."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 OR toxic = 0 THEN 0 END").alias("bad"))
@@ -33,9 +39,13 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lz_spans": op1_lz_spans,
     "op4_url_reputation": op4_url_reputation,
     "op7_html_text": op7_html_text,
     "op8_quartile_digest": op8_quartile_digest,
     "op9_circulant_minhash": op9_circulant_minhash,
 }
-ORACLES = {"op4_url_reputation": url_oracle()}
+ORACLES = {
+    "op1_lz_spans": lz_spans.ORACLE,
+    "op4_url_reputation": url_oracle(),
+}
