@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairline.llm import lz_spans
+from fairline.llm import lz_spans, quality_rules, toxic_lexicon
 from fairline.llm.circulant_minhash import near_duplicates
 from fairline.llm.html_text import page_texts
 from fairline.llm.quartile_digest import fingerprints
@@ -23,6 +23,18 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_pages(table(spark, sf_dir, "pages"), labels)
 
 
+def op5_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxic_lexicon.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return page_texts(table(spark, sf_dir, "pages"))
@@ -41,6 +53,8 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lz_spans": op1_lz_spans,
     "op4_url_reputation": op4_url_reputation,
+    "op5_toxic_lexicon": op5_toxic_lexicon,
+    "op6_quality_rules": op6_quality_rules,
     "op7_html_text": op7_html_text,
     "op8_quartile_digest": op8_quartile_digest,
     "op9_circulant_minhash": op9_circulant_minhash,
