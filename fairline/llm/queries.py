@@ -1,5 +1,6 @@
 """The op queries by name, with production parameters, and SQL where it can express them."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,10 +8,13 @@ from fairline.llm import lz_spans, quality_rules, toxic_lexicon
 from fairline.llm.circulant_minhash import near_duplicates
 from fairline.llm.html_text import page_texts
 from fairline.llm.quartile_digest import fingerprints
+from fairline.llm.slack_packing import packed
 from fairline.llm.store import table
 from fairline.llm.url_reputation import judged_pages
 from fairline.llm.url_reputation import oracle as url_oracle
 
+BPE = "byte_bpe_50k.json"
+
 
 def op1_lz_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document once repeated windows of 35 words are removed."""
@@ -50,6 +54,11 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces packed into sequences of 1024 tokens."""
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
+
+
 QUERIES = {
     "op1_lz_spans": op1_lz_spans,
     "op4_url_reputation": op4_url_reputation,
@@ -58,6 +67,7 @@ QUERIES = {
     "op7_html_text": op7_html_text,
     "op8_quartile_digest": op8_quartile_digest,
     "op9_circulant_minhash": op9_circulant_minhash,
+    "op10_slack_packing": op10_slack_packing,
 }
 ORACLES = {
     "op1_lz_spans": lz_spans.ORACLE,
