@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairline.llm import lz_spans, quality_rules, toxic_lexicon
+from fairline.llm import context_coder, lz_spans, quality_rules, toxic_lexicon
 from fairline.llm.circulant_minhash import near_duplicates
 from fairline.llm.html_text import page_texts
 from fairline.llm.quartile_digest import fingerprints
@@ -21,6 +21,11 @@ def op1_lz_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_spans.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_context_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, from token files written in doc_id order and read back."""
+    return context_coder.read_files(context_coder.written_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE)))
+
+
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host reputation and rules over every row of pages; a page is bad if its label says low quality or toxic."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 OR toxic = 0 THEN 0 END").alias("bad"))
@@ -61,6 +66,7 @@ def op10_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lz_spans": op1_lz_spans,
+    "op3_context_coder": op3_context_coder,
     "op4_url_reputation": op4_url_reputation,
     "op5_toxic_lexicon": op5_toxic_lexicon,
     "op6_quality_rules": op6_quality_rules,
