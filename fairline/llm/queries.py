@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fairline.llm import context_coder, lz_spans, quality_rules, toxic_lexicon
 from fairline.llm.circulant_minhash import near_duplicates
+from fairline.llm.edit_matching import contaminated
 from fairline.llm.html_text import page_texts
 from fairline.llm.quartile_digest import fingerprints
 from fairline.llm.slack_packing import packed
@@ -21,6 +22,11 @@ def op1_lz_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_spans.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a test item of benchmark in it, edits allowed."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_context_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, from token files written in doc_id order and read back."""
     return context_coder.read_files(context_coder.written_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE)))
@@ -66,6 +72,7 @@ def op10_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lz_spans": op1_lz_spans,
+    "op2_edit_matching": op2_edit_matching,
     "op3_context_coder": op3_context_coder,
     "op4_url_reputation": op4_url_reputation,
     "op5_toxic_lexicon": op5_toxic_lexicon,
