@@ -5,6 +5,7 @@ so a text's ids are those of its words in a row. Words repeat, and most are look
 """
 
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -13,10 +14,16 @@ from tokenizers import Tokenizer
 #: The id after each document's own.
 END = 2
 #: Words kept before the cache starts anew; about 200 bytes each.
-WORDS_KEPT = 700_000
+WORDS_KEPT = 1_200_000
+#: Marks that are always a piece of their own after letters at a word's end.
+ENDS = (".", ",", "!", "?", ";", ":")
 #: White space before a space: such texts are split only at spaces after something else.
 ODD = re.compile(r"\s ")
 SPLIT = re.compile(r"(?<=\S)(?= )")
+#: The characters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow from 256 on.
+PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTES = {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+BYTE_CHARS = {chr(b): c for b, c in BYTES.items()}
 
 
 class TokenBytes:
@@ -28,6 +35,15 @@ class TokenBytes:
         self.after: dict[str, bytes] = {}
 
     def learn(self, words: list[str], prefix: str, known: dict[str, bytes]) -> None:
+        """Letters alone are one piece, which the library's model takes as it is; the rest goes through the whole tokenizer."""
+        model, start, rest = self.tokenizer.model, BYTE_CHARS[prefix] if prefix else "", []
+        for w in words:
+            if w.isalpha():
+                piece = start + (w if w.isascii() else w.encode().decode("latin1").translate(BYTES))
+                known[w] = array("I", [t.id for t in model.tokenize(piece)]).tobytes()
+            else:
+                rest.append(w)
+        words = rest
         for i in range(0, len(words), 1000):
             some = words[i : i + 1000]
             found = self.tokenizer.encode([prefix + w for w in some], is_pretokenized=True, add_special_tokens=False)
@@ -44,6 +60,26 @@ class TokenBytes:
         words = [text.split(" ") if ODD.search(text) is None else [p[1:] if i else p for i, p in enumerate(SPLIT.split(text))] for text in texts]
         heads = [w.pop(0) for w in words]
         self.learn(list({*heads} - self.first.keys()), "", self.first)
-        self.learn(list({*chain.from_iterable(words)} - self.after.keys()), " ", self.after)
-        get = self.after.__getitem__
-        return [self.first[h] + b"".join(map(get, w)) for h, w in zip(heads, words, strict=True)]
+        every = list(chain.from_iterable(words))
+        found = list(map(self.after.get, every))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = [every[i] for i in missing]
+        self.learn_ended(list(dict.fromkeys(new)))
+        for i, w in zip(missing, new, strict=True):
+            found[i] = self.after[w]
+        out, at = [], 0
+        for h, w in zip(heads, words, strict=True):
+            out.append(self.first[h] + b"".join(found[at : at + len(w)]))
+            at += len(w)
+        return out
+
+    def learn_ended(self, words: list[str]) -> None:
+        """Words after a space; letters and one mark are two pieces, and the letters are learned alone."""
+        ended = [w for w in words if w[-1:] in ENDS and w[:-1].isalpha()]
+        apart = set(ended)
+        plain = dict.fromkeys(w for w in words if w not in apart)
+        plain.update(dict.fromkeys(w[:-1] for w in ended if w[:-1] not in self.after))
+        self.learn(list(plain), " ", self.after)
+        self.learn([m for m in ENDS if m not in self.first], "", self.first)
+        for w in ended:
+            self.after[w] = self.after[w[:-1]] + self.first[w[-1]]

@@ -1,4 +1,6 @@
 """Every query of the odds library by name, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from fairline.plans import grading, history, value
+
+QUERIES = value.QUERIES | history.QUERIES | grading.QUERIES
+ORACLES = value.ORACLES | history.ORACLES | grading.ORACLES
