@@ -7,6 +7,8 @@ all documents, keyed by anchor, are the index. A document is parsed greedily, le
 the longest run of its blocks that continues in the place that the index gives for the first
 is a factor (reference document and word, length); a block that occurs once ends a factor.
 
+Blocks with a set share of all occurrences are found by a list of bounded size, without a join.
+
 A block that occurs again has only repeated windows. At factor boundaries, where the anchor
 occurs again but in another block, the windows themselves are looked up among the windows of
 all blocks with that anchor. So a window is found repeated exactly if its words start anywhere
@@ -29,6 +31,8 @@ from fairline.llm.store import kept
 from fairline.llm.words import BASE, Words, mixed, runs, sliced, words_of
 
 WINDOW, ANCHOR = 35, 12
+#: A block with at least one HOT-th of all occurrences is hot, so there are at most HOT of them; in a small index, one that occurs HOT_LEAST times.
+HOT, HOT_LEAST = 10_000, 100
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
@@ -97,6 +101,38 @@ def judged_blocks(blocks: DataFrame) -> DataFrame:
     return same.join(repeated, "anchor")
 
 
+def hot_blocks(blocks: DataFrame, judged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Block and anchor hashes of the hot blocks, at most HOT, in order of the first."""
+    least = max(HOT_LEAST, -(-blocks.count() // HOT))
+    rows = sorted((r.block, r.anchor) for r in judged.where(F.col("times") >= least).select("block", "anchor").collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+
+
+def hot_apart(blocks: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The blocks with hot: false, but runs of hot ones that follow each other in a document are one row with hot: true.
+
+    A passage that a third of all documents share is found here, one row a document, and its
+    blocks take no part in a shuffle.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, anchor, block, begin, last = (batch.column(c).to_numpy() for c in ("row", "anchor", "block", "begin", "last"))
+            known = np.zeros(len(row), bool)
+            if len(hot[0]):
+                at = np.minimum(np.searchsorted(hot[0], block), len(hot[0]) - 1)
+                known = (hot[0][at] == block) & (hot[1][at] == anchor)
+            follows = np.zeros(len(row), bool)
+            follows[1:] = known[1:] & known[:-1] & (row[1:] == row[:-1]) & (begin[1:] == last[:-1] + 1)
+            head = np.flatnonzero(~follows)  # every block that is not hot, and the first of each run
+            tail = np.append(head[1:], len(row)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row[head], anchor[head], block[head], begin[head], last[tail], known[head])], names=["row", "anchor", "block", "begin", "last", "hot"])
+
+    return blocks.mapInArrow(split, "row long, anchor long, block long, begin int, last int, hot boolean")
+
+
 def window_hits(docs: DataFrame, checked: DataFrame, window: int) -> DataFrame:
     """(row, begin) of windows at factor boundaries that occur again.
 
@@ -132,7 +168,9 @@ def repeated_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(row, begin, last): intervals of windows whose words start anywhere else as well."""
     blocks = kept(indexed_blocks(docs, window, anchor), "index")
     judged = kept(judged_blocks(blocks), "judged")
-    seen = blocks.join(judged.where("times > 1").select("anchor", "block"), ["anchor", "block"], "left_semi").select("row", "begin", "last")
+    dealt = hot_apart(blocks, hot_blocks(blocks, judged))
+    rare = dealt.where("NOT hot").join(judged.where("times > 1").select("anchor", "block"), ["anchor", "block"], "left_semi")
+    seen = dealt.where("hot").select("row", "begin", "last").union(rare.select("row", "begin", "last"))
     edges = judged.where("boundary")
     # One place of each distinct block: the only one, or that of the smallest row where it stands.
     only = blocks.join(edges.select("anchor", "block", "times", F.col("ref_row").alias("row")), ["anchor", "block", "row"])
