@@ -1,10 +1,12 @@
 """Entity resolution: names and events of different sources."""
 
+import difflib
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Club words that do not tell clubs apart, and words that mark another team of a club. Fixed values.
 CLUB_WORDS = frozenset("fc cf afc sc ac club".split())
@@ -17,7 +19,7 @@ def plain(name: str | None) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in text).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalized(names: pd.Series) -> pd.Series:
     """plain() without club words, unless nothing else is left."""
 
@@ -66,11 +68,18 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
     return j + prefix * weight * (1 - j)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.DoubleType())
+def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Matching blocks' share of two names with their words sorted, 0 to 100."""
+    words = lambda x: " ".join(sorted((x or "").split()))
+    return pd.Series([100 * difflib.SequenceMatcher(None, words(x), words(y), False).ratio() for x, y in zip(a, b, strict=True)])
+
+
 def match_events(left: DataFrame, right: DataFrame, *, days: int = 1, accept: float = 0.92) -> DataFrame:
     """(left_ref, right_ref, score): the one right event within some days whose both names agree.
 

@@ -3,8 +3,6 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HALF_STAKE = {"won": 1.0, "half_won": 0.5, "push": 0.0, "half_lost": -0.5, "lost": -1.0}
-
 
 def settle_h2h(selection: Column, home: Column, away: Column) -> Column:
     result = F.when(home > away, "home").when(home < away, "away").otherwise("draw")
@@ -38,16 +36,17 @@ def component(margin: Column) -> Column:
 def settle_handicap(side: Column, line: Column, home: Column, away: Column) -> Column:
     """A quarter line is two half stakes; a tie on a whole line alone loses, as the European form has it."""
     margin = F.when(side == "home", home - away).otherwise(away - home) + line
-    quarter = F.pmod(line * 4, F.lit(2)) == 1
+    quarter = F.abs(line * 4) % 2 == 1
     a, b = component(margin - 0.25), component(margin + 0.25)
     split = F.when((a == "won") & (b == "won"), "won").when((a == "lost") & (b == "lost"), "lost").when((a == "won") | (b == "won"), "half_won").otherwise("half_lost")
     return F.when(quarter, split).when(margin > 0, "won").otherwise("lost")
 
 
 def pick_pnl(outcome: Column, stake: Column, odds: Column) -> Column:
-    """Profit to the cent, half to even."""
-    gain = F.when(outcome == "won", stake * (odds - 1)).when(outcome == "half_won", stake / 2 * (odds - 1)).when(outcome == "half_lost", -stake / 2).when(outcome == "lost", -stake).otherwise(0.0)
-    return F.bround(gain, 2)
+    """Profit to the cent, half to even, in decimals."""
+    stake, win = stake.cast("decimal(12,2)"), odds.cast("decimal(10,4)") - 1
+    gain = F.when(outcome == "won", stake * win).when(outcome == "half_won", stake * win / 2).when(outcome == "half_lost", -stake / 2).when(outcome == "lost", -stake).otherwise(F.lit(0))
+    return F.bround(gain, 2).cast("double")
 
 
 def pick_roi(pnl: Column, stake: Column) -> Column:

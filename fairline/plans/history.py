@@ -1,2 +1,118 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries over price histories, event streams, matches and names."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fairline.operators import resolve, timeline
+from fairline.plans.value import rounded
+from fairline.sources.bridge import BOOK_CTE, odds_book, table
+
+#: Fixed values of the test bridge: clubs, and how a second source writes them.
+CLUBS = ("Arkham Rovers", "Bexley Town", "Corvale United", "Drumgate City", "Elmstead Athletic", "Fenwick Albion", "Garrow Wanderers", "Hollin Vale")
+SPELLINGS = ("ARKHAM ROVERS FC", "AFC Bexley  Town", "Corvále United", "Drumgate City C.F.", "Elmstead Athletic", "Fenwick Albion Women", "Garrow Wanderers", "Hollin-Vale SC")
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations whose price differs from the one before."""
+    return timeline.price_changes(odds_book(spark, sf_dir)).select("event_id", "book", "selection", "l_orderkey", "l_linenumber", "odds")
+
+
+def movement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open, close, low, high and count of every series."""
+    return timeline.movement(odds_book(spark, sf_dir)).select("event_id", "book_id", F.col("sel_idx").cast("long").alias("sel_idx"), "open", "close", "low", "high", "prices")
+
+
+def steam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves of implied probability within a year before kickoff."""
+    s = timeline.steam(odds_book(spark, sf_dir), lookback_days=365)
+    return rounded(s, "move").select("event_id", "book_id", F.col("sel_idx").cast("long").alias("sel_idx"), "first", "last", "points", "move")
+
+
+def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.drift_by_bucket(odds_book(spark, sf_dir))
+
+
+def series_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with at least two capture times and the last of a book's within 60 days of kickoff."""
+    s = odds_book(spark, sf_dir).where("captured_at <= kickoff").groupBy("event_id", "book").agg(F.countDistinct("captured_at").alias("times"), F.max("captured_at").alias("last"), F.first("kickoff").alias("kickoff"))
+    return s.where("times >= 2 AND last >= timestampadd(DAY, -60, kickoff)").select("event_id", "book", "times")
+
+
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows over a value by event type and hour, as batches of a source."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source"), F.date_trunc("hour", "ts").alias("hour")).agg(F.count_if(F.col("value") > 25).alias("fresh"))
+    return e.select("source", F.date_format("hour", "yyyy-MM-dd HH").alias("batch"), "fresh")
+
+
+def dead_man(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of batches without fresh rows; fires once a run, at the third."""
+    return timeline.dead_man(batches(spark, sf_dir), 3).select("source", "batch", "fresh", "streak", "fires")
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches from orders: sides and goals by small moduli of the keys."""
+    o = table(spark, sf_dir, "orders")
+    home, away = F.col("o_custkey") % 20, (F.col("o_custkey") + 1 + F.col("o_orderkey") % 19) % 20
+    return o.select(F.col("o_orderkey").alias("match_id"), F.col("o_orderdate").alias("played"), home.alias("home"), away.alias("away"), (F.col("o_orderkey") % 5).alias("home_goals"), (F.col("o_custkey") % 4).alias("away_goals"))
+
+
+def form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of goals over the last 5 and 10 matches strictly before each."""
+    f = timeline.rolling_form(matches(spark, sf_dir))
+    return rounded(f, "scored_r5", "conceded_r5", "scored_r10", "conceded_r10").select("match_id", "side", "team", "scored_r5", "conceded_r5", "scored_r10", "conceded_r10")
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append without conflict: the first row of each (event, book, selection, capture time)."""
+    key = ["event_id", "book", "selection", "captured_at"]
+    first = odds_book(spark, sf_dir).groupBy(*key).agg(F.min(F.struct("l_orderkey", "l_linenumber", "odds")).alias("r"), F.count("*").alias("seen"))
+    return first.select("event_id", "book", "selection", F.date_format("captured_at", "yyyy-MM-dd").alias("day"), "r.l_orderkey", "r.l_linenumber", "r.odds", "seen")
+
+
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' JSON read with a schema, summed by type; a missing or wrong number counts as none."""
+    e = table(spark, sf_dir, "events").withColumn("p", F.from_json("props", "k int"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count("p.k").alias("with_k"), F.sum("p.k").alias("sum_k"), F.max("p.k").alias("max_k"))
+
+
+def matched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixtures of two sources matched by names within a day; a women's team is not its club's first team."""
+    f = matches(spark, sf_dir).groupBy(F.expr("date_trunc('day', played)").alias("t")).agg(F.min(F.struct("match_id", "home", "away")).alias("m"))
+    f = f.select(F.col("m.match_id").alias("ref"), F.to_date("t").alias("day"), (F.col("m.home") % 8).cast("int").alias("h"), ((F.col("m.home") + 1 + F.col("m.away") % 7) % 8).cast("int").alias("a"))
+
+    def side(names: tuple[str, ...]) -> DataFrame:
+        known = F.array(*map(F.lit, names))
+        return f.select("ref", "day", resolve.normalized(known[F.col("h")]).alias("home"), resolve.normalized(known[F.col("a")]).alias("away"))
+
+    return resolve.match_events(side(CLUBS), side(SPELLINGS).withColumn("day", F.date_add("day", (F.col("ref") % 2).cast("int"))), days=1)
+
+
+QUERIES = {
+    "price_changes": changes, "movement": movement, "steam": steam, "drift_by_bucket": drift, "series_coverage": series_coverage, "dead_man": dead_man, "rolling_form": form,
+    "observations": observations, "json_props": json_props, "matched_events": matched_events,
+}
+SERIES = "PARTITION BY event_id, book_id, sel_idx ORDER BY captured_at, l_orderkey, l_linenumber"
+ENDS = "first_value(odds) OVER w AS first, last_value(odds) OVER w AS last"
+HOURS = "date_diff('hour', captured_at, kickoff)"
+FORM = ", ".join(f"round(avg({c}) OVER (PARTITION BY team ORDER BY played, match_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 6) AS {c}_r{n}" for n in (5, 10) for c in ("scored", "conceded"))
+ORACLES = {
+    "price_changes": f"WITH {BOOK_CTE} c AS (SELECT *, lag(odds) OVER ({SERIES}) AS before FROM book) SELECT event_id, book, selection, l_orderkey, l_linenumber, odds FROM c WHERE before IS NULL OR before <> odds",
+    "movement": f"""WITH {BOOK_CTE} c AS (SELECT *, {ENDS} FROM book WHERE captured_at <= kickoff WINDOW w AS ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+      SELECT event_id, book_id, sel_idx, min(first) AS open, min(last) AS close, min(odds) AS low, max(odds) AS high, count(*) AS prices FROM c GROUP BY event_id, book_id, sel_idx""",
+    "steam": f"""WITH {BOOK_CTE} c AS (SELECT *, {ENDS} FROM book WHERE captured_at <= kickoff AND captured_at >= kickoff - INTERVAL 365 DAY AND odds > 1 WINDOW w AS ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+      SELECT event_id, book_id, sel_idx, min(first) AS first, min(last) AS last, count(*) AS points, round(1 / min(last) - 1 / min(first), 6) AS move FROM c GROUP BY event_id, book_id, sel_idx HAVING count(*) >= 2""",
+    "drift_by_bucket": f"""WITH {BOOK_CTE} c AS (SELECT *, last_value(odds) OVER w AS close, row_number() OVER w2 AS back FROM book WHERE captured_at <= kickoff
+        WINDOW w AS ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), w2 AS (PARTITION BY event_id, book_id, sel_idx ORDER BY captured_at DESC, l_orderkey DESC, l_linenumber DESC))
+      SELECT CASE WHEN {HOURS} < 1 THEN '<1h' WHEN {HOURS} < 5 THEN '1-5h' WHEN {HOURS} < 24 THEN '5-24h' WHEN {HOURS} < 48 THEN '24-48h' ELSE '>48h' END AS bucket, count(*) AS n, round(avg(ln(close / odds)), 6) AS drift FROM c WHERE back > 1 GROUP BY 1""",
+    "series_coverage": f"""WITH {BOOK_CTE} s AS (SELECT event_id, book, count(DISTINCT captured_at) AS times, max(captured_at) AS last, min(kickoff) AS kickoff FROM book WHERE captured_at <= kickoff GROUP BY event_id, book)
+      SELECT event_id, book, times FROM s WHERE times >= 2 AND last >= kickoff - INTERVAL 60 DAY""",
+    "dead_man": """WITH b AS (SELECT event_type AS source, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS batch, count(*) FILTER (value > 25) AS fresh FROM events GROUP BY ALL),
+      r AS (SELECT *, sum(CASE WHEN fresh > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY batch) AS run FROM b),
+      s AS (SELECT *, CASE WHEN fresh > 0 THEN 0 ELSE sum(CASE WHEN fresh > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY source, run ORDER BY batch) END AS streak FROM r)
+      SELECT source, batch, fresh, CAST(streak AS BIGINT) AS streak, streak = 3 AS fires FROM s""",
+    "rolling_form": f"""WITH m AS (SELECT o_orderkey AS match_id, o_orderdate AS played, o_custkey % 20 AS home, (o_custkey + 1 + o_orderkey % 19) % 20 AS away, o_orderkey % 5 AS hg, o_custkey % 4 AS ag FROM orders),
+      l AS (SELECT match_id, played, 'home' AS side, home AS team, hg AS scored, ag AS conceded FROM m UNION ALL SELECT match_id, played, 'away', away, ag, hg FROM m) SELECT match_id, side, team, {FORM} FROM l""",
+    "observations": f"""WITH {BOOK_CTE} n AS (SELECT *, row_number() OVER (PARTITION BY event_id, book, selection, captured_at ORDER BY l_orderkey, l_linenumber) AS rk, count(*) OVER (PARTITION BY event_id, book, selection, captured_at) AS seen FROM book)
+      SELECT event_id, book, selection, strftime(captured_at, '%Y-%m-%d') AS day, l_orderkey, l_linenumber, odds, seen FROM n WHERE rk = 1""",
+    "json_props": "SELECT event_type, count(*) AS n, count(k) AS with_k, CAST(sum(k) AS BIGINT) AS sum_k, max(k) AS max_k FROM (SELECT event_type, try_cast(props ->> '$.k' AS INTEGER) AS k FROM events) GROUP BY event_type",
+}

@@ -137,7 +137,7 @@ def bands_by_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "value_scan": value_scan, "all_edges": all_edges, "state_close": state_close, "anchors": anchors, "logit_pool": logit_pool, "swap_guard": swap_guard, "double_chance": double_chance,
-    **{f"devig_{m}": devigged(m) for m in ("multiplicative", "additive", "power", "logarithmic", "shin")},
+    **{f"devig_{m}": devigged(m) for m in ("multiplicative", "additive", "power", "logarithmic", "shin", "probit")},
     "gates": gates, "sizing": sizing, "coverage": coverage, "bands_by_book": bands_by_book,
 }
 BAND = "CASE WHEN odds <= 1.5 THEN 0 WHEN odds <= 2 THEN 1 WHEN odds <= 3 THEN 2 WHEN odds <= 5 THEN 3 WHEN odds <= 10 THEN 4 ELSE 5 END"
