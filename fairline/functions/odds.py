@@ -45,7 +45,7 @@ def american_to_decimal(price: Column) -> Column:
 
 def parsed_odds(text: Column) -> Column:
     """A price from text: over 1, else null."""
-    value = F.expr("try_cast(x as double)") if isinstance(text, str) else text.try_cast("double")
+    value = text.try_cast("double")
     return F.when((value > 1) & ~F.isnan(value), value)
 
 
@@ -138,7 +138,7 @@ def time_bucket(hours: Column) -> Column:
 
 def price_age(now: Column, captured: Column) -> Column:
     """Seconds, 0 for the future, infinite if unknown."""
-    return F.coalesce(F.greatest(F.lit(0.0), now - captured), F.lit(math.inf))
+    return F.when(captured.isNull() | now.isNull(), math.inf).otherwise(F.greatest(F.lit(0.0), now - captured))
 
 
 def confidence(edge: Column, threshold: float, anchor: Column, score: Column, *, high: float = 0.725, low: float = 0.60) -> Column:

@@ -13,7 +13,7 @@ CHANGED = "event_id long, book string, selection string, captured_at timestamp,
 
 def fresh(stream: DataFrame, seconds: int = 300) -> DataFrame:
     """Rows at most some seconds older than they arrived; a row from the future has age 0, one without a time is stale."""
-    age = F.greatest(F.lit(0), F.unix_timestamp("ingested_at") - F.unix_timestamp("captured_at"))
+    age = F.unix_timestamp("ingested_at") - F.unix_timestamp("captured_at")
     return stream.where(F.coalesce(age <= seconds, F.lit(False)))
 
 
