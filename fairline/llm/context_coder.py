@@ -58,7 +58,7 @@ class Coder:
         if len(small):
             which = small if isinstance(lanes, slice) else lanes[small]
             if self.reads:
-                low[small] = low[small] << 16 | self.words[self.at[which]]
+                low[small] = low[small] << 16 | self.words[np.minimum(self.at[which], len(self.words) - 1)]  # a damaged block may ask for more
                 self.at[which] += 1
             else:
                 self.out.append((which, low[small] >> 16))
