@@ -1,7 +1,9 @@
 """Entity resolution: names and events of different sources."""
 
 import difflib
+import math
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,8 @@ from pyspark.sql import types as T
 #: Club words that do not tell clubs apart, and words that mark another team of a club. Fixed values.
 CLUB_WORDS = frozenset("fc cf afc sc ac club".split())
 MARKERS = {"women": "women", "ladies": "women", "w": "women", "u19": "youth", "u21": "youth", "u23": "youth", "youth": "youth", "reserves": "reserve", "ii": "reserve"}
+#: Letters from rare to common; the order of block_keys.
+COMMON = "qjzxvkwybpgfmcudhlnrtsioea "
 
 
 def plain(name: str | None) -> str:
@@ -80,21 +84,59 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([100 * difflib.SequenceMatcher(None, words(x), words(y), False).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def block_keys(name: str | None, accept: float) -> list[str]:
+    """Keys of which two names share at least one if their Jaro-Winkler value reaches accept.
+
+    With p letters of common prefix, Jaro has to reach j = (accept - p/10) / (1 - p/10), so at least
+    3j - 2 of the longer name's letters have a partner in the other. If two sets share that many
+    letters (numbered where they repeat), the first ones of both in any fixed order, up to the
+    number that may be missing plus one, meet; each is a key together with the prefix.
+    """
+    if not name:
+        return [""]
+    seen = Counter()
+    letters = []
+    for c in name:
+        seen[c] += 1
+        letters.append((COMMON.find(c) - 9 * seen[c], c, seen[c]))
+    letters.sort()
+    keys = []
+    for p in range(min(4, len(name)) + 1):
+        share = 3 * (accept - 0.1 * p) / (1 - 0.1 * p) - 2
+        need = max(1, math.ceil(share * len(name) - 1e-9))
+        keys += [f"{name[:p]}|{c}{k}" for _, c, k in letters[: max(0, len(name) - need + 1)]]
+    return keys
+
+
+def alike_names(left: DataFrame, right: DataFrame, accept: float) -> DataFrame:
+    """(ours, theirs, alike): every pair of names of left and right (name) with the same markers and at least that similarity."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def keyed(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: block_keys(n, accept))
+
+    known = [side.where("name IS NOT NULL").distinct().select(F.col("name").alias(to), F.explode(keyed("name")).alias("key")) for side, to in ((left, "ours"), (right, "theirs"))]
+    pairs = known[0].join(known[1], "key").select("ours", "theirs").distinct()
+    return pairs.where(markers(F.col("ours")) == markers(F.col("theirs"))).withColumn("alike", similarity("ours", "theirs")).where(F.col("alike") >= accept)
+
+
 def match_events(left: DataFrame, right: DataFrame, *, days: int = 1, accept: float = 0.92) -> DataFrame:
     """(left_ref, right_ref, score): the one right event within some days whose both names agree.
 
-    Both sides: ref, home, away (plain names), day (date). Candidates meet on the day and on the
-    first letters of both names, never by a cross join; the left side is repeated once a day of
-    the window. An event with two equally good candidates has no match.
+    Both sides: ref, home, away (plain names), day (date). The distinct names of the sides are
+    compared first, by keys that no pair of accept or more can miss; events then meet on the day
+    and both names, never by a cross join. The left side is repeated once a day of the window and
+    alike name. An event with two equally good candidates has no match.
     """
     window = left.select(F.col("ref").alias("left_ref"), F.col("home").alias("lh"), F.col("away").alias("la"), F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda d: F.date_add("day", d))).alias("day"))
-    block = lambda h, a: F.concat(F.substring(h, 1, 2), F.lit("|"), F.substring(a, 1, 2))
-    pairs = window.withColumn("block", block(F.col("lh"), F.col("la"))).join(right.select(F.col("ref").alias("right_ref"), "home", "away", "day").withColumn("block", block(F.col("home"), F.col("away"))), ["day", "block"])
-    same = (markers(F.col("lh")) == markers(F.col("home"))) & (markers(F.col("la")) == markers(F.col("away")))
-    exact = (F.col("lh") == F.col("home")) & (F.col("la") == F.col("away"))
-    scored = pairs.where(same).withColumn("h", F.when(exact, 1.0).otherwise(similarity("lh", "home"))).withColumn("a", F.when(exact, 1.0).otherwise(similarity("la", "away"))).where((F.col("h") >= accept) & (F.col("a") >= accept))
-    best = scored.withColumn("score", F.col("h") + F.col("a")).groupBy("left_ref").agg(F.max("score").alias("score"), F.max_by("right_ref", F.struct("score", "right_ref")).alias("right_ref"), F.collect_list("score").alias("scores"))
-    return best.where(F.size(F.filter("scores", lambda s: s == F.col("score"))) == 1).select("left_ref", "right_ref", F.round("score", 6).alias("score"))
+    names = [side.select(F.explode(F.array("home", "away")).alias("name")) for side in (left, right)]
+    alike = alike_names(*names, accept)
+    for ours, theirs, score in (("lh", "home", "h"), ("la", "away", "a")):
+        window = window.join(alike.select(F.col("ours").alias(ours), F.col("theirs").alias(theirs), F.col("alike").alias(score)), ours)
+    scored = window.join(right.select(F.col("ref").alias("right_ref"), "home", "away", "day"), ["day", "home", "away"]).withColumn("score", F.col("h") + F.col("a"))
+    equal = scored.groupBy("left_ref", "score").agg(F.count("*").alias("n"), F.min("right_ref").alias("right_ref"))
+    best = equal.groupBy("left_ref").agg(F.max("score").alias("score"), F.max_by(F.struct("right_ref", "n"), "score").alias("b"))
+    return best.where("b.n = 1").select("left_ref", F.col("b.right_ref").alias("right_ref"), F.round("score", 6).alias("score"))
 
 
 def contained(ours: Column, theirs: Column) -> Column:

@@ -70,6 +70,42 @@ def test_names(spark):
     assert [(r.left_ref, r.right_ref) for r in resolve.match_events(left, right).collect()] == [(1, 7)]
 
 
+def brute_matches(left, right, days=1, accept=0.92):
+    marks = lambda n: {resolve.MARKERS[w] for w in n.split() if w in resolve.MARKERS}
+    found = {}
+    for ref, home, away, day in left:
+        scores = []
+        for other, h, a, d in right:
+            s = resolve.jaro_winkler(home, h), resolve.jaro_winkler(away, a)
+            if abs((d - day).days) <= days and min(s) >= accept and marks(home) == marks(h) and marks(away) == marks(a):
+                scores.append((s[0] + s[1], other))
+        top = [o for s, o in scores if s == max(scores)[0]]
+        if len(top) == 1:
+            found[ref] = top[0]
+    return found
+
+
+def test_events_equal_brute_force(spark):
+    """Early typing errors keep their match, ties have none, several fixtures a day compete."""
+    names = ["dynamo kiev", "dinamo kiev", "ydnamo kiev", "arsenal", "rasenal", "arsenal women", "leeds", "leeds united", "manchester united", "manchester city", "a", ""]
+    fixtures = [(h, a) for h in names for a in names if h != a]
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    left = [(i, h, a, day(i * 7 % 40)) for i, (h, a) in enumerate(fixtures)]
+    right = [(1000 + i, h, a, day(i * 5 % 40)) for i, (h, a) in enumerate(fixtures)]
+    left += [(900, "dynamo kiev", "leeds", day(90)), (901, "dynamo kiev", "leeds", day(95))]
+    right += [(1900, "dinamo kiev", "leeds", day(91)), (1901, "dinamo kiev", "leeds", day(94)), (1902, "dinamo kiev", "leeds", day(96))]
+    schema = "ref long, home string, away string, day date"
+    found = {r.left_ref: r.right_ref for r in resolve.match_events(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()}
+    assert found == brute_matches(left, right) and found[900] == 1900 and 901 not in found
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcd ", max_size=12), st.text("abcd ", max_size=12), st.sampled_from([0.6, 0.75, 0.92]))
+def test_block_keys_miss_no_pair(a, b, accept):
+    if resolve.jaro_winkler(a, b) >= accept:
+        assert set(resolve.block_keys(a, accept)) & set(resolve.block_keys(b, accept))
+
+
 def test_later_rows_do_not_change_the_state_at_kickoff(spark):
     """Leakage: what is captured after kickoff leaves the movement as it is."""
     schema = "event_id long, book_id long, sel_idx int, odds double, captured_at timestamp, kickoff timestamp, l_orderkey long, l_linenumber int"
