@@ -1,15 +1,41 @@
 """Queries over price histories, event streams, matches and names."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairline.operators import resolve, timeline
 from fairline.plans.value import rounded
 from fairline.sources.bridge import BOOK_CTE, odds_book, table
 
-#: Fixed values of the test bridge: clubs, and how a second source writes them.
-CLUBS = ("Arkham Rovers", "Bexley Town", "Corvale United", "Drumgate City", "Elmstead Athletic", "Fenwick Albion", "Garrow Wanderers", "Hollin Vale")
-SPELLINGS = ("ARKHAM ROVERS FC", "AFC Bexley  Town", "Corvále United", "Drumgate City C.F.", "Elmstead Athletic", "Fenwick Albion Women", "Garrow Wanderers", "Hollin-Vale SC")
+#: Fixed values of the test bridge: DIVISIONS of 20 clubs, each named by a start and an end of its place and a kind.
+DIVISIONS = 50
+STARTS = (
+    "Ark", "Bex", "Cor", "Drum", "Elm", "Fen", "Gar", "Hol", "Ing", "Jar", "Kel", "Lud", "Mor", "Nor", "Ott", "Pem", "Quor", "Rad", "Sel", "Tor",
+    "Ul", "Var", "Wex", "Yar", "Zen", "Ash", "Brim", "Clun", "Dov", "Ever", "Frod", "Glos", "Hax", "Ilk", "Kirk", "Lym", "Mal", "Thur", "Stav", "Prest",
+)
+ENDS = ("ham", "ley", "vale", "gate", "stead", "wick", "row", "lin", "mouth", "burgh", "combe", "ditch", "field", "grove", "hurst", "jay", "kirk", "minster", "ness", "over", "port", "quay", "sop", "thorpe", "yarth")
+KINDS = ("Rovers", "Town", "United", "City", "Athletic", "Albion", "Wanderers", "Vale")
+
+
+def club(number: Column) -> Column:
+    """Name of one of the 1,000 clubs."""
+    pick = lambda words, at: F.array(*map(F.lit, words))[at.cast("int")]
+    return F.concat(pick(STARTS, number % 40), pick(ENDS, F.floor(number / 40) % 25), F.lit(" "), pick(KINDS, number % 8))
+
+
+def spelled(number: Column) -> Column:
+    """The name as a second source writes it, by one of eight habits; one is another team of the club, one a typing error in the first letters."""
+    name, habit = club(number), F.floor(number / 8) % 8
+    return (
+        F.when(habit == 0, F.concat(F.upper(name), F.lit(" FC")))
+        .when(habit == 1, F.concat(F.lit("AFC "), F.replace(name, F.lit(" "), F.lit("  "))))
+        .when(habit == 2, F.translate(name, "aeo", "áéö"))
+        .when(habit == 3, F.concat(name, F.lit(" C.F.")))
+        .when(habit == 4, name)
+        .when(habit == 5, F.concat(name, F.lit(" Women")))
+        .when(habit == 6, F.concat(F.substring(name, 2, 1), F.substring(name, 1, 1), F.substring(name, 3, 99)))
+        .otherwise(F.concat(F.translate(name, " ", "-"), F.lit(" SC")))
+    )
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,16 +101,17 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count("p.k").alias("with_k"), F.sum("p.k").alias("sum_k"), F.max("p.k").alias("max_k"))
 
 
-def matched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixtures of two sources matched by names within a day; a women's team is not its club's first team."""
-    f = matches(spark, sf_dir).groupBy(F.expr("date_trunc('day', played)").alias("t")).agg(F.min(F.struct("match_id", "home", "away")).alias("m"))
-    f = f.select(F.col("m.match_id").alias("ref"), F.to_date("t").alias("day"), (F.col("m.home") % 8).cast("int").alias("h"), ((F.col("m.home") + 1 + F.col("m.away") % 7) % 8).cast("int").alias("a"))
+def event_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every match as two sources have it: the same sides of a division, other spellings, the second a day later for odd ones."""
+    first = F.floor(F.col("match_id") / 4) % DIVISIONS * 20
+    f = matches(spark, sf_dir).select(F.col("match_id").alias("ref"), F.to_date("played").alias("day"), (first + F.col("home")).alias("h"), (first + F.col("away")).alias("a"))
+    ours, theirs = (f.select("ref", "day", resolve.normalized(names(F.col("h"))).alias("home"), resolve.normalized(names(F.col("a"))).alias("away")) for names in (club, spelled))
+    return ours, theirs.withColumn("day", F.date_add("day", (F.col("ref") % 2).cast("int")))
 
-    def side(names: tuple[str, ...]) -> DataFrame:
-        known = F.array(*map(F.lit, names))
-        return f.select("ref", "day", resolve.normalized(known[F.col("h")]).alias("home"), resolve.normalized(known[F.col("a")]).alias("away"))
 
-    return resolve.match_events(side(CLUBS), side(SPELLINGS).withColumn("day", F.date_add("day", (F.col("ref") % 2).cast("int"))), days=1)
+def matched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixtures of two sources matched by names within a day; a women's team is not its club's first team."""
+    return resolve.match_events(*event_sides(spark, sf_dir), days=1)
 
 
 QUERIES = {

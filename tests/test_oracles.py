@@ -1,9 +1,13 @@
 """Every query with SQL gives the SQL's rows; the others run."""
 
+import datetime as dt
+from collections import defaultdict
+
 import pytest
 
-from fairline.plans import registry
+from fairline.plans import history, registry
 from tests.conftest import SF
+from tests.test_operators import brute_matches
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -21,6 +25,21 @@ def test_matched_events(spark):
     assert rows and all(r.left_ref == r.right_ref for r in rows)
 
 
+def test_matched_events_equal_brute_force(spark):
+    """Every match takes part, and those found are the ones of all pairs within a day."""
+    ours, theirs = ([(r.ref, r.home, r.away, r.day) for r in side.collect()] for side in history.event_sides(spark, SF))
+    assert len(ours) == len(theirs) == history.matches(spark, SF).count()
+    by_day = defaultdict(list)
+    for r in theirs:
+        by_day[r[3]].append(r)
+    near = lambda day: [r for d in (-1, 0, 1) for r in by_day[day + dt.timedelta(days=d)]]
+    expected = {}
+    for r in ours:
+        expected |= brute_matches([r], near(r[3]))
+    found = {r.left_ref: r.right_ref for r in registry.QUERIES["matched_events"](spark, SF).collect()}
+    assert found == expected and len(found) > 0.7 * len(ours)
+
+
 def test_entry_and_plan(spark):
     import __spark_entry__ as e
 
