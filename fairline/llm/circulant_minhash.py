@@ -10,7 +10,8 @@ Exact copies of a set are one class from the start. Within a bucket no pairs are
 class is held against the bucket's first, and components are built from what is confirmed; in
 further rounds the classes outside of a bucket's largest component are held against a few of
 that component. Only what is left outside is held against all of the bucket's other components;
-buckets with many classes are divided by a second band for that.
+the classes of a bucket with many are dealt over blocks for that, and every component comes to
+each block, so no pair of a bucket is left out.
 
 Defined cases: a null or wordless text has the empty set and is linked with nothing; fewer
 words than five are one shingle; rows with one id are one node; a null id is linked with
@@ -33,8 +34,8 @@ BANDS, ROWS, COORDINATES = 40, 5, 256
 SKETCH = [f"s{i}" for i in range(COORDINATES // 64)]
 #: Sketch bits that must agree. Of two sets with similarity 0.75, 256 bits agree in 224 on average, and in fewer than 198 about once in a million.
 AGREE = 198
-#: A bucket with more classes is divided by each of the next SECOND bands.
-LARGE, SECOND = 64, 8
+#: Classes outside of a bucket's largest component that are held against its other components in one block.
+LARGE = 2000
 #: Rounds in which classes outside of a bucket's largest component are held against PIVOTS of its classes.
 ROUNDS, PIVOTS = 1, 3
 #: Classes of a group in one block, and classes held against them.
@@ -176,7 +177,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = kept(docs.mapInArrow(features, "doc_id long, n long, set_a long, set_b long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH)), "features")
     classes = kept(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("class")), "classes")
     reps = kept(found.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").where("n > 0").withColumnRenamed("doc_id", "class"), "classes")
-    buckets = reps.select("class", "n", *SKETCH, F.posexplode("bands").alias("band", "key"))
+    buckets = reps.select("class", "n", *SKETCH, F.explode("bands").alias("key"))
 
     heads = buckets.groupBy("key").agg(F.min("class").alias("head"), F.count("*").alias("size")).where("size > 1")
     rows = kept(buckets.join(heads, "key"), "buckets")
@@ -192,7 +193,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = components(links)
     rest = mixed_buckets(rows, placed)
     grouped = single.join(placed.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "group").alias("group"))
-    more = confirmed(across(rest, reps), grouped, docs)
+    more = confirmed(across(rest), grouped, docs)
 
     linked = components(links.union(more))
     members = found.join(classes, ["set_a", "set_b", "n"], "left").join(linked.withColumnRenamed("node", "class"), "class", "left")
@@ -201,16 +202,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def divided(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """The rows, those of large buckets by the bucket's key and one of the SECOND bands after it."""
-    plain = ("key", "class", "n", *SKETCH, "component")
-    after = F.transform(F.sequence(F.lit(1), F.lit(SECOND)), lambda i: F.element_at("bands", (F.col("band") + i) % BANDS + 1))
-    apart = (
-        rows.where(F.col("size") > LARGE).join(reps.select("class", "bands"), "class")
-        .select(*plain, F.posexplode(after).alias("t", "second"))
-        .withColumn("key", F.xxhash64("key", "t", "second"))
-    )
-    return rows.where(F.col("size") <= LARGE).select(*plain).union(apart.select(*plain))
+def dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows, each in one of its bucket's blocks of about LARGE, and the bucket's components, each in all of them."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / LARGE).cast("int").alias("blocks"))
+    one = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).drop("blocks")
+    every = summed(rows).join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return one, every
 
 
 def with_largest(rows: DataFrame) -> DataFrame:
@@ -240,18 +237,18 @@ def summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), *bits)
 
 
-def across(rows: DataFrame, reps: DataFrame) -> DataFrame:
+def across(rows: DataFrame) -> DataFrame:
     """(class, group): classes outside of a bucket's largest component, and the bucket's other components that may hold one alike.
 
     A component takes part as one row a bucket; a class that differs from too many of the sketch
     bits that all of its classes share differs from each of them. The largest component meets
-    the others undivided, as that is one row a class.
+    the others without blocks, as that is one row a class.
     """
     differ = " + ".join(f"bit_count(x.s{i} & ~y.any{i}) + bit_count(~x.s{i} & y.every{i})" for i in range(len(SKETCH)))
     fits = f"x.n * {OUT_OF} >= y.low * {LEAST} AND y.high * {OUT_OF} >= x.n * {LEAST} AND {differ} <= {COORDINATES - AGREE}"
     outside = rows.where("component <> most")
     largest = summed(rows.where("component = most"))
     with_most = outside.alias("x").join(largest.alias("y"), F.expr(f"x.key = y.key AND {fits}"))
-    apart = kept(divided(outside, reps), "divided")
-    others = apart.alias("x").join(summed(apart).alias("y"), F.expr(f"x.key = y.key AND x.component < y.component AND {fits}"))
+    one, every = dealt(kept(outside, "outside"))
+    others = one.alias("x").join(every.alias("y"), F.expr(f"x.key = y.key AND x.block = y.block AND x.component < y.component AND {fits}"))
     return with_most.select("x.class", F.col("y.component").alias("group")).union(others.select("x.class", F.col("y.component").alias("group")))

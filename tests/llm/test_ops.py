@@ -106,6 +106,33 @@ def test_near_duplicates_of_odd_rows(odd):
     assert all(r.kept and r.component_id is None for r in rows if r.doc_id is None)
 
 
+def test_pairs_of_a_large_bucket_all_meet(spark, monkeypatch):
+    """Classes of one bucket without another common band still meet; only the largest component's pairs are made apart."""
+    monkeypatch.setattr(circulant_minhash, "LARGE", 2)
+    sketch = ", ".join(f"{c} long" for c in circulant_minhash.SKETCH)
+    rows = [(1, i, 100, 9, 0, max(1, i - 3), 1, *[0] * len(circulant_minhash.SKETCH)) for i in range(1, 11)]
+    buckets = spark.createDataFrame(rows, f"key long, class long, n long, size long, band int, component long, most long, {sketch}")
+    found = {(r["class"], r.group) for r in circulant_minhash.across(buckets).collect()}
+    own = {r[1]: r[5] for r in rows}
+    assert found >= {(a, own[b]) for a in own for b in own if 1 < own[a] < own[b]} | {(a, 1) for a in own if own[a] > 1}
+
+
+def near_copies(n_groups):
+    """Groups of near copies within one template of about two thirds of the words."""
+    out = []
+    for g in range(n_groups):
+        body = [f"t{i}" for i in range(240)] + [f"g{g}x{i}" for i in range(50)]
+        out += [(10 * g + v, " ".join([*body[:-v], *(f"v{g}y{v}z{i}" for i in range(v))] if v else body)) for v in range(3)]
+    return out
+
+
+def test_near_duplicates_with_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(circulant_minhash, "LARGE", 1)
+    rows = near_copies(30)
+    found = {r.doc_id: r.component_id for r in circulant_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == components(rows)
+
+
 def test_token_files_round_trip(spark, texts):
     at, expected = 0, {}
     for i in sorted(texts):
