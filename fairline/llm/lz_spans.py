@@ -3,13 +3,16 @@
 Every window of WINDOW words has an anchor: its run of ANCHOR words with the smallest hash. The
 windows of one anchor occurrence, with the words they span, are a block; block bounds depend
 on content alone, so a passage is cut into the same blocks wherever it stands. The blocks of
-all documents, keyed by anchor, are the index. A document is parsed greedily, left to right:
-the longest run of its blocks that continues in the place that the index gives for the first
-is a factor (reference document and word, length); a block that occurs once ends a factor.
+all documents, keyed by anchor, are the index; it gives one place (document and word) of each. A
+document is parsed left to right: a factor (reference place, length) goes on as long as the
+next block's place continues the reference, and ends at a block that occurs once or that the index
+places elsewhere. References are followed by blocks, not by single words, and the index's one place
+is taken, so a factor may be shorter than the longest one possible. The first place itself is
+parsed the same way, as its own reference.
 
 Blocks with a set share of all occurrences are found by a list of bounded size, without a join.
 
-A block that occurs again has only repeated windows. At factor boundaries, where the anchor
+The words under factors are repeated. At factor boundaries, where the anchor
 occurs again but in another block, the windows themselves are looked up among the windows of
 all blocks with that anchor. So a window is found repeated exactly if its words start anywhere
 else, and each word under such a window is removed, in every occurrence.
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairline.llm.store import kept
@@ -92,24 +95,29 @@ def indexed_blocks(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def judged_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks whose anchor occurs again: with how often the block occurs, the smallest row it stands in, and whether other blocks have its anchor.
+    """Blocks whose anchor occurs again: with how often the block occurs, a place in the smallest row it stands in, and whether other blocks have its anchor.
 
     Sums are made before the shuffle, so a block of a third of all rows is one row a task.
     """
-    same = kept(blocks.groupBy("anchor", "block").agg(F.count("*").alias("times"), F.min("row").alias("ref_row")), "blocks")
+    same = kept(blocks.groupBy("anchor", "block").agg(F.count("*").alias("times"), F.min("row").alias("ref_row"), F.min_by("begin", "row").alias("ref_begin")), "blocks")
     repeated = same.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("times").alias("total")).where("total > 1").select("anchor", (F.col("kinds") > 1).alias("boundary"))
     return same.join(repeated, "anchor")
 
 
-def hot_blocks(blocks: DataFrame, judged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Block and anchor hashes of the hot blocks, at most HOT, in order of the first."""
+def hot_blocks(blocks: DataFrame, judged: DataFrame) -> tuple[np.ndarray, ...]:
+    """Block and anchor hashes and reference places of the hot blocks, at most HOT, in order of the first."""
     least = max(HOT_LEAST, -(-blocks.count() // HOT))
-    rows = sorted((r.block, r.anchor) for r in judged.where(F.col("times") >= least).select("block", "anchor").collect())
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    rows = sorted(map(tuple, judged.where(F.col("times") >= least).select("block", "anchor", "ref_row", "ref_begin").collect()))
+    return tuple(np.array([r[k] for r in rows], np.int64) for k in range(4))
 
 
-def hot_apart(blocks: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The blocks with hot: false, but runs of hot ones that follow each other in a document are one row with hot: true.
+def goes_on(row: np.ndarray, begin: np.ndarray, last: np.ndarray, ref_row: np.ndarray, ref_begin: np.ndarray) -> np.ndarray:
+    """Whether each piece but the first continues the one before it, in its document and in the reference."""
+    return (row[1:] == row[:-1]) & (begin[1:] == last[:-1] + 1) & (ref_row[1:] == ref_row[:-1]) & (ref_begin[1:] - ref_begin[:-1] == begin[1:] - begin[:-1])
+
+
+def hot_apart(blocks: DataFrame, hot: tuple[np.ndarray, ...]) -> DataFrame:
+    """The blocks with hot: false, but runs of hot ones whose references go on are one row with hot: true and the reference.
 
     A passage that a third of all documents share is found here, one row a document, and its
     blocks take no part in a shuffle.
@@ -120,17 +128,48 @@ def hot_apart(blocks: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFram
             if not batch.num_rows:
                 continue
             row, anchor, block, begin, last = (batch.column(c).to_numpy() for c in ("row", "anchor", "block", "begin", "last"))
-            known = np.zeros(len(row), bool)
+            known, ref_row, ref_begin = np.zeros(len(row), bool), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
             if len(hot[0]):
                 at = np.minimum(np.searchsorted(hot[0], block), len(hot[0]) - 1)
                 known = (hot[0][at] == block) & (hot[1][at] == anchor)
+                ref_row, ref_begin = hot[2][at], hot[3][at]
             follows = np.zeros(len(row), bool)
-            follows[1:] = known[1:] & known[:-1] & (row[1:] == row[:-1]) & (begin[1:] == last[:-1] + 1)
+            follows[1:] = known[1:] & known[:-1] & goes_on(row, begin, last, ref_row, ref_begin)
             head = np.flatnonzero(~follows)  # every block that is not hot, and the first of each run
             tail = np.append(head[1:], len(row)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row[head], anchor[head], block[head], begin[head], last[tail], known[head])], names=["row", "anchor", "block", "begin", "last", "hot"])
+            columns = row[head], anchor[head], block[head], begin[head], last[tail], known[head], ref_row[head], ref_begin[head].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["row", "anchor", "block", "begin", "last", "hot", "ref_row", "ref_begin"])
+
+    return blocks.mapInArrow(split, "row long, anchor long, block long, begin int, last int, hot boolean, ref_row long, ref_begin int")
+
+
+def parsed(blocks: DataFrame, judged: DataFrame) -> DataFrame:
+    """(row, begin, last, ref_row, ref_begin) of every factor: its first and last window and its reference, in one pass over each document's blocks in order."""
+    names = ["row", "begin", "last", "ref_row", "ref_begin"]
+    dealt = hot_apart(blocks, hot_blocks(blocks, judged))
+    rare = dealt.where("NOT hot").select("row", "anchor", "block", "begin", "last").join(judged.where("times > 1").select("anchor", "block", "ref_row", "ref_begin"), ["anchor", "block"])
+    placed = dealt.where("hot").select(*names).union(rare.select(*names))
 
-    return blocks.mapInArrow(split, "row long, anchor long, block long, begin int, last int, hot boolean")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda x: pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=names)
+        held = None  # the factor that the next batch may continue
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = [batch.column(c).to_numpy() for c in names]
+            x = x if held is None else [np.concatenate([a, b]) for a, b in zip(held, x, strict=True)]
+            again = np.zeros(len(x[0]), bool)
+            again[1:] = (x[0][1:] == x[0][:-1]) & (x[2][1:] <= x[2][:-1])  # equal rows share their key
+            x = [c[~again] for c in x]
+            head = np.flatnonzero(np.append(True, ~goes_on(*x)))
+            x[2] = np.append(x[2][head[1:] - 1], x[2][-1:])
+            x = [c if k == 2 else c[head] for k, c in enumerate(x)]
+            held = [c[-1:] for c in x]
+            yield out([c[:-1] for c in x])
+        if held is not None:
+            yield out(held)
+
+    return placed.repartition("row").sortWithinPartitions("row", "begin").mapInArrow(walk, "row long, begin int, last int, ref_row long, ref_begin int")
 
 
 def window_hits(docs: DataFrame, checked: DataFrame, window: int) -> DataFrame:
@@ -168,9 +207,7 @@ def repeated_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(row, begin, last): intervals of windows whose words start anywhere else as well."""
     blocks = kept(indexed_blocks(docs, window, anchor), "index")
     judged = kept(judged_blocks(blocks), "judged")
-    dealt = hot_apart(blocks, hot_blocks(blocks, judged))
-    rare = dealt.where("NOT hot").join(judged.where("times > 1").select("anchor", "block"), ["anchor", "block"], "left_semi")
-    seen = dealt.where("hot").select("row", "begin", "last").union(rare.select("row", "begin", "last"))
+    seen = parsed(blocks, judged).select("row", "begin", "last")
     edges = judged.where("boundary")
     # One place of each distinct block: the only one, or that of the smallest row where it stands.
     only = blocks.join(edges.select("anchor", "block", "times", F.col("ref_row").alias("row")), ["anchor", "block", "row"])
@@ -180,18 +217,10 @@ def repeated_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def factors(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """The parse: (row, begin, n_words, ref_row, ref_begin) of each factor that is not its own reference.
-
-    Consecutive blocks whose references continue each other are one factor, in one pass over a
-    document's blocks in order.
-    """
-    blocks = indexed_blocks(with_rows(docs), window, anchor)
-    first = blocks.groupBy("anchor", "block").agg(F.min(F.struct("row", "begin")).alias("ref"))
-    placed = blocks.join(first, ["anchor", "block"]).where("ref.row <> row OR ref.begin <> begin")
-    order = Window.partitionBy("row").orderBy("begin")
-    goes_on = (F.lag("ref.row").over(order) == F.col("ref.row")) & (F.lag("ref.begin").over(order) - F.lag("begin").over(order) == F.col("ref.begin") - F.col("begin")) & (F.lag("last").over(order) + 1 == F.col("begin"))
-    numbered = placed.withColumn("starts", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("factor", F.sum("starts").over(order))
-    return numbered.groupBy("row", "factor").agg(F.min("begin").alias("begin"), (F.max("last") + window - F.min("begin")).alias("n_words"), F.min("ref.row").alias("ref_row"), F.min("ref.begin").alias("ref_begin")).drop("factor")
+    """The parse: (row, begin, n_words, ref_row, ref_begin) of each factor that is not its own reference."""
+    blocks = kept(indexed_blocks(with_rows(docs).select("row", "text"), window, anchor), "index")
+    found = parsed(blocks, kept(judged_blocks(blocks), "judged")).where("ref_row <> row OR ref_begin <> begin")
+    return found.select("row", "begin", (F.col("last") + window - F.col("begin")).alias("n_words"), "ref_row", "ref_begin")
 
 
 def with_rows(docs: DataFrame) -> DataFrame:

@@ -73,6 +73,21 @@ def test_hot_blocks_are_found_like_others(spark, monkeypatch):
     assert found == [(i, *x) for (i, _), x in zip(rows, kept_words(rows, lz_spans.WINDOW), strict=True)]
 
 
+@pytest.mark.parametrize("hot_least", [100, 2])
+def test_repeated_windows_come_from_factors(spark, monkeypatch, hot_least):
+    monkeypatch.setattr(lz_spans, "HOT_LEAST", hot_least)
+    shared = " ".join(f"s{i}" for i in range(400))
+    other = " ".join(f"o{i}" for i in range(300))
+    rows = [(1, f"a b c {shared} d"), (2, f"x {shared} y {other}"), (3, f"{other} z"), (4, "short")]
+    docs = lz_spans.with_rows(spark.createDataFrame(rows, "doc_id long, text string"))
+    words = {r.row: r.text.split() for r in docs.collect()}
+    found = lz_spans.factors(docs).collect()
+    assert len(found) == 2 and all(f.n_words > 200 for f in found)
+    assert all(words[f.row][f.begin : f.begin + f.n_words] == words[f.ref_row][f.ref_begin : f.ref_begin + f.n_words] for f in found)
+    spans = {(r.row, r.begin, r.last) for r in lz_spans.repeated_windows(docs.select("row", "text"), lz_spans.WINDOW, lz_spans.ANCHOR).collect()}
+    assert {(f.row, f.begin, f.begin + f.n_words - lz_spans.WINDOW) for f in found} <= spans
+
+
 def components(rows):
     sets = {}
     for i, t in rows:
