@@ -27,10 +27,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.scored(docs, table(spark, sf_dir, "labels")).where(F.col("score") >= QUALITY).select(docs.columns)
 
 
+def without_repeated_rows(docs: DataFrame) -> DataFrame:
+    """docs with one row of each id and text; only rows whose hash repeats are shuffled with their text."""
+    docs = docs.withColumn("row_hash", F.xxhash64("doc_id", "text"))
+    again = docs.groupBy("row_hash").count().where("count > 1").select("row_hash")
+    return docs.join(again, "row_hash", "left_anti").union(docs.join(again, "row_hash", "left_semi").dropDuplicates(["doc_id", "text"])).drop("row_hash")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
+    """One document of each near-duplicate component, and one row of those with the same id and text."""
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without_repeated_rows(docs.join(gone, "doc_id", "left_anti").select(docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

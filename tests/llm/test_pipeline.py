@@ -15,3 +15,13 @@ def test_stages(spark):
         docs = out
     packed = corpus_pipeline.pack(spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_repeated_rows_keep_one_copy(spark):
+    """A row that stands twice is one document, and its text is not taken for a repeat of itself."""
+    text = " ".join(f"w{i}" for i in range(90))
+    rows = [(1, text), (1, text), (2, " ".join(f"x{i}" for i in range(60))), (None, "a null id"), (None, "a null id"), (None, "another"), (3, None), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(corpus_pipeline.near_dedup(spark, docs, SF).collect(), docs.schema)
+    out = corpus_pipeline.substring_dedup(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in out) == sorted({(str(i), str(t)) for i, t in rows})
