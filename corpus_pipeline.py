@@ -18,13 +18,9 @@ from fairline.llm.queries import BPE
 from fairline.llm.slack_packing import packed
 from fairline.llm.store import kept, table
 
-#: Score under which a document is rejected.
-QUALITY = 0.5
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble does not reject."""
-    return quality_rules.scored(docs, table(spark, sf_dir, "labels")).where(F.col("score") >= QUALITY).select(docs.columns)
+    return quality_rules.scored(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(docs.columns)
 
 
 def without_repeated_rows(docs: DataFrame) -> DataFrame:

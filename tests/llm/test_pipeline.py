@@ -1,6 +1,9 @@
 """The pipeline keeps what its stages say, stage by stage."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from fairline.llm import quality_rules
 from fairline.llm.store import table
 from tests.conftest import SF
 
@@ -25,3 +28,11 @@ def test_repeated_rows_keep_one_copy(spark):
     docs = spark.createDataFrame(corpus_pipeline.near_dedup(spark, docs, SF).collect(), docs.schema)
     out = corpus_pipeline.substring_dedup(spark, docs, SF).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in out) == sorted({(str(i), str(t)) for i, t in rows})
+
+
+def test_quality_drops_what_the_operator_rejects(spark, monkeypatch):
+    """A score between 0.5 and the operator's cut is rejected as well."""
+    scores = lambda docs, labels: docs.withColumn("score", F.when(F.col("doc_id") == 1, 0.6).otherwise(0.8)).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    monkeypatch.setattr(quality_rules, "scored", scores)
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.quality(spark, docs, SF).collect()] == [2]
