@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairline.llm.store import kept
-from fairline.llm.token_ids import END, TokenBytes
-from fairline.llm.words import sliced
+from fairline.llm.token_ids import encoder
+from fairline.llm.words import PART, sliced
 
 CAPACITY = 1024
+#: Pieces of one share, about, if all have the same length.
+SHARE = 1 << 20
 
 
 def fullest(counts: np.ndarray, room: int) -> list[tuple[int, int]]:
@@ -80,18 +82,19 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TokenBytes(tokenizer)
-        end = END.to_bytes(4, "little")
+        tokens = encoder(tokenizer)
         for batch in batches:
-            for part in sliced(batch):
-                rows: list[tuple] = []
-                for i, ids in enumerate(encoder.encode([x or "" for x in part.column("text").to_pylist()])):
-                    ids += end
-                    n = len(ids) // 4
-                    cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                    rows += [(i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-                at, piece, start, length, crc = np.array(rows, np.int64).T
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part in sliced(batch, most=PART):
+                ids, at = tokens.encode(part.column("text"))
+                n = np.diff(at)
+                pieces = -(-n // capacity)
+                of = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                end = n[of] - (pieces[of] - 1 - piece) * capacity  # the first piece may be shorter
+                start = np.maximum(end - capacity, 0)
+                data = ids.astype("<u4", copy=False).data.cast("B")
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((at[of] + start).tolist(), (at[of] + end).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(end - start), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -105,7 +108,7 @@ def packed(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY) -> Data
     """
     spark = docs.sparkSession
     pieces = kept(pieces_of(docs, tokenizer, capacity), "pieces")
-    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pieces.count() // SHARE))
     dealt = pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shares)).cast("int"))
     sizes = kept(dealt.groupBy("length", "share").agg(F.count("*").alias("n")), "sizes")
     counts = np.zeros(capacity + 1, np.int64)

@@ -1,17 +1,24 @@
 """Operators against brute force, direct tokenizing, held-out labels and SQL, and their defined cases."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fairline.llm import circulant_minhash, context_coder, edit_matching, html_text, lz_spans, quality_rules, quartile_digest, queries, slack_packing, toxic_lexicon, url_reputation
+from fairline.llm import circulant_minhash, context_coder, edit_matching, html_text, lz_spans, quality_rules, quartile_digest, queries, slack_packing, token_ids, toxic_lexicon, url_reputation
 from fairline.llm.store import table
+from fairline.llm.token_ids import TokenIds
+from fairline.llm.trees import paths
 from tests.conftest import SF
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -159,13 +166,47 @@ def test_token_files_round_trip(spark, texts):
 
 
 def test_token_files_detect_damage():
-    import numpy as np
-
     block = np.arange(500) % 37 + 1000
-    data = context_coder.encoded([block])[0]
-    assert (context_coder.decoded([data])[0] == block).all() and len(data) < 2 * len(block)
-    with pytest.raises(ValueError, match="checksum|format"):
-        context_coder.decoded([data[:30] + bytes([data[30] ^ 255]) + data[31:]])
+    data = context_coder.encoded(block)
+    assert (context_coder.decoded(data) == block).all() and len(data) < len(block)
+    for at, bit in ((0, 1), (5, 1), (len(data) - 40, 255), (len(data) - 1, 128)):
+        with pytest.raises(ValueError, match="checksum|format"):
+            context_coder.decoded(data[:at] + bytes([data[at] ^ bit]) + data[at + 1 :])
+    with pytest.raises(ValueError, match="format"):
+        context_coder.decoded(data[:-2])
+
+
+@pytest.mark.parametrize("n", [1, 2, 255, 511, 512, 5000, 70001])
+def test_blocks_of_any_size_round_trip(n):
+    ids = np.random.default_rng(n).zipf(1.3, n) % 50257
+    assert (context_coder.decoded(context_coder.encoded(ids)) == ids).all()
+    same = np.full(n, 3)
+    assert (context_coder.decoded(context_coder.encoded(same)) == same).all()
+
+
+def test_token_files_are_smaller_than_deflated(spark):
+    """Under what deflate and the ids' static frequencies need, on the texts of sf0.01."""
+    texts = pa.array([r.text for r in table(spark, SF.replace("0.001", "0.01"), "documents").orderBy("doc_id").select("text").collect()], pa.string())
+    ids, _ = TokenIds(BPE).encode(texts)
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    bits = 8 * sum(len(context_coder.encoded(ids[i : i + context_coder.BLOCK])) for i in range(0, len(ids), context_coder.BLOCK)) / len(ids)
+    assert bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids) - 1 and bits < -(share * np.log2(share)).sum()
+
+
+def test_units_give_the_ids_of_whole_texts():
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u3000", "\u2009", "\x1c", "\x85", "a", "Bc", "it's", "'s", "'", "é", "ñandú", "你好", "…", "—", "12", "٣", "!", "...", "-", "_", "|", "<|endoftext|>", "😀", "e\u0301", "ſ", "\u200b", "\x00", "word", "\ufeff"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(6000)] + [None, "", LONG]
+    ids, at = TokenIds(BPE).encode(pa.array(texts, pa.string()))
+    whole = Tokenizer.from_file(BPE).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [[*w.ids, 2] for w in whole]
+
+
+def test_units_are_forgotten_and_learned_again(monkeypatch):
+    monkeypatch.setattr(token_ids, "UNITS_KEPT", 20)
+    tokens, texts = TokenIds(BPE), [" ".join(f"word{i * k}" for i in range(40)) for k in range(5)]
+    for t in texts * 2:
+        assert tokens.encode(pa.array([t]))[0].tolist() == ids_of(t)
 
 
 @pytest.mark.parametrize("source", ["driver", "odd"])
@@ -263,6 +304,71 @@ def test_page_texts(spark):
     assert all(r.text == "" and r.n_chars == 0 for r in rows if r.page_id != 1)
 
 
+def test_links_in_main_text_and_text_outside(spark):
+    tree = html_text.content_tree(spark)
+    used = {html_text.FEATURES[f] for p in paths(tree) for f, _, _ in p}
+    assert used >= {"words", "links", "main", "boilerplate"} and used & {"words_before", "links_before"} and used & {"words_after", "links_after"}
+    prose = lambda n: " ".join(f"prose{i}" for i in range(n))
+    links = "".join(f"<li><a href='/{i}'>Topic {i}</a></li>" for i in range(12))
+    page = f"<body><article><h1>Head</h1><p>{prose(40)}</p><ul>{links}</ul><p>{prose(50)} <a href=x>one link</a></p></article></body>"
+    assert html_text.main_text(page, tree) == f"Head\n\n{prose(40)}\n\n{prose(50)} one link"
+    long = "".join(f"<div><p>{prose(n)}</p></div>" for n in (120, 150, 130))
+    assert html_text.main_text(f"<body>{long}<article><p>{prose(90)}</p></article></body>", tree).count("\n\n") >= 2
+    comments = f"<section class='comments'><article><p>{prose(120)}</p></article><p>{prose(150)}</p></section>"
+    assert html_text.main_text(f"<article class='post share'><p>{prose(60)}</p></article>{comments}", tree) == prose(60)
+    assert html_text.main_text(f"<form><div class=legal><main><p>{prose(60)}</p></main></div></form>", tree) == prose(60)
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<![CDATA[", "<a b='c' ", "<a 'b\" ", "<script>", "</x", "<p title=\"", "<", "<!--", "<div>x</p>", "&amp"])
+def test_broken_pages_take_linear_time(piece):
+    page = piece * ((1 << 20) // len(piece))
+    began = time.process_time()
+    html_text.blocks_of(page)
+    assert time.process_time() - began < 6
+
+
+class PlainParser(HTMLParser):
+    """The blocks' texts of pages without broken markup, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.text, self.quiet = [], "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.RAW:
+            self.quiet += 1
+        self.breaks(tag)
+
+    def handle_endtag(self, tag):
+        if tag in html_text.RAW:
+            self.quiet = max(0, self.quiet - 1)
+        self.breaks(tag)
+
+    def breaks(self, tag):
+        if tag == "br" or tag in html_text.RAW:
+            self.text += " "
+        elif tag not in html_text.INLINE:
+            self.close_block()
+
+    def handle_data(self, data):
+        if not self.quiet:
+            self.text += data
+
+    def close_block(self):
+        if self.text.split():
+            self.blocks.append(" ".join(self.text.split()))
+        self.text = ""
+
+
+def test_blocks_equal_a_plain_parser(spark):
+    for r in table(spark, SF, "pages").collect():
+        plain = PlainParser()
+        plain.feed(r.html or "")
+        plain.close()
+        plain.close_block()
+        assert [b[0] for b in html_text.blocks_of(r.html or "")] == plain.blocks
+
+
 def test_urls(spark):
     urls = ["http://A.Example.NET/en/x?q", "https://example.com/de/a#b", "http://x.org/fr/", "http://net/", None, "no scheme", "ftp://notnet/", "http://example.net/de"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
