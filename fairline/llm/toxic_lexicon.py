@@ -4,8 +4,8 @@ Texts are folded first: lower case, look-alike letters and digits within words t
 that they stand for, anything else than letters to a space. The lexicon's terms, whole words
 and word beginnings, are learned from a bounded labelled sample as those that mark toxic
 documents, weighted by log odds. Phrases of a term's word and a neighbour that mostly stand in
-clean documents are exceptions and cancel the hit. A document's hits, in total and normalised
-by its length, give the score through a logistic curve fitted on the same sample.
+clean documents are exceptions and cancel the hit. A document's hits, in total (as a logarithm)
+and normalised by its length, give the score through a logistic curve fitted on the same sample.
 
 Defined cases: a null or empty text has no hits and gets the score of none; a sample without
 both classes gives an empty lexicon and every document the score of its one class (0.5 if
@@ -31,8 +31,8 @@ from fairline.llm.words import sliced
 
 #: Labelled documents a class that the lexicon and the curve are fitted on, at most.
 SAMPLE = 5000
-#: Terms and exception phrases kept at most, the surest ones; documents that must support one; the least log likelihood ratio and log odds.
-TERMS, SUPPORT, SURE, ODDS = 3000, 4, 9.0, 2.0
+#: Documents that must support a term or exception phrase; its least log likelihood ratio and log odds. How many there are is bounded by the sample alone.
+SUPPORT, SURE, ODDS = 4, 9.0, 2.0
 BEGINNINGS = range(4, 9)
 #: Look-alike letters of other alphabets, and digits and signs within words.
 GLYPHS = str.maketrans(
@@ -92,7 +92,7 @@ def measured(text: str | None, machine, exceptions: frozenset[str]) -> list[floa
     t = folded(text)
     hits = {t[s:e]: w for s, e, w in hits_of(t, machine) if not exceptions or not exceptions.intersection(phrases_at(t, s, e))} if len(machine) else {}
     total = sum(hits.values())
-    return [min(total, 50.0), total / math.sqrt(1 + t.count(" ")), max(hits.values(), default=0.0), math.log1p(len(hits))]
+    return [math.log1p(total), total / math.sqrt(1 + t.count(" ")), max(hits.values(), default=0.0), math.log1p(len(hits))]
 
 
 def log_odds(rows: DataFrame, positives: float, negatives: float) -> DataFrame:
@@ -129,7 +129,7 @@ def learned(train: DataFrame) -> tuple[tuple, frozenset[str], list[float], float
 
     exploded = train.select("text", "label").mapInArrow(candidates, "terms array<string>, label double").select(F.explode("terms").alias("term"), "label")
     sure = log_odds(counted(exploded).where(f"t >= {SUPPORT}"), toxic, clean).where(f"g >= {SURE} AND weight >= {ODDS}")
-    lexicon = pruned([(r.term, r.weight) for r in sure.orderBy(F.desc("g"), "term").limit(TERMS).select("term", "weight").collect()])
+    lexicon = pruned([(r.term, r.weight) for r in sure.select("term", "weight").collect()])
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(lexicon)
@@ -143,14 +143,14 @@ def learned(train: DataFrame) -> tuple[tuple, frozenset[str], list[float], float
 
     harmless = counted(train.select("text", "label").mapInArrow(phrases, "terms array<string>, label double").select(F.explode("terms").alias("term"), "label"))
     harmless = log_odds(harmless.where(f"c >= {SUPPORT}"), toxic, clean).where(f"g >= {SURE} AND weight <= -{ODDS}")
-    exceptions = frozenset(r.term for r in harmless.orderBy(F.desc("g"), "term").limit(TERMS).select("term").collect())
+    exceptions = frozenset(r.term for r in harmless.select("term").collect())
     measures = kept(with_measures(train, lexicon, exceptions).select(array_to_vector("measures").alias("features"), "label", "weight"), "measures")
     curve = LogisticRegression(regParam=1e-4, maxIter=50, weightCol="weight").fit(measures)
     return lexicon, exceptions, [float(c) for c in curve.coefficients], float(curve.intercept)
 
 
 def with_measures(docs: DataFrame, lexicon: tuple, exceptions: frozenset[str]) -> DataFrame:
-    """docs with the array column measures; the lexicon's size is bounded by TERMS."""
+    """docs with the array column measures; the lexicon's size is bounded by the sample's."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(lexicon)
