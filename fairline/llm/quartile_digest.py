@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairline.llm.store import partitions_for
+
 BUCKETS = 256
 LENGTH_SHARE, LENGTH_SPAN = 0.1, 24
 
@@ -78,7 +80,7 @@ def with_successor(docs: DataFrame, blocks: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(block_of(batch.column(0).to_numpy(zero_copy_only=False)), pa.int32()), batch.column(0)], names=["block", "at"])
 
-    # One row a block; the number of blocks is the number of shuffle partitions.
+    # One row a block.
     tops = {r[0]: r[1] for r in ids.mapInArrow(deal, "block int, at long").groupBy("block").agg(F.max("at")).collect()}
     order = sorted(tops)
     tail_of = {tops[b]: order[(i + 1) % len(order)] for i, b in enumerate(order)}  # block b's first document follows the last of the next higher block
@@ -99,9 +101,10 @@ def with_successor(docs: DataFrame, blocks: int) -> DataFrame:
 def fingerprints(docs: DataFrame, *, blocks: int | None = None) -> DataFrame:
     """Digest of each document and of its edited text, and likeness to the edited and the next document.
 
-    The text is shuffled once, by ranges of doc_id; a task streams its sorted rows and keeps one.
+    The text is shuffled once, by ranges of doc_id, as many as the texts' bytes need; a task streams
+    its sorted rows and keeps one.
     """
-    blocks = blocks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks or partitions_for(docs)
     rows = with_successor(docs, blocks).repartition(blocks, "block").sortWithinPartitions("block", "tail", F.desc("at"), "tie")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
