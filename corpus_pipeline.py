@@ -16,7 +16,8 @@ from fairline.llm.circulant_minhash import near_duplicates
 from fairline.llm.edit_matching import decontaminated
 from fairline.llm.queries import BPE
 from fairline.llm.slack_packing import packed
-from fairline.llm.store import kept, table
+from fairline.llm.store import WRITTEN, forget, kept, table
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble does not reject."""
@@ -58,8 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; a stage's own tables and the documents before it are deleted once its rows are written."""
+    docs, since = table(spark, sf_dir, "documents"), len(WRITTEN)
     for name, stage in STAGES:
         docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(spark, since, but=1)
     return docs
