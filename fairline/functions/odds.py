@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Commission on net winnings by book, and the sharp books in order of preference. Fixed values.
-COMMISSIONS = {"betfair exchange": 0.05, "smarkets": 0.02, "matchbook": 0.02}
+COMMISSIONS = {"betfair exchange": 0.05, "betfair": 0.05, "smarkets": 0.02, "matchbook": 0.02}
 SHARP = ("pinnacle", "pinnacle sports", "betfair exchange", "smarkets")
 #: Price ladder of the exchange: (below, tick). Fixed values.
 TICKS = ((2, 0.01), (3, 0.02), (4, 0.05), (6, 0.1), (10, 0.2), (20, 0.5), (30, 1.0), (50, 2.0), (100, 5.0), (math.inf, 10.0))
@@ -76,10 +76,18 @@ def correlation_haircut(legs: Column, rho: float) -> Column:
     return F.when((legs <= 1) | (F.lit(rho) == 0), 1.0).otherwise(1 / F.sqrt(1 + (legs - 1) * rho))
 
 
-def recommended_stake(p: Column, odds: Column, *, fraction: float = 0.25, cap: float = 0.02) -> Column:
-    """raw, fractional and capped Kelly as a struct."""
+def recommended_stake(
+    p: Column, odds: Column, *, fraction: float = 0.25, cap: float = 0.02, max_drawdown: float | None = None, probability: float | None = None,
+    variance: Column | None = None, coefficient: float | None = None, legs: Column | None = None, rho: float = 0.0,
+) -> Column:
+    """raw, fractional, capped and final Kelly as a struct; the multiplier falls with the edge's variance, the final stake with correlated legs."""
     raw = kelly_fraction(p, odds)
-    return F.struct(raw.alias("raw"), (raw * fraction).alias("fractional"), F.least(raw * fraction, F.lit(cap)).alias("final"))
+    share = F.lit(effective_multiplier(fraction, max_drawdown, probability))
+    if coefficient and variance is not None:
+        share = uncertainty_multiplier(share, variance, coefficient)
+    capped = F.least(raw * share, F.lit(cap))
+    final = capped * correlation_haircut(legs, rho) if legs is not None else capped
+    return F.struct(raw.alias("raw"), (raw * share).alias("fractional"), capped.alias("capped"), final.alias("final"))
 
 
 def stake_amount(fraction: Column, bankroll: float) -> Column:
@@ -114,9 +122,13 @@ def within_one_tick(a: Column, b: Column) -> Column:
 
 
 def anchor_type(book: Column) -> Column:
-    """sharp, exchange or consensus by the anchor's book."""
+    """pinnacle, sharp or consensus by the anchor's book: any other name, a soft book's too, is no better than a consensus."""
     b = normal_book(F.coalesce(book, F.lit("")))
-    return F.when(b.startswith("consensus") | (b == ""), "consensus").when(b.isin("betfair exchange", "smarkets"), "exchange").otherwise("sharp")
+    return F.when(F.contains(b, F.lit("pinnacle")), "pinnacle").when(b.isin(*SHARP), "sharp").otherwise("consensus")
+
+
+def sharp_anchored(book: Column) -> Column:
+    return anchor_type(book) != "consensus"
 
 
 def pick_tier(edge: Column, premium: float = 0.03, volume: float = 0.015) -> Column:
@@ -142,8 +154,27 @@ def price_age(now: Column, captured: Column) -> Column:
 
 
 def confidence(edge: Column, threshold: float, anchor: Column, score: Column, *, high: float = 0.725, low: float = 0.60) -> Column:
-    """1 to 5 from the edge band, the anchor and the model score."""
+    """1 to 5 stars from the edge band, the anchor and the model score; what is unknown adds nothing."""
+    return confidence_rating(edge, threshold, anchor, score, high=high, low=low)["level"]
+
+
+def confidence_rating(edge: Column, threshold: float, anchor: Column, score: Column, *, high: float = 0.725, low: float = 0.60) -> Column:
+    """level, label, score before the bounds, and the bands that counted, as a struct."""
     e = F.when(edge >= 2 * threshold, 2).when(edge >= threshold, 1).otherwise(0)
-    a = F.when(anchor == "sharp", 2).when(anchor == "exchange", 1).otherwise(0)
+    a = F.when(anchor == "pinnacle", 2).when(anchor == "sharp", 1).otherwise(0)
     m = F.when(score >= high, 1).when(score < low, -1).otherwise(0)
-    return F.greatest(F.lit(1), F.least(F.lit(5), 1 + e + a + m))
+    level = F.greatest(F.lit(1), F.least(F.lit(5), 1 + e + a + m))
+    bands = F.array_compact(
+        F.array(
+            F.when(e == 2, "edge 2x floor").when(e == 1, "edge at floor").otherwise("edge below floor"),
+            F.when(anchor.isNotNull(), F.format_string("%s anchor +%d", anchor, a)),
+            F.when(score >= high, "score high").when(score >= low, "score middle").when(score < low, "score weak"),
+        )
+    )
+    labels = F.array(*map(F.lit, ("minimal", "low", "moderate", "high", "very high")))
+    return F.struct(level.alias("level"), labels[level - 1].alias("label"), (e + a + m).alias("score"), bands.alias("reasons"))
+
+
+def effective_multiplier(fraction: float, max_drawdown: float | None = None, probability: float | None = None) -> float:
+    """The Kelly share: the fraction, or what the drawdown bound allows if that is less; the bound needs both of its numbers."""
+    return min(fraction, drawdown_multiplier(max_drawdown, probability)) if max_drawdown and probability else fraction

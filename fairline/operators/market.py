@@ -1,96 +1,190 @@
-"""From observations to picks: state as of a time, anchors, and the scan for value."""
+"""From observations to picks: state as of a time, one row a market, anchors, and the scan for value.
 
-from pyspark.sql import Column, DataFrame, Window
+A market is known by its keys (an event, or an event with a market's name and line) and may have
+any number of selections. Observations are read once whatever the number of cutoffs: series
+are reduced by map-side aggregation, then dealt out by market once, and everything after that is
+columns of a market's row, which holds its books' prices (as many as books price a market).
+"""
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairline.functions.devig import devig, overround_ok
-from fairline.functions.odds import SHARP, anchor_type, commission, edge, effective_odds, expected_value, normal_book, pick_tier
+from fairline.functions.devig import devig, let
+from fairline.functions.odds import SHARP, anchor_type, commission, edge, expected_value, normal_book, pick_tier
 
-MARKET = ["event_id"]
+MARKET = ("event_id",)
+TIME = ("captured_at", "l_orderkey", "l_linenumber")
+#: Fewest full-market books of a consensus; overround bounds of an anchor; by how much a consensus must separate two selections to outrank the anchor. Fixed values.
+BOOKS, MAX_OVERROUND, SWAP = 3, 0.12, 0.10
 
 
-def state_at(book: DataFrame, cutoff: Column | str = "kickoff") -> DataFrame:
-    """Each (event, book, selection)'s last row at or before the cutoff.
+def last_before(cutoff: Column, row: Column, time: tuple[str, ...] = TIME) -> Column:
+    """Aggregate: the row with the latest time at or before the cutoff; an old price is still live, so no age limit."""
+    return F.max_by(row, F.when(F.col(time[0]) <= cutoff, F.struct(*time)))
 
-    A change-only history's last row is still live, so no age limit. max_by keeps one row a key
-    through map-side aggregation; no window sorts the history.
-    """
+
+def state_at(book: DataFrame, cutoff: Column | str = "kickoff", keys: tuple[str, ...] = MARKET) -> DataFrame:
+    """Each (market, book, selection)'s last row at or before the cutoff."""
     cutoff = F.col(cutoff) if isinstance(cutoff, str) else cutoff
-    rest = [c for c in book.columns if c not in ("event_id", "book_id", "sel_idx")]
-    last = F.max_by(F.struct(*rest), F.struct("captured_at", "l_orderkey", "l_linenumber"))
-    return book.where(F.col("captured_at") <= cutoff).groupBy("event_id", "book_id", "sel_idx").agg(last.alias("r")).select("event_id", "book_id", "sel_idx", "r.*")
+    series = [*keys, "book_id", "sel_idx"]
+    row = F.struct(*[c for c in book.columns if c not in series])
+    return book.where(F.col("captured_at") <= cutoff).groupBy(*series).agg(last_before(cutoff, row).alias("r")).select(*series, "r.*")
+
+
+def market_rows(book: DataFrame, cutoffs: dict[str, Column], keys: tuple[str, ...] = MARKET, carry: tuple[str, ...] = ("kickoff",)) -> DataFrame:
+    """One row a market, with a column of books for each cutoff: array of (book, book_id, odds by selection, last capture).
+
+    Two spellings of a book are one, with the better price. carry: columns that are the same
+    throughout a market.
+    """
+    series = [*keys, "book_id", "sel_idx"]
+    row = F.struct("odds", "captured_at")
+    held = [F.any_value(c).alias(c) for c in (*carry, "book", "selection")]
+    last = book.groupBy(*series).agg(*(last_before(c, row).alias(n) for n, c in cutoffs.items()), *held).repartition(*keys)
+    per_book = last.groupBy(*keys, normal_book(F.col("book")).alias("norm")).agg(
+        F.min("book_id").alias("book_id"), F.min("book").alias("book"),
+        *(F.collect_list(F.when(F.col(n).isNotNull(), F.struct("sel_idx", F.col(n)["odds"].alias("odds")))).alias(n) for n in cutoffs),
+        *(F.max(F.col(n)["captured_at"]).alias(f"{n}_at") for n in cutoffs),
+        F.collect_set(F.struct("sel_idx", "selection")).alias("names"), *(F.any_value(c).alias(c) for c in carry),
+    )
+    priced = lambda n: F.transform(
+        F.array_sort(F.array_distinct(F.transform(n, lambda x: x["sel_idx"]))), lambda i: F.array_max(F.filter(n, lambda x: x["sel_idx"] == i))
+    )
+    out = per_book.groupBy(*keys).agg(
+        *(F.array_sort(F.collect_list(F.when(F.size(n) > 0, F.struct("book_id", "book", F.col("norm"), priced(F.col(n)).alias("odds"), F.col(f"{n}_at").alias("at"))))).alias(n) for n in cutoffs),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), *(F.any_value(c).alias(c) for c in carry),
+    )
+    return out.select(*keys, *carry, *cutoffs, F.map_from_entries("names").alias("names"))
+
+
+def selections(books: Column) -> Column:
+    """The selections that any book prices, in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(books, lambda b: F.transform(b["odds"], lambda x: x["sel_idx"])))))
+
+
+def price(book: Column, sel: Column) -> Column:
+    """A book's odds of a selection, null if it has none."""
+    return F.get(F.filter(book["odds"], lambda x: x["sel_idx"] == sel), 0)["odds"]
+
+
+def net(book: Column, odds: Column) -> Column:
+    return 1 + (odds - 1) * (1 - commission(book))
+
+
+def full_books(books: Column, sels: Column) -> Column:
+    """The books that price every selection: book_id, book, norm, gross and net odds in order of the selections."""
+    vector = lambda b: F.transform(sels, lambda s: price(b, s))
+    priced = F.transform(books, lambda b: F.struct(b["book_id"].alias("book_id"), b["book"].alias("book"), b["norm"].alias("norm"), vector(b).alias("gross")))
+    whole = F.filter(priced, lambda b: ~F.exists(b["gross"], lambda o: o.isNull()))
+    return F.transform(whole, lambda b: F.struct(b["book_id"].alias("book_id"), b["book"].alias("book"), b["norm"].alias("norm"), b["gross"].alias("gross"), F.transform(b["gross"], lambda o: net(b["norm"], o)).alias("net")))
 
 
-def full_markets(state: DataFrame, width: int = 3) -> DataFrame:
-    """One row a (event, book) that prices all selections: odds in selection order, gross and net."""
-    packed = state.groupBy("event_id", "book_id", "book").agg(F.sort_array(F.collect_list(F.struct("sel_idx", "odds"))).alias("m")).where(F.size("m") == width)
-    gross = F.transform("m", lambda x: x["odds"])
-    cut = commission(F.col("book"))
-    return packed.select("event_id", "book_id", "book", gross.alias("odds"), F.transform(gross, lambda o: 1 + (o - 1) * (1 - cut)).alias("net"))
+def booksum(odds: Column) -> Column:
+    return F.aggregate(odds, F.lit(0.0), lambda s, o: s + 1 / o)
 
 
-def named_sharp_anchor(markets: DataFrame, *, method: str = "power", max_overround: float = 0.12) -> DataFrame:
-    """Each event's first sharp book by preference whose net overround is in bounds; its gross odds are devigged."""
-    rank = F.array_position(F.array(*map(F.lit, SHARP)), normal_book(F.col("book")))
-    good = markets.withColumn("rank", rank).where((F.col("rank") > 0) & overround_ok(F.col("net"), 0.0, max_overround))
-    best = good.groupBy("event_id").agg(F.min_by(F.struct("book", "odds"), "rank").alias("a")).select("event_id", "a.*")
-    return with_fair(best, method)
+def median(values: Column) -> Column:
+    middle = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
+    return let(F.array_sort(values), middle)
 
 
-def consensus_anchor(markets: DataFrame, *, method: str = "power", books: int = 3, max_overround: float = 0.12) -> DataFrame:
-    """Median of net odds by selection over at least `books` full-market books."""
-    legs = markets.select("event_id", "book", F.posexplode("net").alias("sel_idx", "net"))
-    medians = legs.groupBy("event_id", "sel_idx").agg(F.median("net").alias("net"), F.count("*").alias("books")).where(F.col("books") >= books)
-    packed = medians.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("sel_idx", "net"))).alias("m")).where(F.size("m") == 3)
-    packed = packed.select("event_id", F.lit("consensus").alias("book"), F.transform("m", lambda x: x["net"]).alias("odds")).where(overround_ok(F.col("odds"), 0.0, max_overround))
-    return with_fair(packed, method)
+def by_selection(full: Column, sels: Column, value) -> Column:
+    """The median over books of a value of the net odds, for each selection."""
+    return F.transform(sels, lambda s, i: median(F.transform(full, lambda b: value(F.get(b["net"], i)))))
 
 
-def logit_consensus(markets: DataFrame, *, method: str = "multiplicative", books: int = 3) -> DataFrame:
-    """Each book devigged, logits averaged by selection, back to probabilities that sum to 1."""
-    legs = markets.select("event_id", F.posexplode(devig(F.col("net"), method)["fair"]).alias("sel_idx", "p"))
-    pooled = legs.groupBy("event_id", "sel_idx").agg(F.avg(F.log(F.col("p") / (1 - F.col("p")))).alias("logit"), F.count("*").alias("books")).where(F.col("books") >= books)
-    p = pooled.withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
-    return p.withColumn("fair", F.col("p") / F.sum("p").over(Window.partitionBy("event_id"))).select("event_id", "sel_idx", "fair", "books")
+def sharp_odds(full: Column, max_overround: float = MAX_OVERROUND) -> Column:
+    """(rank, book, gross odds) of the first sharp book by preference whose net overround is in bounds."""
+    names = F.array(*map(F.lit, SHARP))
+    good = F.filter(full, lambda b: (F.array_position(names, b["norm"]) > 0) & (booksum(b["net"]) - 1).between(0, max_overround))
+    return F.array_min(F.transform(good, lambda b: F.struct(F.array_position(names, b["norm"]).alias("rank"), b["book"].alias("book"), b["gross"].alias("odds"))))
 
 
-def with_fair(anchors: DataFrame, method: str) -> DataFrame:
-    d = anchors.withColumn("d", devig(F.col("odds"), method)).where("d IS NOT NULL")
-    return d.select("event_id", F.col("book").alias("anchor_book"), anchor_type(F.col("book")).alias("anchor_type"), F.col("d.fair").alias("fair"), F.col("d.fell_back").alias("fell_back"))
+def consensus_odds(full: Column, sels: Column, max_overround: float = MAX_OVERROUND) -> Column:
+    """Median net odds of each selection over at least BOOKS full-market books, null if their overround is out of bounds."""
+    found = by_selection(full, sels, lambda o: o)
+    return let(found, lambda m: F.when((F.size(full) >= BOOKS) & (booksum(m) - 1).between(0, max_overround), m))
 
 
-def anchored(markets: DataFrame, *, method: str = "power") -> DataFrame:
-    """The named sharp anchor of each event, else its consensus."""
-    sharp = named_sharp_anchor(markets, method=method)
-    return sharp.unionByName(consensus_anchor(markets, method=method).join(sharp, "event_id", "left_anti"))
+def logit_pool(full: Column, sels: Column, method: str = "multiplicative", max_overround: float = MAX_OVERROUND) -> Column:
+    """Each book devigged, logits averaged by selection, back to probabilities that sum to 1; null without BOOKS full-market books."""
+    fairs = F.transform(F.filter(full, lambda b: booksum(b["net"]) - 1 <= max_overround), lambda b: devig(b["net"], method)["fair"])
 
+    def pooled(f: Column) -> Column:
+        mean = lambda i: F.aggregate(f, F.lit(0.0), lambda s, p: s + F.log(F.get(p, i) / (1 - F.get(p, i)))) / F.greatest(F.size(f), F.lit(1))
+        p = F.transform(sels, lambda s, i: 1 / (1 + F.exp(-mean(i))))
+        return let(p, lambda q: F.when(F.size(f) >= BOOKS, F.transform(q, lambda x: x / F.aggregate(q, F.lit(0.0), lambda s, y: s + y))))
 
-def swapped(anchor: DataFrame, markets: DataFrame, tolerance: float = 0.10) -> DataFrame:
-    """Events where the consensus clearly ranks a over b and the anchor does not."""
-    implied = markets.select("event_id", F.posexplode("net").alias("sel_idx", "net")).groupBy("event_id", "sel_idx").agg(F.median(1 / F.col("net")).alias("q"), F.count("*").alias("books")).where("books >= 3")
-    both = implied.join(anchor.select("event_id", F.posexplode("fair").alias("sel_idx", "fair")), ["event_id", "sel_idx"])
-    packed = both.groupBy("event_id").agg(F.collect_list(F.struct("q", "fair")).alias("m"), F.sum("q").alias("t"))
-    bad = F.exists("m", lambda a: F.exists("m", lambda b: ((a["q"] - b["q"]) / F.col("t") > tolerance) & (a["fair"] <= b["fair"])))
-    return packed.where(bad).select("event_id")
+    return let(fairs, pooled)
 
 
-def value_scan(state: DataFrame, anchors: DataFrame, *, min_edge: float = 0.015, max_edge: float = 0.30, min_odds: float = 1.2) -> DataFrame:
-    """The best soft price of each selection against the anchor's fair probability, where the edge is in bounds."""
-    soft = state.where(~normal_book(F.col("book")).isin(*SHARP)).withColumn("net", effective_odds(F.col("book"), F.col("odds")))
-    best = soft.groupBy("event_id", "sel_idx", "selection").agg(F.max_by(F.struct("book", "odds", "net"), F.struct("net", -F.col("book_id"))).alias("b")).select("event_id", "sel_idx", "selection", "b.*")
-    fair = anchors.select("event_id", "anchor_book", "anchor_type", "fell_back", F.posexplode("fair").alias("sel_idx", "fair"))
-    found = best.join(fair, ["event_id", "sel_idx"]).withColumn("edge", edge(F.col("fair"), F.col("net"))).withColumn("ev", expected_value(F.col("fair"), F.col("net")))
+def with_anchor(markets: DataFrame, books: str = "close", *, method: str = "power", pool: bool = False, prefix: str = "") -> DataFrame:
+    """markets with sels, full, and the anchor: book, type, fair (array in order of sels) and fell_back; null without an anchor.
+
+    The named sharp book's gross odds are devigged, else the consensus of net odds, or with pool
+    the logit pool of each book's fair odds.
+    """
+    p = prefix
+    found = markets.withColumn(f"{p}sels", selections(F.col(books)))
+    found = found.withColumn(f"{p}full", full_books(F.col(books), F.col(f"{p}sels")))
+    found = found.withColumn(f"{p}sharp", sharp_odds(F.col(f"{p}full")))
+    two = F.size(f"{p}sels") >= 2
+    if pool:
+        fair = logit_pool(F.col(f"{p}full"), F.col(f"{p}sels"), method)
+        named = devig(F.col(f"{p}sharp.odds"), method)
+        found = found.withColumn(f"{p}d", F.when(F.col(f"{p}sharp").isNotNull(), named).otherwise(F.when(fair.isNotNull(), F.struct(fair.alias("fair"), F.lit(False).alias("fell_back")))))
+    else:
+        found = found.withColumn(f"{p}base", F.coalesce(F.col(f"{p}sharp.odds"), consensus_odds(F.col(f"{p}full"), F.col(f"{p}sels"))))
+        found = found.withColumn(f"{p}d", F.when(two, devig(F.col(f"{p}base"), method))).drop(f"{p}base")
+    book = F.when(F.col(f"{p}d").isNotNull(), F.coalesce(F.col(f"{p}sharp.book"), F.lit("consensus")))
+    return found.withColumns({f"{p}anchor_book": book, f"{p}anchor_type": F.when(book.isNotNull(), anchor_type(book)), f"{p}fair": F.col(f"{p}d.fair"), f"{p}fell_back": F.col(f"{p}d.fell_back")}).drop(f"{p}sharp", f"{p}d")
+
+
+def swapped(full: Column, sels: Column, fair: Column, tolerance: float = SWAP) -> Column:
+    """Whether the consensus of BOOKS books clearly ranks one selection over another and the anchor does not."""
+
+    def judged(q: Column) -> Column:
+        share = F.transform(q, lambda x: x / F.aggregate(q, F.lit(0.0), lambda s, y: s + y))
+        pairs = F.arrays_zip(share.alias("q"), fair.alias("f"))
+        return let(pairs, lambda m: F.exists(m, lambda a: F.exists(m, lambda b: (a["q"] - b["q"] > tolerance) & (a["f"] <= b["f"]))))
+
+    return F.coalesce((F.size(full) >= BOOKS) & let(by_selection(full, sels, lambda o: 1 / o), judged), F.lit(False))
+
+
+def best_soft(books: Column, sel: Column) -> Column:
+    """The soft book with the best net odds of a selection: net, book, gross odds; the first book if equal."""
+    offers = F.filter(books, lambda b: ~b["norm"].isin(*SHARP) & price(b, sel).isNotNull())
+    return F.array_max(F.transform(offers, lambda b: F.struct(net(b["norm"], price(b, sel)).alias("net"), (-b["book_id"]).alias("turn"), b["book"].alias("book"), price(b, sel).alias("odds"))))
+
+
+def book_count(books: Column, exclude: tuple[str, ...] = SHARP) -> Column:
+    """Distinct books that price any selection, but for those excluded."""
+    return F.size(F.filter(books, lambda b: ~b["norm"].isin(*exclude)))
+
+
+def value_scan(markets: DataFrame, books: str = "close", *, min_edge: float | Column = 0.015, max_edge: float | Column = 0.30, min_odds: float = 1.2, guard: bool = True) -> DataFrame:
+    """The best soft price of each selection against the anchor's fair probability, where the edge is in bounds.
+
+    markets: with_anchor(). A market whose anchor is swapped has none.
+    """
+    legs = markets.where("fair IS NOT NULL")
+    if guard:
+        legs = legs.where(~swapped(F.col("full"), F.col("sels"), F.col("fair")))
+    legs = legs.withColumn("n_books", book_count(F.col(books)))
+    legs = legs.select("*", F.explode(F.arrays_zip(F.col("sels").alias("sel_idx"), F.col("fair").alias("fair"))).alias("leg")).drop("fair")
+    legs = legs.withColumns({"sel_idx": F.col("leg.sel_idx"), "fair": F.col("leg.fair")}).withColumn("offer", best_soft(F.col(books), F.col("sel_idx")))
+    found = legs.select("*", F.try_element_at("names", F.col("sel_idx")).alias("selection"), "offer.book", "offer.odds", "offer.net").drop("leg", "offer", "full", "sels", "names")
+    found = found.where("net IS NOT NULL").withColumn("edge", edge(F.col("fair"), F.col("net"))).withColumn("ev", expected_value(F.col("fair"), F.col("net")))
     return found.where((F.col("edge") >= min_edge) & (F.col("edge") <= max_edge) & (F.col("net") >= min_odds)).withColumn("tier", pick_tier(F.col("edge")))
 
 
-def top_pick(picks: DataFrame) -> DataFrame:
+def top_pick(picks: DataFrame, keys: tuple[str, ...] = MARKET) -> DataFrame:
     """One pick a market: the largest edge, the first selection if equal."""
-    rest = [c for c in picks.columns if c != "event_id"]
-    return picks.groupBy("event_id").agg(F.max_by(F.struct(*rest), F.struct("edge", -F.col("sel_idx"))).alias("p")).select("event_id", "p.*")
+    rest = [c for c in picks.columns if c not in keys]
+    return picks.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("edge", -F.col("sel_idx"))).alias("p")).select(*keys, "p.*")
 
 
-def double_chance(anchors: DataFrame) -> DataFrame:
-    """Pairwise sums of a three-way fair market."""
-    f = F.col("fair")
-    legs = F.array(*(F.struct(F.lit(n).alias("selection"), (f[a] + f[b]).alias("fair")) for n, a, b in (("1X", 0, 1), ("X2", 1, 2), ("12", 0, 2))))
-    return anchors.where(F.size("fair") == 3).select("event_id", F.explode(legs).alias("l")).select("event_id", "l.*")
+def double_chance(fair: Column) -> Column:
+    """Pairwise sums of a three-way fair market, as an array of (selection, fair); null for any other."""
+    legs = F.array(*(F.struct(F.lit(n).alias("selection"), (F.get(fair, a) + F.get(fair, b)).alias("fair")) for n, a, b in (("1X", 0, 1), ("X2", 1, 2), ("12", 0, 2))))
+    return F.when(F.size(fair) == 3, legs)

@@ -1,43 +1,84 @@
-"""Entity resolution: names and events of different sources."""
+"""Entity resolution: names, markers, aliases, and events and scores of different sources.
+
+Names are folded by built-in functions; only the letter similarity of pairs of distinct names
+runs in Python, in Arrow batches. Pairs of names meet by keys that no pair of enough likeness can
+miss, and events by day and both names, never by a cross join.
+"""
 
 import difflib
 import math
-import unicodedata
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Club words that do not tell clubs apart, and words that mark another team of a club. Fixed values.
-CLUB_WORDS = frozenset("fc cf afc sc ac club".split())
-MARKERS = {"women": "women", "ladies": "women", "w": "women", "u19": "youth", "u21": "youth", "u23": "youth", "youth": "youth", "reserves": "reserve", "ii": "reserve"}
+from fairline.functions.text import plain, without_digraphs, words
+
+#: Club words that do not tell clubs apart; words that mark a women's, youth or reserve side; marks of a reserve side at a name's end; senior clubs with such words; words that tell clubs of one place apart.
+CLUB_WORDS = ("fc", "afc", "cf", "cfc", "sc", "fk", "ff", "bk", "if", "ac", "club", "calcio", "jk")
+WOMEN = ("w", "women", "womens", "ladies", "fem", "femenino", "femenina", "feminin", "feminine", "feminino", "frauen", "damen", "dames", "kvinner", "kvinnor")
+YOUTH, YOUTH_AGE = ("youth", "juvenil", "juvenis", "jugend"), r"^(?:u|sub)(?:1[0-9]|2[0-3])$"
+RESERVE, LAST_RESERVE = ("ii", "iii", "reserve", "reserves"), ("2", "3", "b")
+SENIOR = ("boca juniors", "argentinos juniors", "young boys", "defensa y justicia", "newells old boys", "junior")
+APART = (
+    "united", "city", "town", "rovers", "athletic", "atletico", "wanderers", "albion", "county", "sociedad", "real", "inter", "internazionale", "sporting", "racing",
+    "dynamo", "dinamo", "lokomotiv", "spartak", "zenit", "central", "nacional", "junior", "juniors", "north", "south", "east", "west", "b", "ii",
+)
+#: Least likeness of names: Jaro-Winkler, and words sorted; margin of a clear winner; minutes between a match's kickoffs. Fixed values.
+ALIKE, SORTED_ALIKE, MARGIN, MINUTES = 0.92, 90.0, 0.04, 360
 #: Letters from rare to common; the order of block_keys.
 COMMON = "qjzxvkwybpgfmcudhlnrtsioea "
 
 
-def plain(name: str | None) -> str:
-    """ASCII letters and digits of a name in lower case, one space between words."""
-    text = unicodedata.normalize("NFKD", name or "").encode("ascii", "ignore").decode().lower()
-    return " ".join("".join(c if c.isalnum() else " " for c in text).split())
+def normalized(name: Column) -> Column:
+    """A plain name without club words; "" if nothing else is left."""
+    return F.array_join(F.filter(words(plain(name)), lambda w: ~w.isin(*CLUB_WORDS)), " ")
+
 
+def youth_word(w: Column) -> Column:
+    return w.isin(*YOUTH) | w.rlike(YOUTH_AGE)
 
-@F.pandas_udf(T.StringType())
-def normalized(names: pd.Series) -> pd.Series:
-    """plain() without club words, unless nothing else is left."""
 
-    def one(name: str | None) -> str:
-        words = plain(name).split()
-        return " ".join([w for w in words if w not in CLUB_WORDS] or words)
+def markers(name: Column) -> Column:
+    """women, youth, reserve: what a normalized name is marked with, in order."""
+    w = words(name)
+    reserve = F.exists(w, lambda x: x.isin(*RESERVE)) | (F.size(w) >= 2) & F.try_element_at(w, F.lit(-1)).isin(*LAST_RESERVE)
+    return F.array_compact(F.array(F.when(reserve, "reserve"), F.when(F.exists(w, lambda x: x.isin(*WOMEN)), "women"), F.when(F.exists(w, youth_word), "youth")))
 
-    return names.map(one)
 
+def base_name(name: Column) -> Column:
+    """A normalized name without its markers; a senior club with such a word and a name of markers alone stay."""
+    w = words(name)
+    short = F.when((F.size(w) >= 2) & F.try_element_at(w, F.lit(-1)).isin(*LAST_RESERVE), F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))).otherwise(w)
+    kept = F.array_join(F.filter(short, lambda x: ~(x.isin(*WOMEN) | youth_word(x) | x.isin(*RESERVE))), " ")
+    return F.when(name.isin(*SENIOR) | (kept == ""), name).otherwise(kept)
 
-def markers(name: Column) -> Column:
-    """The kinds of team that a plain name is marked with."""
-    known = F.create_map(*[F.lit(x) for kv in MARKERS.items() for x in kv])
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(name, " "), lambda w: known[w]), lambda m: m.isNotNull())))
+
+def markers_conflict(home: Column, away: Column, other_home: Column, other_away: Column) -> Column:
+    return (markers(home) != markers(other_home)) | (markers(away) != markers(other_away))
+
+
+def leagues_agree(league: Column, other: Column) -> Column:
+    """An unknown league agrees with any."""
+    name = lambda c: normalized(F.coalesce(c, F.lit("")))
+    return (name(league) == "") | (name(other) == "") | (name(league) == name(other))
+
+
+def slug_names(url: Column) -> Column:
+    """(home, away) of a match page's address, without the pages' ids; null for other addresses."""
+    path = F.regexp_extract(url, r"oddsportal\.com/([^#]*)", 1)
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    name = lambda i: F.trim(F.replace(F.regexp_replace(F.try_element_at(parts, F.lit(i)), r"-[A-Za-z0-9]{8}$", ""), F.lit("-"), F.lit(" ")))
+    return F.when((F.size(parts) >= 2) & (name(-2) != "") & (name(-1) != ""), F.struct(name(-2).alias("home"), name(-1).alias("away")))
+
+
+def different_clubs(a: Column, b: Column) -> Column:
+    """Whether two names differ by words that tell clubs apart, and by nothing else."""
+    x, y = words(a), words(b)
+    apart = F.array_union(F.array_except(x, y), F.array_except(y, x))
+    return (F.size(apart) > 0) & F.forall(apart, lambda w: w.isin(*APART))
 
 
 def jaro(a: str, b: str) -> float:
@@ -108,37 +149,173 @@ def block_keys(name: str | None, accept: float) -> list[str]:
     return keys
 
 
-def alike_names(left: DataFrame, right: DataFrame, accept: float) -> DataFrame:
-    """(ours, theirs, alike): every pair of names of left and right (name) with the same markers and at least that similarity."""
+def alike_names(left: DataFrame, right: DataFrame, accept: float = ALIKE) -> DataFrame:
+    """(ours, theirs, alike): every pair of distinct base names of left and right (name) that are one club's.
+
+    Equal, or alike by letters and by sorted words without differing in words that tell clubs apart.
+    """
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def keyed(names: pd.Series) -> pd.Series:
         return names.map(lambda n: block_keys(n, accept))
 
-    known = [side.where("name IS NOT NULL").distinct().select(F.col("name").alias(to), F.explode(keyed("name")).alias("key")) for side, to in ((left, "ours"), (right, "theirs"))]
+    known = [side.where("name <> ''").distinct().select(F.col("name").alias(to), F.explode(keyed("name")).alias("key")) for side, to in ((left, "ours"), (right, "theirs"))]
     pairs = known[0].join(known[1], "key").select("ours", "theirs").distinct()
-    return pairs.where(markers(F.col("ours")) == markers(F.col("theirs"))).withColumn("alike", similarity("ours", "theirs")).where(F.col("alike") >= accept)
+    scored = pairs.where(~different_clubs(F.col("ours"), F.col("theirs"))).withColumn("alike", similarity("ours", "theirs")).where(F.col("alike") >= accept)
+    return scored.where((F.col("ours") == F.col("theirs")) | (token_sort_ratio("ours", "theirs") >= SORTED_ALIKE))
+
+
+def alias_table(pairs: DataFrame) -> DataFrame:
+    """(alias, canonical) in normal form from pairs of names, blanks left out; of several claims to an alias the first in order wins."""
+    plain_pairs = pairs.select(normalized(F.col("alias")).alias("alias"), normalized(F.col("canonical")).alias("canonical"))
+    return plain_pairs.where("alias <> '' AND canonical <> ''").groupBy("alias").agg(F.min("canonical").alias("canonical"))
+
+
+def aliases_from_seed(spark, path: str) -> DataFrame:
+    """The alias table of a JSON file {"teams": {canonical: [alias, ...]}}."""
+    teams = spark.read.schema("teams map<string, array<string>>").option("multiLine", True).json(path)
+    pairs = teams.select(F.explode("teams").alias("canonical", "names")).select("canonical", F.explode(F.array_append("names", F.col("canonical"))).alias("alias"))
+    return alias_table(pairs)
+
+
+def canonical(df: DataFrame, columns: list[str], aliases: DataFrame | None) -> DataFrame:
+    """df with normalized names replaced by their canonical ones."""
+    for c in columns if aliases is not None else []:
+        df = df.join(aliases.select(F.col("alias").alias(c), F.col("canonical").alias("known")), c, "left").withColumn(c, F.coalesce("known", c)).drop("known")
+    return df
+
+
+def aliases_of(aliases: DataFrame) -> DataFrame:
+    """(canonical, names): all that a club is called."""
+    return aliases.groupBy("canonical").agg(F.array_sort(F.array_union(F.collect_set("alias"), F.array(F.first("canonical")))).alias("names"))
+
 
+def over_days(df: DataFrame, days: int) -> DataFrame:
+    """Each row once for every day that its kickoff may have elsewhere."""
+    return df.withColumn("day", F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda d: F.date_add(F.to_date("kickoff"), d))))
 
-def match_events(left: DataFrame, right: DataFrame, *, days: int = 1, accept: float = 0.92) -> DataFrame:
-    """(left_ref, right_ref, score): the one right event within some days whose both names agree.
 
-    Both sides: ref, home, away (plain names), day (date). The distinct names of the sides are
-    compared first, by keys that no pair of accept or more can miss; events then meet on the day
-    and both names, never by a cross join. The left side is repeated once a day of the window and
-    alike name. An event with two equally good candidates has no match.
+def match_strict(left: DataFrame, right: DataFrame, *, aliases: DataFrame | None = None, days: int = 1, ordered: bool = True) -> DataFrame:
+    """(left_ref, right_ref): the right event with the same canonical names within some days, the nearest by kickoff, then the first ref.
+
+    Both sides: ref, home, away (normalized names), kickoff. Unordered sides match either way
+    round. Names that are empty or the same on both sides match nothing.
+    """
+    sides = []
+    for side in (left, right):
+        s = canonical(side.select("ref", "home", "away", "kickoff"), ["home", "away"], aliases).where("home <> '' AND away <> '' AND home <> away")
+        sides.append(s if ordered else s.withColumns({"home": F.least("home", "away"), "away": F.greatest("home", "away")}))
+    ours = over_days(sides[0], days).select(F.col("ref").alias("left_ref"), "home", "away", "day", F.col("kickoff").alias("at"))
+    pairs = ours.join(sides[1].withColumn("day", F.to_date("kickoff")), ["day", "home", "away"])
+    apart = F.abs(F.unix_micros(F.col("kickoff").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")))
+    return pairs.groupBy("left_ref").agg(F.min_by("ref", F.struct(apart, "ref")).alias("right_ref"))
+
+
+def match_hardened(left: DataFrame, right: DataFrame, *, aliases: DataFrame | None = None, days: int = 1, minutes: int = MINUTES, ordered: bool = True) -> DataFrame:
+    """(left_ref, right_ref, score): the one right event that is surely the same.
+
+    Both sides: ref, home, away (normalized), league, kickoff. Base names must be one club's on both
+    sides, markers and known leagues equal, kickoffs within the minutes. There is no match if another
+    fixture scores within MARGIN of the best, or the same teams meet again more than the
+    minutes from the best's kickoff.
     """
-    window = left.select(F.col("ref").alias("left_ref"), F.col("home").alias("lh"), F.col("away").alias("la"), F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda d: F.date_add("day", d))).alias("day"))
-    names = [side.select(F.explode(F.array("home", "away")).alias("name")) for side in (left, right)]
-    alike = alike_names(*names, accept)
-    for ours, theirs, score in (("lh", "home", "h"), ("la", "away", "a")):
-        window = window.join(alike.select(F.col("ours").alias(ours), F.col("theirs").alias(theirs), F.col("alike").alias(score)), ours)
-    scored = window.join(right.select(F.col("ref").alias("right_ref"), "home", "away", "day"), ["day", "home", "away"]).withColumn("score", F.col("h") + F.col("a"))
-    equal = scored.groupBy("left_ref", "score").agg(F.count("*").alias("n"), F.min("right_ref").alias("right_ref"))
-    best = equal.groupBy("left_ref").agg(F.max("score").alias("score"), F.max_by(F.struct("right_ref", "n"), "score").alias("b"))
-    return best.where("b.n = 1").select("left_ref", F.col("b.right_ref").alias("right_ref"), F.round("score", 6).alias("score"))
+    sides = []
+    for side in (left, right):
+        s = side.select("ref", "home", "away", "kickoff", F.coalesce("league", F.lit("")).alias("league"))
+        s = s.withColumns({"marks_home": markers(F.col("home")), "marks_away": markers(F.col("away")), "base_home": base_name(F.col("home")), "base_away": base_name(F.col("away"))})
+        sides.append(canonical(s, ["home", "away", "base_home", "base_away"], aliases).where("home <> '' AND away <> '' AND home <> away"))
+    ours, theirs = sides
+    names = [s.select(F.explode(F.array("base_home", "base_away")).alias("name")) for s in sides]
+    alike = alike_names(*names)
+    own = over_days(ours, days).select(*(F.col(c).alias(f"l_{c}") for c in ours.columns), "day")
+    if not ordered:
+        back = {"home": "away", "away": "home", "base_home": "base_away", "base_away": "base_home", "marks_home": "marks_away", "marks_away": "marks_home"}
+        theirs = theirs.unionByName(theirs.select(*(F.col(back.get(c, c)).alias(c) for c in theirs.columns)))
+    for name, score in (("base_home", "h"), ("base_away", "a")):
+        own = own.join(alike.select(F.col("ours").alias(f"l_{name}"), F.col("theirs").alias(name), F.col("alike").alias(score)), f"l_{name}")
+    pairs = own.join(theirs.withColumn("day", F.to_date("kickoff")), ["day", "base_home", "base_away"])
+    seconds = lambda a, b: F.abs(F.unix_micros(F.col(a).cast("timestamp")) - F.unix_micros(F.col(b).cast("timestamp"))) / 1e6
+    fits = (F.col("l_marks_home") == F.col("marks_home")) & (F.col("l_marks_away") == F.col("marks_away")) & leagues_agree(F.col("l_league"), F.col("league"))
+    pairs = pairs.withColumn("apart", seconds("l_kickoff", "kickoff")).withColumn("score", F.col("h") + F.col("a")).where(fits & (F.col("apart") <= 60 * minutes))
+    row = F.struct((-F.col("score")).alias("turn"), "apart", "ref", "home", "away", "kickoff", "score")
+    ranked = pairs.groupBy("l_ref").agg(F.array_sort(F.array_distinct(F.collect_list(row))).alias("c"))
+    best, rest = F.get("c", 0), F.slice("c", 2, 1 << 30)
+    same = lambda x: (x["home"] == best["home"]) & (x["away"] == best["away"])
+    unclear = F.coalesce(~same(F.get("c", 1)) & (best["score"] - F.get("c", 1)["score"] < MARGIN), F.lit(False))
+    moment = lambda x: F.unix_micros(x["kickoff"].cast("timestamp"))
+    again = F.exists(rest, lambda x: same(x) & (F.abs(moment(x) - moment(best)) > minutes * 60_000_000))
+    return ranked.where(~unclear & ~again).select(F.col("l_ref").alias("left_ref"), best["ref"].alias("right_ref"), F.round(best["score"], 6).alias("score"))
+
+
+def same_club(a: Column, b: Column, alike: Column, sorted_alike: Column) -> Column:
+    """An independent check that two base names are one club's: equal, one within the other by words (two at least), alike by letters, or so with foreign letters folded."""
+
+    def within(x: Column, y: Column) -> Column:
+        return ((F.size(F.array_except(words(x), words(y))) == 0) | (F.size(F.array_except(words(y), words(x))) == 0)) & (F.least(F.size(words(x)), F.size(words(y))) >= 2)
+
+    x, y = without_digraphs(a), without_digraphs(b)
+    near = (alike >= ALIKE) & (sorted_alike >= SORTED_ALIKE)
+    folded = ((x != a) | (y != b)) & ~different_clubs(x, y) & ((x == y) | within(x, y))
+    return (a != "") & (b != "") & ((a == b) | ~different_clubs(a, b) & (within(a, b) | near | folded))
+
+
+def wrong_games(pairs: DataFrame, *, minutes: int = MINUTES, ordered: bool = True) -> DataFrame:
+    """pairs with reason, null if both sides are surely the same game: kickoff outside the window, markers differ, or names do.
+
+    pairs: home, away, kickoff and anchor_home, anchor_away, anchor_kickoff, names normalized.
+    """
+    bases = {f"b_{c}": base_name(F.col(c)) for c in ("home", "away", "anchor_home", "anchor_away")}
+    p = pairs.withColumns(bases)
+
+    def agreed(home: str, away: str) -> tuple[Column, Column]:
+        marks = (markers(F.col("home")) == markers(F.col(home))) & (markers(F.col("away")) == markers(F.col(away)))
+        club = lambda a, b: same_club(F.col(f"b_{a}"), F.col(f"b_{b}"), similarity(f"b_{a}", f"b_{b}"), token_sort_ratio(f"b_{a}", f"b_{b}"))
+        return marks, club("home", home) & club("away", away)
+
+    marks, clubs = agreed("anchor_home", "anchor_away")
+    fine = marks & clubs
+    if not ordered:
+        turned = agreed("anchor_away", "anchor_home")
+        fine = fine | turned[0] & turned[1]
+    apart = F.abs(F.unix_micros(F.col("kickoff").cast("timestamp")) - F.unix_micros(F.col("anchor_kickoff").cast("timestamp"))) > minutes * 60_000_000
+    return p.withColumn("reason", F.when(apart, "kickoff").when(fine, None).when(~marks, "markers").otherwise("names")).drop(*bases)
 
 
 def contained(ours: Column, theirs: Column) -> Column:
     """Equal, or one within the other."""
     return (ours == theirs) | F.contains(ours, theirs) | F.contains(theirs, ours)
+
+
+def grams(name: Column, most: int = 3) -> Column:
+    """Every run of up to `most` letters."""
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.greatest(F.length(name), F.lit(1)))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: F.substring(name, i, n)))))
+
+
+def containing_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(ours, theirs): pairs of distinct names (name) of which one contains the other, and whose markers agree; the shorter one's first letters stand in the longer, so pairs meet by those."""
+    ours, theirs = (side.where("name <> ''").distinct() for side in (left, right))
+    first = lambda c: F.left(F.col(c), F.lit(3))
+    meet = lambda a, x, b, y: a.select(F.col("name").alias(x), first("name").alias("key")).join(b.select(F.col("name").alias(y), F.explode(grams(F.col("name"))).alias("key")), "key").select("ours", "theirs")
+    pairs = meet(ours, "ours", theirs, "theirs").union(meet(theirs, "theirs", ours, "ours")).distinct()
+    return pairs.where(contained(F.col("ours"), F.col("theirs")) & (markers(F.array_join(F.filter(words(F.col("ours")), lambda w: ~w.isin(*CLUB_WORDS)), " ")) == markers(F.array_join(F.filter(words(F.col("theirs")), lambda w: ~w.isin(*CLUB_WORDS)), " "))))
+
+
+def score_of(fixtures: DataFrame, scores: DataFrame) -> DataFrame:
+    """fixtures with home_score and away_score, null where no score or several fit.
+
+    fixtures: ref, home, away (plain names), kickoff; scores: home, away, played, home_score,
+    away_score, one a fixture and day. Names that are equal on the day, the day before or the day
+    after count first, in this order; else the only score of those days whose names contain
+    ours or stand in ours.
+    """
+    days = F.array(*(F.struct(F.lit(i).alias("turn"), F.date_add(F.to_date("kickoff"), d).alias("played")) for i, d in enumerate((0, -1, 1))))
+    wanted = fixtures.select("ref", F.col("home").alias("h"), F.col("away").alias("a"), F.explode(days).alias("d")).select("ref", "h", "a", "d.*")
+    value = F.struct("home_score", "away_score")
+    exact = wanted.join(scores, (F.col("h") == F.col("home")) & (F.col("a") == F.col("away")) & (wanted["played"] == scores["played"])).groupBy("ref").agg(F.min_by(value, "turn").alias("s"))
+    rest = wanted.join(exact, "ref", "left_anti")
+    alike = containing_names(rest.select(F.explode(F.array("h", "a")).alias("name")), scores.select(F.explode(F.array("home", "away")).alias("name")))
+    near = rest
+    for own, other in (("h", "home"), ("a", "away")):
+        near = near.join(alike.select(F.col("ours").alias(own), F.col("theirs").alias(other)), own)
+    only = near.join(scores, ["home", "away", "played"]).groupBy("ref").agg(F.count("*").alias("n"), F.first(value).alias("s")).where("n = 1").select("ref", "s")
+    return fixtures.join(exact.unionByName(only), "ref", "left").select(*(fixtures[c] for c in fixtures.columns), "s.home_score", "s.away_score")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fairline.functions import odds as fo
 from fairline.operators import market, reports, settlement
-from fairline.plans.value import MARKET_CTE, rounded
+from fairline.plans.value import MARKET_CTE, anchored, exploded, rounded
 from fairline.sources.bridge import FINALS_CTE, finals, odds_book
 
 #: Days before kickoff at which picks are made; the close is the state at kickoff.
@@ -27,13 +27,14 @@ graded AS (SELECT *, 10e0 AS stake, CASE outcome WHEN 'won' THEN (k // 10 + CASE
 
 
 def graded_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every early pick with the close it is graded by, its outcome and its profit."""
-    book = odds_book(spark, sf_dir)
-    early = market.state_at(book, F.expr(f"timestampadd(DAY, -{EARLY_DAYS}, kickoff)"))
-    picks = market.value_scan(early, market.anchored(market.full_markets(early), method="multiplicative"))
-    close = market.anchored(market.full_markets(market.state_at(book)), method="multiplicative")
-    closing = close.select("event_id", F.col("anchor_book").alias("close_book"), F.posexplode("fair").alias("sel_idx", "close_fair"))
-    found = settlement.settled(picks.join(closing, ["event_id", "sel_idx"], "left"), finals(spark), STAKE)
+    """Every early pick with the close it is graded by, its outcome and its profit; both states come from one pass."""
+    early = F.expr(f"timestampadd(DAY, -{EARLY_DAYS}, kickoff)")
+    rows = market.market_rows(odds_book(spark, sf_dir), {"early": early, "close": F.col("kickoff")})
+    close = market.with_anchor(rows, "close", method="multiplicative", prefix="close_").where("size(close_sels) = 3")
+    both = market.with_anchor(close, "early", method="multiplicative").where("size(sels) = 3")
+    picks = market.value_scan(both, "early", guard=False)
+    graded = picks.withColumn("close_fair", F.get("close_fair", F.array_position("close_sels", F.col("sel_idx")).cast("int") - 1)).withColumn("close_book", F.col("close_anchor_book"))
+    found = settlement.settled(graded.drop("early", "close", "close_full"), finals(spark), STAKE)
     return found.withColumn("clv_log", fo.clv_log(F.col("odds"), F.col("close_fair")))
 
 
@@ -63,7 +64,7 @@ def significance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(p, won) of every selection of every anchored market."""
-    fair = market.anchored(market.full_markets(market.state_at(odds_book(spark, sf_dir))), method="multiplicative").select("event_id", F.posexplode("fair").alias("sel_idx", "p"))
+    fair = exploded(anchored(spark, sf_dir)).select("event_id", "sel_idx", F.col("fair").alias("p"))
     result = F.when(F.col("home_score") > F.col("away_score"), 0).when(F.col("home_score") < F.col("away_score"), 2).otherwise(1)
     return fair.join(finals(spark), "event_id").select("p", (F.col("sel_idx") == result).cast("double").alias("won"))
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairline.functions import text
 from fairline.operators import resolve, timeline
 from fairline.plans.value import rounded
 from fairline.sources.bridge import BOOK_CTE, odds_book, table
@@ -102,31 +103,107 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every match as two sources have it: the same sides of a division, other spellings, the second a day later for odd ones."""
-    first = F.floor(F.col("match_id") / 4) % DIVISIONS * 20
-    f = matches(spark, sf_dir).select(F.col("match_id").alias("ref"), F.to_date("played").alias("day"), (first + F.col("home")).alias("h"), (first + F.col("away")).alias("a"))
-    ours, theirs = (f.select("ref", "day", resolve.normalized(names(F.col("h"))).alias("home"), resolve.normalized(names(F.col("a"))).alias("away")) for names in (club, spelled))
-    return ours, theirs.withColumn("day", F.date_add("day", (F.col("ref") % 2).cast("int")))
+    """Every match as two sources have it: the same sides of a division, other spellings, kickoffs up to eight hours apart; a third of the second's leagues unknown."""
+    first = F.floor(F.col("match_id") / 4) % DIVISIONS
+    f = matches(spark, sf_dir).select(
+        F.col("match_id").alias("ref"), F.expr("timestampadd(HOUR, CAST(match_id % 20 AS INT), played)").alias("kickoff"), (first * 20 + F.col("home")).alias("h"), (first * 20 + F.col("away")).alias("a"), F.concat(F.lit("Division "), first.cast("string")).alias("league")
+    )
+    ours, theirs = (f.select("ref", "kickoff", "league", names(F.col("h")).alias("home_name"), names(F.col("a")).alias("away_name")) for names in (club, spelled))
+    theirs = theirs.withColumn("league", F.when(F.col("ref") % 3 != 0, F.upper("league"))).withColumn("kickoff", F.expr("timestampadd(HOUR, CAST(ref % 9 AS INT), kickoff)"))
+    return tuple(s.select("*", resolve.normalized(F.col("home_name")).alias("home"), resolve.normalized(F.col("away_name")).alias("away")) for s in (ours, theirs))
 
 
 def matched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixtures of two sources matched by names within a day; a women's team is not its club's first team."""
-    return resolve.match_events(*event_sides(spark, sf_dir), days=1)
+    """Fixtures of two sources matched by likeness of names, markers, leagues and kickoffs; a women's team is not its club's first team."""
+    return resolve.match_hardened(*event_sides(spark, sf_dir), days=1)
+
+
+#: Fixed values of the test bridge: what a club is also called.
+NICKNAMES = (("Arkham Rovers", "The Rovers"), ("Bexham Town", "Bexley Town FC"), ("Corham United", "Cor United"))
+
+
+def aliases(spark: SparkSession) -> DataFrame:
+    return resolve.alias_table(spark.createDataFrame([(b, a) for a, b in NICKNAMES] + [("", "x"), ("FC", "y")], "alias string, canonical string"))
+
+
+def strict_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixtures of two sources with the same canonical names within a day, the nearest kickoff, then the first ref."""
+    return resolve.match_strict(*event_sides(spark, sf_dir), aliases=aliases(spark), days=1)
+
+
+def unordered_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where either side may stand first, as with two players."""
+    ours, theirs = event_sides(spark, sf_dir)
+    turned = theirs.select("ref", "kickoff", F.col("away").alias("home"), F.col("home").alias("away"))
+    return resolve.match_strict(ours, turned, days=0, ordered=False)
+
+
+def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal form, markers and base of what sources call a thousand clubs and their other teams."""
+    n = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 1000).alias("n")).distinct()
+    forms = F.array(spelled(F.col("n")), F.concat(club(F.col("n")), F.lit(" B")), F.concat(club(F.col("n")), F.lit(" U19")), F.concat(club(F.col("n")), F.lit(" ladies ii")), F.lit("Boca Juniors"), F.lit("FC"))
+    rows = n.select("n", F.posexplode(forms).alias("form", "name")).withColumn("normal", resolve.normalized(F.col("name")))
+    return rows.select("n", F.col("form").cast("long").alias("form"), "normal", F.concat_ws(",", resolve.markers(F.col("normal"))).alias("marks"), resolve.base_name(F.col("normal")).alias("base"))
+
+
+def player_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players by surname and initial, whichever way round a source writes them."""
+    n = table(spark, sf_dir, "customer").select("c_custkey")
+    key = F.col("c_custkey")
+    surname, given = club(key % 1000), F.substring(F.array(*map(F.lit, STARTS))[(key % 40).cast("int")], 1, 9)
+    last = F.element_at(F.split(surname, " "), 1)
+    forms = F.array(F.concat_ws(" ", given, last), F.concat(last, F.lit(" "), F.left(given, F.lit(1)), F.lit(".")), F.concat(F.left(given, F.lit(1)), F.lit(". "), last), last, F.lit(" , "), F.concat(last, F.lit(", "), F.left(given, F.lit(1))))
+    return n.select("c_custkey", F.posexplode(forms).alias("form", "name")).select("c_custkey", F.col("form").cast("long").alias("form"), text.canonical_player(F.col("name")).alias("player"))
+
+
+def slug_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sides out of match pages' addresses, for addresses made of the fixtures' names."""
+    f = event_sides(spark, sf_dir)[0]
+    slug = lambda c: F.concat(F.lower(F.replace(F.col(c), F.lit(" "), F.lit("-"))), F.lit("-AbCd1234"))
+    url = F.when(F.col("ref") % 10 == 0, F.concat(F.lit("https://www.example.com/h2h/"), slug("home"), F.lit("/x"))).otherwise(F.concat(F.lit("https://www.oddsportal.com/h2h/"), slug("home"), F.lit("/"), slug("away"), F.lit("/#id")))
+    return f.select("ref", resolve.slug_names(url).alias("s")).select("ref", "s.home", "s.away")
+
+
+def score_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of fixtures by names on the day or a day off, or by the only name that contains ours."""
+    ours, theirs = event_sides(spark, sf_dir)
+    fixtures = ours.select("ref", text.plain(F.col("home_name")).alias("home"), text.plain(F.col("away_name")).alias("away"), "kickoff")
+    played = F.date_add(F.to_date("kickoff"), (F.col("ref") % 3 - 1).cast("int"))
+    rows = theirs.select(text.plain(F.col("home_name")).alias("home"), text.plain(F.col("away_name")).alias("away"), played.alias("played"), "ref")
+    scores = rows.groupBy("home", "away", "played").agg((F.min("ref") % 5).alias("home_score"), (F.min("ref") % 4).alias("away_score"))
+    return resolve.score_of(fixtures, scores).select("ref", "home_score", "away_score")
 
 
 QUERIES = {
     "price_changes": changes, "movement": movement, "steam": steam, "drift_by_bucket": drift, "series_coverage": series_coverage, "dead_man": dead_man, "rolling_form": form,
     "observations": observations, "json_props": json_props, "matched_events": matched_events,
+    "strict_matches": strict_matches, "unordered_matches": unordered_matches, "name_forms": name_forms, "player_names": player_names, "slug_pairs": slug_pairs, "score_lookup": score_lookup,
 }
+SQL_LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+CLUB = f"{SQL_LIST(STARTS)}[1 + {{n}} % 40] || {SQL_LIST(ENDS)}[1 + ({{n}} // 40) % 25] || ' ' || {SQL_LIST(KINDS)}[1 + {{n}} % 8]"
+SPELLED = """CASE ({n} // 8) % 8 WHEN 0 THEN upper({c}) || ' FC' WHEN 1 THEN 'AFC ' || replace({c}, ' ', '  ') WHEN 2 THEN translate({c}, 'aeo', 'áéö') WHEN 3 THEN {c} || ' C.F.' WHEN 4 THEN {c} WHEN 5 THEN {c} || ' Women'
+  WHEN 6 THEN substr({c}, 2, 1) || substr({c}, 1, 1) || substr({c}, 3) ELSE translate({c}, ' ', '-') || ' SC' END"""
+PLAIN = "trim(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', ' ', 'g'))"
+NORMAL = f"array_to_string(list_filter(string_split({PLAIN}, ' '), lambda w: w NOT IN {tuple(resolve.CLUB_WORDS)!r}), ' ')"
+#: Every match as both sources have it, names as written, plain and normal.
+SIDES_CTE = f"""
+fx AS (SELECT o_orderkey AS ref, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 20) AS kickoff, (o_orderkey // 4) % {DIVISIONS} * 20 + o_custkey % 20 AS h, (o_orderkey // 4) % {DIVISIONS} * 20 + (o_custkey + 1 + o_orderkey % 19) % 20 AS a FROM orders),
+nm AS (SELECT n, {CLUB.format(n="n")} AS c FROM (SELECT unnest(range(0, 1000)) AS n)),
+sp AS (SELECT n, c, {SPELLED.format(n="n", c="c")} AS s FROM nm),
+fo AS (SELECT n, {PLAIN.format(x="c")} AS cp, {NORMAL.format(x="c")} AS cn, {PLAIN.format(x="s")} AS sp, {NORMAL.format(x="s")} AS sn FROM sp),
+ours AS (SELECT ref, kickoff, x.cp AS hp, y.cp AS ap, x.cn AS home, y.cn AS away FROM fx JOIN fo x ON h = x.n JOIN fo y ON a = y.n),
+theirs AS (SELECT ref, kickoff + INTERVAL 1 HOUR * (ref % 9) AS kickoff, x.sp AS hp, y.sp AS ap, x.sn AS home, y.sn AS away FROM fx JOIN fo x ON h = x.n JOIN fo y ON a = y.n),
+"""
+MARKS = "concat_ws(',', CASE WHEN list_has_any(w, ['ii', 'iii', 'reserve', 'reserves']) OR (len(w) >= 2 AND w[-1] IN ('2', '3', 'b')) THEN 'reserve' END, CASE WHEN list_has_any(w, ['w', 'women', 'ladies']) THEN 'women' END, CASE WHEN list_has_any(w, ['u19', 'youth']) THEN 'youth' END)"
 SERIES = "PARTITION BY event_id, book_id, sel_idx ORDER BY captured_at, l_orderkey, l_linenumber"
-ENDS = "first_value(odds) OVER w AS first, last_value(odds) OVER w AS last"
+FIRST_LAST = "first_value(odds) OVER w AS first, last_value(odds) OVER w AS last"
 HOURS = "date_diff('hour', captured_at, kickoff)"
 FORM = ", ".join(f"round(avg({c}) OVER (PARTITION BY team ORDER BY played, match_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 6) AS {c}_r{n}" for n in (5, 10) for c in ("scored", "conceded"))
 ORACLES = {
     "price_changes": f"WITH {BOOK_CTE} c AS (SELECT *, lag(odds) OVER ({SERIES}) AS before FROM book) SELECT event_id, book, selection, l_orderkey, l_linenumber, odds FROM c WHERE before IS NULL OR before <> odds",
-    "movement": f"""WITH {BOOK_CTE} c AS (SELECT *, {ENDS} FROM book WHERE captured_at <= kickoff WINDOW w AS ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    "movement": f"""WITH {BOOK_CTE} c AS (SELECT *, {FIRST_LAST} FROM book WHERE captured_at <= kickoff WINDOW w AS ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
       SELECT event_id, book_id, sel_idx, min(first) AS open, min(last) AS close, min(odds) AS low, max(odds) AS high, count(*) AS prices FROM c GROUP BY event_id, book_id, sel_idx""",
-    "steam": f"""WITH {BOOK_CTE} c AS (SELECT *, {ENDS} FROM book WHERE captured_at <= kickoff AND captured_at >= kickoff - INTERVAL 365 DAY AND odds > 1 WINDOW w AS ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    "steam": f"""WITH {BOOK_CTE} c AS (SELECT *, {FIRST_LAST} FROM book WHERE captured_at <= kickoff AND captured_at >= kickoff - INTERVAL 365 DAY AND odds > 1 WINDOW w AS ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
       SELECT event_id, book_id, sel_idx, min(first) AS first, min(last) AS last, count(*) AS points, round(1 / min(last) - 1 / min(first), 6) AS move FROM c GROUP BY event_id, book_id, sel_idx HAVING count(*) >= 2""",
     "drift_by_bucket": f"""WITH {BOOK_CTE} c AS (SELECT *, last_value(odds) OVER w AS close, row_number() OVER w2 AS back FROM book WHERE captured_at <= kickoff
         WINDOW w AS ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), w2 AS (PARTITION BY event_id, book_id, sel_idx ORDER BY captured_at DESC, l_orderkey DESC, l_linenumber DESC))
@@ -142,4 +219,22 @@ ORACLES = {
     "observations": f"""WITH {BOOK_CTE} n AS (SELECT *, row_number() OVER (PARTITION BY event_id, book, selection, captured_at ORDER BY l_orderkey, l_linenumber) AS rk, count(*) OVER (PARTITION BY event_id, book, selection, captured_at) AS seen FROM book)
       SELECT event_id, book, selection, strftime(captured_at, '%Y-%m-%d') AS day, l_orderkey, l_linenumber, odds, seen FROM n WHERE rk = 1""",
     "json_props": "SELECT event_type, count(*) AS n, count(k) AS with_k, CAST(sum(k) AS BIGINT) AS sum_k, max(k) AS max_k FROM (SELECT event_type, try_cast(props ->> '$.k' AS INTEGER) AS k FROM events) GROUP BY event_type",
+    "strict_matches": f"""WITH {SIDES_CTE} al AS (SELECT unnest(['the rovers', 'bexley town', 'cor united']) AS alias, unnest(['arkham rovers', 'bexham town', 'corham united']) AS canon),
+      l AS (SELECT ref, kickoff, coalesce(x.canon, home) AS home, coalesce(y.canon, away) AS away FROM ours LEFT JOIN al x ON home = x.alias LEFT JOIN al y ON away = y.alias), r AS (SELECT ref, kickoff, coalesce(x.canon, home) AS home, coalesce(y.canon, away) AS away FROM theirs LEFT JOIN al x ON home = x.alias LEFT JOIN al y ON away = y.alias)
+      SELECT left_ref, right_ref FROM (SELECT l.ref AS left_ref, r.ref AS right_ref, row_number() OVER (PARTITION BY l.ref ORDER BY abs(epoch_us(l.kickoff) - epoch_us(r.kickoff)), r.ref) AS rk FROM l JOIN r ON l.home = r.home AND l.away = r.away AND abs(date_diff('day', l.kickoff::DATE, r.kickoff::DATE)) <= 1 WHERE l.home <> l.away AND l.home <> '' AND l.away <> '') WHERE rk = 1""",
+    "unordered_matches": f"""WITH {SIDES_CTE} l AS (SELECT ref, kickoff, least(home, away) AS x, greatest(home, away) AS y FROM ours WHERE home <> away), r AS (SELECT ref, kickoff, least(home, away) AS x, greatest(home, away) AS y FROM theirs WHERE home <> away)
+      SELECT left_ref, right_ref FROM (SELECT l.ref AS left_ref, r.ref AS right_ref, row_number() OVER (PARTITION BY l.ref ORDER BY abs(epoch_us(l.kickoff) - epoch_us(r.kickoff)), r.ref) AS rk FROM l JOIN r ON l.x = r.x AND l.y = r.y AND l.kickoff::DATE = r.kickoff::DATE) WHERE rk = 1""",
+    "name_forms": f"""WITH {SIDES_CTE} k AS (SELECT DISTINCT o_orderkey % 1000 AS n FROM orders), f AS (SELECT k.n, unnest([0, 1, 2, 3, 4, 5])::BIGINT AS form, unnest([s, c || ' B', c || ' U19', c || ' ladies ii', 'Boca Juniors', 'FC']) AS name FROM k JOIN sp ON k.n = sp.n),
+      m AS (SELECT n, form, {NORMAL.format(x="name")} AS normal FROM f), v AS (SELECT *, list_filter(string_split(normal, ' '), lambda x: x <> '') AS w FROM m)
+      SELECT n, form, normal, {MARKS} AS marks, CASE WHEN normal = 'boca juniors' THEN normal ELSE coalesce(nullif(array_to_string(list_filter(CASE WHEN len(w) >= 2 AND w[-1] IN ('2', '3', 'b') THEN w[:-2] ELSE w END, lambda x: x NOT IN ('ii', 'iii', 'reserve', 'reserves', 'w', 'women', 'ladies', 'u19', 'youth')), ' '), ''), normal) END AS base FROM v""",
+    "player_names": f"""WITH c AS (SELECT c_custkey, lower({SQL_LIST(STARTS)}[1 + c_custkey % 40] || {SQL_LIST(ENDS)}[1 + (c_custkey // 40) % 25]) AS last, lower({SQL_LIST(STARTS)}[1 + c_custkey % 40][1:1]) AS i FROM (SELECT c_custkey FROM customer)),
+      d AS (SELECT c_custkey, i, lower({SQL_LIST(STARTS)}[1 + (c_custkey % 1000) % 40] || {SQL_LIST(ENDS)}[1 + ((c_custkey % 1000) // 40) % 25]) AS last FROM c)
+      SELECT c_custkey, form, CASE form WHEN 3 THEN last WHEN 4 THEN '' ELSE last || ' ' || i END AS player FROM d, (SELECT unnest([0, 1, 2, 3, 4, 5])::BIGINT AS form)""",
+    "slug_pairs": f"WITH {SIDES_CTE} done AS (SELECT 1) SELECT ref, CASE WHEN ref % 10 <> 0 THEN home END AS home, CASE WHEN ref % 10 <> 0 THEN away END AS away FROM ours",
+    "score_lookup": f"""WITH {SIDES_CTE} r AS (SELECT hp, ap, home, away, kickoff::DATE + CAST(ref % 3 - 1 AS INTEGER) AS played, min(ref) AS ref FROM theirs GROUP BY ALL), sc AS (SELECT *, ref % 5 AS home_score, ref % 4 AS away_score FROM r),
+      p AS (SELECT o.ref, s.home_score, s.away_score, o.hp = s.hp AND o.ap = s.ap AS exact, CASE date_diff('day', o.kickoff::DATE, s.played) WHEN 0 THEN 0 WHEN -1 THEN 1 ELSE 2 END AS turn,
+              list_has_any(string_split(s.home, ' '), ['women']) = list_has_any(string_split(o.home, ' '), ['women']) AND list_has_any(string_split(s.away, ' '), ['women']) = list_has_any(string_split(o.away, ' '), ['women']) AS marked
+            FROM ours o JOIN sc s ON s.played BETWEEN o.kickoff::DATE - 1 AND o.kickoff::DATE + 1 AND (contains(o.hp, s.hp) OR contains(s.hp, o.hp)) AND (contains(o.ap, s.ap) OR contains(s.ap, o.ap))),
+      e AS (SELECT ref, arg_min({{'h': home_score, 'a': away_score}}, turn) AS s FROM p WHERE exact GROUP BY ref), n AS (SELECT ref, any_value({{'h': home_score, 'a': away_score}}) AS s FROM p WHERE marked AND ref NOT IN (SELECT ref FROM e) GROUP BY ref HAVING count(*) = 1)
+      SELECT o.ref, coalesce(e.s, n.s).h AS home_score, coalesce(e.s, n.s).a AS away_score FROM ours o LEFT JOIN e ON o.ref = e.ref LEFT JOIN n ON o.ref = n.ref""",
 }

@@ -1,6 +1,7 @@
 """Every query of the odds library by name, with the SQL that must give the same rows."""
 
-from fairline.plans import grading, history, value
+from fairline.plans import desk, grading, history, markets, value
 
-QUERIES = value.QUERIES | history.QUERIES | grading.QUERIES
-ORACLES = value.ORACLES | history.ORACLES | grading.ORACLES
+MODULES = (value, history, grading, desk, markets)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

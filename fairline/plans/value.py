@@ -17,7 +17,7 @@ sharp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDE
         WHERE book IN ('pinnacle', 'betfair exchange') AND 1/n0 + 1/n1 + 1/n2 - 1 BETWEEN 0 AND 0.12) WHERE rk = 1),
 medians AS (SELECT event_id, median(n0) AS o0, median(n1) AS o1, median(n2) AS o2 FROM net_books GROUP BY event_id HAVING count(*) >= 3),
 anchors AS (
-  SELECT event_id, book AS anchor_book, CASE WHEN book = 'betfair exchange' THEN 'exchange' ELSE 'sharp' END AS anchor_type, o0, o1, o2 FROM sharp
+  SELECT event_id, book AS anchor_book, CASE WHEN book = 'pinnacle' THEN 'pinnacle' ELSE 'sharp' END AS anchor_type, o0, o1, o2 FROM sharp
   UNION ALL SELECT event_id, 'consensus', 'consensus', o0, o1, o2 FROM medians WHERE 1/o0 + 1/o1 + 1/o2 - 1 BETWEEN 0 AND 0.12 AND event_id NOT IN (SELECT event_id FROM sharp)),
 fair AS (SELECT event_id, anchor_book, anchor_type, i AS sel_idx, (1 / [o0, o1, o2][i + 1]) / (1/o0 + 1/o1 + 1/o2) AS fair FROM anchors, (SELECT unnest([0, 1, 2]) AS i)),
 soft AS (SELECT *, 1 + (odds - 1) * (1 - CASE book WHEN 'matchbook' THEN 0.02e0 ELSE 0e0 END) AS net FROM state WHERE book NOT IN ('pinnacle', 'betfair exchange')),
@@ -28,13 +28,19 @@ top AS (SELECT *, CASE WHEN edge >= 0.03 THEN 'premium' ELSE 'volume' END AS tie
 """
 
 
-def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market.full_markets(market.state_at(odds_book(spark, sf_dir)))
+def anchored(spark: SparkSession, sf_dir: str, cutoffs: dict | None = None, books: str = "close", method: str = "multiplicative", **options) -> DataFrame:
+    """Every three-way market of the odds book with its anchor, in one pass over the observations."""
+    rows = market.market_rows(odds_book(spark, sf_dir), cutoffs or {"close": F.col("kickoff")})
+    return market.with_anchor(rows, books, method=method, **options).where("size(sels) = 3")
 
 
 def scan(spark: SparkSession, sf_dir: str, method: str = "multiplicative") -> DataFrame:
-    state = market.state_at(odds_book(spark, sf_dir))
-    return market.value_scan(state, market.anchored(market.full_markets(state), method=method))
+    return market.value_scan(anchored(spark, sf_dir, method=method), guard=False)
+
+
+def exploded(df: DataFrame, fair: str = "fair") -> DataFrame:
+    """One row a selection of a market's array of probabilities."""
+    return df.where(F.col(fair).isNotNull()).select(*[c for c in df.columns if c != fair], F.explode(F.arrays_zip(F.col("sels").alias("sel_idx"), F.col(fair).alias("fair"))).alias("leg")).select("*", "leg.sel_idx", "leg.fair").drop("leg")
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -58,29 +64,34 @@ def state_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named sharp anchor, else consensus, with its fair probabilities."""
-    a = market.anchored(markets(spark, sf_dir), method="multiplicative")
-    return a.select("event_id", "anchor_book", "anchor_type", F.posexplode("fair").alias("sel_idx", "fair")).withColumn("fair", F.round("fair", 6)).withColumn("sel_idx", F.col("sel_idx").cast("long"))
+    return rounded(exploded(anchored(spark, sf_dir)), "fair").select("event_id", "anchor_book", "anchor_type", F.col("sel_idx").cast("long").alias("sel_idx"), "fair")
 
 
 def logit_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consensus by averaged logits of each book's own fair prices."""
-    return rounded(market.logit_consensus(markets(spark, sf_dir)), "fair").withColumn("sel_idx", F.col("sel_idx").cast("long"))
+    m = anchored(spark, sf_dir).withColumn("fair", market.logit_pool(F.col("full"), F.col("sels"), max_overround=9.0)).withColumn("books", F.size("full").cast("long"))
+    return rounded(exploded(m), "fair").select("event_id", F.col("sel_idx").cast("long").alias("sel_idx"), "fair", "books")
 
 
 def swap_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose anchor ranks selections against a clear consensus; anchors are turned round for every seventh event."""
-    m = markets(spark, sf_dir)
-    a = market.anchored(m, method="multiplicative").withColumn("fair", F.when(F.col("event_id") % 7 == 0, F.reverse("fair")).otherwise(F.col("fair")))
-    return market.swapped(a, m)
+    m = anchored(spark, sf_dir).where("fair IS NOT NULL").withColumn("fair", F.when(F.col("event_id") % 7 == 0, F.reverse("fair")).otherwise(F.col("fair")))
+    return m.where(market.swapped(F.col("full"), F.col("sels"), F.col("fair"))).select("event_id")
 
 
 def double_chance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(market.double_chance(market.anchored(markets(spark, sf_dir), method="multiplicative")), "fair")
+    legs = anchored(spark, sf_dir).select("event_id", F.explode(market.double_chance(F.col("fair"))).alias("l"))
+    return rounded(legs.select("event_id", "l.*"), "fair")
+
+
+def full_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, book, odds) of every book that prices a whole market."""
+    return anchored(spark, sf_dir).select("event_id", F.explode("full").alias("b")).select("event_id", "b.book", F.col("b.gross").alias("odds"))
 
 
 def devigged(method: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = markets(spark, sf_dir).withColumn("d", devig(F.col("odds"), method))
+        d = full_prices(spark, sf_dir).withColumn("d", devig(F.col("odds"), method))
         f = F.col("d.fair")
         return d.select("event_id", "book", *(F.round(f[i], 6).alias(f"p{i}") for i in range(3)), F.col("d.fell_back").alias("fell_back"))
 
@@ -125,7 +136,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per event: books, full-market books, rows without liquidity, first and last capture day before kickoff."""
     s = odds_book(spark, sf_dir).where("captured_at <= kickoff")
     n = s.groupBy("event_id").agg(F.countDistinct("book_id").alias("books"), F.count("*").alias("observations"), F.count_if(F.col("liquidity").isNull()).alias("no_liquidity"), F.date_format(F.min("captured_at"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("captured_at"), "yyyy-MM-dd").alias("last_day"))
-    full = markets(spark, sf_dir).groupBy("event_id").agg(F.count("*").alias("full_books"))
+    full = anchored(spark, sf_dir).select("event_id", F.size("full").cast("long").alias("full_books"))
     return n.join(full, "event_id", "left").withColumn("full_books", F.coalesce("full_books", F.lit(0)))
 
 
@@ -163,7 +174,7 @@ ORACLES = {
       SELECT event_id, selection, coalesce(array_to_string(l, ','), '') AS reasons, len(l) = 0 AS accepted FROM r""",
     "sizing": f"""WITH {MARKET_CTE} k AS (SELECT *, greatest(((net - 1) * fair - (1 - fair)) / (net - 1), 0) AS raw FROM scan), s AS (SELECT *, least(raw * 0.25e0, 0.02e0) AS final FROM k)
       SELECT event_id, selection, round(raw, 6) AS raw, round(raw * 0.25e0, 6) AS fractional, round(final, 6) AS final, round(final * (1 / sqrt(1 + 2 * 0.25e0)) * {fo.drawdown_multiplier(0.2, 0.1)!r}, 6) AS cut,
-        round(0.25e0 / (1 + 10 * edge * edge), 6) AS multiplier, CAST(greatest(1, least(5, 1 + CASE WHEN edge >= 0.06 THEN 2 WHEN edge >= 0.03 THEN 1 ELSE 0 END + CASE anchor_type WHEN 'sharp' THEN 2 WHEN 'exchange' THEN 1 ELSE 0 END + CASE WHEN fair >= 0.725 THEN 1 WHEN fair < 0.60 THEN -1 ELSE 0 END)) AS INTEGER) AS confidence,
+        round(0.25e0 / (1 + 10 * edge * edge), 6) AS multiplier, CAST(greatest(1, least(5, 1 + CASE WHEN edge >= 0.06 THEN 2 WHEN edge >= 0.03 THEN 1 ELSE 0 END + CASE anchor_type WHEN 'pinnacle' THEN 2 WHEN 'sharp' THEN 1 ELSE 0 END + CASE WHEN fair >= 0.725 THEN 1 WHEN fair < 0.60 THEN -1 ELSE 0 END)) AS INTEGER) AS confidence,
         CASE WHEN fair > 0.01 THEN round(1 + (1 / (fair - 0.01e0) - 1) / (1 - CASE book WHEN 'matchbook' THEN 0.02e0 ELSE 0e0 END), 6) END AS floor, {BAND} AS band,
         CASE WHEN odds < 2 THEN 0.01e0 WHEN odds < 3 THEN 0.02e0 WHEN odds < 4 THEN 0.05e0 WHEN odds < 6 THEN 0.1e0 WHEN odds < 10 THEN 0.2e0 WHEN odds < 20 THEN 0.5e0 ELSE 1e0 END AS tick FROM s""",
     "coverage": f"""WITH {MARKET_CTE} n AS (SELECT event_id, count(DISTINCT book_id) AS books, count(*) AS observations, count(*) FILTER (liquidity IS NULL) AS no_liquidity, strftime(min(captured_at), '%Y-%m-%d') AS first_day, strftime(max(captured_at), '%Y-%m-%d') AS last_day FROM book WHERE captured_at <= kickoff GROUP BY event_id)

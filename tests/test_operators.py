@@ -1,6 +1,10 @@
 """Golden values and properties of single operators."""
 
 import datetime as dt
+import difflib
+import json
+import re
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fairline.functions import devig as dv
 from fairline.functions import odds as fo
+from fairline.functions import text
 from fairline.operators import resampling, resolve, settlement, timeline
 from fairline.streaming import live
 
@@ -61,42 +66,101 @@ def test_closing_flags(spark):
     assert independent("consensus", "bwin", None) and not independent("Bwin ", "bwin", None) and not independent("pinnacle", "bwin", "Pinnacle")
 
 
+NAMES = ["  Ålesund-FK  2 ", "Arsenal Women", "Arsenal U21", "Sub20 Leeds", "Real Madrid B", "Schalke 04", "Boca Juniors", "FC", "", "Junior", "IF Elfsborg", "Club Brugge II", "Bayern Damen", "B", "Málaga C.F.", "Atlético Madrid"]
+
+
+def plain_name(name):
+    text = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().lower()
+    return " ".join("".join(c if c.isalnum() else " " for c in text).split())
+
+
+def normal_name(name):
+    return " ".join(w for w in plain_name(name).split() if w not in resolve.CLUB_WORDS)
+
+
+def marks_of(name):
+    w = name.split()
+    found = {"women" for x in w if x in resolve.WOMEN} | {"youth" for x in w if x in resolve.YOUTH or re.match(resolve.YOUTH_AGE, x)} | {"reserve" for x in w if x in resolve.RESERVE}
+    return found | ({"reserve"} if len(w) >= 2 and w[-1] in resolve.LAST_RESERVE else set())
+
+
+def base_of(name):
+    if name in resolve.SENIOR:
+        return name
+    w = name.split()
+    w = w[:-1] if len(w) >= 2 and w[-1] in resolve.LAST_RESERVE else w
+    return " ".join(x for x in w if not marks_of(x)) or name
+
+
+def one_club(a, b):
+    if a == b:
+        return bool(a)
+    apart = set(a.split()) ^ set(b.split())
+    if not a or not b or apart and apart <= set(resolve.APART) or resolve.jaro_winkler(a, b) < resolve.ALIKE:
+        return False
+    return 100 * difflib.SequenceMatcher(None, " ".join(sorted(a.split())), " ".join(sorted(b.split())), False).ratio() >= resolve.SORTED_ALIKE
+
+
 def test_names(spark):
-    assert resolve.plain("  Ålesund-FK  2 ") == "alesund fk 2"
+    rows = spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", text.plain(F.col("name")).alias("p"), resolve.normalized(F.col("name")).alias("n"))
+    for r in rows.select("*", resolve.markers(F.col("n")).alias("m"), resolve.base_name(F.col("n")).alias("b")).collect():
+        assert (r.p, r.n, set(r.m), r.b) == (plain_name(r.name), normal_name(r.name), marks_of(r.n), base_of(r.n)), r
     assert resolve.jaro_winkler("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
     assert resolve.jaro_winkler("manchester united", "manchester city") == pytest.approx(0.926, abs=1e-3)
-    left = spark.createDataFrame([(1, "arsenal", "leeds", dt.date(2024, 1, 2)), (2, "leeds women", "arsenal", dt.date(2024, 1, 9))], "ref long, home string, away string, day date")
-    right = spark.createDataFrame([(7, "arsenal", "leeds", dt.date(2024, 1, 3)), (8, "leeds", "arsenal", dt.date(2024, 1, 9))], "ref long, home string, away string, day date")
-    assert [(r.left_ref, r.right_ref) for r in resolve.match_events(left, right).collect()] == [(1, 7)]
 
 
-def brute_matches(left, right, days=1, accept=0.92):
-    marks = lambda n: {resolve.MARKERS[w] for w in n.split() if w in resolve.MARKERS}
+def test_players(spark):
+    forms = {"Federer R.": "federer r", "R. Federer": "federer r", "Roger Federer": "federer r", "Federer": "federer", "": "", "Del Potro J.": "delpotro j", "Müller, A": "muller a"}
+    rows = spark.createDataFrame([(k,) for k in forms], "name string").select("name", text.canonical_player(F.col("name")).alias("p")).collect()
+    assert {r.name: r.p for r in rows} == forms
+
+
+SIDE = "ref long, home string, away string, league string, kickoff timestamp"
+
+
+def brute_matches(left, right, minutes=360):
     found = {}
-    for ref, home, away, day in left:
-        scores = []
-        for other, h, a, d in right:
-            s = resolve.jaro_winkler(home, h), resolve.jaro_winkler(away, a)
-            if abs((d - day).days) <= days and min(s) >= accept and marks(home) == marks(h) and marks(away) == marks(a):
-                scores.append((s[0] + s[1], other))
-        top = [o for s, o in scores if s == max(scores)[0]]
-        if len(top) == 1:
-            found[ref] = top[0]
+    for ref, home, away, league, at in left:
+        good = []
+        for other, h, a, other_league, then in right:
+            apart = abs((then - at).total_seconds())
+            leagues = not normal_name(league or "") or not normal_name(other_league or "") or normal_name(league) == normal_name(other_league)
+            names = home != away and h != a and home and away and h and a and one_club(base_of(home), base_of(h)) and one_club(base_of(away), base_of(a))
+            if apart <= 60 * minutes and leagues and names and marks_of(home) == marks_of(h) and marks_of(away) == marks_of(a):
+                good.append((-(resolve.jaro_winkler(base_of(home), base_of(h)) + resolve.jaro_winkler(base_of(away), base_of(a))), apart, other, h, a, then))
+        good.sort()
+        if not good or len(good) > 1 and good[1][3:5] != good[0][3:5] and good[1][0] - good[0][0] < resolve.MARGIN:
+            continue
+        if any(g[3:5] == good[0][3:5] and abs((g[5] - good[0][5]).total_seconds()) > 60 * minutes for g in good[1:]):
+            continue
+        found[ref] = good[0][2]
     return found
 
 
 def test_events_equal_brute_force(spark):
-    """Early typing errors keep their match, ties have none, several fixtures a day compete."""
-    names = ["dynamo kiev", "dinamo kiev", "ydnamo kiev", "arsenal", "rasenal", "arsenal women", "leeds", "leeds united", "manchester united", "manchester city", "a", ""]
+    """Typing errors keep their match, unclear ones have none, several fixtures a day compete, other teams of a club stay apart."""
+    names = ["dynamo kiev", "dinamo kiev", "dnyamo kiev", "arsenal", "arsenals", "arsenal women", "leeds", "leeds united", "leeds city", "manchester united", "manchester city", "real madrid b", "real madrid", "a", ""]
     fixtures = [(h, a) for h in names for a in names if h != a]
-    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
-    left = [(i, h, a, day(i * 7 % 40)) for i, (h, a) in enumerate(fixtures)]
-    right = [(1000 + i, h, a, day(i * 5 % 40)) for i, (h, a) in enumerate(fixtures)]
-    left += [(900, "dynamo kiev", "leeds", day(90)), (901, "dynamo kiev", "leeds", day(95))]
-    right += [(1900, "dinamo kiev", "leeds", day(91)), (1901, "dinamo kiev", "leeds", day(94)), (1902, "dinamo kiev", "leeds", day(96))]
-    schema = "ref long, home string, away string, day date"
-    found = {r.left_ref: r.right_ref for r in resolve.match_events(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()}
-    assert found == brute_matches(left, right) and found[900] == 1900 and 901 not in found
+    at = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)
+    league = lambda i: ("x", "y", None)[i % 3]
+    left = [(i, h, a, league(i), at(i * 7 % 300)) for i, (h, a) in enumerate(fixtures)]
+    right = [(1000 + i, h, a, league(i * 5), at(i * 5 % 300)) for i, (h, a) in enumerate(fixtures)]
+    left += [(900, "dynamo kiev", "leeds", None, at(2000)), (901, "dynamo kiev", "leeds", None, at(3000)), (902, "arsenal", "leeds", "x", at(4000))]
+    right += [(1900, "dynamo kyiv", "leeds", None, at(2002)), (1901, "dynamo kiev", "leeds", None, at(2995)), (1902, "dynamo kiev", "leeds", None, at(3005)), (1903, "arsenal", "leeds", "y", at(4000))]
+    found = {r.left_ref: r.right_ref for r in resolve.match_hardened(spark.createDataFrame(left, SIDE), spark.createDataFrame(right, SIDE)).collect()}
+    assert found == brute_matches(left, right) and 901 not in found and 902 not in found
+
+
+def test_aliases_and_wrong_games(spark, tmp_path):
+    (tmp_path / "seed.json").write_text(json.dumps({"teams": {"Manchester United": ["Man Utd", "MUFC"], "Inter": ["Internazionale", ""]}}))
+    table = resolve.aliases_from_seed(spark, str(tmp_path / "seed.json"))
+    assert {(r.alias, r.canonical) for r in table.collect()} >= {("man utd", "manchester united"), ("mufc", "manchester united"), ("manchester united", "manchester united"), ("internazionale", "inter")}
+    assert {r.canonical: r.names for r in resolve.aliases_of(table).collect()}["inter"] == ["inter", "internazionale"]
+    t = dt.datetime(2024, 1, 1, 12)
+    rows = [(1, "bayern munich", "gjovik", t, "bayern munich allianz sponsor", "gjoevik", t), (2, "arsenal", "leeds", t, "arsenal women", "leeds", t), (3, "leeds united", "x y", t, "leeds city", "x y", t), (4, "ann bell", "cleo dorn", t, "ann bell", "cleo dorn", t + dt.timedelta(hours=7)), (5, "ann bell", "cleo dorn", t, "cleo dorn", "ann bell", t)]
+    pairs = spark.createDataFrame(rows, "i int, home string, away string, kickoff timestamp, anchor_home string, anchor_away string, anchor_kickoff timestamp")
+    assert {r.i: r.reason for r in resolve.wrong_games(pairs).collect()} == {1: None, 2: "markers", 3: "names", 4: "kickoff", 5: "names"}
+    assert {r.i: r.reason for r in resolve.wrong_games(pairs, ordered=False).collect()}[5] is None
 
 
 @settings(max_examples=300, deadline=None)
