@@ -1,57 +1,114 @@
-"""Bootstrap intervals by replicate, with the replicates as the parallel axis."""
+"""Bootstraps: replicates and paths are the parallel axis, draws follow from hashes, so a rerun gives the same."""
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Chances of a Poisson(1) weight of at most 0, 1, 2, ...
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
 
-def poisson_bootstrap(rows: DataFrame, cluster: str, numerator: str, denominator: str, *, replicates: int = 200, seed: int = 12) -> DataFrame:
-    """Mean and 95 % interval of sum(numerator)/sum(denominator), resampled by cluster.
 
-    Each cluster gets a Poisson(1) weight per replicate from a hash of the two, so the sums are
-    one distributed aggregation whatever the number of rows, and a rerun gives the same.
+def uniform(*parts: Column) -> Column:
+    """A number in [0, 1) that follows from the parts."""
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / float(1 << 40)
+
+
+def poisson_weight(u: Column) -> Column:
+    """How often a cluster stands in a replicate, from a uniform number."""
+    out = F.lit(len(POISSON))
+    for k in range(len(POISSON) - 1, -1, -1):
+        out = F.when(u < POISSON[k], k).otherwise(out)
+    return out
+
+
+def replicated(rows: DataFrame, cluster: str, sums: dict[str, Column], *, replicates: int, seed: int = 12, draw=None) -> DataFrame:
+    """(replicate, sums): sums over rows, resampled by cluster with Poisson(1) weights.
+
+    Rows are summed by cluster first; a cluster is then one row a replicate, summed map-side. draw:
+    the uniform number of a cluster and replicate.
     """
-    sums = rows.groupBy(cluster).agg(F.sum(numerator).alias("a"), F.sum(denominator).alias("b"))
+    draw = draw or (lambda c, r: uniform(c, r, F.lit(seed)))
+    by_cluster = rows.groupBy(cluster).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    each = by_cluster.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("w", poisson_weight(draw(F.col(cluster), F.col("replicate"))))
+    return each.groupBy("replicate").agg(*(F.sum(F.col(n) * F.col("w")).alias(n) for n in sums), F.sum("w").alias("clusters"))
+
+
+def interval(values: DataFrame, value: Column, alpha: float = 0.05) -> DataFrame:
+    """mean, low, high and how many replicates have the value."""
+    v = values.select(value.alias("v")).where("v IS NOT NULL")
+    return v.agg(F.avg("v").alias("mean"), F.percentile("v", alpha / 2).alias("low"), F.percentile("v", 1 - alpha / 2).alias("high"), F.count("*").alias("replicates"))
+
+
+def poisson_bootstrap(rows: DataFrame, cluster: str, numerator: str, denominator: str, *, replicates: int = 200, seed: int = 12, draw=None) -> DataFrame:
+    """Mean and 95 % interval of sum(numerator)/sum(denominator), resampled by cluster."""
+    each = replicated(rows, cluster, {"a": F.col(numerator), "b": F.col(denominator)}, replicates=replicates, seed=seed, draw=draw)
+    return interval(each, F.when(F.col("b") != 0, F.col("a") / F.col("b")))
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys = pd.util.hash_array(pdf[cluster].to_numpy()).astype(np.uint64)
-            total_a, total_b = np.zeros(replicates), np.zeros(replicates)
-            for key, a, b in zip(keys, pdf["a"].to_numpy(float), pdf["b"].to_numpy(float), strict=True):
-                w = np.random.default_rng([seed, int(key)]).poisson(1.0, replicates)
-                total_a += w * a
-                total_b += w * b
-            yield pd.DataFrame({"replicate": np.arange(replicates), "a": total_a, "b": total_b})
 
-    each = sums.mapInPandas(weigh, "replicate int, a double, b double").groupBy("replicate").agg((F.sum("a") / F.sum("b")).alias("ratio"))
-    return each.agg(F.avg("ratio").alias("mean"), F.percentile("ratio", 0.025).alias("low"), F.percentile("ratio", 0.975).alias("high"), F.count("*").alias("replicates"))
+def paired_increment(chosen: DataFrame, base: DataFrame, cluster: str, value: str, *, replicates: int = 200, seed: int = 12, draw=None) -> DataFrame:
+    """Interval of the chosen rows' mean value minus the base's on the same draws of clusters; stable says whether enough replicates have both."""
+    both = chosen.select(cluster, F.col(value).alias("s"), F.lit(1.0).alias("n"), F.lit(0.0).alias("bs"), F.lit(0.0).alias("bn")).unionByName(base.select(cluster, F.lit(0.0).alias("s"), F.lit(0.0).alias("n"), F.col(value).alias("bs"), F.lit(1.0).alias("bn")))
+    each = replicated(both.where("s IS NOT NULL AND bs IS NOT NULL"), cluster, {c: F.col(c) for c in ("s", "n", "bs", "bn")}, replicates=replicates, seed=seed, draw=draw)
+    diff = F.when((F.col("n") > 0) & (F.col("bn") > 0), F.col("s") / F.col("n") - F.col("bs") / F.col("bn"))
+    return interval(each, diff).withColumn("stable", F.col("replicates") >= max(50, replicates // 2))
 
 
-def block_bootstrap_paths(returns: DataFrame, *, paths: int = 500, block: int = 20, starting: float = 1.0, seed: int = 7) -> DataFrame:
+def block_bootstrap_paths(returns: DataFrame, *, paths: int = 500, block: int = 20, starting: float = 1.0, seed: int = 7, flat: bool = False, draw=None) -> DataFrame:
     """Terminal wealth and worst drawdown of circular block bootstrap paths over one ordered series.
 
-    returns: (position, log_return) of one strategy's bets, which is small next to the paths;
-    each task takes some paths and every path has its own seed.
+    returns: (position, log_return), positions 0 to n - 1; flat: returns are units won at a fixed
+    stake instead of logarithms. A path's blocks meet the series on its position; a block is reduced to
+    its total, extremes and inner drawdown, and a path's blocks are put in a row, so the series is never in one task
+    but as n / block rows a path.
     """
-    series = returns.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "log_return"))), lambda x: x["log_return"]).alias("r"))
-    spark = returns.sparkSession
-    jobs = spark.range(paths).withColumnRenamed("id", "path").join(F.broadcast(series))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for path, r in zip(pdf["path"], pdf["r"], strict=True):
-                r = np.asarray(r, float)
-                n = len(r)
-                if not n:
-                    continue
-                starts = np.random.default_rng([seed, int(path)]).integers(0, n, -(-n // block))
-                wealth = np.cumsum(r[(starts[:, None] + np.arange(block)).reshape(-1)[:n] % n])
-                peak = np.maximum(np.maximum.accumulate(wealth), 0.0)
-                out.append((int(path), float(starting * np.exp(wealth[-1])), float(1 - np.exp((wealth - peak).min()))))
-            yield pd.DataFrame(out, columns=["path", "terminal", "drawdown"])
-
-    return jobs.mapInPandas(walk, "path long, terminal double, drawdown double")
+    draw = draw or (lambda p, k: uniform(p, k, F.lit(seed)))
+    n = returns.count()
+    spark, blocks = returns.sparkSession, -(-n // block) if n else 0
+    cells = spark.range(paths * blocks).select(F.floor(F.col("id") / max(blocks, 1)).alias("path"), (F.col("id") % max(blocks, 1)).alias("k"))
+    cells = cells.withColumn("start", F.floor(draw(F.col("path"), F.col("k")) * n)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("k") * block + F.col("i") < n)
+    drawn = cells.withColumn("position", F.pmod(F.col("start") + F.col("i"), F.lit(max(n, 1)))).join(returns.select("position", "log_return"), "position")
+    steps = drawn.groupBy("path", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "log_return"))), lambda x: x["log_return"]).alias("r"))
+    sums = steps.select("path", "k", "r", F.aggregate("r", F.struct(F.lit(0.0).alias("sum"), F.lit(-math.inf).alias("top")), lambda s, r: F.struct((s["sum"] + r).alias("sum"), F.greatest(s["top"], s["sum"] + r).alias("top"))).alias("b"))
+    before = Window.partitionBy("path").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.withColumn("ahead", F.coalesce(F.sum("b.sum").over(before), F.lit(0.0)))
+    ahead = ahead.withColumn("peak", F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("ahead") + F.col("b.top")).over(before), F.lit(0.0))))
+
+    def step(s: Column, r: Column) -> Column:
+        now = s["now"] + r
+        top = F.greatest(s["top"], now)
+        fall = (top - now) / (starting + top) if flat else 1 - F.exp(now - top)
+        return F.struct(now.alias("now"), top.alias("top"), F.greatest(s["fall"], fall).alias("fall"))
+
+    walked = ahead.withColumn("w", F.aggregate("r", F.struct(F.col("ahead").alias("now"), F.col("peak").alias("top"), F.lit(0.0).alias("fall")), step))
+    end = F.sum("b.sum")
+    return walked.groupBy("path").agg((starting + end if flat else starting * F.exp(end)).alias("terminal"), F.max("w.fall").alias("drawdown"))
+
+
+def path_summary(paths: DataFrame, *, ruin: float = 0.5) -> DataFrame:
+    """Median and outer percentiles of terminal wealth, the 95th of drawdown, share of paths ruined."""
+    return paths.agg(
+        F.median("terminal").alias("median"), F.percentile("terminal", 0.05).alias("p5"), F.percentile("terminal", 0.95).alias("p95"), F.percentile("drawdown", 0.95).alias("drawdown_p95"),
+        F.avg((F.col("terminal") <= ruin).cast("double")).alias("ruined"), F.count("*").alias("paths"),
+    )
+
+
+def policy_paths(picks: DataFrame, policies: dict[str, Column], *, paths: int = 500, block: int = 20, seed: int = 7) -> DataFrame:
+    """Summary of every staking policy over the same paths. picks: position, unit (profit of a unit stake); a policy: share of wealth staked on a pick."""
+    every = None
+    for name, share in policies.items():
+        logs = picks.select("position", F.log(F.greatest(1 + share * F.col("unit"), F.lit(1e-12))).alias("log_return"))
+        one = path_summary(block_bootstrap_paths(logs, paths=paths, block=block, seed=seed)).withColumn("policy", F.lit(name))
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
+def recommended_policy(summary: DataFrame, default: str, *, growth_cost: float = 0.02, less_drawdown: float = 0.01) -> DataFrame:
+    """Whether each variant passes (a smaller drawdown at an acceptable cost of growth), and which is chosen: the safest that passes, else the default."""
+    base = summary.where(F.col("policy") == default).select(F.col("median").alias("base_median"), F.col("drawdown_p95").alias("base_drawdown"))
+    judged = summary.crossJoin(F.broadcast(base))  # one row of the summary beside each
+    cheap = F.col("median") >= F.col("base_median") * (1 - growth_cost)
+    passes = (F.col("policy") != default) & cheap & (F.col("drawdown_p95") <= F.col("base_drawdown") - less_drawdown)
+    judged = judged.withColumn("passes", passes)
+    best = judged.where("passes").agg(F.min_by("policy", F.struct("drawdown_p95", "policy")).alias("best"))
+    return judged.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("policy") == F.coalesce("best", F.lit(default))).drop("best", "base_median", "base_drawdown")

@@ -31,7 +31,7 @@ def test_matched_events_equal_brute_force(spark):
     for r in ours:
         expected |= brute_matches([r], [x for d in (-1, 0, 1) for x in by_day[r[4].date() + dt.timedelta(days=d)]])
     found = {r.left_ref: r.right_ref for r in registry.QUERIES["matched_events"](spark, SF).collect()}
-    assert found == expected and len(found) > 0.4 * len(ours) and all(k == v for k, v in found.items())
+    assert found == expected and len(found) > 0.4 * len(ours)
 
 
 def test_entry_and_plan(spark):
