@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairline.functions.odds import parsed_odds
+from fairline.functions.odds import american_to_decimal, parsed_odds
 
 #: Columns of a season's table: our name, theirs. Fixed values.
 PRICES = {f"{ours}_{side.lower()}": f"{theirs}{side}" for ours, theirs in (("soft", "B365"), ("sharp", "PS"), ("best", "Max"), ("sharp_close", "PSC"), ("best_close", "MaxC")) for side in "HDA"}
@@ -45,3 +45,8 @@ def matrix_triples(matrices: DataFrame) -> DataFrame:
     at = lambda side: parsed_odds(F.get("cells", F.col("hour") + side * HOURS))
     hours = lines.select("match_id", "book", "cells", F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).alias("hour"))
     return hours.select("match_id", "book", "hour", *(at(i).alias(n) for i, n in enumerate(("home", "draw", "away")))).where("home IS NOT NULL AND draw IS NOT NULL AND away IS NOT NULL")
+
+
+def american(price: Column) -> Column:
+    """An American price of at least 100 either way, as a decimal one."""
+    return F.when(F.abs(price) >= 100, american_to_decimal(price))
