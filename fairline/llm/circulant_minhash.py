@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairline.llm.components import components
+from fairline.llm.components import components, joined
 from fairline.llm.store import kept
 from fairline.llm.words import mixed, runs, sliced, words_of
 
@@ -188,14 +188,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = confirmed(star.select("class", F.col("head").alias("group")), single, docs)
 
     rows = rows.where("size > 2")  # both classes of a smaller bucket have met
-    for turn in range(ROUNDS):
-        links = links.union(confirmed(to_pivots(mixed_buckets(rows, components(links)), turn), single, docs))
     placed = components(links)
+    for turn in range(ROUNDS):
+        placed = joined(placed, confirmed(to_pivots(mixed_buckets(rows, placed), turn), single, docs))
     rest = mixed_buckets(rows, placed)
     grouped = single.join(placed.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "group").alias("group"))
     more = confirmed(across(rest), grouped, docs)
 
-    linked = components(links.union(more))
+    linked = joined(placed, more)
     members = found.join(classes, ["set_a", "set_b", "n"], "left").join(linked.withColumnRenamed("node", "class"), "class", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "class", "doc_id")).otherwise(F.col("doc_id"))
     out = members.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

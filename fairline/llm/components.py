@@ -30,3 +30,10 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         edges = kept(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(edges.select("v", "v").distinct())
+
+
+def joined(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) once more links are known; only a node's link to its component takes part again, and nothing if there are no more."""
+    if links.isEmpty():
+        return placed
+    return components(placed.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))

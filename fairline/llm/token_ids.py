@@ -28,9 +28,12 @@ SPACE, FEED, MARK, WORD, HIGH, LEAD, BAR = (1 << i for i in range(7))
 KINDS = np.zeros(256, np.uint8)
 for _b in range(256):
     KINDS[_b] = SPACE if _b == 32 else FEED if _b == 10 else (WORD if chr(_b).isalnum() else BAR if _b == 124 else MARK) if 33 <= _b < 127 else 0 if _b < 128 else HIGH | (LEAD if _b >= 0xC3 and _b not in (0xE1, 0xE2, 0xE3) else 0)
-_n = 1 << 20
-POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(_n, BASE)]))
-INVERSES = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(_n, np.uint64(pow(int(BASE), -1, 1 << 64)))]))
+
+
+@lru_cache(2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, up to n."""
+    return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, b)])) for b in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))))
 
 
 def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -162,10 +165,10 @@ class TokenIds:
         n = len(data)
         start = unit_starts(data, at) if n else np.array([], np.int64)
         end = np.append(start[1:], n)[: len(start)]
-        powers, inverses = (POWERS, INVERSES) if n < len(POWERS) else (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, p[1])])) for p in (POWERS, INVERSES))
+        ups, downs = powers(max(1 << 20, 1 << int(n).bit_length()))
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(TABLE[data] * powers[:n], out=sums[1:])
-        hashes = np.maximum(mixed((sums[end] - sums[start]) * inverses[start] + (end - start).astype(np.uint64)), np.uint64(1))
+        np.cumsum(TABLE[data] * ups[:n], out=sums[1:])
+        hashes = np.maximum(mixed((sums[end] - sums[start]) * downs[start] + (end - start).astype(np.uint64)), np.uint64(1))
         number = self.units.find(hashes)
         new = np.flatnonzero(number < 0)
         if len(new):
