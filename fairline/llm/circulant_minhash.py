@@ -40,6 +40,8 @@ LARGE = 2000
 ROUNDS, PIVOTS = 1, 3
 #: Classes of a group in one block, and classes held against them.
 MEMBERS, SHARE = 200, 500
+#: Bytes of hashes that a batch holds, about.
+SENT = 4 << 20
 #: Bits of the filter that keeps texts without pairs from being shuffled; its size is fixed.
 FILTER_BITS = 1 << 22
 SHIFTS = np.arange(COORDINATES, dtype=np.uint32)[:, None]
@@ -133,15 +135,16 @@ def confirmed(wanted: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFram
                 to = part.column("to")
                 for i, s in enumerate(shingle_sets(part.column("text"))):
                     targets, data = to[i].values, s.tobytes()
-                    for k in range(0, len(targets), 256):
-                        some = targets.slice(k, 256)
+                    rows = max(1, min(256, SENT // max(1, len(data))))
+                    for k in range(0, len(targets), rows):
+                        some = targets.slice(k, rows)
                         yield pa.RecordBatch.from_arrays([*(some.field(c) for c in names), pa.array([part.column("doc_id")[i].as_py()] * len(some), pa.int64()), pa.array([data] * len(some), pa.binary())], names=[*names, "class", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own, sets, every, owners = None, [], [], None, None
-        for batch in batches:
+        for part in (p for batch in batches for p in sliced(batch, "hashes", SENT)):
             a_out, b_out = [], []
-            for group, x, y, side, node, data in zip(*batch.to_pydict().values(), strict=True):
+            for group, x, y, side, node, data in zip(*part.to_pydict().values(), strict=True):
                 s = np.frombuffer(data, np.uint64)
                 if at != (group, x, y):
                     at, own, sets, every = (group, x, y), [], [], None

@@ -36,3 +36,25 @@ def test_quality_drops_what_the_operator_rejects(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "scored", scores)
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.quality(spark, docs, SF).collect()] == [2]
+
+
+CLASH = "doc_id long, text string, row long, windows string, score double, stats string, predicted int, n_words long, row_hash long, others string, kept boolean, none int"
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark):
+    """Nulls, empty and repeated rows, a long text, and columns named like the operators' own; other columns stay as they are."""
+    rows = [(i, t, i or 0, "w", 0.5, "s", 1, 2, 3, "o", True, 4) for i, t in ((1, None), (2, ""), (3, "one two three"), (3, "one two three"), (None, "a null id"), (4, "alpha beta gamma delta " * 3000), (5, " ".join(f"u{k}" for k in range(80))))]
+    docs = spark.createDataFrame(rows, CLASH)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert r.row == (r.doc_id or 0) and (r.windows, r.score, r.others, r.none) == ("w", 0.5, "o", 4), name
+    assert corpus_pipeline.near_dedup(spark, docs, SF).count() == 6 and corpus_pipeline.decontaminate(spark, docs, SF).count() == 7
+    assert corpus_pipeline.pack(spark, docs, SF).select("doc_id").distinct().count() == 6
+
+
+def test_stages_with_empty_tables(spark):
+    docs = spark.createDataFrame([], CLASH)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
