@@ -19,9 +19,19 @@ from fairline.llm.slack_packing import packed
 from fairline.llm.store import WRITTEN, forget, kept, table
 
 
+def aside(docs: DataFrame) -> DataFrame:
+    """docs as doc_id, text and one column of all others, so that none clashes with an operator's own."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("n"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text"))).alias("others"))
+
+
+def back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """aside()'s rows with the columns of docs again."""
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"others.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble does not reject."""
-    return quality_rules.scored(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(docs.columns)
+    return back(quality_rules.scored(aside(docs), table(spark, sf_dir, "labels")).where("predicted = 1"), docs)
 
 
 def without_repeated_rows(docs: DataFrame) -> DataFrame:
@@ -34,18 +44,18 @@ def without_repeated_rows(docs: DataFrame) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component, and one row of those with the same id and text."""
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return without_repeated_rows(docs.join(gone, "doc_id", "left_anti").select(docs.columns))
+    return back(without_repeated_rows(aside(docs).join(gone, "doc_id", "left_anti")), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand anywhere else."""
-    stripped = lz_spans.deduplicated(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    return stripped.select(docs.columns)
+    """Documents without the passages that stand anywhere else; n_chars, where there is one, is the new text's."""
+    stripped = back(lz_spans.deduplicated(aside(docs)), docs)
+    return stripped.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else stripped
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    return decontaminated(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
