@@ -11,10 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text held as arrays at a time; one longer document is taken alone.
-SLICE = 2 << 20
-#: Bytes of text for array operations that make several arrays of eight bytes a byte.
-PART = 1 << 19
+#: Bytes of text held as arrays at a time, several of eight bytes a byte; one longer document is taken alone.
+SLICE = 1 << 19
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, np.uint64)
 #: The same with A-Z as a-z.
