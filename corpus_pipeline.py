@@ -35,16 +35,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_rows(docs: DataFrame) -> DataFrame:
-    """docs with one row of each id and text; only rows whose hash repeats are shuffled with their text."""
-    docs = docs.withColumn("row_hash", F.xxhash64("doc_id", "text"))
-    again = docs.groupBy("row_hash").count().where("count > 1").select("row_hash")
-    return docs.join(again, "row_hash", "left_anti").union(docs.join(again, "row_hash", "left_semi").dropDuplicates(["doc_id", "text"])).drop("row_hash")
+    """docs with one row of each id and text; texts are shuffled only if any row repeats, and only those that share a hash are compared."""
+    hashed = docs.withColumn("row_hash", F.xxhash64("doc_id", "text"))
+    again = kept(hashed.groupBy("row_hash").count().where("count > 1").select("row_hash"), "again")
+    if again.isEmpty():
+        return docs
+    return hashed.join(again, "row_hash", "left_anti").union(hashed.join(again, "row_hash", "left_semi").dropDuplicates(["doc_id", "text"])).drop("row_hash")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component, and one row of those with the same id and text."""
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return back(without_repeated_rows(aside(docs).join(gone, "doc_id", "left_anti")), docs)
+    return back(without_repeated_rows(aside(docs)).join(gone, "doc_id", "left_anti"), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
