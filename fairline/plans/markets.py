@@ -144,8 +144,33 @@ def poll_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.completeness(quotes(spark, sf_dir).withColumn("cycle", F.to_date("captured_at")), ("1x2", "over_under", "asian_handicap", "home_away"), floor=0.5).withColumn("cycle", F.date_format("cycle", "yyyy-MM-dd"))
 
 
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a market and selection: the soft books' first prices as a consensus, the best of them, and the sharp book's own fair close, in one pass."""
+    q = quotes(spark, sf_dir).where("captured_at <= kickoff").withColumn("norm", fo.normal_book(F.col("book")))
+    at = F.struct("captured_at", "l_orderkey", "l_linenumber")
+    ends = q.groupBy(*KEYS, "sel_idx", "norm").agg(F.min_by("odds", at).alias("first"), F.max_by("odds", at).alias("last"))
+    soft = F.when(~F.col("norm").isin(*SHARP), F.col("first"))
+    side = ends.groupBy(*KEYS, "sel_idx").agg(F.median(soft).alias("consensus"), F.count(soft).alias("books"), F.max(soft).alias("best"), F.max(F.when(F.col("norm") == "pinnacle", F.col("last"))).alias("close"))
+    m = side.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("sel_idx", "consensus", "books", "best", "close"))).alias("s"))
+    wanted = F.when(F.col("key") == "1x2", 3).otherwise(2)
+    whole = lambda c: F.when((F.size("s") == wanted) & ~F.exists("s", lambda x: x[c].isNull()), market.devig(F.transform("s", lambda x: x[c]), "multiplicative")["fair"])
+    return m.withColumns({"fair": whole("consensus"), "close_fair": whole("close"), "thin": F.exists("s", lambda x: x["books"] < 2)})
+
+
+def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By market: how many events reach each step from a signal to a graded bet, and the bets' closing value."""
+    m = signals(spark, sf_dir)
+    legs = F.transform(F.arrays_zip(F.col("s").alias("s"), F.col("fair").alias("fair"), F.col("close_fair").alias("cf")), lambda x: F.struct((x["fair"] - 1 / x["s"]["best"]).alias("edge"), (-x["s"]["sel_idx"]).alias("turn"), x["s"]["best"].alias("odds"), x["cf"].alias("close_fair")))
+    usable = F.col("fair").isNotNull() & ~F.col("thin")
+    best = m.withColumn("bet", F.when(usable, F.array_max(legs))).withColumn("bet", F.when(F.col("bet.edge") >= 0.02, F.col("bet")))
+    clv = fo.clv_log(F.col("bet.odds"), F.col("bet.close_fair"))
+    return best.groupBy("key").agg(
+        F.count("*").alias("events"), F.count("fair").alias("with_signal"), F.count_if(usable).alias("thick"), F.count("close_fair").alias("with_close"), F.count("bet").alias("bets"), F.count(clv).alias("graded"), F.round(F.avg(clv), 6).alias("clv"), F.round(F.stddev_pop(clv) / F.sqrt(F.count(clv)), 6).alias("se"),
+    )
+
+
 QUERIES = {
-    "market_anchors": market_anchors, "derived_chances": derived_chances, "own_fairs": own_fairs, "market_scan": market_scan, "market_grades": market_grades, "closing_evidence": closing_evidence, "steam_verdicts": steam_verdicts,
+    "readiness": readiness, "market_anchors": market_anchors, "derived_chances": derived_chances, "own_fairs": own_fairs, "market_scan": market_scan, "market_grades": market_grades, "closing_evidence": closing_evidence, "steam_verdicts": steam_verdicts,
     "timed_drift": timed_drift, "edge_by_bucket": edge_by_bucket, "capture_coverage": capture_coverage, "available_games": available_games, "capture_targets": capture_targets, "poll_report": poll_report,
 }
 
@@ -177,6 +202,14 @@ BUCKET_SQL = " UNION ALL ".join(f"SELECT '{name}' AS bucket, c.edge, CASE WHEN z
 SERIES = "PARTITION BY event_id, key, book_id, sel_idx ORDER BY captured_at, l_orderkey, l_linenumber"
 HOURS_LEFT = "date_diff('hour', captured_at, kickoff)"
 ORACLES = {
+    "readiness": f"""WITH {QUOTES_CTE} e AS (SELECT event_id, key, sel_idx, lower(trim(book)) AS norm, min(struct_pack(t := captured_at, a := l_orderkey, b := l_linenumber, o := odds)).o AS first, max(struct_pack(t := captured_at, a := l_orderkey, b := l_linenumber, o := odds)).o AS last FROM quotes WHERE captured_at <= kickoff GROUP BY ALL),
+      s AS (SELECT event_id, key, sel_idx, median(first) FILTER (norm NOT IN ('pinnacle', 'betfair exchange')) AS c, count(first) FILTER (norm NOT IN ('pinnacle', 'betfair exchange')) AS books, max(first) FILTER (norm NOT IN ('pinnacle', 'betfair exchange')) AS best, max(last) FILTER (norm = 'pinnacle') AS close FROM e GROUP BY ALL),
+      m AS (SELECT *, count(*) OVER w = CASE key WHEN '1x2' THEN 3 ELSE 2 END AS whole, count(c) OVER w = count(*) OVER w AS all_c, count(close) OVER w = count(*) OVER w AS all_k, min(books) OVER w < 2 AS thin, sum(1 / c) OVER w AS bc, sum(1 / close) OVER w AS bk FROM s WINDOW w AS (PARTITION BY event_id, key)),
+      f AS (SELECT *, CASE WHEN whole AND all_c THEN 1 / c / bc END AS fair, CASE WHEN whole AND all_k THEN 1 / close / bk END AS cf FROM m),
+      b AS (SELECT *, row_number() OVER (PARTITION BY event_id, key ORDER BY fair - 1 / best DESC, sel_idx) AS rk FROM f WHERE fair IS NOT NULL AND NOT thin AND fair - 1 / best >= 0.02),
+      g AS (SELECT key, count(*) AS bets, count(cf) AS graded, avg(ln(best * cf)) AS clv, stddev_pop(ln(best * cf)) / sqrt(count(cf)) AS se FROM b WHERE rk = 1 GROUP BY key),
+      v AS (SELECT event_id, key, max(fair) AS fair, max(cf) AS cf, bool_or(thin) AS thin FROM f GROUP BY ALL), t AS (SELECT key, count(*) AS events, count(fair) AS with_signal, count(*) FILTER (fair IS NOT NULL AND NOT thin) AS thick, count(cf) AS with_close FROM v GROUP BY key)
+      SELECT t.*, coalesce(bets, 0) AS bets, coalesce(graded, 0) AS graded, round(clv, 6) AS clv, round(se, 6) AS se FROM t LEFT JOIN g ON t.key = g.key""",
     "market_anchors": f"""WITH {STATE} tu AS (SELECT event_id, key, sel_idx, list(fair) OVER w AS l, row_number() OVER (PARTITION BY event_id, key ORDER BY sel_idx) AS i FROM fr WINDOW w AS (PARTITION BY event_id, key ORDER BY sel_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
       tf AS (SELECT event_id, key, sel_idx, CASE WHEN event_id % 7 = 0 THEN l[len(l) + 1 - i] ELSE l[i] END AS fair FROM tu), mq AS (SELECT event_id, key, sel_idx, q / sum(q) OVER (PARTITION BY event_id, key) AS q, n, fair FROM md JOIN tf USING (event_id, key, sel_idx)),
       gu AS (SELECT DISTINCT a.event_id, a.key FROM mq a JOIN mq b USING (event_id, key) WHERE a.n >= 3 AND a.q - b.q > 0.10 AND a.fair <= b.fair)
