@@ -13,7 +13,7 @@ from fairline.functions.devig import devig, let
 from fairline.functions.odds import SHARP, anchor_type, commission, edge, expected_value, normal_book, pick_tier
 
 MARKET = ("event_id",)
-TIME = ("captured_at", "l_orderkey", "l_linenumber")
+TIME = ("captured_at", "l_orderkey", "l_linenumber", "odds")
 #: Fewest full-market books of a consensus; overround bounds of an anchor; by how much a consensus must separate two selections to outrank the anchor. Fixed values.
 BOOKS, MAX_OVERROUND, SWAP = 3, 0.12, 0.10
 

@@ -123,7 +123,7 @@ def appended_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fresh_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change-only quotes, and those whose version is over all before."""
     q = quotes(spark, sf_dir).withColumn("version", F.col("l_orderkey") % 50)
-    key, order = ["event_id", "key", "book_id", "sel_idx"], ["captured_at", "l_orderkey", "l_linenumber"]
+    key, order = ["event_id", "key", "book_id", "sel_idx"], ["captured_at", "l_orderkey", "l_linenumber", "odds"]
     changed = upserts.changed_only(q, key, order, "odds").select("l_orderkey", "l_linenumber", F.lit("price").alias("why"))
     return changed.unionByName(upserts.advanced_only(q, ["event_id", "key"], order, "version").select("l_orderkey", "l_linenumber", F.lit("version").alias("why")))
 
@@ -186,7 +186,7 @@ ORACLES = {
       SELECT coalesce(i.key, k.key) AS key, coalesce(i.country, k.country) AS country, coalesce(rows, 0) AS rows, k.key IS NULL AS new FROM i FULL JOIN k ON i.key = k.key AND i.country = k.country""",
     "appended_quotes": f"""WITH {QUOTES_CTE} f AS (SELECT *, row_number() OVER (PARTITION BY event_id, key, book_id, sel_idx, captured_at ORDER BY l_orderkey, l_linenumber, odds) AS rn FROM quotes WHERE l_orderkey % 3 <> 0 AND event_id % 10 <> 0)
       SELECT event_id, key, book_id, sel_idx, strftime(captured_at, '%Y-%m-%d %H') AS hour, odds, l_orderkey FROM f WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM quotes q WHERE q.l_orderkey % 3 = 0 AND q.event_id = f.event_id AND q.key = f.key AND q.book_id = f.book_id AND q.sel_idx = f.sel_idx AND q.captured_at = f.captured_at)""",
-    "fresh_quotes": f"""WITH {QUOTES_CTE} c AS (SELECT l_orderkey, l_linenumber, odds, lag(odds) OVER w AS before, l_orderkey % 50 AS version, max(l_orderkey % 50) OVER (PARTITION BY event_id, key ORDER BY captured_at, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM quotes WINDOW w AS (PARTITION BY event_id, key, book_id, sel_idx ORDER BY captured_at, l_orderkey, l_linenumber))
+    "fresh_quotes": f"""WITH {QUOTES_CTE} c AS (SELECT l_orderkey, l_linenumber, odds, lag(odds) OVER w AS before, l_orderkey % 50 AS version, max(l_orderkey % 50) OVER (PARTITION BY event_id, key ORDER BY captured_at, l_orderkey, l_linenumber, odds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM quotes WINDOW w AS (PARTITION BY event_id, key, book_id, sel_idx ORDER BY captured_at, l_orderkey, l_linenumber, odds))
       SELECT l_orderkey, l_linenumber, 'price' AS why FROM c WHERE before IS NULL OR before <> odds UNION ALL SELECT l_orderkey, l_linenumber, 'version' FROM c WHERE top IS NULL OR version > top""",
     "alerts": f"""WITH {PICKS_CTE} a AS (SELECT sha256(concat_ws('|', event_id::VARCHAR, family, selection, version::VARCHAR)) AS alert, count(*) AS rows, arg_min(struct_pack(e := event_id, s := selection, b := book, o := odds, g := pick_fair - 1 / odds), pick_id) AS f FROM picks WHERE tier = 'premium' GROUP BY 1)
       SELECT alert, rows, printf('event %d: %s at %.2f (%s), edge %.1f%%', f.e, f.s, f.o, f.b, f.g * 100) AS text FROM a""",

@@ -147,7 +147,7 @@ def poll_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a market and selection: the soft books' first prices as a consensus, the best of them, and the sharp book's own fair close, in one pass."""
     q = quotes(spark, sf_dir).where("captured_at <= kickoff").withColumn("norm", fo.normal_book(F.col("book")))
-    at = F.struct("captured_at", "l_orderkey", "l_linenumber")
+    at = F.struct(*market.TIME)
     ends = q.groupBy(*KEYS, "sel_idx", "norm").agg(F.min_by("odds", at).alias("first"), F.max_by("odds", at).alias("last"))
     soft = F.when(~F.col("norm").isin(*SHARP), F.col("first"))
     side = ends.groupBy(*KEYS, "sel_idx").agg(F.median(soft).alias("consensus"), F.count(soft).alias("books"), F.max(soft).alias("best"), F.max(F.when(F.col("norm") == "pinnacle", F.col("last"))).alias("close"))
@@ -160,7 +160,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By market: how many events reach each step from a signal to a graded bet, and the bets' closing value."""
     m = signals(spark, sf_dir)
-    legs = F.transform(F.arrays_zip(F.col("s").alias("s"), F.col("fair").alias("fair"), F.col("close_fair").alias("cf")), lambda x: F.struct((x["fair"] - 1 / x["s"]["best"]).alias("edge"), (-x["s"]["sel_idx"]).alias("turn"), x["s"]["best"].alias("odds"), x["cf"].alias("close_fair")))
+    legs = F.transform(F.arrays_zip(F.col("s").alias("s"), F.col("fair").alias("fair"), F.coalesce("close_fair", F.transform("s", lambda x: F.lit(None).cast("double"))).alias("cf")), lambda x: F.struct((x["fair"] - 1 / x["s"]["best"]).alias("edge"), (-x["s"]["sel_idx"]).alias("turn"), x["s"]["best"].alias("odds"), x["cf"].alias("close_fair")))
     usable = F.col("fair").isNotNull() & ~F.col("thin")
     best = m.withColumn("bet", F.when(usable, F.array_max(legs))).withColumn("bet", F.when(F.col("bet.edge") >= 0.02, F.col("bet")))
     clv = fo.clv_log(F.col("bet.odds"), F.col("bet.close_fair"))
@@ -179,7 +179,7 @@ def at(hours: float, n: str) -> str:
     """Oracle tables of the state some hours before the start, named by n: state, whole books, medians, anchor odds, fair chances, best soft price, candidates."""
     return f"""
 st{n} AS (SELECT *, lower(trim(book)) AS norm, 1 + (odds - 1) * (1 - CASE lower(trim(book)) WHEN 'betfair exchange' THEN 0.05e0 WHEN 'matchbook' THEN 0.02e0 ELSE 0e0 END) AS net
-  FROM (SELECT *, row_number() OVER (PARTITION BY event_id, key, book_id, sel_idx ORDER BY captured_at DESC, l_orderkey DESC, l_linenumber DESC) AS rn FROM quotes WHERE captured_at <= kickoff - INTERVAL 1 HOUR * {hours}) WHERE rn = 1),
+  FROM (SELECT *, row_number() OVER (PARTITION BY event_id, key, book_id, sel_idx ORDER BY captured_at DESC, l_orderkey DESC, l_linenumber DESC, odds DESC) AS rn FROM quotes WHERE captured_at <= kickoff - INTERVAL 1 HOUR * {hours}) WHERE rn = 1),
 wd{n} AS (SELECT event_id, key, count(DISTINCT sel_idx) AS width, count(DISTINCT norm) FILTER (norm NOT IN ('pinnacle', 'betfair exchange')) AS soft FROM st{n} GROUP BY ALL),
 fb{n} AS (SELECT s.* FROM st{n} s JOIN wd{n} w USING (event_id, key) QUALIFY count(*) OVER (PARTITION BY event_id, key, book_id) = w.width),
 sh{n} AS (SELECT event_id, key, arg_min(book_id, book_id) AS book_id FROM (SELECT event_id, key, book_id FROM fb{n} WHERE norm IN ('pinnacle', 'betfair exchange') GROUP BY ALL HAVING sum(1 / net) - 1 BETWEEN 0 AND 0.12) GROUP BY ALL),
@@ -199,7 +199,7 @@ STATE = QUOTES_CTE + at(0, "")
 SPORT = "CASE event_id % 4 WHEN 0 THEN 'basketball' WHEN 1 THEN 'tennis' ELSE 'soccer' END"
 UP = "kickoff > TIMESTAMP '1996-01-02' AND kickoff <= TIMESTAMP '1996-02-10'"
 BUCKET_SQL = " UNION ALL ".join(f"SELECT '{name}' AS bucket, c.edge, CASE WHEN z.fair > 0 AND z.fair < 1 THEN ln(c.net * z.fair) END AS clv FROM ca{h} c LEFT JOIN fr0 z USING (event_id, key, sel_idx) WHERE c.edge BETWEEN 0.015 AND 0.30" for h, name in BUCKETS)
-SERIES = "PARTITION BY event_id, key, book_id, sel_idx ORDER BY captured_at, l_orderkey, l_linenumber"
+SERIES = "PARTITION BY event_id, key, book_id, sel_idx ORDER BY captured_at, l_orderkey, l_linenumber, odds"
 HOURS_LEFT = "date_diff('hour', captured_at, kickoff)"
 ORACLES = {
     "readiness": f"""WITH {QUOTES_CTE} e AS (SELECT event_id, key, sel_idx, lower(trim(book)) AS norm, min(struct_pack(t := captured_at, a := l_orderkey, b := l_linenumber, o := odds)).o AS first, max(struct_pack(t := captured_at, a := l_orderkey, b := l_linenumber, o := odds)).o AS last FROM quotes WHERE captured_at <= kickoff GROUP BY ALL),
@@ -231,12 +231,12 @@ ORACLES = {
         count(DISTINCT norm) FILTER (norm NOT IN ('pinnacle', 'betfair exchange')) AS s, count(DISTINCT norm) FILTER (norm IN ('pinnacle', 'betfair exchange')) AS h FROM st GROUP BY ALL)
       SELECT event_id, key, soft_fresh, sharp_fresh, CAST(CASE WHEN soft_fresh THEN s ELSE 0 END + CASE WHEN sharp_fresh THEN h ELSE 0 END AS INTEGER) AS books_left FROM m""",
     "steam_verdicts": f"""WITH {QUOTES_CTE} t AS (SELECT *, lower(trim(book)) AS norm FROM quotes WHERE captured_at <= kickoff AND captured_at >= kickoff - INTERVAL 24 HOUR AND odds > 1),
-      s AS (SELECT event_id, key, sel_idx, norm, min(struct_pack(t := captured_at, a := l_orderkey, b := l_linenumber, p := 1 / odds)).p AS first, max(struct_pack(t := captured_at, a := l_orderkey, b := l_linenumber, p := 1 / odds)).p AS last, count(*) AS n, max(captured_at) AS at, any_value(kickoff) AS kickoff FROM t WHERE norm IN ('bet365', 'pinnacle') GROUP BY ALL),
+      s AS (SELECT event_id, key, sel_idx, norm, 1 / min(struct_pack(t := captured_at, a := l_orderkey, b := l_linenumber, o := odds)).o AS first, 1 / max(struct_pack(t := captured_at, a := l_orderkey, b := l_linenumber, o := odds)).o AS last, count(*) AS n, max(captured_at) AS at, any_value(kickoff) AS kickoff FROM t WHERE norm IN ('bet365', 'pinnacle') GROUP BY ALL),
       j AS (SELECT f.*, f.last - f.first AS move, a.first AS af, a.last AS al, epoch(f.kickoff) - epoch(a.at) AS age FROM (SELECT * FROM s WHERE norm = 'bet365') f LEFT JOIN (SELECT * FROM s WHERE norm = 'pinnacle') a USING (event_id, key, sel_idx)),
       g AS (SELECT *, CASE WHEN n >= 2 AND af - first >= 0.002 THEN ((af - first) - (al - last)) / (af - first) END AS closed, age IS NULL OR age > 7200 AS stale, n >= 2 AND -move >= 0.01 AS steamed FROM j)
       SELECT event_id, key, sel_idx, stale, coalesce(closed >= 0.5 AND al - last < af - first, false) AS toward, steamed, stale OR coalesce(closed >= 0.5 AND al - last < af - first, false) AS tripped, round(closed, 6) AS closed_fraction, CAST(age AS BIGINT) AS anchor_age, CASE WHEN n >= 2 THEN round(move, 6) END AS soft_move FROM g""",
     "timed_drift": f"""WITH {QUOTES_CTE} q AS (SELECT event_id, key FROM quotes WHERE captured_at <= kickoff GROUP BY ALL HAVING count(DISTINCT captured_at) >= 2 AND max(captured_at) >= any_value(kickoff) - INTERVAL 4 HOUR),
-      c AS (SELECT *, last_value(odds) OVER w AS close, row_number() OVER (PARTITION BY event_id, key, book_id, sel_idx ORDER BY captured_at DESC, l_orderkey DESC, l_linenumber DESC) AS back FROM quotes SEMI JOIN q USING (event_id, key) WHERE captured_at <= kickoff WINDOW w AS ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+      c AS (SELECT *, last_value(odds) OVER w AS close, row_number() OVER (PARTITION BY event_id, key, book_id, sel_idx ORDER BY captured_at DESC, l_orderkey DESC, l_linenumber DESC, odds DESC) AS back FROM quotes SEMI JOIN q USING (event_id, key) WHERE captured_at <= kickoff WINDOW w AS ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
       SELECT CASE WHEN {HOURS_LEFT} < 1 THEN '<1h' WHEN {HOURS_LEFT} < 5 THEN '1-5h' WHEN {HOURS_LEFT} < 24 THEN '5-24h' WHEN {HOURS_LEFT} < 48 THEN '24-48h' ELSE '>48h' END AS bucket, count(*) AS n, round(avg(ln(close / odds)), 6) AS drift FROM c WHERE back > 1 GROUP BY 1""",
     "edge_by_bucket": f"WITH {QUOTES_CTE} {''.join(at(h, str(h)) for h, _ in BUCKETS)} e AS ({BUCKET_SQL}) SELECT bucket, count(*) AS n, CASE WHEN count(*) >= 30 THEN round(avg(edge), 6) END AS mean_edge, CASE WHEN count(*) >= 30 THEN round(avg(clv), 6) END AS mean_clv, CASE WHEN count(*) >= 30 THEN round(avg(CASE WHEN clv > 0 THEN 1 WHEN clv <= 0 THEN 0 END), 6) END AS beat FROM e GROUP BY bucket",
     "capture_coverage": f"""WITH {QUOTES_CTE} e AS (SELECT event_id, {SPORT} AS sport, bool_or(lower(trim(book)) = 'pinnacle') AS sharp, count(DISTINCT CASE WHEN book = 'betfair exchange' AND key IN ('1x2', 'home_away') THEN key || sel_idx END) AS legs, max(CASE key WHEN '1x2' THEN 3 ELSE 2 END) AS width FROM quotes WHERE {UP} GROUP BY ALL)
