@@ -255,3 +255,19 @@ def across(rows: DataFrame) -> DataFrame:
     one, every = dealt(kept(outside, "outside"))
     others = one.alias("x").join(every.alias("y"), F.expr(f"x.key = y.key AND x.block = y.block AND x.component < y.component AND {fits}"))
     return with_most.select("x.class", F.col("y.component").alias("group")).union(others.select("x.class", F.col("y.component").alias("group")))
+
+
+#: The query's rows in DuckDB SQL: every pair that shares a shingle, and what is reachable.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+'), []) AS ws FROM documents),
+j AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS j FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) >= 5 THEN ws[j:j + 4] ELSE ws END, ' ') AS shingle FROM j),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * c >= 75 * (a.n + b.n - c)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT l.y, r.root FROM r JOIN l ON r.node = l.x),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.root, w.doc_id) AS component_id, coalesce(c.root, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.node
+"""

@@ -143,8 +143,11 @@ def hot_apart(blocks: DataFrame, hot: tuple[np.ndarray, ...]) -> DataFrame:
     return blocks.mapInArrow(split, "row long, anchor long, block long, begin int, last int, hot boolean, ref_row long, ref_begin int")
 
 
-def parsed(blocks: DataFrame, judged: DataFrame) -> DataFrame:
-    """(row, begin, last, ref_row, ref_begin) of every factor: its first and last window and its reference, in one pass over each document's blocks in order."""
+def parsed(blocks: DataFrame, judged: DataFrame, *, spans: bool = False) -> DataFrame:
+    """(row, begin, last, ref_row, ref_begin) of every factor: its first and last window and its reference, in one pass over each document's blocks in order.
+
+    spans: factors that follow each other without a gap are one row, with the first one's reference.
+    """
     names = ["row", "begin", "last", "ref_row", "ref_begin"]
     dealt = hot_apart(blocks, hot_blocks(blocks, judged))
     rare = dealt.where("NOT hot").select("row", "anchor", "block", "begin", "last").join(judged.where("times > 1").select("anchor", "block", "ref_row", "ref_begin"), ["anchor", "block"])
@@ -152,7 +155,18 @@ def parsed(blocks: DataFrame, judged: DataFrame) -> DataFrame:
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = lambda x: pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=names)
-        held = None  # the factor that the next batch may continue
+        held = span = None  # the factor, and the span of factors, that the next batch may continue
+
+        def joined(x: list[np.ndarray]) -> list[np.ndarray]:
+            nonlocal span
+            x = x if span is None else [np.concatenate([a, b]) for a, b in zip(span, x, strict=True)]
+            if not len(x[0]):
+                return x
+            head = np.flatnonzero(np.append(True, (x[0][1:] != x[0][:-1]) | (x[1][1:] > x[2][:-1] + 1)))
+            x = [np.append(c[head[1:] - 1], c[-1:]) if k == 2 else c[head] for k, c in enumerate(x)]
+            span = [c[-1:] for c in x]
+            return [c[:-1] for c in x]
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -165,9 +179,12 @@ def parsed(blocks: DataFrame, judged: DataFrame) -> DataFrame:
             x[2] = np.append(x[2][head[1:] - 1], x[2][-1:])
             x = [c if k == 2 else c[head] for k, c in enumerate(x)]
             held = [c[-1:] for c in x]
-            yield out([c[:-1] for c in x])
+            done = [c[:-1] for c in x]
+            yield out(joined(done) if spans else done)
         if held is not None:
-            yield out(held)
+            yield out(joined(held) if spans else held)
+        if span is not None:
+            yield out(span)
 
     return placed.repartition("row").sortWithinPartitions("row", "begin").mapInArrow(walk, "row long, begin int, last int, ref_row long, ref_begin int")
 
@@ -207,7 +224,7 @@ def repeated_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(row, begin, last): intervals of windows whose words start anywhere else as well."""
     blocks = kept(indexed_blocks(docs, window, anchor), "index")
     judged = kept(judged_blocks(blocks), "judged")
-    seen = parsed(blocks, judged).select("row", "begin", "last")
+    seen = parsed(blocks, judged, spans=True).select("row", "begin", "last")
     edges = judged.where("boundary")
     # One place of each distinct block: the only one, or that of the smallest row where it stands.
     only = blocks.join(edges.select("anchor", "block", "times", F.col("ref_row").alias("row")), ["anchor", "block", "row"])

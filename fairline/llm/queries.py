@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairline.llm import context_coder, lz_spans, quality_rules, toxic_lexicon
+from fairline.llm import circulant_minhash, context_coder, lz_spans, quality_rules, toxic_lexicon
 from fairline.llm.circulant_minhash import near_duplicates
 from fairline.llm.edit_matching import contaminated
 from fairline.llm.html_text import page_texts
@@ -85,4 +85,5 @@ QUERIES = {
 ORACLES = {
     "op1_lz_spans": lz_spans.ORACLE,
     "op4_url_reputation": url_oracle(),
+    "op9_circulant_minhash": circulant_minhash.ORACLE,
 }
