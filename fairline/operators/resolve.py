@@ -161,7 +161,9 @@ def alike_names(left: DataFrame, right: DataFrame, accept: float = ALIKE) -> Dat
 
     known = [side.where("name <> ''").distinct().select(F.col("name").alias(to), F.explode(keyed("name")).alias("key")) for side, to in ((left, "ours"), (right, "theirs"))]
     pairs = known[0].join(known[1], "key").select("ours", "theirs").distinct()
-    scored = pairs.where(~different_clubs(F.col("ours"), F.col("theirs"))).withColumn("alike", similarity("ours", "theirs")).where(F.col("alike") >= accept)
+    # Sorted words that are 90 % alike can't differ more in length; the built-in tests leave few pairs for Python.
+    near = F.least(F.length("ours"), F.length("theirs")) * (200 - SORTED_ALIKE) >= F.greatest(F.length("ours"), F.length("theirs")) * SORTED_ALIKE
+    scored = pairs.where(near & ~different_clubs(F.col("ours"), F.col("theirs"))).withColumn("alike", similarity("ours", "theirs")).where(F.col("alike") >= accept)
     return scored.where((F.col("ours") == F.col("theirs")) | (token_sort_ratio("ours", "theirs") >= SORTED_ALIKE))
 
 
