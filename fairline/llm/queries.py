@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairline.llm import circulant_minhash, context_coder, lz_spans, quality_rules, toxic_lexicon
+from fairline.llm import bit_slices, circulant_minhash, context_coder, lz_spans, quality_rules, suffix_phrases, toxic_lexicon
+from fairline.llm.anchor_expansion import personal_data
 from fairline.llm.circulant_minhash import near_duplicates
 from fairline.llm.edit_matching import contaminated
 from fairline.llm.html_text import page_texts
@@ -70,6 +71,22 @@ def op10_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
 
 
+def op11_bit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors; a seventh of the labels is moved on by one."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS LONG) + 1) % 10 ELSE label END"))
+    return bit_slices.hard_negatives(vectors, "key % 100 = 0")
+
+
+def op12_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first phrases of two or three words."""
+    return suffix_phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lz_spans": op1_lz_spans,
     "op2_edit_matching": op2_edit_matching,
@@ -81,9 +98,14 @@ QUERIES = {
     "op8_quartile_digest": op8_quartile_digest,
     "op9_circulant_minhash": op9_circulant_minhash,
     "op10_slack_packing": op10_slack_packing,
+    "op11_bit_slices": op11_bit_slices,
+    "op12_suffix_phrases": op12_suffix_phrases,
+    "op13_anchor_expansion": op13_anchor_expansion,
 }
 ORACLES = {
     "op1_lz_spans": lz_spans.ORACLE,
     "op4_url_reputation": url_oracle(),
     "op9_circulant_minhash": circulant_minhash.ORACLE,
+    "op11_bit_slices": bit_slices.ORACLE,
+    "op12_suffix_phrases": suffix_phrases.ORACLE,
 }
