@@ -148,10 +148,10 @@ def stack_counts(batches: Iterator[pa.RecordBatch], max_n: int, least: int) -> I
     last: pa.RecordBatch | None = None
     names = [f"w{m}" for m in range(max_n)]
 
-    def rows(heads: pa.RecordBatch, counts: np.ndarray, length: int) -> pa.RecordBatch:
-        whole = heads.column("deep").to_numpy() < length
+    def rows(batch: pa.RecordBatch, at: np.ndarray, counts: np.ndarray, length: int) -> pa.RecordBatch:
+        whole = batch.column("deep").to_numpy()[at] < length
         keep = ~whole | (counts >= least)
-        heads, counts, whole = heads.filter(pa.array(keep)), counts[keep], whole[keep]
+        heads, counts, whole = batch.take(pa.array(at[keep])), counts[keep], whole[keep]
         phrase = pc.binary_join_element_wise(*(heads.column(c) for c in names[:length]), " ")
         return pa.RecordBatch.from_arrays([heads.column("lang"), pa.array(np.full(len(counts), length, np.int32)), phrase, pa.array(counts), pa.array(whole)], names=["lang", "words", "phrase", "n", "whole"])
 
@@ -175,17 +175,17 @@ def stack_counts(batches: Iterator[pa.RecordBatch], max_n: int, least: int) -> I
             if not len(cut):
                 continue
             if held is not None:
-                yield rows(held[0], np.array([held[1]], np.int64), length)
+                yield rows(held[0], np.zeros(1, np.int64), np.array([held[1]]), length)
             counts = np.diff(np.append(total[cut], total[-1]))
-            there = column.take(pa.array(cut)).to_numpy(zero_copy_only=False) != ""  # shorter suffixes have no prefix of this length
+            there = batch.column(c).is_valid().to_numpy(zero_copy_only=False)[cut]  # shorter suffixes have no prefix of this length
             done = there[:-1]
             if done.any():
-                yield rows(batch.take(pa.array(cut[:-1][done])), counts[:-1][done], length)
+                yield rows(batch, cut[:-1][done], counts[:-1][done], length)
             open_[length - 1] = (batch.slice(int(cut[-1]), 1), int(counts[-1])) if there[-1] else None
         last = batch.slice(batch.num_rows - 1, 1)
     for length, held in enumerate(open_, 1):
         if held is not None:
-            yield rows(held[0], np.array([held[1]], np.int64), length)
+            yield rows(held[0], np.zeros(1, np.int64), np.array([held[1]]), length)
 
 
 def phrase_counts(docs: DataFrame, *, max_n: int = MAX_N, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
