@@ -6,9 +6,10 @@ all suffixes with a common prefix stand in a row, the longer before the shorter.
 stack of the open prefixes, one of each length, then counts every prefix; it takes arrays of rows
 at a time. The frequencies of a phrase's parts are joined afterwards.
 
-A first word with a set share of all suffixes is dealt out by its second word as well, and a pair
-with such a share by its third; only the counts of these short prefixes are sums of several tasks'.
-The list of hot prefixes has a bounded length.
+A first pass over the texts counts words by language and lists the prefixes with a set share of all
+words, so the list is bounded. A suffix with such a first word is dealt out by its second word as
+well, and so on; only the counts of these short prefixes are sums of several tasks'. The list
+decides where a suffix goes, never what is counted.
 
 Ranks come without a group in one task: candidates are sorted by ranges, numbered inside each
 range, and the ranges before are added.
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairline.llm.store import kept
-from fairline.llm.words import sliced, text_arrays
+from fairline.llm.words import BASE, mixed, sliced, text_arrays, words_of
 
 MAX_N, LEAST, COVERED, TOP = 3, 10, 50, 2000
-#: Bytes of text counted at a time, rows that one task sorts, about, and prefixes with one HOT-th of all suffixes are hot.
+#: Bytes of text counted at a time, rows that one task sorts, about, and prefixes with one HOT-th of all words are hot.
 CHUNK, TASK_ROWS, HOT = 6 << 20, 4_000_000, 2000
 WORD, BLANK, BREAK = 0, 1, 2
 KINDS = np.zeros(256, np.uint8)
@@ -39,6 +40,9 @@ KINDS[[0x20, 0x09]] = BLANK
 KINDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = BREAK
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Between the words of a suffix, under all other characters; where a word has it, a tab stands, which no word has.
+GAP = "\0"
+LOWER[0] = 9
 
 
 def word_ids(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -62,138 +66,186 @@ def word_ids(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words.dictionary, words.indices.to_numpy().astype(np.int64), last - np.arange(len(start))
 
 
-def counted_suffixes(texts: pa.Array, max_n: int) -> list[pa.Array]:
-    """Distinct suffixes of at most max_n words, a column for each word, null where it ends before, and their counts."""
-    words, ids, follow = word_ids(texts)
-    size, code, bound = len(words) + 1, ids + 1, len(words) + 1
-    for m in range(1, max_n):
-        nxt = np.zeros(len(ids), np.int64)
-        nxt[: len(ids) - m] = ids[m:] + 1
-        nxt[follow < m] = 0
-        if bound * size >= 1 << 62:
-            code = np.unique(code, return_inverse=True)[1]
-            bound = len(code)
-        code, bound = code * size + nxt, bound * size
-    _, place, count = np.unique(code, return_index=True, return_counts=True)
-    columns = []
-    for m in range(max_n):
-        has = follow[place] >= m
-        columns.append(words.take(pa.array(ids[np.minimum(place + m, len(ids) - 1)] if len(ids) else place, mask=~has)))
-    return [*columns, pa.array(count.astype(np.int64))]
+def hashed(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each of some distinct words."""
+    return words_of(words).hashes
+
+
+def following(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a prefix with one more word."""
+    return mixed(hashes * BASE + word)
+
+
+def start_of(lang: str) -> np.uint64:
+    """The hash of a prefix of no words."""
+    return words_of(pa.array(["l" + "".join(f"{b:02x}" for b in lang.encode())])).hashes[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The batches in tables of about CHUNK bytes of text; one longer text is a table of its own."""
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
+    """(language, its texts) of about CHUNK bytes at a time; one longer text is taken alone."""
     held: list[pa.RecordBatch] = []
     size = 0
+
+    def parts() -> Iterator[tuple[str, pa.Array]]:
+        table = pa.Table.from_batches(held)
+        for lang in pc.unique(table.column("lang")).to_pylist():
+            yield lang, pa.concat_arrays([c.cast(pa.large_string()) for c in table.filter(pc.equal(table.column("lang"), lang)).column("text").chunks])
+
     for batch in batches:
         for part in sliced(batch, "text", CHUNK):
             own = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
             if held and size + own > CHUNK:
-                yield pa.Table.from_batches(held)
+                yield from parts()
                 held, size = [], 0
             held.append(part)
             size += own
     if held:
-        yield pa.Table.from_batches(held)
+        yield from parts()
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
 
 
-def suffixes(docs: DataFrame, max_n: int) -> DataFrame:
-    """(lang, w0, w1, ..., n): suffixes with the counts of one chunk of texts."""
-    names = ["lang", *(f"w{m}" for m in range(max_n)), "n"]
+def frequent_prefixes(docs: DataFrame, max_n: int) -> DataFrame:
+    """(lang, words, prefix, n): words 0 for all words of a language, else the hash and count of prefixes of that many words that have one HOT-th of some chunk's words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches):
-            for lang in pc.unique(table.column("lang")).to_pylist():
-                texts = table.filter(pc.equal(table.column("lang"), lang)).column("text").combine_chunks()
-                texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
-                found = counted_suffixes(texts, max_n)
-                out = pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(found[0]), np.int32)), pa.array([lang], pa.string())).dictionary_decode(), *found], names=names)
-                for at in range(0, out.num_rows, 1 << 16):
-                    yield out.slice(at, 1 << 16)
-
-    plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
-    return plain.mapInArrow(count, f"lang string, {', '.join(f'w{m} string' for m in range(max_n))}, n long")
-
-
-def hot_prefixes(found: DataFrame, rows: int, max_n: int) -> list[DataFrame]:
-    """(lang, w0, ...) of the prefixes of each length under max_n that at least rows / HOT suffixes have, so at most HOT a length; none are hot if there are few suffixes."""
-    least, hot = max(HOT, -(-rows // HOT)), []
+        for lang, texts in chunks(batches):
+            words, ids, follow = word_ids(texts)
+            if not len(ids):
+                continue
+            found = [(0, 0, len(ids))]
+            least, own, at = max(16, len(ids) // HOT), hashed(words), np.arange(len(ids))
+            prefix = np.full(len(ids), start_of(lang))
+            for m in range(max_n - 1):
+                prefix = following(prefix, own[ids[at + m]])
+                kinds, back, n = np.unique(prefix, return_inverse=True, return_counts=True)
+                found += [(m + 1, int(h), int(c)) for h, c in zip(kinds[n >= least].view(np.int64), n[n >= least], strict=True)]
+                keep = (n[back] >= least) & (follow[at] > m)
+                prefix, at = prefix[keep], at[keep]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), *(pa.array([f[k] for f in found], t) for k, t in ((0, pa.int32()), (1, pa.int64()), (2, pa.int64())))], names=["lang", "words", "prefix", "n"])
+
+    return plain(docs).mapInArrow(count, "lang string, words int, prefix long, n long").groupBy("lang", "words", "prefix").agg(F.sum("n").alias("n"))
+
+
+def counted_suffixes(texts: pa.Array, lang: str, max_n: int, hot: list[np.ndarray]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct suffixes as language and words with GAP between, their counts, how many of their prefixes are hot, and by what they are dealt out."""
+    words, ids, follow = word_ids(texts)
+    size, code, bound = len(words) + 1, ids + 1, len(words) + 1
+    for m in range(1, max_n):
+        nxt = np.zeros(len(ids), np.int64)
+        nxt[: max(0, len(ids) - m)] = ids[m:] + 1
+        nxt[follow < m] = 0
+        if bound * size >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+            bound = len(code)
+        code, bound = code * size + nxt, bound * size
+    _, place, count = np.unique(code, return_index=True, return_counts=True)
+    own, most = hashed(words), len(ids) - 1
+    prefix = following(np.full(len(place), start_of(lang)), own[ids[place]]) if len(place) else np.array([], np.uint64)
+    slot, deep = prefix, np.zeros(len(place), np.int8)
     for m in range(1, max_n):
-        by = ["lang", *(f"w{k}" for k in range(m))]
-        some = found if not hot else found.join(F.broadcast(hot[-1]), by[:-1], "left_semi")
-        hot.append(kept(some.where(F.col(by[-1]).isNotNull()).groupBy(*by).count().where(F.col("count") >= least).select(*by), "hot"))
-    return hot
+        more = (deep == m - 1) & (follow[place] >= m) & np.isin(prefix, hot[m - 1])
+        deep[(deep == m - 1) & np.isin(prefix, hot[m - 1])] = m
+        prefix = np.where(follow[place] >= m, following(prefix, own[ids[np.minimum(place + m, most)]]), prefix) if len(place) else prefix
+        slot = np.where(more, prefix, slot)
+    columns = [words.take(pa.array(ids[np.minimum(place + m, most)] if len(place) else place, mask=follow[place] < m)) for m in range(max_n)]
+    front = pa.scalar(lang.replace(GAP, "\t"))
+    return pc.binary_join_element_wise(front, *columns, GAP, null_handling="skip"), count, deep, slot
+
 
+def dealt(docs: DataFrame, words: int, max_n: int, hot: list[np.ndarray]) -> DataFrame:
+    """(suffix, n, deep): suffixes by language and first word, in reverse order; deep: prefixes of up to so many words stand in several tasks."""
 
-def dealt(found: DataFrame, rows: int, max_n: int) -> DataFrame:
-    """The suffixes by language and first word, sorted in reverse; deep: prefixes of up to so many words stand in several tasks."""
-    spark = found.sparkSession
-    names, deep, keys = ["lang", *(f"w{m}" for m in range(max_n))], F.lit(0), [F.col("lang"), F.col("w0")]
-    for m, hot in enumerate(hot_prefixes(found, rows, max_n), 1):
-        found = found.join(F.broadcast(hot.withColumn(f"hot{m}", F.lit(True))), names[: m + 1], "left")
-        deep = deep + F.col(f"hot{m}").isNotNull().cast("int")
-        keys.append(F.when(F.col(f"hot{m}"), F.col(f"w{m}")))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
-    spread = found.withColumn("deep", deep).repartition(tasks, *keys).select(*names, "n", "deep")
-    return spread.sortWithinPartitions(*(F.desc_nulls_last(c) for c in names))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in chunks(batches):
+            suffix, n, deep, slot = counted_suffixes(texts, lang, max_n, hot)
+            out = pa.RecordBatch.from_arrays([suffix.cast(pa.string()), pa.array(n.astype(np.int64)), pa.array(deep), pa.array((slot >> np.uint64(33)).astype(np.int32))], names=["suffix", "n", "deep", "slot"])
+            for at in range(0, out.num_rows, 1 << 16):
+                yield out.slice(at, 1 << 16)
+
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // TASK_ROWS))
+    spread = plain(docs).mapInArrow(count, "suffix string, n long, deep byte, slot int").repartition(tasks, "slot")
+    return spread.select("suffix", "n", "deep").sortWithinPartitions(F.desc("suffix"))
+
+
+def prefix_ends(data: np.ndarray, at: np.ndarray, max_n: int) -> np.ndarray:
+    """For each row and number of words where that prefix ends, 0 if the suffix is shorter; the language stands before."""
+    gaps = np.flatnonzero(data == 0)
+    first = np.searchsorted(gaps, at[:-1])  # the gap after the language
+    many = np.searchsorted(gaps, at[1:]) - first
+    ends = np.zeros((len(at) - 1, max_n), np.int64)
+    for m in range(max_n):
+        inner = many > m + 1
+        ends[:, m] = np.where(inner, gaps[np.minimum(first + m + 1, len(gaps) - 1)], np.where(many == m + 1, at[1:], at[:-1])) - at[:-1]
+    return ends
+
+
+def common_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many bytes each row but the first has in common with the one before."""
+    n = np.minimum(np.diff(at)[1:], np.diff(at)[:-1])
+    own = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(own, n)
+    differ = data[np.repeat(at[1:-1], n) + place] != data[np.repeat(at[:-2], n) + place]
+    return np.minimum.reduceat(np.append(np.where(differ, place, 1 << 40), 1 << 40), own)[: len(n)] if len(n) else n
 
 
 def stack_counts(batches: Iterator[pa.RecordBatch], max_n: int, least: int) -> Iterator[pa.RecordBatch]:
     """(lang, words, phrase, n, whole) of all prefixes of sorted suffixes; whole counts under `least` are left out.
 
-    open: the stack, for each prefix length the batch of one row that it began with and its count.
+    The stack is the last row of the batch before and the counts of its prefixes, one of each
+    length; the row goes before the next batch without a count of its own.
     """
-    open_: list[tuple[pa.RecordBatch, int] | None] = [None] * max_n
-    last: pa.RecordBatch | None = None
-    names = [f"w{m}" for m in range(max_n)]
+    last, stack = None, np.zeros(max_n, np.int64)
 
-    def rows(batch: pa.RecordBatch, at: np.ndarray, counts: np.ndarray, length: int) -> pa.RecordBatch:
-        whole = batch.column("deep").to_numpy()[at] < length
-        keep = ~whole | (counts >= least)
-        heads, counts, whole = batch.take(pa.array(at[keep])), counts[keep], whole[keep]
-        phrase = pc.binary_join_element_wise(*(heads.column(c) for c in names[:length]), " ")
-        return pa.RecordBatch.from_arrays([heads.column("lang"), pa.array(np.full(len(counts), length, np.int32)), phrase, pa.array(counts), pa.array(whole)], names=["lang", "words", "phrase", "n", "whole"])
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        split = [(*f.split(GAP), n, whole) for f, n, whole in found]
+        lang, phrase = [x[0].replace("\t", GAP) for x in split], [" ".join(x[1:-2]).replace("\t", GAP) for x in split]
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array([len(x) - 3 for x in split], pa.int32()), pa.array(phrase, pa.string()), pa.array([x[-2] for x in split], pa.int64()), pa.array([x[-1] for x in split], pa.bool_())], names=["lang", "words", "phrase", "n", "whole"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        n = batch.column("n").to_numpy()
-        total = np.concatenate([[0], np.cumsum(n)])
-        changed = np.zeros(batch.num_rows, bool)
-        for length, c in enumerate(["lang", *names]):
-            column = pc.fill_null(batch.column(c), "")
-            changed[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-            changed[0] |= last is None or (last.column(c)[0].as_py() or "") != column[0].as_py()
-            if not length:
-                continue
-            cut = np.flatnonzero(changed)
-            held = open_[length - 1]
-            if held is not None:
-                upto = int(total[cut[0]]) if len(cut) else int(total[-1])
-                held = open_[length - 1] = (held[0], held[1] + upto)
-            if not len(cut):
-                continue
-            if held is not None:
-                yield rows(held[0], np.zeros(1, np.int64), np.array([held[1]]), length)
-            counts = np.diff(np.append(total[cut], total[-1]))
-            there = batch.column(c).is_valid().to_numpy(zero_copy_only=False)[cut]  # shorter suffixes have no prefix of this length
-            done = there[:-1]
-            if done.any():
-                yield rows(batch, cut[:-1][done], counts[:-1][done], length)
-            open_[length - 1] = (batch.slice(int(cut[-1]), 1), int(counts[-1])) if there[-1] else None
-        last = batch.slice(batch.num_rows - 1, 1)
-    for length, held in enumerate(open_, 1):
-        if held is not None:
-            yield rows(held[0], np.zeros(1, np.int64), np.array([held[1]]), length)
+        held = 0 if last is None else 1
+        suffixes = pa.concat_arrays([last[0], batch.column("suffix")]) if held else batch.column("suffix")
+        n, deep = ((np.concatenate([a, b]) if held else b) for a, b in ((last[1] if held else None, batch.column("n").to_numpy()), (last[2] if held else None, batch.column("deep").to_numpy())))
+        data, at = text_arrays(suffixes)
+        ends, total = prefix_ends(data, at, max_n), np.concatenate([[0], np.cumsum(n)])
+        common = np.concatenate([[-1], common_starts(data, at)])
+        before, out = np.roll(ends, 1, 0), []
+        for m in range(max_n):
+            has = ends[:, m] > 0
+            new = np.flatnonzero(~(has & (before[:, m] == ends[:, m]) & (common >= ends[:, m])))  # rows whose prefix is not that of the row before
+            counts = np.diff(np.append(total[new], total[-1]))
+            if held:
+                counts[0] += stack[m]
+            stack[m] = counts[-1]  # the last run may go on
+            done = np.arange(len(new) - 1)
+            whole = deep[new[done]] <= m
+            done = done[has[new[done]] & (~whole | (counts[done] >= least))]
+            raw = data.tobytes() if len(done) else b""
+            out += [(raw[at[r] : at[r] + ends[r, m]].decode(), c, w) for r, c, w in zip(new[done].tolist(), counts[done].tolist(), (deep[new[done]] <= m).tolist(), strict=True)]
+        last = suffixes[-1:], np.zeros(1, np.int64), deep[-1:]
+        if out:
+            yield rows(out)
+    if last is not None:
+        data, at = text_arrays(last[0])
+        ends = prefix_ends(data, at, max_n)[0]
+        if out := [(data[:e].tobytes().decode(), int(c), bool(last[2][0] <= m)) for m, (e, c) in enumerate(zip(ends, stack, strict=True)) if e and (last[2][0] > m or c >= least)]:
+            yield rows(out)
 
 
 def phrase_counts(docs: DataFrame, *, max_n: int = MAX_N, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, n) of all phrases of at most max_n words that occur `least` times, and (lang, n) of all words."""
-    found = kept(suffixes(docs, max_n), "suffixes")
-    counted = kept(dealt(found, found.count(), max_n).mapInArrow(lambda batches: stack_counts(batches, max_n, least), "lang string, words int, phrase string, n long, whole boolean"), "prefixes")
+    prefixes = kept(frequent_prefixes(docs, max_n), "frequent")
+    totals = prefixes.where("words = 0").select("lang", "n")
+    words = totals.agg(F.sum("n")).first()[0] or 0
+    rows = prefixes.where((F.col("words") > 0) & (F.col("n") >= max(HOT, -(-words // HOT)))).select("words", "prefix").collect()
+    hot = [np.array([r.prefix for r in rows if r.words == m], np.int64).view(np.uint64) for m in range(1, max_n)]
+    counted = kept(dealt(docs, words, max_n, hot).mapInArrow(lambda batches: stack_counts(batches, max_n, least), "lang string, words int, phrase string, n long, whole boolean"), "prefixes")
     sums = counted.where("NOT whole").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return counted.where("whole").select("lang", "words", "phrase", "n").union(sums), found.groupBy("lang").agg(F.sum("n").alias("n"))
+    return counted.where("whole").select("lang", "words", "phrase", "n").union(sums), totals
 
 
 def scored(counts: DataFrame, covered: int) -> DataFrame:
