@@ -1,9 +1,9 @@
-"""Backtests over matches with an anchor's and the best prices: candidates, one bet a market, sweeps, cells, walk-forward and exposure."""
+"""Backtests over matches with an anchor's and the best prices: candidates, one bet a market, sweeps, cells and training windows."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairline.functions.devig import devig, let
+from fairline.functions.devig import devig
 from fairline.functions.odds import clv_log, edge, expected_value, kelly_fraction, odds_band
 from fairline.operators.reports import ratio
 
@@ -105,39 +105,12 @@ def epochs(matches: DataFrame, first: Column, *, every_days: int = 7) -> DataFra
     return matches.withColumn("epoch", F.when(days >= 0, F.date_add(first, (F.floor(days / every_days) * every_days).cast("int"))))
 
 
-def training_rows(matches: DataFrame, refits: DataFrame, *, window_days: int = 540) -> DataFrame:
-    """(epoch, match): what each refit may see, strictly before its day and within the window. refits: epoch.
+def training_rows(matches: DataFrame, refits: DataFrame, *, window_days: int = 540, by: tuple[str, ...] = ()) -> DataFrame:
+    """(epoch, match): what each refit may see, strictly before its day and within the window. refits: epoch and by, whose values must agree.
 
     Matches meet refits by blocks of the window's length, so no pair outside two neighbouring blocks is formed.
     """
     block = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / window_days)
-    ends = refits.select("epoch", F.explode(F.array(block(F.col("epoch")) - 1, block(F.col("epoch")))).alias("block"))
-    inside = matches.withColumn("block", block(F.col("played"))).join(ends, "block")
+    ends = refits.select(*by, "epoch", F.explode(F.array(block(F.col("epoch")) - 1, block(F.col("epoch")))).alias("block"))
+    inside = matches.withColumn("block", block(F.col("played"))).join(ends, ["block", *by])
     return inside.where((F.col("played") < F.col("epoch")) & (F.datediff("epoch", "played") <= window_days)).drop("block")
-
-
-def reserved(requests: DataFrame, *, day_cap: float, event_cap: float | None = None, preloaded: DataFrame | None = None, order: list[str]) -> DataFrame:
-    """Grants in order within each day: what fits in the day's room and the event's, after what was taken before.
-
-    requests: day, event_id, fraction and the order's columns; preloaded: day, event_id, fraction already
-    taken. A day's requests are one row, folded in order; days are the parallel axis. A negative fraction gives back.
-    """
-    taken = preloaded if preloaded is not None else requests.select("day", "event_id", "fraction").limit(0)
-    used = taken.groupBy("day").agg(F.collect_list(F.struct("event_id", "fraction")).alias("taken"))
-    days = requests.groupBy("day").agg(F.array_sort(F.collect_list(F.struct(*order, "event_id", "fraction"))).alias("asked")).join(used, "day", "left")
-    start = F.struct(
-        F.coalesce(F.aggregate("taken", F.lit(0.0), lambda s, t: s + t["fraction"]), F.lit(0.0)).alias("day"),
-        F.coalesce(F.transform("taken", lambda t: F.struct(t["event_id"].alias("event_id"), t["fraction"].alias("granted"))), F.array().cast("array<struct<event_id:bigint,granted:double>>")).alias("events"),
-        F.array().cast("array<double>").alias("grants"),
-    )
-
-    def step(s: Column, r: Column) -> Column:
-        of_event = F.aggregate(F.filter(s["events"], lambda e: e["event_id"] == r["event_id"]), F.lit(0.0), lambda t, e: t + e["granted"])
-        day_room = F.greatest(F.lit(day_cap) - s["day"], F.lit(0.0))
-        room = F.least(day_room, F.greatest(F.lit(event_cap) - of_event, F.lit(0.0))) if event_cap is not None else day_room
-        grant = F.when(r["fraction"] < 0, -F.least(-r["fraction"], s["day"])).otherwise(F.least(r["fraction"], room))
-        return let(grant, lambda g: F.struct((s["day"] + g).alias("day"), F.array_append(s["events"], F.struct(r["event_id"].cast("bigint").alias("event_id"), g.alias("granted"))).alias("events"), F.array_append(s["grants"], g).alias("grants")))
-
-    folded = days.withColumn("f", F.aggregate("asked", start, step))
-    out = folded.select("day", F.explode(F.arrays_zip("asked", F.col("f.grants").alias("granted"))).alias("x"))
-    return out.select("day", "x.asked.*", "x.granted")

@@ -146,6 +146,39 @@ def fit_leagues(matches: DataFrame, as_of: Column, *, xi: float = 0.0019, least:
     return rows.groupBy("league").applyInPandas(fit, "league string, team string, attack double, defence double, home double, rho double")
 
 
+def fit_pair_sums(pdf: pd.DataFrame, rounds: int = 200) -> pd.DataFrame:
+    """(team, attack, defence, home, rho) from one row a pair of teams: home, away, neutral, weight, home_sum, away_sum (weighted goals) and low_00 to low_11 (weights of low scores).
+
+    The fit of fit_leagues: its steps need no more of the matches than these sums.
+    """
+    teams, codes = np.unique(np.concatenate([pdf["home"], pdf["away"]]), return_inverse=True)
+    n, size = len(pdf), len(teams)
+    h, a = codes[:n], codes[n:]
+    w, hg, ag, own = (pdf[c].to_numpy(t) for c, t in (("weight", float), ("home_sum", float), ("away_sum", float), ("neutral", bool)))
+    own = ~own
+    add = lambda at, x: np.bincount(at, x, size)
+    scored, conceded, played_home = add(h, hg) + add(a, ag), add(a, hg) + add(h, ag), hg[own].sum()
+    goals_each = (hg.sum() + ag.sum()) / max(2 * w.sum(), 1e-300)
+    attack, defence, edge = np.ones(size), np.full(size, max(1e-6, goals_each)), 1.2
+    for _ in range(rounds):
+        e, was = np.where(own, edge, 1.0), defence
+        attack = (scored + 1e-6) / (add(h, w * e * defence[a]) + add(a, w * defence[h]) + 1e-6)
+        attack /= attack.mean()
+        defence = (conceded + 1e-6) / (add(a, w * e * attack[h]) + add(h, w * attack[a]) + 1e-6)
+        edge = max(0.2, played_home / max((w * attack[h] * defence[a])[own].sum(), 1e-9)) if own.any() else 1.0
+        if np.abs(defence - was).max() < 1e-13:
+            break
+    lh, la = attack[h] * defence[a] * np.where(own, edge, 1.0), attack[a] * defence[h]
+    low = [pdf[f"low_{c}"].to_numpy(float) for c in ("00", "01", "10", "11")]
+
+    def likelihood(rho: float) -> float:
+        parts = (1 - lh * la * rho, 1 + lh * rho, 1 + la * rho, np.full(n, 1 - rho))
+        return float(sum((x * np.log(np.maximum(v, 1e-9))).sum() for x, v in zip(low, parts, strict=True)))
+
+    rho = max(np.linspace(-0.2, 0.2, 81), key=likelihood)
+    return pd.DataFrame({"team": teams, "attack": attack, "defence": defence, "home": edge, "rho": rho})
+
+
 def predicted(fixtures: DataFrame, fitted: DataFrame, line: float = 2.5) -> DataFrame:
     """fixtures with the model's chances; those with an unknown team have nulls. fixtures: league, home, away, neutral."""
     h = fitted.select("league", F.col("team").alias("home"), F.col("attack").alias("ha"), F.col("defence").alias("hd"), F.col("home").alias("edge"), "rho")

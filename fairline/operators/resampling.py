@@ -54,6 +54,17 @@ def paired_increment(chosen: DataFrame, base: DataFrame, cluster: str, value: st
     return interval(each, diff).withColumn("stable", F.col("replicates") >= max(50, replicates // 2))
 
 
+def positioned(rows: DataFrame, day: str, order: list[str]) -> DataFrame:
+    """rows with position, from 0 in order of day and order. Only rows of one day are sorted together; the days before are a running sum of one row a day."""
+    days = rows.groupBy(day).agg(F.count("*").alias("n")).withColumn("year", F.year(day))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("year").orderBy(day).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    years = days.groupBy("year").agg(F.sum("n").alias("n"))
+    earlier = years.alias("y").join(years.alias("e"), F.col("e.year") < F.col("y.year"), "left").groupBy("y.year").agg(F.coalesce(F.sum("e.n"), F.lit(0)).alias("earlier"))  # a row a year
+    ahead = days.withColumn("inside", inside).join(F.broadcast(earlier), "year").select(day, (F.col("inside") + F.col("earlier")).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy(day).orderBy(*order))
+    return rows.join(ahead, day).withColumn("position", F.col("ahead") + place - 1).drop("ahead")
+
+
 def block_bootstrap_paths(returns: DataFrame, *, paths: int = 500, block: int = 20, starting: float = 1.0, seed: int = 7, flat: bool = False, draw=None) -> DataFrame:
     """Terminal wealth and worst drawdown of circular block bootstrap paths over one ordered series.
 

@@ -1,13 +1,11 @@
 """Entity resolution: names, markers, aliases, and events and scores of different sources.
 
 Names are folded by built-in functions; only the letter similarity of pairs of distinct names
-runs in Python, in Arrow batches. Pairs of names meet by keys that no pair of enough likeness can
-miss, and events by day and both names, never by a cross join.
+runs in Python, in Arrow batches. Pairs of names meet by rare runs of letters that no pair of enough
+likeness can miss, and events by day and both names, never by a cross join.
 """
 
 import difflib
-import math
-from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +26,8 @@ APART = (
 )
 #: Least likeness of names: Jaro-Winkler, and words sorted; margin of a clear winner; minutes between a match's kickoffs. Fixed values.
 ALIKE, SORTED_ALIKE, MARGIN, MINUTES = 0.92, 90.0, 0.04, 360
-#: Letters from rare to common; the order of block_keys.
-COMMON = "qjzxvkwybpgfmcudhlnrtsioea "
+#: Letters of a plain name, and the length of the runs by which names meet.
+LETTERS, GRAM = "abcdefghijklmnopqrstuvwxyz0123456789 ", 3
 
 
 def normalized(name: Column) -> Column:
@@ -125,28 +123,65 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([100 * difflib.SequenceMatcher(None, words(x), words(y), False).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def block_keys(name: str | None, accept: float) -> list[str]:
-    """Keys of which two names share at least one if their Jaro-Winkler value reaches accept.
+def letter_grams(text: Column) -> Column:
+    """array of (gram, at): every run of GRAM letters of a text with its place; a shorter text is one gram."""
+    n = F.length(text)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (GRAM - 1), F.lit(1))), lambda i: F.struct(F.substring(text, i, GRAM).alias("gram"), i.alias("at")))
+    return F.when(n > 0, runs)
 
-    With p letters of common prefix, Jaro has to reach j = (accept - p/10) / (1 - p/10), so at least
-    3j - 2 of the longer name's letters have a partner in the other. If two sets share that many
-    letters (numbered where they repeat), the first ones of both in any fixed order, up to the
-    number that may be missing plus one, meet; each is a key together with the prefix.
+
+def most_edits(n: Column, m: Column) -> Column:
+    """Letters that may lack a partner in two sorted names of n and m letters if SORTED_ALIKE per cent of all letters have one."""
+    return F.floor((n + m) * (100 - SORTED_ALIKE) / 100 + 1e-9)
+
+
+def ranked_grams(names: DataFrame, grams: DataFrame) -> DataFrame:
+    """names (name, sorted) with their rarest grams, enough of them that two names that are alike share one: (name, sorted, letters, gram, at).
+
+    Each letter without a partner breaks at most GRAM of its own name's grams, and GRAM - 1 of the
+    other's. A name of n letters has most of them broken by the partner with the fewest letters that is
+    still long enough; if so many may be lost, the first lost + 1 grams in any order common to all
+    names hold one that both share. The order is by how many names have a gram.
+    """
+    n = F.length("sorted")
+    shortest = F.ceil(n * (SORTED_ALIKE / (200 - SORTED_ALIKE)) - 1e-9)
+    lost = F.array_max(F.transform(F.sequence(F.greatest(shortest, F.lit(1)), F.floor(n * ((200 - SORTED_ALIKE) / SORTED_ALIKE) + 1e-9)), lambda m: broken(n, m)))
+    each = names.select("name", "sorted", n.alias("letters"), lost.alias("lost"), F.explode(letter_grams(F.col("sorted"))).alias("g"))
+    counted = each.select("name", "sorted", "letters", "lost", "g.gram", "g.at").join(grams, "gram")
+    rare = F.array_sort(F.collect_list(F.struct("names", "gram", "at")))
+    first = counted.groupBy("name", "sorted", "letters", "lost").agg(rare.alias("r")).select("name", "sorted", "letters", F.explode(F.slice("r", 1, F.col("lost").cast("int") + 1)).alias("r"))
+    return first.select("name", "sorted", "letters", "r.gram", "r.at")
+
+
+def broken(n: Column, m: Column) -> Column:
+    """The most grams that a sorted name of n letters loses against one of m letters that is alike."""
+    edits = most_edits(n, m)
+    edits = edits - F.when((edits + n + m) % 2 == 1, 1).otherwise(0)  # as many letters too many as the lengths differ, the rest in pairs
+    return (edits + n - m) / 2 * GRAM + (edits - n + m) / 2 * (GRAM - 1)
+
+
+def letter_counts(text: Column) -> Column:
+    return F.array(*(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS))
+
+
+def letter_distance(a: Column, b: Column) -> Column:
+    """How many letters of two names' counts have no partner; never more than the letters that have none in order."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+
+
+def name_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(ours, theirs): the pairs of distinct names (name) whose sorted words may be SORTED_ALIKE, and no pair that can't by length, places and letters.
+
+    Pairs meet by a rare gram. A shared gram's places differ by no more than the letters without a partner.
+    Grams are runs of at most GRAM of 37 letters, so their table is bounded.
     """
-    if not name:
-        return [""]
-    seen = Counter()
-    letters = []
-    for c in name:
-        seen[c] += 1
-        letters.append((COMMON.find(c) - 9 * seen[c], c, seen[c]))
-    letters.sort()
-    keys = []
-    for p in range(min(4, len(name)) + 1):
-        share = 3 * (accept - 0.1 * p) / (1 - 0.1 * p) - 2
-        need = max(1, math.ceil(share * len(name) - 1e-9))
-        keys += [f"{name[:p]}|{c}{k}" for _, c, k in letters[: max(0, len(name) - need + 1)]]
-    return keys
+    sides = [s.where("name <> ''").select("name").distinct().withColumn("sorted", F.array_join(F.array_sort(words(F.col("name"))), " ")) for s in (left, right)]
+    every = sides[0].union(sides[1]).select(F.explode(letter_grams(F.col("sorted"))).alias("g"))
+    grams = every.groupBy("g.gram").agg(F.count("*").alias("names"))
+    ours, theirs = (ranked_grams(s, F.broadcast(grams)).withColumn("counts", letter_counts(F.col("sorted"))) for s in sides)
+    edits = most_edits(F.col("x.letters"), F.col("y.letters"))
+    fits = (F.col("x.gram") == F.col("y.gram")) & (F.abs(F.col("x.letters") - F.col("y.letters")) <= edits) & (F.abs(F.col("x.at") - F.col("y.at")) <= edits) & (letter_distance(F.col("x.counts"), F.col("y.counts")) <= edits)
+    return ours.alias("x").join(theirs.alias("y"), fits).select(F.col("x.name").alias("ours"), F.col("y.name").alias("theirs")).distinct()
 
 
 def alike_names(left: DataFrame, right: DataFrame, accept: float = ALIKE) -> DataFrame:
@@ -154,16 +189,7 @@ def alike_names(left: DataFrame, right: DataFrame, accept: float = ALIKE) -> Dat
 
     Equal, or alike by letters and by sorted words without differing in words that tell clubs apart.
     """
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def keyed(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: block_keys(n, accept))
-
-    known = [side.where("name <> ''").distinct().select(F.col("name").alias(to), F.explode(keyed("name")).alias("key")) for side, to in ((left, "ours"), (right, "theirs"))]
-    pairs = known[0].join(known[1], "key").select("ours", "theirs").distinct()
-    # Sorted words that are 90 % alike can't differ more in length; the built-in tests leave few pairs for Python.
-    near = F.least(F.length("ours"), F.length("theirs")) * (200 - SORTED_ALIKE) >= F.greatest(F.length("ours"), F.length("theirs")) * SORTED_ALIKE
-    scored = pairs.where(near & ~different_clubs(F.col("ours"), F.col("theirs"))).withColumn("alike", similarity("ours", "theirs")).where(F.col("alike") >= accept)
+    scored = name_pairs(left, right).where(~different_clubs(F.col("ours"), F.col("theirs"))).withColumn("alike", similarity("ours", "theirs")).where(F.col("alike") >= accept)
     return scored.where((F.col("ours") == F.col("theirs")) | (token_sort_ratio("ours", "theirs") >= SORTED_ALIKE))
 
 
@@ -249,6 +275,68 @@ def match_hardened(left: DataFrame, right: DataFrame, *, aliases: DataFrame | No
     return ranked.where(~unclear & ~again).select(F.col("l_ref").alias("left_ref"), best["ref"].alias("right_ref"), F.round(best["score"], 6).alias("score"))
 
 
+def near_events(left: DataFrame, right: DataFrame, *, aliases: DataFrame | None = None, days: int = 1, minutes: int = MINUTES) -> DataFrame:
+    """(left_ref, right_ref, reason, home_alike, away_alike, names): for each left event the nearest right one of the days with one club at least in common.
+
+    Both clubs count before one, then the score, the kickoff and the ref. reason: kickoff, markers, league
+    or ambiguous if both clubs agree, names if one does. names: base names of the side that doesn't.
+    """
+    sides = []
+    for side in (left, right):
+        s = side.select("ref", "home", "away", "kickoff", F.coalesce("league", F.lit("")).alias("league"), F.concat_ws("|", F.concat_ws(",", markers(F.col("home"))), F.concat_ws(",", markers(F.col("away")))).alias("marks"))
+        sides.append(canonical(s.withColumns({"home": base_name(F.col("home")), "away": base_name(F.col("away"))}), ["home", "away"], aliases).where("home <> '' AND away <> ''"))
+    alike = alike_names(*(s.select(F.explode(F.array("home", "away")).alias("name")) for s in sides))
+    ours, theirs = over_days(sides[0], days), sides[1].withColumn("day", F.to_date("kickoff"))
+    pairs = None
+    for c in ("home", "away"):  # events meet by one club's name, and each pair once a club in common
+        one = ours.alias("l").join(alike, F.col(f"l.{c}") == F.col("ours")).join(theirs.alias("r"), (F.col("l.day") == F.col("r.day")) & (F.col(f"r.{c}") == F.col("theirs")))
+        one = one.select("l.ref", F.struct("l.*").alias("l"), F.struct("r.*").alias("r"), F.lit(c).alias("side"), "alike")
+        pairs = one if pairs is None else pairs.unionByName(one)
+    apart = F.abs(F.unix_micros(F.col("l.kickoff").cast("timestamp")) - F.unix_micros(F.col("r.kickoff").cast("timestamp")))
+    met = pairs.groupBy("ref", F.col("r.ref").alias("other")).agg(F.collect_set("side").alias("sides"), F.sum("alike").alias("score"), F.first("l").alias("l"), F.first("r").alias("r")).withColumn("apart", apart)
+    best = met.groupBy("ref").agg(F.min_by(F.struct("other", "sides", "l", "r", "apart"), F.struct(-F.size("sides"), -F.col("score"), "apart", "other")).alias("b")).select("ref", "b.*")
+    both = F.size("sides") == 2
+    reason = (
+        F.when(~both, "names").when(F.col("apart") > minutes * 60_000_000, "kickoff").when(F.col("l.marks") != F.col("r.marks"), "markers")
+        .when(~leagues_agree(F.col("l.league"), F.col("r.league")), "league").otherwise("ambiguous")
+    )
+    other = F.when(~both, F.when(F.array_contains("sides", "home"), F.struct(F.col("l.away").alias("ours"), F.col("r.away").alias("theirs"))).otherwise(F.struct(F.col("l.home").alias("ours"), F.col("r.home").alias("theirs"))))
+    return best.select(F.col("ref").alias("left_ref"), F.col("other").alias("right_ref"), reason.alias("reason"), F.array_contains("sides", "home").alias("home_alike"), F.array_contains("sides", "away").alias("away_alike"), other.alias("names"))
+
+
+def match_ladder(left: DataFrame, right: DataFrame, *, aliases: DataFrame | None = None, days: int = 1, minutes: int = MINUTES) -> DataFrame:
+    """Every left event once, matched by the first step that can: left_ref, right_ref, step, candidates, near_ref, reason.
+
+    Steps: strict, by names; slug, by the names of its page's address (slug_home, slug_away, normalized, null
+    if it has none); hardened. candidates: right events of the days; near_ref and reason: of an unmatched
+    event's nearest one, "no candidates" if the days have none, "names" if no club agrees.
+    """
+    strict = match_strict(left, right, aliases=aliases, days=days).withColumn("step", F.lit("strict"))
+    rest = left.join(strict, left["ref"] == strict["left_ref"], "left_anti")
+    by_slug = rest.where("slug_home IS NOT NULL AND slug_away IS NOT NULL").select("ref", "kickoff", F.col("slug_home").alias("home"), F.col("slug_away").alias("away"))
+    slug = match_strict(by_slug, right, aliases=aliases, days=days).withColumn("step", F.lit("slug"))
+    rest = rest.join(slug, rest["ref"] == slug["left_ref"], "left_anti")
+    hard = match_hardened(rest, right, aliases=aliases, days=days, minutes=minutes).select("left_ref", "right_ref", F.lit("hardened").alias("step"))
+    found = strict.unionByName(slug).unionByName(hard)
+    missed = rest.join(hard, rest["ref"] == hard["left_ref"], "left_anti")
+    near = near_events(missed, right, aliases=aliases, days=days, minutes=minutes).select("left_ref", F.col("right_ref").alias("near_ref"), "reason")
+    by_day = right.groupBy(F.to_date("kickoff").alias("day")).agg(F.count("*").alias("n"))
+    there = over_days(left.select("ref", "kickoff"), days).join(by_day, "day").groupBy(F.col("ref").alias("left_ref")).agg(F.sum("n").alias("candidates"))
+    every = left.select(F.col("ref").alias("left_ref")).join(found, "left_ref", "left").join(there, "left_ref", "left").join(near, "left_ref", "left")
+    reason = F.when(F.col("right_ref").isNotNull(), None).when(F.coalesce("candidates", F.lit(0)) == 0, "no candidates").otherwise(F.coalesce("reason", F.lit("names")))
+    return every.select("left_ref", "right_ref", F.coalesce("step", F.lit("none")).alias("step"), F.coalesce("candidates", F.lit(0)).alias("candidates"), "near_ref", reason.alias("reason"))
+
+
+def alias_candidates(left: DataFrame, right: DataFrame, *, aliases: DataFrame | None = None, days: int = 1, minutes: int = MINUTES, least: int = 2) -> DataFrame:
+    """(ours, theirs, fixtures): names that may be one club's, for review: they stood at the same side of nearest events whose other club agrees, in at least so many fixtures.
+
+    Names with other markers or that differ by words that tell clubs apart are none.
+    """
+    n = near_events(left, right, aliases=aliases, days=days, minutes=minutes).where("reason = 'names'").select("left_ref", "names.ours", "names.theirs")
+    safe = n.where((markers(F.col("ours")) == markers(F.col("theirs"))) & ~different_clubs(F.col("ours"), F.col("theirs")))
+    return safe.groupBy("ours", "theirs").agg(F.count_distinct("left_ref").alias("fixtures")).where(F.col("fixtures") >= least)
+
+
 def same_club(a: Column, b: Column, alike: Column, sorted_alike: Column) -> Column:
     """An independent check that two base names are one club's: equal, one within the other by words (two at least), alike by letters, or so with foreign letters folded."""
 

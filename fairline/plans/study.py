@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairline.operators import backtest, calibrate, goals, resampling
+from fairline.operators import backtest, calibrate, goals, ledger, resampling, walkforward
 from fairline.plans.value import rounded
 from fairline.sources.bridge import table
 from fairline.sources.picks import cte, picks
@@ -161,31 +161,41 @@ def clv_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staking_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terminal wealth and falls of staking policies over the same bootstrap paths, and which one the rules choose."""
-    b = backtest.bets_for(cands(spark, sf_dir).where("league = 'L1' AND won IS NOT NULL"), 0.02)
+    """Terminal wealth and falls of staking policies over the same bootstrap paths of all bets, and which one the rules choose."""
+    b = backtest.bets_for(cands(spark, sf_dir).where("won IS NOT NULL"), 0.02)
     kelly = F.greatest((F.col("fair") * F.col("odds") - 1) / (F.col("odds") - 1), F.lit(0.0))
-    ids = b.select("match_id", "unit", kelly.alias("kelly"), F.row_number().over(backtest.Window.orderBy("played", "match_id")).alias("position")).withColumn("position", F.col("position") - 1)
+    series = resampling.positioned(b.select("match_id", "played", "unit", kelly.alias("kelly")), "played", ["match_id"])
     shares = {"quarter": F.least(F.col("kelly") / 4, F.lit(0.02)), "tenth": F.least(F.col("kelly") / 10, F.lit(0.01)), "flat": F.lit(0.01)}
-    every = None
-    for name, share in shares.items():
-        logs = ids.select("position", F.log(F.greatest(1 + share * F.col("unit"), F.lit(1e-12))).alias("log_return"))
-        one = resampling.path_summary(resampling.block_bootstrap_paths(logs, paths=100, block=10)).withColumn("policy", F.lit(name))
-        every = one if every is None else every.unionByName(one)
-    return rounded(resampling.recommended_policy(every, "quarter"), "median", "p5", "p95", "drawdown_p95")
+    return rounded(resampling.recommended_policy(resampling.policy_paths(series, shares, paths=100, block=10), "quarter"), "median", "p5", "p95", "drawdown_p95")
 
 
 def event_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grants under a day's and an event's cap, in order, with some taken before and some given back."""
     p = picks(spark, sf_dir).select(F.date_format("created_at", "yyyy-MM-dd").alias("day"), "event_id", "pick_id", F.when(F.col("pick_id") % 13 == 0, -0.01).otherwise(0.004 * (1 + F.col("pick_id") % 4)).alias("fraction"))
     before = p.where("pick_id % 10 = 3").groupBy("day", "event_id").agg(F.sum(F.abs("fraction")).alias("fraction"))
-    g = backtest.reserved(p.where("pick_id % 10 <> 3"), day_cap=0.03, event_cap=0.01, preloaded=before, order=["pick_id"])
+    g = ledger.reserved(p.where("pick_id % 10 <> 3"), day_cap=0.03, event_cap=0.01, preloaded=before, order=["pick_id"])
     return rounded(g, "granted").select("day", "pick_id", "event_id", "granted")
 
 
+def walk_forward_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bets of a goals model that is fitted anew every week on the matches of 540 days before, judged against the fair prices of the day and of the close."""
+    m = wide(spark, sf_dir).withColumns({"neutral": F.col("match_id") % 7 == 0, "eligible": F.col("match_id") % 11 != 0})
+    found = walkforward.walk_forward(m, warmup=100)
+    return rounded(walkforward.model_bets(found), "model_p", "fair", "edge", "ev", "clv").select("match_id", "league", F.date_format("epoch", "yyyy-MM-dd").alias("epoch"), "pick", "model_p", "fair", "odds", "edge", "ev", "won", "clv")
+
+
+def written_stakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stakes of each day's picks after the ledger: new and upgraded ones reserve, repeated ones don't, and what kept premium picks have taken comes first."""
+    p = picks(spark, sf_dir).select(F.date_format("created_at", "yyyy-MM-dd").alias("day"), "event_id", "pick_id", F.lit("premium").alias("tier"), (0.004 * (1 + F.col("pick_id") % 4)).alias("fraction"), F.when(F.col("pick_id") % 5 == 0, "duplicate").when(F.col("pick_id") % 5 == 1, "upgraded").otherwise("inserted").alias("outcome"))
+    out = ledger.written_stakes(p.where("pick_id % 10 <> 3"), bankroll=10_000.0, day_cap=0.03, event_cap=0.01, preloaded=ledger.seeded(p.where("pick_id % 10 = 3")), order=["pick_id"])
+    return rounded(out, "granted").select("day", "pick_id", "event_id", "outcome", "granted", F.col("stake").cast("double").alias("stake"), "clipped", "skipped")
+
+
 QUERIES = {
     "goal_grid": goal_grid, "handicap_prices": handicap_prices, "implied_goals": implied_goals, "goal_model": goal_model, "calibrators": calibrators, "band_reliability": band_reliability, "quantile_reliability": quantile_reliability,
     "calibration_drift": calibration_drift, "clv_significance": clv_significance, "threshold_sweep": threshold_sweep, "cell_thresholds": cell_thresholds, "holdout_verdicts": holdout_verdicts, "kelly_path": kelly_path,
     "walk_forward_windows": walk_forward_windows, "roi_bootstrap": roi_bootstrap, "clv_increment": clv_increment, "staking_policies": staking_policies, "event_exposure": event_exposure,
+    "walk_forward_bets": walk_forward_bets, "written_stakes": written_stakes,
 }
 RATES_CTE = """
 rt AS (SELECT 0.7e0 + (o_custkey % 8) / 5e0 AS h, 0.5e0 + (o_orderkey % 6) / 4e0 AS a, count(*) AS n FROM orders GROUP BY ALL),

@@ -1,6 +1,8 @@
 """Session helper for local runs and tests; on a cluster pass your own session."""
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -17,3 +19,14 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder of spark.checkpoint.dir; where that is unset on one machine, in a folder of our own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fairline-"))
+    return df.checkpoint()

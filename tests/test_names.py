@@ -1,0 +1,61 @@
+"""Names that meet by rare runs of letters, and the ladder of matches with its near misses."""
+
+import datetime as dt
+import random
+
+from fairline.operators import resolve
+from fairline.plans import history
+from tests.conftest import SF
+from tests.test_operators import one_club
+
+SIDE = "ref long, home string, away string, league string, kickoff timestamp, slug_home string, slug_away string"
+T = dt.datetime(2024, 1, 1, 12)
+
+
+def names_and_slips(seed, alphabet, n, most):
+    """Names, and the same with letters dropped, doubled or swapped."""
+    rnd = random.Random(seed)
+    names = {" ".join("".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, most))) for _ in range(rnd.randint(1, 3))) for _ in range(n)}
+    slips = set()
+    for x in sorted(names):
+        k = rnd.randrange(len(x))
+        slips |= {x, x[:k] + x[k + 1 :], x[:k] + x[k] + x[k:], x[: k - 1] + x[k] + x[k - 1] + x[k + 1 :] if k else x}
+    tidy = lambda some: sorted({" ".join(x.split()) for x in some} - {""})
+    return tidy(names), tidy(slips)
+
+
+def test_name_pairs_miss_none(spark):
+    for seed, alphabet, n, most in ((1, "abc", 40, 6), (2, "abcdefghijklmnopqrstuvwxyz", 120, 9), (3, "ab1", 30, 14)):
+        ours, theirs = names_and_slips(seed, alphabet, n, most)
+        left, right = (spark.createDataFrame([(x,) for x in some], "name string") for some in (ours, theirs))
+        found = {(r.ours, r.theirs) for r in resolve.alike_names(left, right).collect()}
+        assert found == {(a, b) for a in ours for b in theirs if one_club(a, b)}
+
+
+def test_few_pairs_of_all_clubs(spark):
+    sides = [s.selectExpr("explode(array(home, away)) AS name").distinct() for s in history.event_sides(spark, SF)]
+    a, b = (s.count() for s in sides)
+    assert a > 900 and resolve.name_pairs(*sides).count() < 0.02 * a * b
+
+
+def test_ladder(spark):
+    left = [
+        (1, "alpha rovers", "beta town", "x", T, None, None), (2, "gamma", "delta", "x", T, "gamma rangers", "delta park"), (3, "epsiloniaville", "zetaburgh", "x", T, None, None), (4, "etaville", "thetaborough", "x", T, None, None),
+        (5, "iotaham women", "kappaham women", "x", T, None, None), (6, "lambdaportham", "muport", "x", T, None, None), (7, "nowhere", "noplace", "x", T + dt.timedelta(days=30), None, None), (8, "stranger", "unknown", "x", T, None, None), (9, "alpha rovers", "omicron", "x", T, None, None),
+    ]
+    right = [
+        (11, "alpha rovers", "beta town", "x", T, None, None), (12, "gamma rangers", "delta park", "x", T, None, None), (13, "epsilonjaville", "zetaburgh", "x", T + dt.timedelta(hours=2), None, None), (14, "etaville", "thetaborugh", "x", T + dt.timedelta(hours=9), None, None),
+        (15, "iotaham", "kappaham", "x", T, None, None), (16, "lambdaportam", "muport", "other", T, None, None), (17, "alpha rovers", "omega", "x", T, None, None),
+    ]
+    got = {r.left_ref: (r.right_ref, r.step, r.near_ref, r.reason) for r in resolve.match_ladder(*(spark.createDataFrame(x, SIDE) for x in (left, right))).collect()}
+    assert got == {
+        1: (11, "strict", None, None), 2: (12, "slug", None, None), 3: (13, "hardened", None, None), 4: (None, "none", 14, "kickoff"), 5: (None, "none", 15, "markers"),
+        6: (None, "none", 16, "league"), 7: (None, "none", None, "no candidates"), 8: (None, "none", None, "names"), 9: (None, "none", 11, "names"),
+    }
+
+
+def test_alias_candidates(spark):
+    left = [(i, "home united", "old wanderers", "x", T + dt.timedelta(days=3 * i), None, None) for i in range(3)] + [(9, "home united", "city", "x", T + dt.timedelta(days=30), None, None)]
+    right = [(10 + i, "home united", "the tramps", "x", T + dt.timedelta(days=3 * i), None, None) for i in range(3)] + [(19, "home united", "town", "x", T + dt.timedelta(days=30), None, None)]
+    found = resolve.alias_candidates(*(spark.createDataFrame(x, SIDE) for x in (left, right)), least=1).collect()
+    assert [(r.ours, r.theirs, r.fixtures) for r in found] == [("old wanderers", "the tramps", 3)]

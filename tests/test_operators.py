@@ -163,13 +163,6 @@ def test_aliases_and_wrong_games(spark, tmp_path):
     assert {r.i: r.reason for r in resolve.wrong_games(pairs, ordered=False).collect()}[5] is None
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text("abcd ", max_size=12), st.text("abcd ", max_size=12), st.sampled_from([0.6, 0.75, 0.92]))
-def test_block_keys_miss_no_pair(a, b, accept):
-    if resolve.jaro_winkler(a, b) >= accept:
-        assert set(resolve.block_keys(a, accept)) & set(resolve.block_keys(b, accept))
-
-
 def test_later_rows_do_not_change_the_state_at_kickoff(spark):
     """Leakage: what is captured after kickoff leaves the movement as it is."""
     schema = "event_id long, book_id long, sel_idx int, odds double, captured_at timestamp, kickoff timestamp, l_orderkey long, l_linenumber int"

@@ -71,24 +71,6 @@ def test_paths_equal_brute_force(spark, flat):
     assert resampling.block_bootstrap_paths(series.limit(0), paths=3).count() == 0
 
 
-def test_exposure_equals_brute_force(spark):
-    rows = [(d, e, i, 0.004 * (1 + i % 4) if i % 7 else -0.006) for i, (d, e) in enumerate((f"d{k % 3}", k % 5) for k in range(60))]
-    before = [("d0", 1, 0.008), ("d2", 3, 0.02)]
-    req = spark.createDataFrame(rows, "day string, event_id long, seq long, fraction double")
-    pre = spark.createDataFrame(before, "day string, event_id long, fraction double")
-    day, event, expected = defaultdict(float), defaultdict(float), {}
-    for d, e, f in before:
-        day[d] += f
-        event[d, e] += f
-    for d, e, i, f in rows:
-        g = -min(-f, day[d]) if f < 0 else min(f, max(0.03 - day[d], 0), max(0.012 - event[d, e], 0))
-        day[d] += g
-        event[d, e] += g
-        expected[i] = g
-    found = {r.seq: r.granted for r in backtest.reserved(req, day_cap=0.03, event_cap=0.012, preloaded=pre, order=["seq"]).collect()}
-    assert all(math.isclose(found[i], g, abs_tol=1e-12) for i, g in expected.items()) and len(found) == 60
-
-
 @pytest.mark.parametrize("name", sorted(set(study.QUERIES) - set(study.ORACLES)))
 def test_queries_without_sql_run(spark, name):
     assert study.QUERIES[name](spark, SF).count() > 0
