@@ -3,19 +3,22 @@
 Every window of WINDOW words has an anchor: its run of ANCHOR words with the smallest hash. The
 windows of one anchor occurrence, with the words they span, are a block; block bounds depend
 on content alone, so a passage is cut into the same blocks wherever it stands. The blocks of
-all documents, keyed by anchor, are the index; it gives one place (document and word) of each. A
-document is parsed left to right: a factor (reference place, length) goes on as long as the
-next block's place continues the reference, and ends at a block that occurs once or that the index
-places elsewhere. References are followed by blocks, not by single words, and the index's one place
-is taken, so a factor may be shorter than the longest one possible. The first place itself is
-parsed the same way, as its own reference.
+all documents, keyed by anchor, are the index; it gives one place (document and word) of each.
 
-Blocks with a set share of all occurrences are found by a list of bounded size, without a join.
+A document is parsed left to right into factors, each a reference (document, word) and a length. At
+a block that the index has whole the factor takes it and goes on with the next one as long as
+that continues the reference. At any other block whose anchor occurs again, the factor starts at the anchor
+and is extended word by word, to both sides and past the ends of blocks that agree, for as long as the
+document and the index's block of that anchor agree; a factor of at least WINDOW words is a
+duplicate span, in the document and at its reference. An anchor with many different blocks is dealt out in
+shares, and the block that the others are held against goes to each.
 
-The words under factors are repeated. At factor boundaries, where the anchor
-occurs again but in another block, the windows themselves are looked up among the windows of
-all blocks with that anchor. So a window is found repeated exactly if its words start anywhere
-else, and each word under such a window is removed, in every occurrence.
+At factor boundaries, where an anchor has more blocks than the two that were compared, the windows that
+no factor covers are looked up among the other blocks' of that anchor. So a window is found repeated exactly if
+its words start anywhere else, and each word under such a window is removed, in every occurrence.
+
+Blocks with a set share of all occurrences are found by a list of bounded size, without a join. Texts without
+a span or a boundary are not shuffled, as far as a bit map of bounded size tells them.
 
 Defined cases: null, empty and short texts have no windows and nothing is removed; repeated
 rows, with one id or several, are repeats of each other; rows are told apart by a hash of id
@@ -36,6 +39,8 @@ from fairline.llm.words import BASE, Words, mixed, runs, sliced, words_of
 WINDOW, ANCHOR = 35, 12
 #: A block with at least one HOT-th of all occurrences is hot, so there are at most HOT of them; in a small index, one that occurs HOT_LEAST times.
 HOT, HOT_LEAST = 10_000, 100
+#: Blocks of one anchor in one share, bits of the map of rows, and rows sent at a time.
+SHARE, FILTER_BITS, SENT = 256, 1 << 22, 4096
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
@@ -49,12 +54,12 @@ def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 
 
 def anchored(w: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Of each anchor occurrence: its text, anchor hash, first and last window (word numbers), in order."""
+    """Of each anchor occurrence: its text, anchor hash, first and last window and the anchor's first word (word numbers), in order."""
     inside = runs(w.hashes, anchor)
     spread = window - anchor + 1
     n = len(w.hashes) - window + 1
     if n < 1:
-        return (np.array([], np.int64), np.array([], np.uint64), np.array([], np.int64), np.array([], np.int64))
+        return (np.array([], np.int64), np.array([], np.uint64), *[np.array([], np.int64)] * 3)
     best, width = np.arange(len(inside)), 1  # place of the smallest run among the next `width`, the leftmost if equal
     while width < spread:
         step = min(width, spread - width)
@@ -66,11 +71,11 @@ def anchored(w: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     good = np.arange(n) + window <= w.first[text + 1]
     at = np.flatnonzero(good)
     if not len(at):
-        return (at, np.array([], np.uint64), at, at)
+        return (at, np.array([], np.uint64), at, at, at)
     best, text = best[at], text[at]
     new = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (text[1:] != text[:-1])]))
     last = np.append(new[1:], len(at)) - 1
-    return text[new], inside[best[new]], at[new], at[last]
+    return text[new], inside[best[new]], at[new], at[last], best[new]
 
 
 def parts_of(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, Words]]:
@@ -80,27 +85,27 @@ def parts_of(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterato
 
 
 def indexed_blocks(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(row, anchor, block, begin, last) of every block: its document's key, hashes, first and last window."""
+    """(row, anchor, block, begin, last, rel) of every block: its document's key, hashes, first and last window, and how many words stand before the anchor."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, w in parts_of(batches):
-            text, key, begin, last = anchored(w, window, anchor)
+            text, key, begin, last, at = anchored(w, window, anchor)
             block = span_hashes(w.hashes, begin, last + window) if len(begin) else key
             yield pa.RecordBatch.from_arrays(
-                [part.column("row").take(pa.array(text)), pa.array(key.view(np.int64)), pa.array(block.view(np.int64)), pa.array((begin - w.first[text]).astype(np.int32)), pa.array((last - w.first[text]).astype(np.int32))],
-                names=["row", "anchor", "block", "begin", "last"],
+                [part.column("row").take(pa.array(text)), pa.array(key.view(np.int64)), pa.array(block.view(np.int64)), pa.array((begin - w.first[text]).astype(np.int32)), pa.array((last - w.first[text]).astype(np.int32)), pa.array((at - begin).astype(np.int16))],
+                names=["row", "anchor", "block", "begin", "last", "rel"],
             )
 
-    return docs.mapInArrow(index, "row long, anchor long, block long, begin int, last int")
+    return docs.mapInArrow(index, "row long, anchor long, block long, begin int, last int, rel short")
 
 
 def judged_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks whose anchor occurs again: with how often the block occurs, a place in the smallest row it stands in, and whether other blocks have its anchor.
+    """Blocks whose anchor occurs again: with how often the block occurs, a place in the smallest row it stands in, how many kinds of block its anchor has, and which is the first by hash.
 
     Sums are made before the shuffle, so a block of a third of all rows is one row a task.
     """
     same = kept(blocks.groupBy("anchor", "block").agg(F.count("*").alias("times"), F.min("row").alias("ref_row"), F.min_by("begin", "row").alias("ref_begin")), "blocks")
-    repeated = same.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("times").alias("total")).where("total > 1").select("anchor", (F.col("kinds") > 1).alias("boundary"))
+    repeated = same.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("times").alias("total"), F.min("block").alias("head")).where("total > 1").select("anchor", "kinds", "head")
     return same.join(repeated, "anchor")
 
 
@@ -143,15 +148,20 @@ def hot_apart(blocks: DataFrame, hot: tuple[np.ndarray, ...]) -> DataFrame:
     return blocks.mapInArrow(split, "row long, anchor long, block long, begin int, last int, hot boolean, ref_row long, ref_begin int")
 
 
-def parsed(blocks: DataFrame, judged: DataFrame, *, spans: bool = False) -> DataFrame:
-    """(row, begin, last, ref_row, ref_begin) of every factor: its first and last window and its reference, in one pass over each document's blocks in order.
+def whole_blocks(blocks: DataFrame, judged: DataFrame) -> DataFrame:
+    """(row, begin, last, ref_row, ref_begin) of every block that the index has whole more than once."""
+    names = ["row", "begin", "last", "ref_row", "ref_begin"]
+    apart = hot_apart(blocks, hot_blocks(blocks, judged))
+    rare = apart.where("NOT hot").select("row", "anchor", "block", "begin", "last").join(judged.where("times > 1").select("anchor", "block", "ref_row", "ref_begin"), ["anchor", "block"])
+    return apart.where("hot").select(*names).union(rare.select(*names))
+
+
+def parsed(pieces: DataFrame, *, spans: bool = False) -> DataFrame:
+    """(row, begin, last, ref_row, ref_begin) of every factor: its first and last window and its reference, in one pass over each document's pieces in order.
 
     spans: factors that follow each other without a gap are one row, with the first one's reference.
     """
     names = ["row", "begin", "last", "ref_row", "ref_begin"]
-    dealt = hot_apart(blocks, hot_blocks(blocks, judged))
-    rare = dealt.where("NOT hot").select("row", "anchor", "block", "begin", "last").join(judged.where("times > 1").select("anchor", "block", "ref_row", "ref_begin"), ["anchor", "block"])
-    placed = dealt.where("hot").select(*names).union(rare.select(*names))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = lambda x: pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=names)
@@ -172,9 +182,13 @@ def parsed(blocks: DataFrame, judged: DataFrame, *, spans: bool = False) -> Data
                 continue
             x = [batch.column(c).to_numpy() for c in names]
             x = x if held is None else [np.concatenate([a, b]) for a, b in zip(held, x, strict=True)]
-            again = np.zeros(len(x[0]), bool)
-            again[1:] = (x[0][1:] == x[0][:-1]) & (x[2][1:] <= x[2][:-1])  # equal rows share their key
-            x = [c[~again] for c in x]
+            same = np.append(False, x[0][1:] == x[0][:-1])
+            furthest = np.maximum.accumulate(np.cumsum(~same) << 32 | x[2])  # in its row so far
+            keep = ~same
+            keep[1:] |= x[2][1:] > (furthest[:-1] & 0xFFFFFFFF)  # the others are inside of what is parsed; equal rows share their key
+            x = [c[keep] for c in x]
+            over = np.append(0, np.where(x[0][1:] == x[0][:-1], np.maximum(x[2][:-1] + 1 - x[1][1:], 0), 0)).astype(np.int32)
+            x[1], x[4] = x[1] + over, x[4] + over  # a piece begins where the one before it ends
             head = np.flatnonzero(np.append(True, ~goes_on(*x)))
             x[2] = np.append(x[2][head[1:] - 1], x[2][-1:])
             x = [c if k == 2 else c[head] for k, c in enumerate(x)]
@@ -186,57 +200,145 @@ def parsed(blocks: DataFrame, judged: DataFrame, *, spans: bool = False) -> Data
         if span is not None:
             yield out(span)
 
-    return placed.repartition("row").sortWithinPartitions("row", "begin").mapInArrow(walk, "row long, begin int, last int, ref_row long, ref_begin int")
+    return pieces.repartition("row").sortWithinPartitions("row", "begin", F.desc("last")).mapInArrow(walk, "row long, begin int, last int, ref_row long, ref_begin int")
 
 
-def window_hits(docs: DataFrame, checked: DataFrame, window: int) -> DataFrame:
-    """(row, begin) of windows at factor boundaries that occur again.
+def marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs with `maybe`, false for most rows whose key is not wanted and for none that is, by a bit map of key hashes of at most FILTER_BITS bits."""
+    bit = f"pmod(xxhash64(row), {FILTER_BITS})"
+    words = wanted.groupBy(F.expr(f"{bit} div 64").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} % 64 AS int)))").alias("bits"))
+    return docs.join(F.broadcast(words), F.expr(f"{bit} div 64 = word"), "left").withColumn("maybe", F.expr(f"coalesce(shiftright(bits, cast({bit} % 64 AS int)) & 1 = 1, false)")).drop("word", "bits")
 
-    checked: (row, anchor, begin, last, weight): one place of each distinct block of a boundary's
-    anchor, with how often the block occurs. A window is looked up by anchor and words together.
-    """
-    lists = checked.groupBy("row").agg(F.collect_list(F.struct("begin", "last", "anchor", "weight")).alias("checks"))
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def boundary_blocks(docs: DataFrame, blocks: DataFrame, judged: DataFrame, window: int) -> DataFrame:
+    """One place of each distinct block whose anchor has others, with its words' hashes: row, begin, last, rel, anchor, weight (how often the block occurs), kinds, head, and share.
+
+    A block is in one share of its anchor's, the head in all of them.
+    """
+    edges = judged.where("kinds > 1").select("anchor", "block", F.col("times").alias("weight"), "kinds", (F.col("block") == F.col("head")).alias("head"), F.col("ref_row").alias("row"))
+    place = F.struct("begin", "last", "rel")
+    only = blocks.join(edges, ["anchor", "block", "row"]).groupBy("row", "anchor", "block", "weight", "kinds", "head").agg(F.min(place).alias("w"))
+    shares = F.ceil(F.col("kinds") / SHARE)
+    asks = only.select("row", F.struct("w.begin", "w.last", "w.rel", "anchor", "weight", "kinds", "head", F.when(F.col("head"), shares).otherwise(1).cast("int").alias("copies"), F.when(F.col("head"), 0).otherwise(F.pmod(F.xxhash64("row", "block"), shares)).cast("int").alias("share")).alias("ask"))
+    lists = asks.groupBy("row").agg(F.collect_list("ask").alias("asks"))
+    names = ["begin", "last", "rel", "anchor", "weight", "kinds", "head"]
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, w in parts_of(batches):
-            checks = part.column("checks")
-            flat = checks.flatten()
-            n = np.diff(checks.offsets.to_numpy())
-            base = np.repeat(w.first[:-1], n)
+            asks = part.column("asks")
+            flat = asks.flatten()
+            of = np.repeat(np.arange(len(asks)), np.diff(asks.offsets.to_numpy()))
+            copies, share = (flat.field(c).to_numpy() for c in ("copies", "share"))
+            ask = np.repeat(np.arange(len(flat)), copies)
+            share = share[ask] + np.arange(len(ask)) - np.repeat(np.cumsum(copies) - copies, copies)
             begin, last = (flat.field(c).to_numpy() for c in ("begin", "last"))
-            count = last - begin + 1
-            of = np.repeat(np.arange(len(flat)), count)
-            begins = begin[of] + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            start = base[of] + begins
-            hashes = span_hashes(w.hashes, start, start + window)
-            rows = np.repeat(np.arange(len(checks)), n)[of]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("row").take(pa.array(rows)), pa.array(begins.astype(np.int32)), flat.field("anchor").take(pa.array(of)), pa.array(hashes.view(np.int64)), flat.field("weight").take(pa.array(of))],
-                names=["row", "begin", "anchor", "words", "weight"],
-            )
+            for a in range(0, len(ask), SENT):
+                some = ask[a : a + SENT]
+                size = last[some] - begin[some] + window
+                at = np.repeat(w.first[of[some]] + begin[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                ends = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int32)
+                data = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(w.hashes[at].tobytes())])
+                picked = flat.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(of[some])), *(picked.field(c) for c in names), pa.array(share[a : a + SENT].astype(np.int32)), data], names=["row", *names, "share", "words"])
+
+    texts = marked(docs.select("row", "text"), lists).where("maybe").select("row", "text").join(lists, "row")
+    return texts.mapInArrow(words, "row long, begin int, last int, rel short, anchor long, weight long, kinds long, head boolean, share int, words binary")
+
+
+def extensions(flat: np.ndarray, own: np.ndarray, own_rel: np.ndarray, own_n: np.ndarray, ref: np.ndarray, ref_rel: np.ndarray, ref_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the factor of each block begins and ends, in words from the block's first, if it starts at the anchor and follows its reference word by word to both sides.
+
+    flat: all words; own, ref: where the two blocks' begin in flat; rel: words before the anchor; n: words.
+    """
+    left = np.minimum(own_rel, ref_rel)
+    size = left + np.minimum(own_n - own_rel, ref_n - ref_rel)
+    head = np.cumsum(size) - size
+    step = np.arange(int(size.sum())) - np.repeat(head, size)
+    differ = flat[np.repeat(own + own_rel - left, size) + step] != flat[np.repeat(ref + ref_rel - left, size) + step]
+    before = np.repeat(left, size)
+    start = np.maximum.reduceat(np.where(differ & (step < before), step + 1, 0), head)
+    end = np.minimum.reduceat(np.where(differ & (step >= before), step, np.repeat(size, size)), head)
+    return own_rel - left + start, own_rel - left + end
+
+
+FOUND = "row long, begin int, last int, ref_row long, ref_begin int, anchor long, words long, weight long"
 
-    windows = kept(docs.select("row", "text").join(lists, "row").mapInArrow(look, "row long, begin int, anchor long, words long, weight long"), "windows")
-    again = windows.groupBy("anchor", "words").agg(F.sum("weight").alias("times")).where("times > 1").select("anchor", "words")
-    return windows.where("weight = 1").join(again, ["anchor", "words"], "left_semi").select("row", "begin")
 
+def boundary_factors(edges: DataFrame, window: int, anchor: int, extend: bool) -> DataFrame:
+    """FOUND: factors at boundaries, with their first and last window and reference, and where words is not null the windows that no factor covers, to be looked up.
 
-def repeated_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(row, begin, last): intervals of windows whose words start anywhere else as well."""
+    Shares come sorted with their head first; every other block is extended along the head.
+    """
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the head that the next batch may still need
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            key, share, row, begin, last, rel, weight, kinds = (batch.column(c).to_numpy() for c in ("anchor", "share", "row", "begin", "last", "rel", "weight", "kinds"))
+            is_head = batch.column("head").to_numpy(zero_copy_only=False)
+            new = np.append(True, (key[1:] != key[:-1]) | (share[1:] != share[:-1]))
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            held = batch.slice(int(first[-1]), 1)
+            data = batch.column("words")
+            at = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64) // 8
+            flat = np.frombuffer(data.buffers()[2], np.uint64)
+            n = np.diff(at)
+            i = np.flatnonzero(~is_head)
+            if not len(i):
+                continue
+            r, rel = first[i], rel.astype(np.int64)
+            start, end = extensions(flat, at[i], rel[i], n[i], at[r], rel[r], n[r]) if extend else (rel[i], rel[i] + anchor)
+            good = end - start >= window
+            a, z, g, h = start[good], end[good] - window, i[good], r[good]
+            shift = rel[h] - rel[g]
+            own, ref = begin[g] + a, begin[h] + a + shift
+            late = (row[g] > row[h]) | (row[g] == row[h]) & (own > ref)  # the first place of the two is its own reference
+            there = np.where(late, row[h], row[g]), np.where(late, ref, own)
+            spans = [np.concatenate(x) for x in ((row[g], row[h]), (own, ref), (begin[g] + z, begin[h] + z + shift), (there[0], there[0]), (there[1], there[1]))]
+            # Windows outside of the factor, of anchors with blocks that were not compared.
+            many = np.flatnonzero(kinds[i] > 2)
+            count = n[i[many]] - window + 1
+            of = np.repeat(many, count)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            left = ~(good[of] & (place >= start[of]) & (place <= end[of] - window))
+            of, place = of[left], place[left]
+            words = span_hashes(flat, at[i[of]] + place, at[i[of]] + place + window).view(np.int64) if len(of) else np.array([], np.int64)
+            whole, none = len(spans[0]), len(of)
+            columns = [
+                np.concatenate([spans[0], row[i[of]]]), np.concatenate([spans[1], begin[i[of]] + place]).astype(np.int32), np.concatenate([spans[2], begin[i[of]] + place]).astype(np.int32),
+                np.concatenate([spans[3], np.zeros(none, np.int64)]), np.concatenate([spans[4], np.zeros(none, np.int64)]).astype(np.int32), np.concatenate([np.zeros(whole, np.int64), key[i[of]]]),
+            ]
+            tail = [pa.array(np.concatenate([np.zeros(whole, np.int64), words]), mask=np.arange(whole + none) < whole), pa.array(np.concatenate([np.zeros(whole, np.int64), weight[i[of]]]))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *tail], names=[c.split()[0] for c in FOUND.split(", ")])
+
+    shares = edges.repartition("anchor", "share").sortWithinPartitions("anchor", "share", F.desc("head"))
+    return shares.mapInArrow(follow, FOUND)
+
+
+def pieces_of(docs: DataFrame, window: int, anchor: int, extend: bool) -> tuple[DataFrame, DataFrame]:
+    """(row, begin, last, ref_row, ref_begin) of all factors, whole blocks' first; and (row, begin) of windows at their boundaries that occur again."""
     blocks = kept(indexed_blocks(docs, window, anchor), "index")
     judged = kept(judged_blocks(blocks), "judged")
-    seen = parsed(blocks, judged, spans=True).select("row", "begin", "last")
-    edges = judged.where("boundary")
-    # One place of each distinct block: the only one, or that of the smallest row where it stands.
-    only = blocks.join(edges.select("anchor", "block", "times", F.col("ref_row").alias("row")), ["anchor", "block", "row"])
-    checked = only.groupBy("row", "anchor", "block").agg(F.min(F.struct("begin", "last")).alias("w"), F.min("times").alias("weight")).select("row", "anchor", "w.begin", "w.last", "weight")
-    hits = window_hits(docs, checked, window)
-    return seen.union(hits.select("row", "begin", F.col("begin").alias("last")))
+    found = kept(boundary_factors(boundary_blocks(docs, blocks, judged, window), window, anchor, extend), "boundaries")
+    windows = found.where("words IS NOT NULL")
+    again = windows.groupBy("anchor", "words").agg(F.sum("weight").alias("times")).where("times > 1").select("anchor", "words")
+    hits = windows.where("weight = 1").join(again, ["anchor", "words"], "left_semi").select("row", "begin")
+    return whole_blocks(blocks, judged).union(found.where("words IS NULL").select("row", "begin", "last", "ref_row", "ref_begin")), hits
+
+
+def repeated_windows(docs: DataFrame, window: int, anchor: int, *, extend: bool = True) -> DataFrame:
+    """(row, begin, last): intervals of windows whose words start anywhere else as well; extend: whether factors go beyond their anchors at boundaries."""
+    pieces, hits = pieces_of(docs, window, anchor, extend)
+    return parsed(pieces, spans=True).select("row", "begin", "last").union(hits.select("row", "begin", F.col("begin").alias("last")))
 
 
 def factors(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """The parse: (row, begin, n_words, ref_row, ref_begin) of each factor that is not its own reference."""
-    blocks = kept(indexed_blocks(with_rows(docs).select("row", "text"), window, anchor), "index")
-    found = parsed(blocks, kept(judged_blocks(blocks), "judged")).where("ref_row <> row OR ref_begin <> begin")
+    pieces, _ = pieces_of(with_rows(docs).select("row", "text"), window, anchor, True)
+    found = parsed(pieces).where("ref_row <> row OR ref_begin <> begin")
     return found.select("row", "begin", (F.col("last") + window - F.col("begin")).alias("n_words"), "ref_row", "ref_begin")
 
 
@@ -259,8 +361,8 @@ def deduplicated(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR)
     text keeps the white space around kept words; a removed run goes with the white space after it.
     Columns of docs with these names or named row are replaced.
     """
-    plain = with_rows(docs.drop("n_words", "n_removed", "kept_sha256", "row", "windows"))
-    spans = repeated_windows(plain.select("row", "text"), window, anchor)
+    plain = with_rows(docs.drop("n_words", "n_removed", "kept_sha256", "row", "windows", "maybe", "word", "bits"))
+    spans = kept(repeated_windows(plain.select("row", "text"), window, anchor), "spans")
     lists = spans.groupBy("row").agg(F.collect_set(F.struct("begin", "last")).alias("windows"))
     names = [c for c in plain.columns if c not in ("row",)]
 
@@ -292,7 +394,10 @@ def deduplicated(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR)
                 yield pa.RecordBatch.from_arrays([done[c] if c in done else part.column(c) for c in (*names, "n_words", "n_removed", "kept_sha256")], names=[*names, "n_words", "n_removed", "kept_sha256"])
 
     schema = plain.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
-    return plain.join(lists, "row", "left").mapInArrow(strip, schema)
+    sure = marked(plain, lists)
+    touched = sure.where("maybe").drop("maybe").join(lists, "row", "left")
+    untouched = sure.where("NOT maybe").drop("maybe").withColumn("windows", F.lit(None).cast(lists.schema["windows"].dataType))
+    return touched.unionByName(untouched).mapInArrow(strip, schema)
 
 
 #: The query's rows in DuckDB SQL.

@@ -96,6 +96,41 @@ def test_repeated_windows_come_from_factors(spark, monkeypatch, hot_least):
         assert any(r == f.row and a <= f.begin and f.begin + f.n_words - lz_spans.WINDOW <= b for r, a, b in spans)
 
 
+def test_factors_go_beyond_their_anchors(spark):
+    """Two documents share 50 words between others of their own: no block is the same, so only words by words is the passage found."""
+    shared = " ".join(f"s{i}" for i in range(50))
+    rows = [(1, " ".join(f"a{i}" for i in range(60)) + f" {shared} " + " ".join(f"b{i}" for i in range(60))), (2, " ".join(f"c{i}" for i in range(60)) + f" {shared} " + " ".join(f"d{i}" for i in range(60)))]
+    docs = lz_spans.with_rows(spark.createDataFrame(rows, "doc_id long, text string")).select("row", "text")
+    words = {r.row: r.text.split() for r in docs.collect()}
+
+    def under(extend):
+        found = lz_spans.repeated_windows(docs, lz_spans.WINDOW, lz_spans.ANCHOR, extend=extend).collect()
+        return sorted({w for r in found for k in range(r.begin, r.last + lz_spans.WINDOW) for w in [words[r.row][k]]})
+
+    assert under(True) == sorted(shared.split()) and under(False) != under(True)
+    found = [f for f in lz_spans.factors(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert [f.n_words for f in found] == [50] and all(words[f.row][f.begin : f.begin + 50] == words[f.ref_row][f.ref_begin : f.ref_begin + 50] for f in found)
+
+
+@pytest.mark.parametrize("share", [256, 3])
+def test_spans_equal_brute_force(spark, monkeypatch, share):
+    """Passages of 20 to 90 words in many documents, next to other words, some twice in one, in shares of a few blocks."""
+    monkeypatch.setattr(lz_spans, "SHARE", share)
+    rnd = random.Random(3)
+    passages = [[f"p{k}x{i}" for i in range(rnd.randint(20, 90))] for k in range(8)]
+    rows = []
+    for d in range(60):
+        words = []
+        for _ in range(rnd.randint(0, 6)):
+            p = rnd.choice(passages)
+            a = rnd.randrange(len(p))
+            words += [f"d{d}y{rnd.randrange(10**6)}" for _ in range(rnd.randint(0, 30))] + p[a : a + rnd.randint(1, 90)]
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string")
+    found = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in lz_spans.deduplicated(docs).collect())
+    assert found == sorted((i, *x) for (i, _), x in zip(rows + rows[:2], kept_words(rows + rows[:2], lz_spans.WINDOW), strict=True))
+
+
 def components(rows):
     sets = {}
     for i, t in rows:
