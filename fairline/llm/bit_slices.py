@@ -131,7 +131,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[n
             mine = np.diff(lists.offsets.to_numpy()) == width
             lists = lists.filter(pa.array(mine))
             if mine.any():
-                yield (*(part.column(c).to_numpy()[mine] for c in ("row", "key", "label")), lists.flatten().to_numpy().reshape(-1, width))
+                yield (*(part.column(c).to_numpy()[mine] for c in ("row", "key", "label")), lists.flatten().to_numpy().reshape(int(mine.sum()), width))
 
 
 class Anchors:
@@ -196,7 +196,7 @@ def anchor_blocks(anchors: DataFrame) -> Iterator[dict[int, Anchors]]:
         found = anchors.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).toArrow().combine_chunks()
         lists = found.column("v").combine_chunks()
         n = np.diff(lists.offsets.to_numpy())
-        yield {int(w): Anchors(*(found.column(c).to_numpy()[n == w] for c in ("row", "key", "label")), lists.filter(pa.array(n == w)).flatten().to_numpy().reshape(-1, int(w))) for w in np.unique(n)}
+        yield {int(w): Anchors(*(found.column(c).to_numpy()[n == w] for c in ("row", "key", "label")), lists.filter(pa.array(n == w)).flatten().to_numpy().reshape(int((n == w).sum()), int(w))) for w in np.unique(n)}
 
 
 def scanned(rows: DataFrame, best_of: Callable, schema: str, arrays: Callable) -> DataFrame:

@@ -114,6 +114,8 @@ def confirmed(wanted: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFram
     against them, so no group gathers in one task.
     """
     wanted = kept(wanted.select("class", "group").distinct(), "wanted")
+    if wanted.isEmpty():
+        return docs.sparkSession.createDataFrame([], "a long, b long")
     members = groups.select("class", "group").join(wanted.select("group").distinct(), "group", "left_semi")
     sizes = wanted.groupBy("group").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("across")).join(members.groupBy("group").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("down")), "group")
 
@@ -184,21 +186,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     heads = buckets.groupBy("key").agg(F.min("class").alias("head"), F.count("*").alias("size")).where("size > 1")
     rows = kept(buckets.join(heads, "key"), "buckets")
-    held = rows.where("class <> head").select("head", "class").distinct()
-    sketches = reps.select("class", "n", *SKETCH)
-    star = held.join(sketches.alias("x"), "class").join(sketches.withColumnRenamed("class", "head").alias("y"), "head").where(ALIKE)
+    first = rows.where("class = head").select("key", "n", *SKETCH)  # a bucket's head brings its size and sketch to its bucket
+    star = rows.where("class <> head").alias("x").join(first.alias("y"), "key").where(ALIKE).select("x.class", F.col("x.head").alias("group"))
     single = reps.select("class", F.col("class").alias("group"))
-    links = confirmed(star.select("class", F.col("head").alias("group")), single, docs)
+    placed = components(confirmed(star, single, docs))
 
-    rows = rows.where("size > 2")  # both classes of a smaller bucket have met
-    placed = components(links)
-    for turn in range(ROUNDS):
-        placed = joined(placed, confirmed(to_pivots(mixed_buckets(rows, placed), turn), single, docs))
+    rows = rows.where("size > 2").drop("head", "size")  # both classes of a smaller bucket have met
     rest = mixed_buckets(rows, placed)
-    grouped = single.join(placed.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "group").alias("group"))
-    more = confirmed(across(rest), grouped, docs)
-
-    linked = joined(placed, more)
+    for turn in range(ROUNDS):
+        if not rest.isEmpty():
+            placed = joined(placed, confirmed(to_pivots(rest, turn), single, docs))
+            rest = mixed_buckets(rows, placed)
+    linked = placed
+    if not rest.isEmpty():
+        grouped = single.join(placed.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "group").alias("group"))
+        linked = joined(placed, confirmed(across(rest), grouped, docs))
     members = found.join(classes, ["set_a", "set_b", "n"], "left").join(linked.withColumnRenamed("node", "class"), "class", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "class", "doc_id")).otherwise(F.col("doc_id"))
     out = members.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -19,6 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     round's edges are a written table, so no lineage builds up; nothing but a checksum reaches
     the driver. Links of a node with itself and repeated links don't matter; no links, no rows.
     """
+    if links.isEmpty():
+        return links.sparkSession.createDataFrame([], "node long, component long")
     edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     was = None
     while was != (now := mark(edges)):

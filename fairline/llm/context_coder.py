@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairline.llm.store import kept, partitions_for
+from fairline.llm.store import kept
 from fairline.llm.token_ids import encoder
 from fairline.llm.words import sliced
 
@@ -296,10 +296,10 @@ def written_files(docs: DataFrame, tokenizer: str, *, shards: int | None = None)
 
     document: the number within the shard of the document that the block's first id belongs to;
     doc_ids and starts: of the documents that begin in the block. The text is shuffled once, by
-    ranges of doc_id; the number of shards follows from the texts' bytes.
+    ranges of doc_id; there are as many shards as shuffle partitions, whatever the corpus, as a task streams.
     """
     docs = docs.select("doc_id", "text")
-    ordered = docs.repartitionByRange(shards or partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.repartitionByRange(shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)

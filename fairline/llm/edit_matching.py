@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairline.llm.words import sliced
+
 #: Edits allowed, as a share of an item's characters.
 ERRORS = 0.05
 #: Bytes of items that one pass over the documents holds; larger benchmarks take several passes.
@@ -117,8 +119,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", item
 
         def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, errors)
-            for batch in batches:
-                rows = [(k, *hit) for k, text in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist(), strict=True) for hit in matcher.found(text)]
+            for part in (p for batch in batches for p in sliced(batch)):
+                rows = [(k, *hit) for k, text in zip(part.column(key).to_pylist(), part.column("text").to_pylist(), strict=True) for hit in matcher.found(text)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=[key, item_key, "n_errors", "end"])
 
         hits = docs.select(key, "text").mapInArrow(search, schema)
@@ -132,8 +134,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, *, item_key: str = "item_i
 
         def clean(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, errors)
-            for batch in batches:
-                yield batch.filter(pa.array([not matcher.found(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+            for part in (p for batch in batches for p in sliced(batch)):
+                yield part.filter(pa.array([not matcher.found(t) for t in part.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

@@ -14,7 +14,7 @@ are read whatever their length; other columns of the input are ignored.
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairline.llm.trees import decided, nested
+from fairline.llm.words import sliced
 
-#: A tag's name, what is read of its attributes (at most so many characters with regard to quotes), and elements whose content is no text.
+#: A tag's name, the marks that matter inside of it, and elements whose content is no text.
 NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
-INSIDE = re.compile(r"[^<>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^<>\"']*+)*+>")
-QUOTED = 4000
+MARKS = re.compile(r"[<>\"']")
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template svg title textarea select button iframe object canvas".split()}
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Tags that don't break a block, that hold others, and names of boilerplate containers.
@@ -98,6 +98,24 @@ def content_tree(spark: SparkSession) -> tuple:
     return nested(model._call_java("rootNode"))
 
 
+def tag_end(page: str, at: int, find: Callable[[str, int], int]) -> int:
+    """Where the tag ends whose attributes begin at a place, with regard to quoted values of any length; -1 if another tag begins before, or a quote has no end.
+
+    A quote opens a value only after an equals sign. Every quote passed over is looked for once.
+    """
+    while mark := MARKS.search(page, at):
+        at = mark.start()
+        if mark[0] in "<>":
+            return at if mark[0] == ">" else -1
+        before = at - 1
+        while page[before].isspace():
+            before -= 1
+        if page[before] == "=" and (at := find(mark[0], at + 1)) < 0:
+            return -1
+        at += 1
+    return -1
+
+
 def pieces(page: str) -> Iterator[tuple[str, str, str]]:
     """("", "", text), (tag, attributes, "") and ("/tag", "", "") in order; what is dropped inside a line gives a space.
 
@@ -129,9 +147,7 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
             at = end + 3
         elif name := NAME.match(page, start + 1):
             tag, ends = name[1].lower(), page[start + 1] == "/"
-            if inside := INSIDE.match(page, name.end(), min(n, name.end() + QUOTED)):
-                end = inside.end() - 1
-            elif (end := find(">", name.end())) < 0:
+            if (end := tag_end(page, name.end(), find)) < 0 and (end := find(">", name.end())) < 0:
                 yield "", "", "<"
                 at = start + 1
                 continue
@@ -266,8 +282,8 @@ def page_texts(pages: DataFrame, *, key: str = "page_id") -> DataFrame:
     tree = content_tree(pages.sparkSession)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(x.as_py(), tree) for x in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[key, "url", "text", "n_chars"])
+        for part in (p for batch in batches for p in sliced(batch, "html")):
+            texts = [main_text(x.as_py(), tree) for x in part.column("html")]
+            yield pa.RecordBatch.from_arrays([part.column(key), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[key, "url", "text", "n_chars"])
 
     return pages.select(key, "url", "html").mapInArrow(extract, f"{key} long, url string, text string, n_chars long")

@@ -39,8 +39,8 @@ from fairline.llm.words import BASE, Words, mixed, runs, sliced, words_of
 WINDOW, ANCHOR = 35, 12
 #: A block with at least one HOT-th of all occurrences is hot, so there are at most HOT of them; in a small index, one that occurs HOT_LEAST times.
 HOT, HOT_LEAST = 10_000, 100
-#: Blocks of one anchor in one share, bits of the map of rows, and rows sent at a time.
-SHARE, FILTER_BITS, SENT = 256, 1 << 22, 4096
+#: Blocks of one anchor in one share, bits of the map of rows, and rows sent and compared at a time.
+SHARE, FILTER_BITS, SENT, COMPARED = 256, 1 << 22, 1024, 1024
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
@@ -272,9 +272,7 @@ def boundary_factors(edges: DataFrame, window: int, anchor: int, extend: bool) -
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the head that the next batch may still need
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (some.slice(a, COMPARED) for some in batches for a in range(0, some.num_rows, COMPARED)):
             if held is not None:
                 batch = pa.concat_batches([held, batch])
             key, share, row, begin, last, rel, weight, kinds = (batch.column(c).to_numpy() for c in ("anchor", "share", "row", "begin", "last", "rel", "weight", "kinds"))

@@ -20,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairline.llm.store import partitions_for
-
 BUCKETS = 256
 LENGTH_SHARE, LENGTH_SPAN = 0.1, 24
 
@@ -101,10 +99,10 @@ def with_successor(docs: DataFrame, blocks: int) -> DataFrame:
 def fingerprints(docs: DataFrame, *, blocks: int | None = None) -> DataFrame:
     """Digest of each document and of its edited text, and likeness to the edited and the next document.
 
-    The text is shuffled once, by ranges of doc_id, as many as the texts' bytes need; a task streams
-    its sorted rows and keeps one.
+    The text is shuffled once, by ranges of doc_id, as many as there are shuffle partitions; a task streams
+    its sorted rows and keeps one, so ranges need not follow the texts' bytes.
     """
-    blocks = blocks or partitions_for(docs)
+    blocks = blocks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = with_successor(docs, blocks).repartition(blocks, "block").sortWithinPartitions("block", "tail", F.desc("at"), "tie")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

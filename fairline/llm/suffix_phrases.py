@@ -68,7 +68,7 @@ def word_ids(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def hashed(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each of some distinct words."""
-    return words_of(words).hashes
+    return words_of(pc.replace_substring(words, "\t", GAP)).hashes
 
 
 def following(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
