@@ -154,23 +154,80 @@ def quantile_bins(rows: DataFrame, *, bins: int = 10) -> DataFrame:
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("won"), 6).alias("rate"), F.round(F.abs(F.avg("p") - F.avg("won")), 6).alias("gap"))
 
 
-def walk_forward_gain(rows: DataFrame, *, least_train: int = 2000, least_test: int = 200, warrant: float = 0.005) -> DataFrame:
-    """What a beta map fitted on all earlier periods gains in each period, and whether that warrants it: the pooled gain is enough and no period loses.
+def fold_sums(rows: DataFrame, betas: dict[int, list[float]], active: dict[int, list[bool]], k: int) -> dict[int, tuple]:
+    """Newton's sums of every fold at its own coefficients, in one scan: a row counts for each fold after its period. rows: period_no, y, x0 to xk-1."""
+    params = F.array(*(F.struct(F.lit(t).alias("fold"), *(F.lit(float(b)).alias(f"b{i}") for i, b in enumerate(betas[t])), *(F.lit(float(a)).alias(f"a{i}") for i, a in enumerate(active[t]))) for t in sorted(betas)))
+    each = rows.select("y", *(f"x{i}" for i in range(k)), F.explode(F.filter(params, lambda f: f["fold"] > F.col("period_no"))).alias("f"))
+    each = each.select("y", F.col("f.fold").alias("fold"), *((F.col(f"x{i}") * F.col(f"f.a{i}")).alias(f"x{i}") for i in range(k)), sigmoid(sum((F.col(f"f.b{i}") * F.col(f"x{i}") for i in range(k)), F.lit(0.0))).alias("p"))
+    sums = [F.sum((F.col("y") - F.col("p")) * F.col(f"x{i}")) for i in range(k)] + [F.sum(F.col("p") * (1 - F.col("p")) * F.col(f"x{i}") * F.col(f"x{j}")) for i in range(k) for j in range(i + 1)]
+    return {r[0]: tuple(r[1:]) for r in each.groupBy("fold").agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).collect()}
+
+
+def fitted_folds(rows: DataFrame, folds: list[int], active: dict[int, list[bool]], k: int, *, ridge: float = 1e-9, iterations: int = 50, tolerance: float = 1e-9) -> dict[int, list[float]]:
+    """Coefficients of a logistic regression for every fold, each on all rows of earlier periods; all folds take a step together, so scans do not grow with their number. Inactive coefficients stay 0."""
+    betas = {t: [0.0] * k for t in folds}
+    open_ = set(folds)
+    for _ in range(iterations):
+        if not open_:
+            break
+        found = fold_sums(rows, {t: betas[t] for t in open_}, active, k)
+        for t in sorted(open_):
+            sums = found.get(t)
+            if sums is None:
+                open_.discard(t)
+                continue
+            gradient, hessian, at = list(sums[:k]), [[0.0] * k for _ in range(k)], k
+            for i in range(k):
+                for j in range(i + 1):
+                    hessian[i][j] = hessian[j][i] = sums[at] + (ridge if i == j else 0.0)
+                    at += 1
+            move = [m if a else 0.0 for m, a in zip(solved(hessian, gradient), active[t], strict=True)]
+            betas[t] = [b + m for b, m in zip(betas[t], move, strict=True)]
+            if max(map(abs, move)) < tolerance:
+                open_.discard(t)
+    return betas
+
+
+def beta_folds(rows: DataFrame, folds: list[int]) -> dict[int, dict]:
+    """The beta map of every fold, fitted on all rows of earlier periods; a negative coefficient is dropped and the other fitted again. rows: period_no, p, y."""
+    q = clipped(F.col("p"))
+    kept = rows.select("period_no", F.col("y").cast("double").alias("y"), F.log(q).alias("x0"), (-F.log(1 - q)).alias("x1"), F.lit(1.0).alias("x2")).cache()
+    try:
+        betas = fitted_folds(kept, folds, {t: [True] * 3 for t in folds}, 3)
+        again = {t: [b[0] >= 0, b[0] < 0 or b[1] >= 0, True] for t, b in betas.items() if b[0] < 0 or b[1] < 0}
+        betas |= fitted_folds(kept, list(again), again, 3) if again else {}
+    finally:
+        kept.unpersist()
+    return {t: {"kind": "beta", "a": b[0], "b": b[1], "c": b[2]} for t, b in betas.items()}
+
 
-    rows: period, p, y. Each period is fitted from a few sums; only periods with enough rows take part.
+def walk_forward_folds(rows: DataFrame, *, least_train: int = 2000, least_test: int = 200) -> DataFrame:
+    """(period, n, raw, fitted): log loss of each period with enough rows, without and with the beta map of all earlier periods. rows: period, p, y.
+
+    One scan counts the periods, one each of Newton's steps, of all folds at once, and one takes the losses; a row a period reaches the driver.
     """
-    spark = rows.sparkSession
     counts = [(r.period, r.n) for r in rows.groupBy("period").agg(F.count("*").alias("n")).orderBy("period").collect()]
-    out, before = [], 0
-    for period, n in counts:
+    before, folds = 0, []
+    for k, (_, n) in enumerate(counts):
         if before >= least_train and n >= least_test:
-            m = fit_beta(rows.where(F.col("period") < period))
-            a = rows.where(F.col("period") == period).agg(F.avg(log_loss(F.col("p"), F.col("y"))).alias("raw"), F.avg(log_loss(calibrated(F.col("p"), m), F.col("y"))).alias("fit")).first()
-            out.append((period, n, a.raw, a.fit))
+            folds.append(k)
         before += n
-    folds = spark.createDataFrame(out, "period string, n long, raw double, fitted double")
+    if not folds:
+        return rows.sparkSession.createDataFrame([], "period string, n long, raw double, fitted double")
+    number = F.create_map(*(F.lit(x) for k, (period, _) in enumerate(counts) for x in (period, k)))
+    numbered = rows.where("period IS NOT NULL").withColumn("period_no", number[F.col("period")])
+    maps = beta_folds(numbered, folds)
+    of = F.create_map(*(x for t, m in maps.items() for x in (F.lit(t), F.struct(*(F.lit(float(m[c])).alias(c) for c in "abc")))))
+    tested = numbered.where(F.col("period_no").isin(folds)).withColumn("m", of[F.col("period_no")])
+    fitted = beta_map(F.col("p"), F.col("m.a"), F.col("m.b"), F.col("m.c"))
+    return tested.groupBy("period").agg(F.count("*").alias("n"), F.avg(log_loss(F.col("p"), F.col("y"))).alias("raw"), F.avg(log_loss(fitted, F.col("y"))).alias("fitted"))
+
+
+def walk_forward_gain(rows: DataFrame, *, least_train: int = 2000, least_test: int = 200, warrant: float = 0.005) -> DataFrame:
+    """What a beta map fitted on all earlier periods gains in each period, and whether that warrants it: the pooled gain is enough and no period loses. rows: period, p, y."""
+    folds = walk_forward_folds(rows, least_train=least_train, least_test=least_test)
     gain = F.sum(F.col("n") * (F.col("raw") - F.col("fitted"))) / F.sum(F.col("n") * F.col("raw"))
-    return folds.agg(F.count("*").alias("folds"), gain.alias("gain"), F.coalesce((gain >= warrant) & F.min(F.col("raw") - F.col("fitted")).__gt__(0), F.lit(False)).alias("warranted"))
+    return folds.agg(F.count("*").alias("folds"), gain.alias("gain"), F.coalesce((gain >= warrant) & (F.min(F.col("raw") - F.col("fitted")) > 0), F.lit(False)).alias("warranted"))
 
 
 def t_cdf(t: float, df: int) -> float:

@@ -15,7 +15,7 @@ from fairline.functions.keys import looked_up
 from fairline.functions.text import ascii_folded
 from fairline.operators.calibrate import calibrated, fit_calibrator, log_loss
 
-#: Columns by role, league codes of labels, and tiers of leagues.
+#: Columns by role, and league codes of labels.
 KEYS, LABELS = ("match_id", "pick"), ("beat_close", "won", "clv", "unit", "close_fair", "result", "home_goals", "away_goals")
 NUMBERS = ("edge", "fair", "spread", "rank", "scored_r5", "conceded_r5", "days_left")
 WORDS = ("league", "kind")
@@ -107,10 +107,10 @@ def assert_train_only(seasons: list, holdout: list) -> None:
         raise ValueError(f"holdout seasons must not be used here: {both}")
 
 
-def folds(seasons: list) -> list[tuple[list, object]]:
-    """Expanding folds: all seasons before, and the next one."""
+def folds(seasons: list) -> list[tuple[list, object, object]]:
+    """Expanding folds: (the seasons to fit on, the next one to calibrate on, the one after to predict); the first two are never predicted."""
     ordered = sorted(seasons)
-    return [(ordered[:i], ordered[i]) for i in range(1, len(ordered))]
+    return [(ordered[: k - 1], ordered[k - 1], ordered[k]) for k in range(2, len(ordered))]
 
 
 def stages(kind: str, numbers=NUMBERS, words=WORDS, params: dict | None = None) -> list:
@@ -136,12 +136,11 @@ def score(model, rows: DataFrame, fitted: dict | None = None) -> DataFrame:
 
 
 def out_of_fold(rows: DataFrame, seasons: list, kind: str = "logistic") -> DataFrame:
-    """Calibrated scores of every season but the first, each by a model of the seasons before it."""
+    """Calibrated scores of every season but the first two: the model is fitted on the seasons before, its calibrator on one that the model has not seen, and neither has seen the season itself."""
     every = None
-    for before, season in folds(seasons):
-        train = rows.where(F.col("season").isin(before))
-        model = fit(train, kind)
-        fitted = fit_calibrator(score(model, train).select(F.col("raw").alias("p"), F.col("y")))
+    for before, between, season in folds(seasons):
+        model = fit(rows.where(F.col("season").isin(before)), kind)
+        fitted = fit_calibrator(score(model, rows.where(F.col("season") == between)).select(F.col("raw").alias("p"), F.col("y")))
         one = score(model, rows.where(F.col("season") == season), fitted)
         every = one if every is None else every.unionByName(one)
     return every
@@ -165,20 +164,35 @@ def importances(model) -> list[tuple[str, float]]:
     return sorted(zip(names, map(float, model.stages[-1].featureImportances.toArray()), strict=False), key=lambda x: -x[1])
 
 
-def adopted(manifest: dict) -> bool:
-    """Whether a manifest's own holdout numbers bear out its verdict; a missing number fails."""
-    h = manifest.get("holdout", {})
+#: Least bets of a holdout whose numbers may adopt a model; a fixed value, never a manifest's own.
+LEAST_HOLDOUT = 300
+
+
+def adoption_faults(manifest: dict) -> list[str]:
+    """Which of the four rules the holdout's own numbers break; a missing, wrong or non-finite number breaks all."""
     try:
-        return manifest.get("verdict") == "ADOPT" and h["increment"] - 2 * h["increment_se"] > 0 and h["roi"] >= h["volume_roi"] and h["clv"] > h["control_clv"] and h["n"] >= h["least_n"]
-    except (KeyError, TypeError):
-        return False
+        meta, control, volume = (manifest["holdout"][k] for k in ("meta", "control", "volume"))
+        point, error, roi, n = float(meta["inc_clv_max"]["point"]), float(meta["inc_clv_max"]["boot_se"]), float(meta["roi"]), int(meta["n"])
+        base, other = float(volume["roi"]), float(control["inc_clv_max"]["point"])
+    except (KeyError, TypeError, ValueError):
+        return ["holdout"]
+    if not all(map(math.isfinite, (point, error, roi, base, other))):
+        return ["holdout"]
+    rules = {"increment": point - 2 * error > 0, "return": roi >= base, "control": point > other, "bets": n >= LEAST_HOLDOUT}
+    return [name for name, good in rules.items() if not good]
+
+
+def adopted(manifest: dict) -> bool:
+    """Whether a manifest says that its model is adopted and its holdout's numbers bear that out."""
+    return manifest.get("verdict") == "ADOPT" and not adoption_faults(manifest)
 
 
 def operating_point(spark: SparkSession, path: str) -> float | None:
     """The cut of a manifest's file, null unless the model is adopted."""
     found = spark.read.option("wholetext", True).text(path).first()
     manifest = json.loads(found.value) if found else {}
-    return manifest.get("q") if adopted(manifest) else None
+    point = manifest.get("operating_point") or {}
+    return float(point["q"]) if adopted(manifest) and point.get("q") is not None else None
 
 
 def quality_report(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fairline.functions import odds as fo
 from fairline.operators import market, reports, settlement
 from fairline.plans.value import MARKET_CTE, anchored, exploded, rounded
-from fairline.sources.bridge import FINALS_CTE, finals, odds_book
+from fairline.sources.bridge import FINALS_CTE, finals, odds_book, table
 
 #: Days before kickoff at which picks are made; the close is the state at kickoff.
 EARLY_DAYS = 180
@@ -102,8 +102,8 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def handicaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome and profit of both sides of every handicap line, draw no bet, double chance, totals and both-score of every event."""
-    f = finals(spark)
+    """Outcome and profit of both sides of every handicap line, draw no bet, double chance, totals and both-score of every match."""
+    f = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), (F.col("o_orderkey") % 5).cast("int").alias("home_score"), (F.col("o_custkey") % 4).cast("int").alias("away_score"))
     home, away = F.col("home_score"), F.col("away_score")
     legs = f.select("event_id", "home_score", "away_score", F.explode(F.array(*map(F.lit, LINES))).alias("line"))
     sides = legs.select("*", F.explode(F.array(F.lit("home"), F.lit("away"))).alias("side"))
@@ -146,7 +146,7 @@ ORACLES = {
       SELECT event_id, selection, month, round(fraction, 6) AS fraction, round(greatest(0, least(fraction, 0.05e0 - used)), 6) AS granted FROM u""",
     "sweep": f"""WITH {GRADED_CTE} t AS (SELECT *, row_number() OVER (PARTITION BY threshold, event_id ORDER BY edge DESC, sel_idx) AS rk FROM graded, (SELECT unnest([{', '.join(f'{x}e0' for x in THRESHOLDS)}]) AS threshold) WHERE edge >= threshold)
       SELECT threshold, count(*) AS n, count(*) FILTER (outcome = 'won') AS won, round(sum(pnl) / sum(stake), 6) AS roi, round(avg(clv_log), 6) AS clv FROM t WHERE rk = 1 GROUP BY threshold""",
-    "settle_legs": f"""WITH {FINALS_CTE} h AS (SELECT event_id, printf('ah %s %.2f', side, line) AS leg, line, CASE side WHEN 'home' THEN home_score - away_score ELSE away_score - home_score END + line AS m FROM finals, (SELECT unnest([{', '.join(f'{x}e0' for x in LINES)}]) AS line), (SELECT unnest(['home', 'away']) AS side)),
+    "settle_legs": f"""WITH finals AS (SELECT o_orderkey AS event_id, CAST(o_orderkey % 5 AS INTEGER) AS home_score, CAST(o_custkey % 4 AS INTEGER) AS away_score FROM orders), h AS (SELECT event_id, printf('ah %s %.2f', side, line) AS leg, line, CASE side WHEN 'home' THEN home_score - away_score ELSE away_score - home_score END + line AS m FROM finals, (SELECT unnest([{', '.join(f'{x}e0' for x in LINES)}]) AS line), (SELECT unnest(['home', 'away']) AS side)),
       q AS (SELECT event_id, leg, abs(line * 4) % 2 = 1 AS quarter, m, {COMPONENT.format(m='(m - 0.25)')} AS a, {COMPONENT.format(m='(m + 0.25)')} AS b FROM h),
       o AS (SELECT event_id, leg, CASE WHEN quarter THEN CASE WHEN a = 'won' AND b = 'won' THEN 'won' WHEN a = 'lost' AND b = 'lost' THEN 'lost' WHEN a = 'won' OR b = 'won' THEN 'half_won' ELSE 'half_lost' END WHEN m > 0 THEN 'won' ELSE 'lost' END AS outcome FROM q
         UNION ALL SELECT event_id, 'total over', {COMPONENT.format(m='(home_score + away_score - 3)')} FROM finals UNION ALL SELECT event_id, 'total under', {COMPONENT.format(m='(3 - home_score - away_score)')} FROM finals
