@@ -22,6 +22,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Newton's steps of power().
+NEWTON = 20
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -60,8 +64,14 @@ def additive(odds: Column) -> Column:
 
 
 def power(odds: Column) -> Column:
-    """q^k with the k that makes the sum 1."""
-    root = lambda q: bisected(lambda k: F.aggregate(q, F.lit(0.0), lambda s, x: s + F.pow(x, k)) - 1, 0.001, 1024)
+    """q^k with the k that makes the sum 1. The sum falls and is convex in k, so Newton's steps from 1 come to the root from the left, at most after one step beyond it."""
+
+    def step(q: Column) -> Callable[[Column, Column], Column]:
+        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("slope"))
+        sums = lambda k: F.aggregate(q, zero, lambda s, x: let(F.pow(x, k), lambda p: F.struct((s["sum"] + p).alias("sum"), (s["slope"] + p * F.log(x)).alias("slope"))))
+        return lambda k, _: let(sums(k), lambda s: F.greatest(k - (s["sum"] - 1) / s["slope"], F.lit(0.001)))
+
+    root = lambda q: F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON)), F.lit(1.0), step(q))
     return let(inverse(odds), lambda q: let(root(q), lambda k: F.transform(q, lambda x: F.pow(x, k))))
 
 

@@ -108,11 +108,10 @@ def edge_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan replayed at the end of each bucket of time and graded by the close; means are withheld under thirty picks."""
     cutoffs = {f"b{h}": f"timestampadd(HOUR, -{h}, kickoff)" for h, _ in BUCKETS}
     m = market.with_anchor(rows(spark, sf_dir, **cutoffs), "b0", method="multiplicative", prefix="close_")
-    every = None
-    for hours, name in BUCKETS:
-        legs = market.value_scan(market.with_anchor(m, f"b{hours}", method="multiplicative"), f"b{hours}", guard=False)
-        legs = legs.select(F.lit(name).alias("bucket"), "edge", fo.clv_log(F.col("net"), F.get("close_fair", F.array_position("close_sels", F.col("sel_idx")).cast("int") - 1)).alias("clv"))
-        every = legs if every is None else every.unionByName(legs)
+    turns = F.explode(F.array(*(F.struct(F.lit(name).alias("bucket"), F.col(f"b{hours}").alias("books")) for hours, name in BUCKETS)))
+    m = m.withColumn("s", turns).select("*", "s.bucket", "s.books").drop("s", *cutoffs)
+    legs = market.value_scan(market.with_anchor(m, "books", method="multiplicative"), "books", guard=False)
+    every = legs.select("bucket", "edge", fo.clv_log(F.col("net"), F.get("close_fair", F.array_position("close_sels", F.col("sel_idx")).cast("int") - 1)).alias("clv"))
     n = F.count("*")
     enough = lambda c: F.when(n >= 30, F.round(c, 6))
     return every.groupBy("bucket").agg(n.alias("n"), enough(F.avg("edge")).alias("mean_edge"), enough(F.avg("clv")).alias("mean_clv"), enough(F.avg((F.col("clv") > 0).cast("int"))).alias("beat"))
