@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairline.functions.text import plain, without_digraphs, words
+from fairline.session import cut
 
 #: Club words that do not tell clubs apart; words that mark a women's, youth or reserve side; marks of a reserve side at a name's end; senior clubs with such words; words that tell clubs of one place apart.
 CLUB_WORDS = ("fc", "afc", "cf", "cfc", "sc", "fk", "ff", "bk", "if", "ac", "club", "calcio", "jk")
@@ -199,6 +200,67 @@ def alias_table(pairs: DataFrame) -> DataFrame:
     return plain_pairs.where("alias <> '' AND canonical <> ''").groupBy("alias").agg(F.min("canonical").alias("canonical"))
 
 
+def claims_of(groups: DataFrame) -> DataFrame:
+    """(canonical, canon, at, alias, name, marked): a row a surface of each group, its canonical first; canon and name in normal form. groups: canonical, aliases."""
+    each = groups.groupBy("canonical").agg(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>")))).alias("aliases"))
+    each = each.select("canonical", normalized(F.col("canonical")).alias("canon"), F.posexplode(F.concat(F.array("canonical"), "aliases")).alias("at", "alias"))
+    return each.withColumn("name", normalized(F.col("alias"))).withColumn("marked", F.size(markers(F.col("name"))) > 0)
+
+
+def unblocked(own: DataFrame, taken: DataFrame) -> DataFrame:
+    """(canonical) of the groups whose own name no earlier group, itself unblocked, and no kept alias gives to another club.
+
+    own: claims_of() without marked ones; taken: name, canon. Groups of one name in normal form go together. They wait for
+    the earlier ones that claim their name, so it takes as many rounds as such claims form a chain; a round's rest is cut.
+    """
+    heads = own.where("at = 0").groupBy("canon").agg(F.min("canonical").alias("first"))
+    free = cut(heads.join(taken.select(F.col("name").alias("canon"), F.col("canon").alias("other")), "canon", "left").where("other IS NULL OR other = canon").select("canon", "first"))
+    claim = own.where("at > 0 AND name <> ''").select("canonical", F.col("canon").alias("by"), "name").join(taken.select("name"), "name", "left_anti").join(free.select(F.col("canon").alias("by")), "by", "left_semi")
+    edges = cut(claim.join(free, F.col("name") == F.col("canon")).where("canonical < first AND by <> canon").select("by", "canon").distinct())
+    waiting, good = cut(free.select("canon")), None
+    while not waiting.isEmpty():
+        held = edges.join(waiting.select(F.col("canon").alias("by")), "by", "left_semi").select("canon").distinct()
+        now = waiting.join(held, "canon", "left_anti")
+        good = cut(now if good is None else good.union(now))
+        blocked = edges.join(good.select(F.col("canon").alias("by")), "by", "left_semi").select("canon").distinct()
+        waiting = cut(waiting.join(good, "canon", "left_anti").join(blocked, "canon", "left_anti"))
+    names = own.where("at = 0").select("canonical", "canon")
+    return names.join(free.select("canon") if good is None else good, "canon", "left_semi").select("canonical")
+
+
+def imported_aliases(groups: DataFrame, seed: DataFrame, *, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(canonical, alias) to add to the seed, and (alias, canonical, blocking) of the claims that came too late.
+
+    groups, seed: canonical, aliases. Groups count in order of their names; of several claims to a name the seed's wins, then
+    the first. Surfaces with markers are left out, as are groups whose own name is another club's already. A group whose
+    name the seed has in normal form goes under the seed's. known: name; only groups with a known surface count.
+    """
+    kept = claims_of(seed)
+    taken = cut(kept.where("name <> '' AND canon <> ''").groupBy("name").agg(F.max_by("canon", F.struct("canonical", "at")).alias("canon")))
+    own = claims_of(groups).where("canon <> ''")
+    marked = own.where("at = 0 AND marked").select("canonical")
+    own = own.where("NOT marked").join(marked, "canonical", "left_anti")
+    if known is not None:
+        own = own.join(own.join(known.select("name"), "name", "left_semi").select("canonical").distinct(), "canonical", "left_semi")
+    own = cut(own)
+    good = unblocked(own, taken)
+    label = kept.where("at = 0 AND canon <> ''").groupBy("canon").agg(F.min("canonical").alias("label"))
+    first = own.where("at = 0").join(good, "canonical", "left_semi").groupBy("canon").agg(F.min("canonical").alias("first"))
+    named = own.join(good, "canonical", "left_semi").where("name <> ''").join(label, "canon", "left").join(first, "canon", "left").withColumn("label", F.coalesce("label", "first"))
+    winner = named.groupBy("name").agg(F.min_by("canon", F.struct("canonical", "at")).alias("winner"))
+    judged = named.join(winner, "name").join(taken.select("name", F.col("canon").alias("old")), "name", "left").withColumn("holder", F.coalesce("old", "winner"))
+    new = judged.where("at > 0 AND name <> canon AND old IS NULL AND holder = canon").groupBy("canon", "name").agg(F.min_by(F.struct(F.col("label").alias("canonical"), "alias"), F.struct("canonical", "at")).alias("p")).select("p.*")
+    late = judged.where("at > 0 AND name <> canon AND holder <> canon").select("alias", F.col("label").alias("canonical"), F.col("holder").alias("blocking"))
+    gone = own.where("at = 0").join(good, "canonical", "left_anti").join(taken.select("name", F.col("canon").alias("old")), "name", "left").join(winner, "name", "left")
+    return new, late.unionByName(gone.select("alias", "canonical", F.coalesce("old", "winner").alias("blocking")))
+
+
+def merged_seed(seed: DataFrame, new: DataFrame) -> DataFrame:
+    """(canonical, aliases): the seed with the new pairs, each alias once."""
+    both = seed.select("canonical", F.explode_outer("aliases").alias("alias")).unionByName(new.select("canonical", "alias"))
+    return both.groupBy("canonical").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+
+
 def aliases_from_seed(spark, path: str) -> DataFrame:
     """The alias table of a JSON file {"teams": {canonical: [alias, ...]}}."""
     teams = spark.read.schema("teams map<string, array<string>>").option("multiLine", True).json(path)

@@ -118,6 +118,40 @@ def matched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.match_hardened(*event_sides(spark, sf_dir), days=1)
 
 
+def laddered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both sources' fixtures; every fourth of the first has a page whose address has the second's names."""
+    ours, theirs = event_sides(spark, sf_dir)
+    page = theirs.where("ref % 4 = 0").select("ref", F.col("home").alias("slug_home"), F.col("away").alias("slug_away"))
+    return ours.join(page, "ref", "left"), theirs
+
+
+def match_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fixture with the step that matched it, or its nearest miss and the reason."""
+    return resolve.match_ladder(*laddered(spark, sf_dir), aliases=aliases(spark))
+
+
+def match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all fixtures and of each league's: how many match, how many have no candidate, and how many have some but no match."""
+    ours, theirs = laddered(spark, sf_dir)
+    found = resolve.match_ladder(ours, theirs, aliases=aliases(spark)).join(ours.select(F.col("ref").alias("left_ref"), "league"), "left_ref")
+    missed = F.col("right_ref").isNull()
+    return found.rollup("league").agg(F.count("*").alias("total"), F.count("right_ref").alias("matched"), F.count_if(missed & (F.col("candidates") == 0)).alias("no_candidates"), F.count_if(missed & (F.col("candidates") > 0)).alias("unmatched"))
+
+
+def alias_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that may be one club's, from nearest events whose other club agrees."""
+    return resolve.alias_candidates(*event_sides(spark, sf_dir))
+
+
+def alias_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that an import of clubs with other spellings adds to the seed, and the claims that came too late; some clubs claim another's name."""
+    n = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 1000).alias("n")).distinct()
+    groups = n.select(club(F.col("n")).alias("canonical"), F.array(spelled(F.col("n")), F.concat(club(F.col("n")), F.lit(" FC")), F.when(F.col("n") % 9 == 0, club(F.col("n") + 40)), F.when(F.col("n") % 7 == 0, F.concat(club(F.col("n") % 50), F.lit(" 1900"))), F.concat(F.lit("FC "), F.substring(club(F.col("n")), 1, 6), F.lit(" "), (F.col("n") % 3).cast("string"))).alias("aliases"))
+    seed = spark.createDataFrame([(a, [b]) for a, b in NICKNAMES], "canonical string, aliases array<string>")
+    new, late = resolve.imported_aliases(groups, seed)
+    return new.select("alias", "canonical", F.lit(None).cast("string").alias("blocking")).unionByName(late)
+
+
 #: Fixed values of the test bridge: what a club is also called.
 NICKNAMES = (("Arkham Rovers", "The Rovers"), ("Bexham Town", "Bexley Town FC"), ("Corham United", "Cor United"))
 
@@ -177,7 +211,7 @@ def score_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "price_changes": changes, "movement": movement, "steam": steam, "drift_by_bucket": drift, "series_coverage": series_coverage, "dead_man": dead_man, "rolling_form": form,
     "observations": observations, "json_props": json_props, "matched_events": matched_events,
-    "strict_matches": strict_matches, "unordered_matches": unordered_matches, "name_forms": name_forms, "player_names": player_names, "slug_pairs": slug_pairs, "score_lookup": score_lookup,
+    "strict_matches": strict_matches, "unordered_matches": unordered_matches, "name_forms": name_forms, "player_names": player_names, "slug_pairs": slug_pairs, "score_lookup": score_lookup, "match_ladder": match_ladder, "match_rates": match_rates, "alias_candidates": alias_candidates, "alias_import": alias_import,
 }
 SQL_LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 CLUB = f"{SQL_LIST(STARTS)}[1 + {{n}} % 40] || {SQL_LIST(ENDS)}[1 + ({{n}} // 40) % 25] || ' ' || {SQL_LIST(KINDS)}[1 + {{n}} % 8]"
