@@ -371,14 +371,15 @@ def match_ladder(left: DataFrame, right: DataFrame, *, aliases: DataFrame | None
 
     Steps: strict, by names; slug, by the names of its page's address (slug_home, slug_away, normalized, null
     if it has none); hardened. candidates: right events of the days; near_ref and reason: of an unmatched
-    event's nearest one, "no candidates" if the days have none, "names" if no club agrees.
+    event's nearest one, "no candidates" if the days have none, "names" if no club agrees. Both sides are cut once, as every step reads them, and so is what each step finds.
     """
-    strict = match_strict(left, right, aliases=aliases, days=days).withColumn("step", F.lit("strict"))
+    left, right = cut(left), cut(right)
+    strict = cut(match_strict(left, right, aliases=aliases, days=days).withColumn("step", F.lit("strict")))
     rest = left.join(strict, left["ref"] == strict["left_ref"], "left_anti")
     by_slug = rest.where("slug_home IS NOT NULL AND slug_away IS NOT NULL").select("ref", "kickoff", F.col("slug_home").alias("home"), F.col("slug_away").alias("away"))
-    slug = match_strict(by_slug, right, aliases=aliases, days=days).withColumn("step", F.lit("slug"))
-    rest = rest.join(slug, rest["ref"] == slug["left_ref"], "left_anti")
-    hard = match_hardened(rest, right, aliases=aliases, days=days, minutes=minutes).select("left_ref", "right_ref", F.lit("hardened").alias("step"))
+    slug = cut(match_strict(by_slug, right, aliases=aliases, days=days).withColumn("step", F.lit("slug")))
+    rest = cut(rest.join(slug, rest["ref"] == slug["left_ref"], "left_anti"))
+    hard = cut(match_hardened(rest, right, aliases=aliases, days=days, minutes=minutes).select("left_ref", "right_ref", F.lit("hardened").alias("step")))
     found = strict.unionByName(slug).unionByName(hard)
     missed = rest.join(hard, rest["ref"] == hard["left_ref"], "left_anti")
     near = near_events(missed, right, aliases=aliases, days=days, minutes=minutes).select("left_ref", F.col("right_ref").alias("near_ref"), "reason")
@@ -458,8 +459,9 @@ def score_of(fixtures: DataFrame, scores: DataFrame) -> DataFrame:
     fixtures: ref, home, away (plain names), kickoff; scores: home, away, played, home_score,
     away_score, one a fixture and day. Names that are equal on the day, the day before or the day
     after count first, in this order; else the only score of those days whose names contain
-    ours or stand in ours.
+    ours or stand in ours. Both sides are cut once, as every branch reads them.
     """
+    fixtures, scores = cut(fixtures), cut(scores)
     days = F.array(*(F.struct(F.lit(i).alias("turn"), F.date_add(F.to_date("kickoff"), d).alias("played")) for i, d in enumerate((0, -1, 1))))
     wanted = fixtures.select("ref", F.col("home").alias("h"), F.col("away").alias("a"), F.explode(days).alias("d")).select("ref", "h", "a", "d.*")
     value = F.struct("home_score", "away_score")

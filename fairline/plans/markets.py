@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fairline.functions import keys as fk
 from fairline.functions import odds as fo
 from fairline.functions.odds import SHARP
-from fairline.operators import capture, market, movement, settlement
+from fairline.operators import capture, market, models, movement, settlement
 from fairline.plans.value import rounded
 from fairline.sources.picks import QUOTES_CTE, quotes
 
@@ -117,6 +117,16 @@ def edge_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy("bucket").agg(n.alias("n"), enough(F.avg("edge")).alias("mean_edge"), enough(F.avg("clv")).alias("mean_clv"), enough(F.avg((F.col("clv") > 0).cast("int"))).alias("beat"))
 
 
+def model_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picks of the goals model: its chances of every event against each book's own at the start, gated and sized."""
+    m = market.with_anchor(rows(spark, sf_dir, close="kickoff"), method="multiplicative")
+    events = quotes(spark, sf_dir).select("event_id").distinct()
+    expectancies = events.select("event_id", (0.9 + (F.col("event_id") % 8) / 6.0).alias("home_exp"), (0.6 + (F.col("event_id") % 5) / 5.0).alias("away_exp"), (0.5 + (F.col("event_id") % 4) / 10.0).alias("confidence"))
+    c = models.model_candidates(models.grid_model(expectancies), m).join(m.select("event_id", "key", "kickoff"), ["event_id", "key"])
+    age = (F.unix_seconds(F.col("kickoff").cast("timestamp")) - F.unix_seconds(F.col("at").cast("timestamp"))) / 3600
+    return rounded(models.model_picks(c, age), "probability", "book_fair", "edge", "ev", "fraction").select("event_id", "key", F.col("sel_idx").cast("long").alias("sel_idx"), "book", "odds", "probability", "book_fair", "edge", "ev", "fraction", "stake", "tier")
+
+
 def with_sport(q: DataFrame) -> DataFrame:
     return q.withColumn("sport", F.when(F.col("event_id") % 4 == 0, "basketball").when(F.col("event_id") % 4 == 1, "tennis").otherwise("soccer"))
 
@@ -169,7 +179,7 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "readiness": readiness, "market_anchors": market_anchors, "derived_chances": derived_chances, "own_fairs": own_fairs, "market_scan": market_scan, "market_grades": market_grades, "closing_evidence": closing_evidence, "steam_verdicts": steam_verdicts,
+    "readiness": readiness, "market_anchors": market_anchors, "derived_chances": derived_chances, "own_fairs": own_fairs, "model_picks": model_picks, "market_scan": market_scan, "market_grades": market_grades, "closing_evidence": closing_evidence, "steam_verdicts": steam_verdicts,
     "timed_drift": timed_drift, "edge_by_bucket": edge_by_bucket, "capture_coverage": capture_coverage, "available_games": available_games, "capture_targets": capture_targets, "poll_report": poll_report,
 }
 
@@ -217,6 +227,17 @@ ORACLES = {
       SELECT event_id, key, unnest(['1X', 'X2', '12']) AS selection, round(unnest([a + b, b + c, a + c]), 6) AS fair FROM t""",
     "own_fairs": f"""WITH {STATE} o AS (SELECT event_id, key, book, sel_idx, 1 / odds AS q, sum(1 / odds) OVER w AS b, count(*) OVER w AS n, row_number() OVER (PARTITION BY event_id, key, book_id ORDER BY sel_idx) - 1 AS "at" FROM fb WINDOW w AS (PARTITION BY event_id, key, book_id)),
       r AS (SELECT *, q - (b - 1) / n AS r FROM o), j AS (SELECT *, min(r) OVER w AS lo, max(r) OVER w AS hi, sum(r) OVER w AS t FROM r WINDOW w AS (PARTITION BY event_id, key, book)) SELECT event_id, key, book, "at", round(CASE WHEN lo <= 0 OR hi >= 1 THEN q / b ELSE r / t END, 6) AS p FROM j WHERE n >= 2""",
+    "model_picks": f"""WITH {STATE} ex AS (SELECT DISTINCT event_id, 0.9e0 + (event_id % 8) / 6e0 AS h, 0.6e0 + (event_id % 5) / 5e0 AS a, 0.5e0 + (event_id % 4) / 10e0 AS confidence FROM quotes),
+      hs AS (SELECT DISTINCT h, a FROM ex), gl AS (SELECT unnest(range(0, 16)) AS g),
+      ce AS (SELECT h, a, x.g AS i, y.g AS j, exp(x.g * ln(h) - h) / factorial(x.g::INTEGER) * exp(y.g * ln(a) - a) / factorial(y.g::INTEGER) * CASE WHEN x.g = 0 AND y.g = 0 THEN 1 + h * a * 0.06e0 WHEN x.g = 0 AND y.g = 1 THEN 1 - h * 0.06e0 WHEN x.g = 1 AND y.g = 0 THEN 1 - a * 0.06e0 WHEN x.g = 1 AND y.g = 1 THEN 1.06e0 ELSE 1e0 END AS p FROM hs, gl x, gl y),
+      gr AS (SELECT h, a, i, j, p / sum(p) OVER (PARTITION BY h, a) AS p FROM ce),
+      pr AS (SELECT h, a, unnest(['1x2', '1x2', '1x2', 'over_under_2_5', 'over_under_2_5']) AS key, unnest([0, 1, 2, 0, 1]) AS sel_idx, unnest([sum(p) FILTER (i > j), sum(p) FILTER (i = j), sum(p) FILTER (i < j), sum(p) FILTER (i + j > 2), sum(p) FILTER (i + j < 3)]) AS probability FROM gr GROUP BY h, a),
+      ow AS (SELECT event_id, key, book, book_id, sel_idx, odds, 1 / odds / sum(1 / odds) OVER w AS book_fair, count(*) OVER w AS n FROM fb WINDOW w AS (PARTITION BY event_id, key, book_id)),
+      la AS (SELECT event_id, key, lower(trim(book)) AS norm, max(captured_at) AS at, max(kickoff) AS kickoff FROM quotes WHERE captured_at <= kickoff GROUP BY ALL),
+      j AS (SELECT o.event_id, o.key, o.sel_idx, o.book, odds, probability, book_fair, probability - book_fair AS edge, probability * (odds - 1) - (1 - probability) AS ev, confidence, (epoch(la.kickoff) - epoch(la.at)) / 3600 AS age
+            FROM ow o JOIN ex USING (event_id) JOIN pr ON pr.h = ex.h AND pr.a = ex.a AND pr.key = o.key AND pr.sel_idx = o.sel_idx JOIN la ON la.event_id = o.event_id AND la.key = o.key AND la.norm = lower(trim(o.book)) WHERE n >= 2),
+      k AS (SELECT *, least(greatest(((odds - 1) * probability - (1 - probability)) / (odds - 1), 0) * 0.25e0, 0.02e0) AS fraction FROM j WHERE edge >= 0.02 AND ev > 0 AND probability >= 0.1 AND odds <= 8 AND confidence >= 0.6e0 AND age <= 48)
+      SELECT event_id, key, sel_idx::BIGINT AS sel_idx, book, odds, round(probability, 6) AS probability, round(book_fair, 6) AS book_fair, round(edge, 6) AS edge, round(ev, 6) AS ev, round(fraction, 6) AS fraction, round((fraction * 1000)::DECIMAL(18,6), 2)::DOUBLE AS stake, 'premium' AS tier FROM k""",
     "market_scan": f"""WITH {QUOTES_CTE} {at(1, "")} fl AS (SELECT *, CASE WHEN key = 'over_under_2_5' THEN 0.012e0 WHEN family = 'spreads' THEN 0.01e0 ELSE 0.015e0 END AS floor_edge, CASE family WHEN 'h2h' THEN 0.25e0 ELSE 0.30e0 END AS top_edge, CASE WHEN key = '1x2' THEN 3 WHEN family = 'totals' THEN 2 ELSE 0 END AS fewest FROM ca ANTI JOIN sw USING (event_id, key)),
       ok AS (SELECT *, (epoch(kickoff - INTERVAL 1 HOUR) - epoch(max_at)) / 3600 AS age FROM (SELECT f.*, m.max_at FROM fl f JOIN (SELECT event_id, key, book_id, max(captured_at) AS max_at FROM st GROUP BY ALL) m USING (event_id, key, book_id)) WHERE soft >= fewest AND edge BETWEEN floor_edge AND top_edge AND (key NOT LIKE 'asian%' OR (odds <= 3 AND fair <= 1.5e0 / net)) AND (odds BETWEEN 1.2 AND 2.6 OR odds BETWEEN 2.7 AND 9)),
       de AS (SELECT *, CASE WHEN edge >= 0.03 THEN CASE WHEN event_id % 4 <> 0 AND key LIKE 'asian%' THEN 'shown only' WHEN family = 'h2h' AND odds > 3.2 THEN 'long price' WHEN event_id % 5 = 0 THEN 'minor league' WHEN anchor_type = 'consensus' THEN 'no sharp anchor' WHEN event_id % 4 = 0 THEN 'unproven sport' END END AS demoted FROM ok WHERE greatest(age, 0) <= 48),
