@@ -4,23 +4,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merged_picks(kept: DataFrame, incoming: DataFrame, key: tuple[str, ...]) -> DataFrame:
+def merged_picks(kept: DataFrame, incoming: DataFrame, key: tuple[str, ...], *, closing: tuple[str, ...] = ()) -> DataFrame:
     """One row a key and version with what happened to it: inserted, upgraded (volume to premium, with the new stake), duplicate or kept.
 
-    Both: key, version, tier, stake, odds, seq. A premium row is never overwritten by a volume one; of several rows of a
+    Both: key, version, tier, stake, odds, seq, status, and what is known of the close, by the names of closing. Only an alerted row is
+    upgraded; what its close said was of the old price, so an upgrade has none, as a new row has none. A premium row is never overwritten by a volume one; of several rows of a
     side the best tier counts, then the first. superseded: a newer version of the key is there; a volume row
     supersedes only volume rows.
     """
     rank = F.when(F.col("tier") == "premium", 1).otherwise(0)
-    best = lambda side: F.max_by(F.struct("stake", "odds", rank.alias("rank")), F.when(F.col("side") == side, F.struct(rank, -F.col("seq"))))
+    best = lambda side: F.max_by(F.struct("stake", "odds", "status", *closing, rank.alias("rank")), F.when(F.col("side") == side, F.struct(rank, -F.col("seq"))))
     both = kept.withColumn("side", F.lit(0)).unionByName(incoming.withColumn("side", F.lit(1))).groupBy(*key, "version").agg(best(0).alias("old"), best(1).alias("new"))
-    outcome = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "kept").when(F.col("new.rank") > F.col("old.rank"), "upgraded").otherwise("duplicate")
+    outcome = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "kept").when((F.col("new.rank") > F.col("old.rank")) & (F.col("old.status") == "alerted"), "upgraded").otherwise("duplicate")
     taken = F.when(F.col("outcome").isin("inserted", "upgraded"), F.col("new")).otherwise(F.col("old"))
     out = both.withColumn("outcome", outcome).withColumn("p", taken)
     of_key = Window.partitionBy(*key)
     newest, newest_premium = F.max("version").over(of_key), F.max(F.when(F.col("p.rank") == 1, F.col("version"))).over(of_key)
     newer = (newest > F.col("version")) & ((F.col("p.rank") == 0) | (newest_premium > F.col("version")))
-    return out.select(*key, "version", F.when(F.col("p.rank") == 1, "premium").otherwise("volume").alias("tier"), "p.stake", "p.odds", "outcome", F.coalesce(newer, F.lit(False)).alias("superseded"))
+    return out.select(*key, "version", F.when(F.col("p.rank") == 1, "premium").otherwise("volume").alias("tier"), "p.stake", "p.odds", *(F.when(F.col("outcome").isin("kept", "duplicate"), F.col(f"old.{c}")).alias(c) for c in closing), "outcome", F.coalesce(newer, F.lit(False)).alias("superseded"))
 
 
 def with_stakes(picks: DataFrame, granted: DataFrame, key: tuple[str, ...]) -> DataFrame:

@@ -100,10 +100,11 @@ def clv_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pick_ratchet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incoming picks merged with those kept: inserted, upgraded from volume to premium, or duplicates; older versions superseded."""
-    p = picks(spark, sf_dir).select("event_id", "family", "selection", "version", "tier", "stake", "odds", F.col("pick_id").alias("seq"), "created_at")
+    """Incoming picks merged with those kept: inserted, upgraded from volume to premium without the old price's close, or duplicates; older versions superseded."""
+    status = F.when(F.col("pick_id") % 11 == 0, "settled").otherwise("alerted").alias("status")
+    p = picks(spark, sf_dir).select("event_id", "family", "selection", "version", "tier", "stake", "odds", F.col("pick_id").alias("seq"), "created_at", status, "close_book", "close_fair")
     kept, incoming = p.where("seq % 2 = 0"), p.where("seq % 2 = 1")
-    return upserts.merged_picks(kept, incoming, ("event_id", "family", "selection")).select("event_id", "family", "selection", "version", "tier", "stake", "outcome", "superseded")
+    return upserts.merged_picks(kept, incoming, ("event_id", "family", "selection"), closing=("close_book", "close_fair")).select("event_id", "family", "selection", "version", "tier", "stake", "close_book", F.round("close_fair", 6).alias("close_fair"), "outcome", "superseded")
 
 
 def kickoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,10 +191,10 @@ ORACLES = {
     "clv_gates": f"""WITH {PICKS_CTE} c AS (SELECT sport, family, ln(odds * close_fair) AS clv FROM picks WHERE close_fair > 0 AND close_fair < 1), g AS (SELECT sport, family, count(*) AS n, avg(clv) AS mean, stddev_samp(clv) / sqrt(count(*)) AS se, count(*) FILTER (clv > 0) / count(*) AS p FROM c GROUP BY ALL),
       w AS (SELECT *, greatest(0e0, (p + 1.959963984540054e0 * 1.959963984540054e0 / (2 * n)) / (1 + 1.959963984540054e0 * 1.959963984540054e0 / n) - 1.959963984540054e0 / (1 + 1.959963984540054e0 * 1.959963984540054e0 / n) * sqrt(p * (1 - p) / n + 1.959963984540054e0 * 1.959963984540054e0 / (4e0 * n * n))) AS low FROM g)
       SELECT sport, family, n, round(mean, 6) AS mean, round(se, 6) AS se, round(low, 6) AS low, coalesce(n >= 5 AND se > 0 AND mean > 0.5 * se AND low > 0.3, false) AS ready FROM w""",
-    "pick_ratchet": f"""WITH {PICKS_CTE} e AS (SELECT event_id, family, selection, version, CASE tier WHEN 'premium' THEN 1 ELSE 0 END AS t, stake, pick_id AS seq, pick_id % 2 AS side FROM picks),
-      f AS (SELECT event_id, family, selection, version, arg_max(stake, t * 1000000000000 - seq) FILTER (side = 0) AS os, max(t) FILTER (side = 0) AS ot, arg_max(stake, t * 1000000000000 - seq) FILTER (side = 1) AS ns, max(t) FILTER (side = 1) AS nt FROM e GROUP BY ALL),
-      m AS (SELECT *, CASE WHEN ot IS NULL THEN 'inserted' WHEN nt IS NULL THEN 'kept' WHEN nt > ot THEN 'upgraded' ELSE 'duplicate' END AS outcome, greatest(coalesce(ot, 0), coalesce(nt, 0)) AS t FROM f)
-      SELECT event_id, family, selection, version, CASE t WHEN 1 THEN 'premium' ELSE 'volume' END AS tier, CASE WHEN outcome IN ('inserted', 'upgraded') THEN ns ELSE os END AS stake, outcome,
+    "pick_ratchet": f"""WITH {PICKS_CTE} e AS (SELECT event_id, family, selection, version, CASE tier WHEN 'premium' THEN 1 ELSE 0 END AS t, stake, pick_id AS seq, pick_id % 2 AS side, pick_id % 11 <> 0 AS alerted, {{'b': close_book, 'f': close_fair}} AS c FROM picks),
+      f AS (SELECT event_id, family, selection, version, arg_max(stake, t * 1000000000000 - seq) FILTER (side = 0) AS os, arg_max(alerted, t * 1000000000000 - seq) FILTER (side = 0) AS oa, arg_max(c, t * 1000000000000 - seq) FILTER (side = 0) AS oc, max(t) FILTER (side = 0) AS ot, arg_max(stake, t * 1000000000000 - seq) FILTER (side = 1) AS ns, max(t) FILTER (side = 1) AS nt FROM e GROUP BY ALL),
+      o AS (SELECT *, CASE WHEN ot IS NULL THEN 'inserted' WHEN nt IS NULL THEN 'kept' WHEN nt > ot AND oa THEN 'upgraded' ELSE 'duplicate' END AS outcome FROM f), m AS (SELECT *, CASE WHEN outcome IN ('inserted', 'upgraded') THEN nt ELSE ot END AS t FROM o)
+      SELECT event_id, family, selection, version, CASE t WHEN 1 THEN 'premium' ELSE 'volume' END AS tier, CASE WHEN outcome IN ('inserted', 'upgraded') THEN ns ELSE os END AS stake, CASE WHEN outcome IN ('kept', 'duplicate') THEN oc.b END AS close_book, CASE WHEN outcome IN ('kept', 'duplicate') THEN round(oc.f, 6) END AS close_fair, outcome,
         coalesce(max(version) OVER (PARTITION BY event_id, family, selection) > version AND (t = 0 OR max(CASE WHEN t = 1 THEN version END) OVER (PARTITION BY event_id, family, selection) > version), false) AS superseded FROM m""",
     "kickoffs": f"""WITH {PICKS_CTE} s AS (SELECT event_id, pick_id, CASE WHEN pick_id % 4 = 0 THEN date_trunc('day', kickoff) ELSE kickoff END AS seen FROM picks), g AS (SELECT event_id, min(seen) FILTER (pick_id % 2 = 0) AS o, max(seen) FILTER (pick_id % 2 = 1) AS n FROM s GROUP BY event_id)
       SELECT event_id, strftime(CASE WHEN n IS NULL OR (n = date_trunc('day', n) AND o IS NOT NULL AND o <> date_trunc('day', o)) THEN o ELSE n END, '%Y-%m-%d %H:%M') AS kickoff, coalesce(o = date_trunc('day', o), false) AS old_date_only FROM g""",
