@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fairline.functions import keys as fk
 from fairline.functions import odds as fo
 from fairline.functions.odds import SHARP
-from fairline.operators import capture, market, models, movement, settlement
+from fairline.operators import capture, closes, market, models, movement, settlement
 from fairline.plans.value import rounded
 from fairline.sources.picks import QUOTES_CTE, quotes
 
@@ -127,6 +127,21 @@ def model_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.model_picks(c, age), "probability", "book_fair", "edge", "ev", "fraction").select("event_id", "key", F.col("sel_idx").cast("long").alias("sel_idx"), "book", "odds", "probability", "book_fair", "edge", "ev", "fraction", "stake", "tier")
 
 
+def trusted_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's bet365 price of a day before graded by the best close that can be trusted: the sharp book's archive, where half of the events have it, then its prices on the event, then the exchange, then a soft book."""
+    q = quotes(spark, sf_dir)
+    book = F.lower(F.trim("book"))
+    apart = (book == "pinnacle") & (F.col("event_id") % 2 == 1)
+    archive = q.where(apart).withColumn("ref", F.concat(F.lit("pinnacle:"), (F.col("event_id") * 10).cast("string"))).drop("event_id")
+    own = q.where(~apart)
+    known = own.select("event_id").distinct().withColumn("ref", F.when(F.col("event_id") % 5 != 0, F.col("event_id") * 10))
+    sources = {"pinnacle": book == "pinnacle", "betfair exchange": book.startswith("betfair"), "soft": book.isin("bwin", "unibet")}
+    found = [closes.source_closes(closes.archived(archive, known, prefix="pinnacle:"), {"archive": book == "pinnacle"}), closes.source_closes(own, sources)]
+    fills = own.where((book == "bet365") & F.expr(f"captured_at <= {EARLY}")).groupBy("event_id", "key", "sel_idx").agg(F.max_by("odds", F.struct("captured_at", "l_orderkey", "l_linenumber")).alias("odds")).withColumn("book", F.lit("bet365"))
+    g = closes.graded_by_close(fills, found, ["archive", *sources])
+    return rounded(g, "close_fair", "clv").select("event_id", "key", F.col("sel_idx").cast("long").alias("sel_idx"), "odds", "close_source", "close_fair", F.date_format("close_at", "yyyy-MM-dd HH").alias("close_at"), "clv", F.array_join("tried", ",").alias("tried"))
+
+
 def with_sport(q: DataFrame) -> DataFrame:
     return q.withColumn("sport", F.when(F.col("event_id") % 4 == 0, "basketball").when(F.col("event_id") % 4 == 1, "tennis").otherwise("soccer"))
 
@@ -179,7 +194,7 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "readiness": readiness, "market_anchors": market_anchors, "derived_chances": derived_chances, "own_fairs": own_fairs, "model_picks": model_picks, "market_scan": market_scan, "market_grades": market_grades, "closing_evidence": closing_evidence, "steam_verdicts": steam_verdicts,
+    "readiness": readiness, "market_anchors": market_anchors, "derived_chances": derived_chances, "own_fairs": own_fairs, "trusted_closes": trusted_closes, "model_picks": model_picks, "market_scan": market_scan, "market_grades": market_grades, "closing_evidence": closing_evidence, "steam_verdicts": steam_verdicts,
     "timed_drift": timed_drift, "edge_by_bucket": edge_by_bucket, "capture_coverage": capture_coverage, "available_games": available_games, "capture_targets": capture_targets, "poll_report": poll_report,
 }
 
@@ -227,6 +242,16 @@ ORACLES = {
       SELECT event_id, key, unnest(['1X', 'X2', '12']) AS selection, round(unnest([a + b, b + c, a + c]), 6) AS fair FROM t""",
     "own_fairs": f"""WITH {STATE} o AS (SELECT event_id, key, book, sel_idx, 1 / odds AS q, sum(1 / odds) OVER w AS b, count(*) OVER w AS n, row_number() OVER (PARTITION BY event_id, key, book_id ORDER BY sel_idx) - 1 AS "at" FROM fb WINDOW w AS (PARTITION BY event_id, key, book_id)),
       r AS (SELECT *, q - (b - 1) / n AS r FROM o), j AS (SELECT *, min(r) OVER w AS lo, max(r) OVER w AS hi, sum(r) OVER w AS t FROM r WINDOW w AS (PARTITION BY event_id, key, book)) SELECT event_id, key, book, "at", round(CASE WHEN lo <= 0 OR hi >= 1 THEN q / b ELSE r / t END, 6) AS p FROM j WHERE n >= 2""",
+    "trusted_closes": f"""WITH {QUOTES_CTE} a AS (SELECT *, lower(trim(book)) AS norm, lower(trim(book)) = 'pinnacle' AND event_id % 2 = 1 AS apart FROM quotes),
+      l AS (SELECT apart, event_id, key, norm, sel_idx, max({{'t': captured_at, 'a': l_orderkey, 'b': l_linenumber, 'o': odds}}).o AS odds, max(captured_at) AS seen, max(kickoff) AS kickoff FROM a WHERE captured_at <= kickoff GROUP BY ALL),
+      w AS (SELECT apart, event_id, key, count(DISTINCT sel_idx) AS width FROM l GROUP BY ALL),
+      b AS (SELECT l.*, width, count(*) OVER v AS n, max(seen) OVER v AS last, sum(1 / odds) OVER v AS s, min(odds) OVER v AS low FROM l JOIN w USING (apart, event_id, key) WINDOW v AS (PARTITION BY apart, event_id, key, norm)),
+      f AS (SELECT *, CASE WHEN apart THEN 'archive' WHEN norm = 'pinnacle' THEN 'pinnacle' WHEN norm LIKE 'betfair%' THEN 'betfair exchange' WHEN norm IN ('bwin', 'unibet') THEN 'soft' END AS source, 1 / odds / s AS fair FROM b WHERE n = width AND n >= 2 AND epoch(kickoff) - epoch(last) <= 4 * 3600 AND low > 1),
+      c AS (SELECT event_id, key, sel_idx, source, fair, last FROM (SELECT *, dense_rank() OVER (PARTITION BY apart, event_id, key, source ORDER BY norm) AS rk FROM f WHERE source IS NOT NULL AND NOT (apart AND event_id % 5 = 0)) WHERE rk = 1 AND (source <> 'archive' OR event_id IN (SELECT event_id FROM a WHERE NOT apart))),
+      p AS (SELECT event_id, key, sel_idx, max({{'t': captured_at, 'a': l_orderkey, 'b': l_linenumber, 'o': odds}}).o AS odds FROM a WHERE NOT apart AND norm = 'bet365' AND captured_at <= kickoff - INTERVAL 24 HOUR GROUP BY ALL),
+      r AS (SELECT p.event_id, p.key, p.sel_idx, p.odds, source, fair, last, list_position(['archive', 'pinnacle', 'betfair exchange', 'soft'], source) AS rank FROM p LEFT JOIN c USING (event_id, key, sel_idx)),
+      g AS (SELECT event_id, key, sel_idx, odds, arg_min({{'s': source, 'f': fair, 'l': last}}, rank) AS c, array_to_string(list_sort(list(source) FILTER (source IS NOT NULL)), ',') AS tried FROM r GROUP BY ALL)
+      SELECT event_id, key, sel_idx::BIGINT AS sel_idx, odds, c.s AS close_source, round(c.f, 6) AS close_fair, strftime(c.l, '%Y-%m-%d %H') AS close_at, round(CASE WHEN c.f > 0 AND c.f < 1 THEN ln(odds * c.f) END, 6) AS clv, tried FROM g""",
     "model_picks": f"""WITH {STATE} ex AS (SELECT DISTINCT event_id, 0.9e0 + (event_id % 8) / 6e0 AS h, 0.6e0 + (event_id % 5) / 5e0 AS a, 0.5e0 + (event_id % 4) / 10e0 AS confidence FROM quotes),
       hs AS (SELECT DISTINCT h, a FROM ex), gl AS (SELECT unnest(range(0, 16)) AS g),
       ce AS (SELECT h, a, x.g AS i, y.g AS j, exp(x.g * ln(h) - h) / factorial(x.g::INTEGER) * exp(y.g * ln(a) - a) / factorial(y.g::INTEGER) * CASE WHEN x.g = 0 AND y.g = 0 THEN 1 + h * a * 0.06e0 WHEN x.g = 0 AND y.g = 1 THEN 1 - h * 0.06e0 WHEN x.g = 1 AND y.g = 0 THEN 1 - a * 0.06e0 WHEN x.g = 1 AND y.g = 1 THEN 1.06e0 ELSE 1e0 END AS p FROM hs, gl x, gl y),
