@@ -186,8 +186,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     heads = buckets.groupBy("key").agg(F.min("class").alias("head"), F.count("*").alias("size")).where("size > 1")
     rows = kept(buckets.join(heads, "key"), "buckets")
-    first = rows.where("class = head").select("key", "n", *SKETCH)  # a bucket's head brings its size and sketch to its bucket
-    star = rows.where("class <> head").alias("x").join(first.alias("y"), "key").where(ALIKE).select("x.class", F.col("x.head").alias("group"))
+    # A class meets a head in one of the buckets that they share, by hash, so a head of very many classes is met in all of its buckets.
+    held = rows.where("class <> head").groupBy("class", "head").agg(F.min_by("key", F.xxhash64("key", "class")).alias("key"))
+    first = rows.where("class = head").select("key", "n", *SKETCH)
+    star = held.join(reps.select("class", "n", *SKETCH), "class").alias("x").join(first.alias("y"), "key").where(ALIKE).select("x.class", F.col("x.head").alias("group"))
     single = reps.select("class", F.col("class").alias("group"))
     placed = components(confirmed(star, single, docs))
 
