@@ -73,4 +73,5 @@ def test_paths_equal_brute_force(spark, flat):
 
 @pytest.mark.parametrize("name", sorted(set(study.QUERIES) - set(study.ORACLES)))
 def test_queries_without_sql_run(spark, name):
-    assert study.QUERIES[name](spark, SF).count() > 0
+    # At the smallest scale no window of 540 days has the hundred matches that a model needs.
+    assert study.QUERIES[name](spark, SF.replace("0.001", "0.01") if name == "walk_forward_bets" else SF).count() > 0
