@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from fairline.llm.store import kept
 
 
-def mark(edges: DataFrame) -> tuple:
-    """A value that changes if the edges do."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def settled(edges: DataFrame) -> bool:
+    """Whether distinct links (u, v), u > v, are stars: each u has one, to a node that has none itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out")).union(edges.select("v", F.lit(0)))
+    return ends.groupBy("node").agg(F.sum("out").alias("links"), F.min("out").alias("least")).where("links > 1 OR links = 1 AND least = 0").count() == 0
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,15 +17,13 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round replaces each node's links by links to its smallest neighbour, first among the
     larger, then among the smaller; rounds grow with the logarithm of a component's width. A
-    round's edges are a written table, so no lineage builds up; nothing but a checksum reaches
+    round's edges are a written table, so no lineage builds up; nothing but a count reaches
     the driver. Links of a node with itself and repeated links don't matter; no links, no rows.
     """
     if links.isEmpty():
         return links.sparkSession.createDataFrame([], "node long, component long")
     edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    was = None
-    while was != (now := mark(edges)):
-        was = now
+    while not settled(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
