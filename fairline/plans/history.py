@@ -108,9 +108,15 @@ def event_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     f = matches(spark, sf_dir).select(
         F.col("match_id").alias("ref"), F.expr("timestampadd(HOUR, CAST(match_id % 20 AS INT), played)").alias("kickoff"), (first * 20 + F.col("home")).alias("h"), (first * 20 + F.col("away")).alias("a"), F.concat(F.lit("Division "), first.cast("string")).alias("league")
     )
-    ours, theirs = (f.select("ref", "kickoff", "league", names(F.col("h")).alias("home_name"), names(F.col("a")).alias("away_name")) for names in (club, spelled))
-    theirs = theirs.withColumn("league", F.when(F.col("ref") % 3 != 0, F.upper("league"))).withColumn("kickoff", F.expr("timestampadd(HOUR, CAST(ref % 9 AS INT), kickoff)"))
-    return tuple(s.select("*", resolve.normalized(F.col("home_name")).alias("home"), resolve.normalized(F.col("away_name")).alias("away")) for s in (ours, theirs))
+    numbers = f.select(F.explode(F.array("h", "a")).alias("number")).groupBy("number").agg(F.max("number").alias("one"))  # a thousand clubs; names are worked out once a club, of an aggregate, as filters on it stay behind it
+
+    def named(names) -> DataFrame:
+        clubs = numbers.withColumn("name", names(F.col("one"))).withColumn("normal", resolve.normalized(F.col("name")))
+        side = lambda c, n: F.broadcast(clubs.select(F.col("number").alias(c), F.col("name").alias(f"{n}_name"), F.col("normal").alias(n)))
+        return f.join(side("h", "home"), "h").join(side("a", "away"), "a").select("ref", "kickoff", "league", "home_name", "away_name", "home", "away")
+
+    ours, theirs = named(club), named(spelled)
+    return ours, theirs.withColumn("league", F.when(F.col("ref") % 3 != 0, F.upper("league"))).withColumn("kickoff", F.expr("timestampadd(HOUR, CAST(ref % 9 AS INT), kickoff)"))
 
 
 def matched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
