@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fairline.functions.keys import looked_up
 from fairline.functions.text import ascii_folded
 from fairline.operators.calibrate import calibrated, fit_calibrator, log_loss
+from fairline.session import cut
 
 #: Columns by role, and league codes of labels.
 KEYS, LABELS = ("match_id", "pick"), ("beat_close", "won", "clv", "unit", "close_fair", "result", "home_goals", "away_goals")
@@ -136,11 +137,11 @@ def score(model, rows: DataFrame, fitted: dict | None = None) -> DataFrame:
 
 
 def out_of_fold(rows: DataFrame, seasons: list, kind: str = "logistic") -> DataFrame:
-    """Calibrated scores of every season but the first two: the model is fitted on the seasons before, its calibrator on one that the model has not seen, and neither has seen the season itself."""
+    """Calibrated scores of every season but the first two: the model is fitted on the seasons before, its calibrator on one that the model has not seen, and neither has seen the season itself. Each fit scans its rows many times: hand in rows that are cut; what a calibrator is fitted on is cut here."""
     every = None
     for before, between, season in folds(seasons):
         model = fit(rows.where(F.col("season").isin(before)), kind)
-        fitted = fit_calibrator(score(model, rows.where(F.col("season") == between)).select(F.col("raw").alias("p"), F.col("y")))
+        fitted = fit_calibrator(cut(score(model, rows.where(F.col("season") == between)).select(F.col("raw").alias("p"), F.col("y"))))
         one = score(model, rows.where(F.col("season") == season), fitted)
         every = one if every is None else every.unionByName(one)
     return every

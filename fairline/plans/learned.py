@@ -7,6 +7,7 @@ from fairline.functions.keys import family_of, line_of_key
 from fairline.operators import backtest, filtering
 from fairline.plans.study import CANDS, wide
 from fairline.plans.value import rounded
+from fairline.session import cut
 from fairline.sources.picks import KEYED_CTE, keyed
 
 
@@ -52,7 +53,7 @@ def feature_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores' log loss of every season but the first two, next to the base rate's."""
-    f = features(spark, sf_dir).where("clv IS NOT NULL").withColumn("y", F.col("beat_close"))
+    f = cut(features(spark, sf_dir).where("clv IS NOT NULL").select(*filtering.KEYS, "season", *filtering.NUMBERS, *filtering.WORDS, F.col("beat_close").alias("y")))
     seasons = [r.season for r in f.select("season").distinct().orderBy("season").collect()]
     return rounded(filtering.fold_metrics(filtering.out_of_fold(f, seasons)), "loss", "base_loss")
 

@@ -66,3 +66,11 @@ def test_periods_fitted_together_equal_one_by_one(spark, monkeypatch):
         one = df.where(F.col("period") == period).agg(F.avg(calibrate.log_loss(F.col("p"), F.col("y"))).alias("raw"), F.avg(calibrate.log_loss(calibrate.calibrated(F.col("p"), m), F.col("y"))).alias("fitted")).first()
         assert (r.raw, r.fitted) == (pytest.approx(one.raw), pytest.approx(one.fitted, abs=1e-7))
     assert calibrate.walk_forward_gain(df.limit(0)).first().folds == 0
+
+
+def test_folds_read_rows_that_are_cut(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(filtering, "out_of_fold", lambda rows, seasons: taken.append(rows) or rows.withColumn("score", F.lit(0.5)))
+    learned.filter_scores(spark, SF)
+    plan = taken[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
