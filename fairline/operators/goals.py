@@ -107,43 +107,31 @@ def implied_goals(markets: DataFrame, *, tolerance: float = 0.02) -> DataFrame:
     return markets.mapInPandas(solve, T.StructType([*markets.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
+def summed_pairs(rows: DataFrame, by: list[str], weight: Column, n: Column) -> DataFrame:
+    """What a fit needs of each pair of teams: matches, weight, weighted goals, and weights of the four low scores. rows: by, home, away, neutral, home_goals, away_goals."""
+    low = lambda h, a: F.sum(F.when((F.col("home_goals") == h) & (F.col("away_goals") == a), weight).otherwise(0.0)).alias(f"low_{h}{a}")
+    return rows.groupBy(*by, "home", "away", "neutral").agg(
+        F.sum(n).alias("n"), F.sum(weight).alias("weight"), F.sum(weight * F.col("home_goals")).alias("home_sum"), F.sum(weight * F.col("away_goals")).alias("away_sum"), low(0, 0), low(0, 1), low(1, 0), low(1, 1)
+    )
+
+
 def fit_leagues(matches: DataFrame, as_of: Column, *, xi: float = 0.0019, least: int = 50, rounds: int = 200) -> DataFrame:
     """(league, team, attack, defence, home, rho): each league's time-decayed fit on its matches strictly before a day.
 
-    matches: league, played, home, away, home_goals, away_goals, neutral. A league is one group; leagues are
-    the parallel axis. Attack and defence follow by iterative proportional fitting of the weighted
-    goals, the home edge likewise, the correction of low scores by a search.
+    matches: league, played, home, away, home_goals, away_goals, neutral. Matches are summed by pair of teams where
+    they are, so a league's group holds a row a pair, however many matches it has. Attack and defence follow by iterative
+    proportional fitting of the weighted goals, the home edge likewise, the correction of low scores by a search.
     """
-    rows = matches.where(F.col("played") < as_of).withColumn("age", F.datediff(as_of, F.col("played"))).select("league", "home", "away", "home_goals", "away_goals", "neutral", "age")
+    before = matches.where(F.col("played") < as_of)
+    sums = summed_pairs(before, ["league"], F.exp(-xi * F.datediff(as_of, F.col("played"))), F.lit(1))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         columns = ["league", "team", "attack", "defence", "home", "rho"]
-        if len(pdf) < least:
+        if pdf["n"].sum() < least:
             return pd.DataFrame(columns=columns)
-        teams, codes = np.unique(np.concatenate([pdf["home"], pdf["away"]]), return_inverse=True)
-        n = len(pdf)
-        h, a, w = codes[:n], codes[n:], np.exp(-xi * pdf["age"].to_numpy(float))
-        hg, ag, own = pdf["home_goals"].to_numpy(float), pdf["away_goals"].to_numpy(float), ~pdf["neutral"].to_numpy(bool)
-        attack, defence, edge, size = np.ones(len(teams)), np.full(len(teams), max(1e-6, np.average(np.r_[hg, ag]))), 1.2, len(teams)
-        add = lambda at, x: np.bincount(at, x, size)
-        for _ in range(rounds):
-            e = np.where(own, edge, 1.0)
-            attack = (add(h, w * hg) + add(a, w * ag) + 1e-6) / (add(h, w * e * defence[a]) + add(a, w * defence[h]) + 1e-6)
-            attack /= attack.mean()
-            defence = (add(a, w * hg) + add(h, w * ag) + 1e-6) / (add(a, w * e * attack[h]) + add(h, w * attack[a]) + 1e-6)
-            edge = max(0.2, (w * hg)[own].sum() / max((w * attack[h] * defence[a])[own].sum(), 1e-9)) if own.any() else 1.0
-        lh, la = attack[h] * defence[a] * np.where(own, edge, 1.0), attack[a] * defence[h]
-
-        def likelihood(rho: float) -> float:
-            t = np.ones(n)
-            for x, y, v in ((0, 0, 1 - lh * la * rho), (0, 1, 1 + lh * rho), (1, 0, 1 + la * rho), (1, 1, np.full(n, 1 - rho))):
-                t = np.where((hg == x) & (ag == y), v, t)
-            return float((w * np.log(np.maximum(t, 1e-9))).sum())
-
-        rho = max(np.linspace(-0.2, 0.2, 81), key=likelihood)
-        return pd.DataFrame({"league": pdf["league"].iloc[0], "team": teams, "attack": attack, "defence": defence, "home": edge, "rho": rho})[columns]
-
-    return rows.groupBy("league").applyInPandas(fit, "league string, team string, attack double, defence double, home double, rho double")
+        return fit_pair_sums(pdf, rounds).assign(league=pdf["league"].iloc[0])[columns]
+
+    return sums.groupBy("league").applyInPandas(fit, "league string, team string, attack double, defence double, home double, rho double")
 
 
 def fit_pair_sums(pdf: pd.DataFrame, rounds: int = 200) -> pd.DataFrame:
@@ -180,10 +168,17 @@ def fit_pair_sums(pdf: pd.DataFrame, rounds: int = 200) -> pd.DataFrame:
 
 
 def predicted(fixtures: DataFrame, fitted: DataFrame, line: float = 2.5) -> DataFrame:
-    """fixtures with the model's chances; those with an unknown team have nulls. fixtures: league, home, away, neutral."""
+    """fixtures with the model's chances; those with an unknown team have nulls. fixtures: league, home, away, neutral.
+
+    A grid is worked out once a pair of teams. Pairs are few beside fixtures, so they are broadcast to them.
+    """
+    keys = ["league", "home", "away", "neutral"]
+    pairs = fixtures.groupBy(*keys).agg(F.max("neutral").alias("neutral_ground"))  # an aggregate, so that no filter on chances gets behind it
     h = fitted.select("league", F.col("team").alias("home"), F.col("attack").alias("ha"), F.col("defence").alias("hd"), F.col("home").alias("edge"), "rho")
     a = fitted.select("league", F.col("team").alias("away"), F.col("attack").alias("aa"), F.col("defence").alias("ad"))
-    both = fixtures.join(h, ["league", "home"], "left").join(a, ["league", "away"], "left")
-    both = both.withColumns({"home_exp": F.col("ha") * F.col("ad") * F.when(F.col("neutral"), 1.0).otherwise(F.col("edge")), "away_exp": F.col("aa") * F.col("hd")})
+    both = pairs.join(h, ["league", "home"], "left").join(a, ["league", "away"], "left")
+    both = both.withColumns({"home_exp": F.col("ha") * F.col("ad") * F.when(F.col("neutral_ground"), 1.0).otherwise(F.col("edge")), "away_exp": F.col("aa") * F.col("hd")})
     both = both.withColumn("grid", F.when(F.col("home_exp").isNotNull() & F.col("away_exp").isNotNull(), score_grid(F.col("home_exp"), F.col("away_exp"), F.col("rho"))))
-    return both.withColumns({f"p_{n}": F.when(F.col("grid").isNotNull(), c) for n, c in grid_chances(F.col("grid"), line).items()}).drop("grid", "ha", "hd", "aa", "ad", "edge")
+    both = both.withColumns({f"p_{n}": F.when(F.col("grid").isNotNull(), c) for n, c in grid_chances(F.col("grid"), line).items()}).drop("grid", "ha", "hd", "aa", "ad", "edge", "neutral_ground")
+    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    return fixtures.alias("f").join(F.broadcast(both.alias("p")), same, "left").select("f.*", *(F.col(f"p.{c}") for c in both.columns if c not in keys))

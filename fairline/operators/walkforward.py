@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from fairline.functions.devig import devig, let
 from fairline.functions.odds import clv_log
 from fairline.operators.backtest import training_rows
-from fairline.operators.goals import fit_pair_sums, market_of
+from fairline.operators.goals import fit_pair_sums, market_of, summed_pairs
 
 
 def evaluated(matches: DataFrame, *, warmup: int) -> DataFrame:
@@ -42,13 +42,11 @@ def refits(scored: DataFrame, *, every_days: int) -> DataFrame:
 
 
 def pair_sums(matches: DataFrame, epochs: DataFrame, *, window_days: int, xi: float) -> DataFrame:
-    """What a refit needs of each pair of teams in its window: matches, weight, weighted goals, and weights of the four low scores."""
-    rows = training_rows(matches.select("league", "played", "home", "away", "home_goals", "away_goals", "neutral"), epochs, window_days=window_days, by=("league",))
-    w = F.exp(-xi * F.datediff("epoch", "played"))
-    low = lambda h, a: F.sum(F.when((F.col("home_goals") == h) & (F.col("away_goals") == a), F.col("w")).otherwise(0.0)).alias(f"low_{h}{a}")
-    return rows.withColumn("w", w).groupBy("league", "epoch", "home", "away", "neutral").agg(
-        F.count("*").alias("n"), F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("home_goals")).alias("home_sum"), F.sum(F.col("w") * F.col("away_goals")).alias("away_sum"), low(0, 0), low(0, 1), low(1, 0), low(1, 1)
-    )
+    """What a refit needs of each pair of teams in its window: matches, weight, weighted goals, and weights of the four low scores. Equal results of a day are counted before they meet the refits."""
+    kinds = ["league", "played", "home", "away", "home_goals", "away_goals", "neutral"]
+    days = matches.groupBy(*kinds).agg(F.count("*").alias("times"))
+    rows = training_rows(days, epochs, window_days=window_days, by=("league",))
+    return summed_pairs(rows, ["league", "epoch"], F.col("times") * F.exp(-xi * F.datediff("epoch", "played")), F.col("times"))
 
 
 def fitted_epochs(sums: DataFrame, *, least: int = 100, rounds: int = 200) -> DataFrame:
@@ -94,8 +92,9 @@ def walk_forward(matches: DataFrame, *, warmup: int = 300, window_days: int = 54
     plan = refits(scored, every_days=every_days)
     sums = pair_sums(matches, plan.select("league", "epoch").distinct(), window_days=window_days, xi=xi)
     due = scored.join(plan, ["league", "played"])
-    known = forecasts(due.select("match_id", "league", "epoch", "home", "away", "neutral"), fitted_epochs(sums, least=least)).select("match_id", "p_home", "p_draw", "p_away", "p_over")
-    return due.join(known, "match_id", "left")
+    pair = ["league", "epoch", "home", "away", "neutral"]
+    known = forecasts(due.select(*pair).distinct(), fitted_epochs(sums, least=least)).select(*pair, "p_home", "p_draw", "p_away", "p_over")  # once a pair of teams and refit
+    return due.join(known, pair, "left")
 
 
 def model_bets(forecast: DataFrame, *, method: str = "power") -> DataFrame:
