@@ -63,8 +63,8 @@ def operating_point(points: DataFrame, *, least: int) -> DataFrame:
 
 
 def cell_bets(cands: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
-    """Bets under each cell's own threshold. cells: by, threshold."""
-    return bets_for(cands.join(cells.select(*by, F.col("threshold").alias("cell_threshold")), by).withColumn("over", F.col("edge") - F.col("cell_threshold")).where("over >= 0"), -9.0)
+    """Bets under each cell's own threshold. cells: by, threshold; they are few and broadcast, so no cell's candidates go to one task."""
+    return bets_for(cands.join(F.broadcast(cells.select(*by, F.col("threshold").alias("cell_threshold"))), by).withColumn("over", F.col("edge") - F.col("cell_threshold")).where("over >= 0"), -9.0)
 
 
 def settled_at(bets: DataFrame, odds: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fairline.operators import backtest, calibrate, goals, resampling
+from fairline.operators import backtest, calibrate, goals, resampling, walkforward
 from fairline.plans import registry, study
 from tests.conftest import SF
 
@@ -75,3 +75,28 @@ def test_paths_equal_brute_force(spark, flat):
 def test_queries_without_sql_run(spark, name):
     # At the smallest scale no window of 540 days has the hundred matches that a model needs.
     assert study.QUERIES[name](spark, SF.replace("0.001", "0.01") if name == "walk_forward_bets" else SF).count() > 0
+
+
+def test_no_cell_goes_to_one_task(spark):
+    c = backtest.candidates(study.wide(spark, SF), "multiplicative")
+    cells = c.groupBy("league").agg(F.lit(0.02).alias("threshold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = backtest.cell_bets(c, cells, ["league"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_pairs_of_teams_are_summed_before_a_fit(spark):
+    m = study.wide(spark, SF).withColumn("neutral", F.col("match_id") % 7 == 0)
+    day = F.lit("1997-06-01").cast("date")
+    fitted = goals.fit_leagues(m, day)
+    found = {(r.league, r.team): r for r in fitted.collect()}
+    pdf = m.where(F.col("played") < day).select("league").toPandas()
+    assert "partial_sum" in fitted._jdf.queryExecution().executedPlan().toString() and {k for k, _ in found} <= set(pdf["league"])
+    fixtures = m.where(F.col("played") >= day).select("match_id", "league", "home", "away", "neutral")
+    plan = goals.predicted(fixtures, fitted)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [league" in plan and goals.predicted(fixtures, fitted).count() == fixtures.count()
+    epochs = m.groupBy("league").agg(F.max("played").alias("epoch"))
+    assert walkforward.pair_sums(m, epochs, window_days=540, xi=0.0)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [league") >= 2
