@@ -193,7 +193,8 @@ def player_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     surname, given = club(key % 1000), F.substring(F.array(*map(F.lit, STARTS))[(key % 40).cast("int")], 1, 9)
     last = F.element_at(F.split(surname, " "), 1)
     forms = F.array(F.concat_ws(" ", given, last), F.concat(last, F.lit(" "), F.left(given, F.lit(1)), F.lit(".")), F.concat(F.left(given, F.lit(1)), F.lit(". "), last), last, F.lit(" , "), F.concat(last, F.lit(", "), F.left(given, F.lit(1))))
-    return n.select("c_custkey", F.posexplode(forms).alias("form", "name")).select("c_custkey", F.col("form").cast("long").alias("form"), text.canonical_player(F.col("name")).alias("player"))
+    rows = n.select("c_custkey", F.posexplode(forms).alias("form", "name")).select("c_custkey", F.col("form").cast("long").alias("form"), "name")
+    return resolve.formed(rows, ["name"], player=text.canonical_player).select("c_custkey", "form", F.col("player_name").alias("player"))
 
 
 def slug_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
