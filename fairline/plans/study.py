@@ -162,7 +162,8 @@ def clv_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def staking_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terminal wealth and falls of staking policies over the same bootstrap paths of all bets, and which one the rules choose."""
-    b = backtest.bets_for(cands(spark, sf_dir).where("won IS NOT NULL"), 0.02)
+    c = cands(spark, sf_dir).where("won IS NOT NULL").select("match_id", "pick", "edge", "odds", "played", "fair", "unit")
+    b = backtest.bets_for(c, 0.02)
     kelly = F.greatest((F.col("fair") * F.col("odds") - 1) / (F.col("odds") - 1), F.lit(0.0))
     series = resampling.positioned(b.select("match_id", "played", "unit", kelly.alias("kelly")), "played", ["match_id"])
     shares = {"quarter": F.least(F.col("kelly") / 4, F.lit(0.02)), "tenth": F.least(F.col("kelly") / 10, F.lit(0.01)), "flat": F.lit(0.01)}

@@ -71,6 +71,25 @@ def test_paths_equal_brute_force(spark, flat):
     assert resampling.block_bootstrap_paths(series.limit(0), paths=3).count() == 0
 
 
+def test_paths_over_many_chunks_shuffle_no_drawn_returns(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "CHUNK", 16)
+    monkeypatch.setattr(resampling, "IN_A_ROW", 5)
+    rng = np.random.default_rng(6)
+    r = rng.normal(0.01, 0.05, (2, 331))
+    series = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(r.T)], "position long, a double, b double")
+    draw = lambda p, k: ((p * 7919 + k * 104729 + 11) % 1009) / 1009.0
+    paths = resampling.bootstrap_paths(series, ["a", "b"], paths=6, block=10, draw=draw)
+    found = {(p.path, p.series): p for p in paths.collect()}
+    for p in range(6):
+        at = [(int(draw(p, k) * 331) + i) % 331 for k in range(34) for i in range(10) if k * 10 + i < 331]
+        for name, one in zip("ab", r, strict=True):
+            wealth = np.exp(np.cumsum(one[at]))
+            peak = np.maximum.accumulate(np.r_[1.0, wealth])[1:]
+            assert found[p, name].terminal == pytest.approx(wealth[-1]) and found[p, name].drawdown == pytest.approx(((peak - wealth) / peak).max())
+    plan = resampling.block_bootstrap_paths(series.select("position", F.col("a").alias("log_return")), paths=6, block=10)._jdf.queryExecution().analyzed().toString()
+    assert "explode(sequence(0, 9" not in plan
+
+
 @pytest.mark.parametrize("name", sorted(set(study.QUERIES) - set(study.ORACLES)))
 def test_queries_without_sql_run(spark, name):
     # At the smallest scale no window of 540 days has the hundred matches that a model needs.
@@ -96,7 +115,7 @@ def test_pairs_of_teams_are_summed_before_a_fit(spark):
     pdf = m.where(F.col("played") < day).select("league").toPandas()
     assert "partial_sum" in fitted._jdf.queryExecution().executedPlan().toString() and {k for k, _ in found} <= set(pdf["league"])
     fixtures = m.where(F.col("played") >= day).select("match_id", "league", "home", "away", "neutral")
-    plan = goals.predicted(fixtures, fitted)._jdf.queryExecution().optimizedPlan().toString()
+    plan = goals.predicted(fixtures, fitted)._jdf.queryExecution().analyzed().toString()
     assert "Aggregate [league" in plan and goals.predicted(fixtures, fitted).count() == fixtures.count()
     epochs = m.groupBy("league").agg(F.max("played").alias("epoch"))
     assert walkforward.pair_sums(m, epochs, window_days=540, xi=0.0)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [league") >= 2
