@@ -167,14 +167,13 @@ def value_scan(markets: DataFrame, books: str = "close", *, min_edge: float | Co
 
     markets: with_anchor(). A market whose anchor is swapped has none.
     """
-    legs = markets.where("fair IS NOT NULL")
-    if guard:
-        legs = legs.where(~swapped(F.col("full"), F.col("sels"), F.col("fair")))
-    legs = legs.withColumn("n_books", book_count(F.col(books)))
-    legs = legs.select("*", F.explode(F.arrays_zip(F.col("sels").alias("sel_idx"), F.col("fair").alias("fair"))).alias("leg")).drop("fair")
-    legs = legs.withColumns({"sel_idx": F.col("leg.sel_idx"), "fair": F.col("leg.fair")}).withColumn("offer", best_soft(F.col(books), F.col("sel_idx")))
-    found = legs.select("*", F.try_element_at("names", F.col("sel_idx")).alias("selection"), "offer.book", "offer.odds", "offer.net").drop("leg", "offer", "full", "sels", "names")
-    found = found.where("net IS NOT NULL").withColumn("edge", edge(F.col("fair"), F.col("net"))).withColumn("ev", expected_value(F.col("fair"), F.col("net")))
+    sels, fair = F.col("sels"), F.col("fair")
+    offered = F.transform(F.arrays_zip(sels.alias("sel_idx"), fair.alias("fair")), lambda x: F.struct(x["sel_idx"].alias("sel_idx"), x["fair"].alias("fair"), F.try_element_at("names", x["sel_idx"]).alias("selection"), best_soft(F.col(books), x["sel_idx"]).alias("offer")))
+    legs = markets.withColumns({"n_books": book_count(F.col(books)), "legs": F.when(~swapped(F.col("full"), sels, fair), offered) if guard else offered})
+    # explode_outer, and conditions on what comes out of it alone: those on a market's arrays, explode's own too, are pushed below and repeat all that the arrays are made of.
+    legs = legs.select("*", F.explode_outer("legs").alias("leg")).drop("legs", "fair", "full", "sels", "names").where("leg.offer.net IS NOT NULL")
+    found = legs.select("*", "leg.sel_idx", "leg.fair", "leg.selection", "leg.offer.book", "leg.offer.odds", "leg.offer.net").drop("leg")
+    found = found.withColumn("edge", edge(F.col("fair"), F.col("net"))).withColumn("ev", expected_value(F.col("fair"), F.col("net")))
     return found.where((F.col("edge") >= min_edge) & (F.col("edge") <= max_edge) & (F.col("net") >= min_odds)).withColumn("tier", pick_tier(F.col("edge")))
 
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from fairline.functions import devig as dv
 from fairline.functions import odds as fo
 from fairline.functions import text
-from fairline.operators import resampling, resolve, settlement, timeline
+from fairline.operators import market, resampling, resolve, settlement, timeline
+from fairline.plans import markets
 from fairline.streaming import live
+from tests.conftest import SF
 
 
 def one(spark, column):
@@ -199,3 +201,11 @@ def test_fresh_drops_stale_and_unknown(spark):
     t = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, t, t), (2, t - dt.timedelta(hours=1), t), (3, None, t), (4, t + dt.timedelta(hours=1), t)], "i int, captured_at timestamp, ingested_at timestamp")
     assert sorted(r.i for r in live.fresh(df).collect()) == [1, 4]
+
+
+@pytest.mark.parametrize("guard", [False, True])
+def test_scan_keeps_no_condition_on_a_markets_arrays(spark, guard):
+    q = markets.rows(spark, SF, close="kickoff")
+    found = market.value_scan(market.with_anchor(q, method="multiplicative"), guard=guard)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "lambdafunction" in line]
