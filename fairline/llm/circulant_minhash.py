@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fairline.llm.components import components, joined
 from fairline.llm.store import kept
-from fairline.llm.words import mixed, runs, sliced, words_of
+from fairline.llm.words import let_go, mixed, runs, sliced, words_of
 
 SHINGLE, LEAST, OUT_OF = 5, 75, 100
 BANDS, ROWS, COORDINATES = 40, 5, 256
@@ -78,6 +78,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         for part in sliced(batch):
             n, first, second, bands, sketch = [], [], [], [], []
@@ -131,6 +132,7 @@ def confirmed(wanted: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFram
     )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         names = ["group", "x", "y", "side"]
         for batch in batches:
             for part in sliced(batch):
@@ -143,6 +145,7 @@ def confirmed(wanted: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFram
                         yield pa.RecordBatch.from_arrays([*(some.field(c) for c in names), pa.array([part.column("doc_id")[i].as_py()] * len(some), pa.int64()), pa.array([data] * len(some), pa.binary())], names=[*names, "class", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         at, own, sets, every, owners = None, [], [], None, None
         for part in (p for batch in batches for p in sliced(batch, "hashes", SENT)):
             a_out, b_out = [], []

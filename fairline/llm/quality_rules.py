@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from fairline.llm.labelled import held_out, training_rows
 from fairline.llm.store import kept
 from fairline.llm.trees import nested, paths
-from fairline.llm.words import runs, sliced, words_of
+from fairline.llm.words import let_go, runs, sliced, words_of
 
 STATISTICS = ("log_words", "word_length", "upper", "digits", "marks", "bars", "shouts", "lines", "distinct", "stutter", "repeated_runs", "high_bytes", "top_word", "stops")
 #: Labelled documents a class that a classifier is fitted on, at most.
@@ -62,6 +62,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """docs with the array column stats."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in sliced(batch):
                 rows = statistics(part.column("text"))

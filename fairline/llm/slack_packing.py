@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fairline.llm.store import kept
 from fairline.llm.token_ids import encoder
-from fairline.llm.words import sliced
+from fairline.llm.words import let_go, sliced
 
 CAPACITY = 1024
 #: Pieces of one share, about, if all have the same length.
@@ -121,6 +121,7 @@ def packed(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY) -> Data
     ranked = dealt.withColumn("inside", inside).join(offsets, ["length", "share"]).withColumn("rank", F.col("ahead") + F.col("inside") - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()  # the tokenizer and what it has learned, up to some 200 MB, would stay for all later stages
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         keys = table[:, 0] << 44 | table[:, 1]
         for batch in batches:

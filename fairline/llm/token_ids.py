@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from fairline.llm.words import BASE, TABLE, mixed, text_arrays
+from fairline.llm.words import BASE, HELD, TABLE, mixed, text_arrays
 
 #: The id after each document's own.
 END = 2
@@ -190,5 +190,6 @@ class TokenIds:
 
 @lru_cache(1)
 def encoder(path: str) -> TokenIds:
-    """One for all tasks of a worker, so that what one has learned serves the next."""
+    """One for all tasks of a worker, so that what one has learned serves the next, until let_go()."""
+    HELD.extend((encoder.cache_clear, powers.cache_clear))
     return TokenIds(path)

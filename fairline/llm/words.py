@@ -4,7 +4,8 @@ A word is a run of bytes other than the six ASCII white-space characters. Texts
 UTF-8, so a word's bytes are its characters' and nothing is decoded.
 """
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,9 +19,22 @@ TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, np.uint64)
 #: The same with A-Z as a-z.
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.roll(TABLE, -32), TABLE)
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: What tasks have left in this process for the next ones of their kind; each entry empties one cache.
+HELD: list[Callable[[], None]] = []
 POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(1023, BASE)]))
 
 
+def let_go() -> None:
+    """Empties what tasks of another kind left in this process, and gives the memory back: Spark hands its workers on from stage to stage."""
+    if not HELD:
+        return
+    while HELD:
+        HELD.pop()()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's alone
+        trim(0)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)

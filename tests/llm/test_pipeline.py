@@ -1,9 +1,13 @@
 """The pipeline keeps what its stages say, stage by stage."""
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fairline.llm import quality_rules
+from fairline.llm import quality_rules, token_ids
+from fairline.llm.circulant_minhash import features
+from fairline.llm.queries import BPE
 from fairline.llm.store import table
 from tests.conftest import SF
 
@@ -58,3 +62,13 @@ def test_stages_with_empty_tables(spark):
     docs = spark.createDataFrame([], CLASH)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0, name
+
+
+def test_workers_do_not_keep_the_tokenizer():
+    """A worker that has packed holds no tokenizer, nor what it has learned, once it signs texts; the next encoder is whole again."""
+    texts = pa.array(["one two three", None, "four"])
+    ids = token_ids.encoder(public_tokenizers.path(BPE)).encode(texts)[0].tolist()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), texts], names=["doc_id", "text"])
+    assert [n for part in features(iter([batch])) for n in part.column("n").to_pylist()] == [1, 0, 1]
+    assert token_ids.encoder.cache_info().currsize == 0 and token_ids.powers.cache_info().currsize == 0
+    assert token_ids.encoder(public_tokenizers.path(BPE)).encode(texts)[0].tolist() == ids
