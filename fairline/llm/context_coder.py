@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from fairline.llm.store import kept
 from fairline.llm.token_ids import encoder
-from fairline.llm.words import sliced
+from fairline.llm.words import give_back, sliced
 
 MAGIC = b"FCM2"
 HEADER = struct.Struct("<4sIII")
@@ -327,6 +327,7 @@ def written_files(docs: DataFrame, tokenizer: str, *, shards: int | None = None)
                     yield row(BLOCK)
         if total:
             yield row(total)
+        give_back()
 
     return kept(ordered.mapInArrow(write, "shard int, block int, n int, document long, doc_ids array<long>, starts array<int>, code binary"), "token-files")
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fairline.llm.store import kept
 from fairline.llm.token_ids import encoder
-from fairline.llm.words import let_go, sliced
+from fairline.llm.words import give_back, let_go, sliced
 
 CAPACITY = 1024
 #: Pieces of one share, about, if all have the same length.
@@ -95,6 +95,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
                 data = ids.astype("<u4", copy=False).data.cast("B")
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((at[of] + start).tolist(), (at[of] + end).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(end - start), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch while a table is written: with the usual 64 MB, most of a task's texts stand in the JVM and in its Python worker at once.
+BATCH_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of text that one task takes, about.
 TASK_BYTES = 64 << 20
 
@@ -33,7 +35,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    usual = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_CONF, usual)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -25,11 +25,16 @@ POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(1023, BA
 
 
 def let_go() -> None:
-    """Empties what tasks of another kind left in this process, and gives the memory back: Spark hands its workers on from stage to stage."""
+    """Empties what tasks of another kind left in this process: Spark hands its workers on from stage to stage."""
     if not HELD:
         return
     while HELD:
         HELD.pop()()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns this process's free memory to the system."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's alone
         trim(0)

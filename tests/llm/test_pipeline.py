@@ -8,7 +8,7 @@ import corpus_pipeline
 from fairline.llm import quality_rules, token_ids
 from fairline.llm.circulant_minhash import features
 from fairline.llm.queries import BPE
-from fairline.llm.store import table
+from fairline.llm.store import BATCH_CONF, kept, table
 from tests.conftest import SF
 
 
@@ -72,3 +72,12 @@ def test_workers_do_not_keep_the_tokenizer():
     assert [n for part in features(iter([batch])) for n in part.column("n").to_pylist()] == [1, 0, 1]
     assert token_ids.encoder.cache_info().currsize == 0 and token_ids.powers.cache_info().currsize == 0
     assert token_ids.encoder(public_tokenizers.path(BPE)).encode(texts)[0].tolist() == ids
+
+
+def test_kept_tables_take_small_batches(spark):
+    """No task holds much more than 4 MB of texts at a time, and the session's own limit stays."""
+    usual = spark.conf.get(BATCH_CONF)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"]) for b in batches)
+    rows = kept(spark.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text")).mapInArrow(sizes, "n long, size long"), "sizes").collect()
+    assert sum(r.n for r in rows) == 2000 and max(r["size"] for r in rows) < 5 << 20
+    assert spark.conf.get(BATCH_CONF) == usual
