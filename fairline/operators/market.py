@@ -48,18 +48,18 @@ def market_rows(book: DataFrame, cutoffs: dict[str, Column], keys: tuple[str, ..
         F.collect_set(F.struct("sel_idx", "selection")).alias("names"), *(F.any_value(c).alias(c) for c in carry),
     )
     priced = lambda n: F.transform(
-        F.array_sort(F.array_distinct(F.transform(n, lambda x: x["sel_idx"]))), lambda i: F.array_max(F.filter(n, lambda x: x["sel_idx"] == i))
+        F.sort_array(F.array_distinct(F.transform(n, lambda x: x["sel_idx"]))), lambda i: F.array_max(F.filter(n, lambda x: x["sel_idx"] == i))
     )
     out = per_book.groupBy(*keys).agg(
-        *(F.array_sort(F.collect_list(F.when(F.size(n) > 0, F.struct("book_id", "book", F.col("norm"), priced(F.col(n)).alias("odds"), F.col(f"{n}_at").alias("at"))))).alias(n) for n in cutoffs),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), *(F.any_value(c).alias(c) for c in carry),
+        *(F.sort_array(F.collect_list(F.when(F.size(n) > 0, F.struct("book_id", "book", F.col("norm"), priced(F.col(n)).alias("odds"), F.col(f"{n}_at").alias("at"))))).alias(n) for n in cutoffs),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), *(F.any_value(c).alias(c) for c in carry),
     )
     return out.select(*keys, *carry, *cutoffs, F.map_from_entries("names").alias("names"))
 
 
 def selections(books: Column) -> Column:
     """The selections that any book prices, in order."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(books, lambda b: F.transform(b["odds"], lambda x: x["sel_idx"])))))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(books, lambda b: F.transform(b["odds"], lambda x: x["sel_idx"])))))
 
 
 def price(book: Column, sel: Column) -> Column:
@@ -76,7 +76,7 @@ def full_books(books: Column, sels: Column) -> Column:
     vector = lambda b: F.transform(sels, lambda s: price(b, s))
     priced = F.transform(books, lambda b: F.struct(b["book_id"].alias("book_id"), b["book"].alias("book"), b["norm"].alias("norm"), vector(b).alias("gross")))
     whole = F.filter(priced, lambda b: ~F.exists(b["gross"], lambda o: o.isNull()))
-    return F.transform(whole, lambda b: F.struct(b["book_id"].alias("book_id"), b["book"].alias("book"), b["norm"].alias("norm"), b["gross"].alias("gross"), F.transform(b["gross"], lambda o: net(b["norm"], o)).alias("net")))
+    return F.transform(whole, lambda b: F.struct(b["book_id"].alias("book_id"), b["book"].alias("book"), b["norm"].alias("norm"), b["gross"].alias("gross"), let(1 - commission(b["norm"]), lambda kept: F.transform(b["gross"], lambda o: 1 + (o - 1) * kept)).alias("net")))
 
 
 def booksum(odds: Column) -> Column:
@@ -85,7 +85,7 @@ def booksum(odds: Column) -> Column:
 
 def median(values: Column) -> Column:
     middle = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
-    return let(F.array_sort(values), middle)
+    return let(F.sort_array(values), middle)
 
 
 def by_selection(full: Column, sels: Column, value) -> Column:
@@ -152,9 +152,10 @@ def swapped(full: Column, sels: Column, fair: Column, tolerance: float = SWAP) -
 
 
 def best_soft(books: Column, sel: Column) -> Column:
-    """The soft book with the best net odds of a selection: net, book, gross odds; the first book if equal."""
-    offers = F.filter(books, lambda b: ~b["norm"].isin(*SHARP) & price(b, sel).isNotNull())
-    return F.array_max(F.transform(offers, lambda b: F.struct(net(b["norm"], price(b, sel)).alias("net"), (-b["book_id"]).alias("turn"), b["book"].alias("book"), price(b, sel).alias("odds"))))
+    """The soft book with the best net odds of a selection: net, book, gross odds; the first book if equal. A price is looked up once a book."""
+    soft = F.filter(books, lambda b: ~b["norm"].isin(*SHARP))
+    offer = lambda b, odds: F.when(odds.isNotNull(), F.struct(net(b["norm"], odds).alias("net"), (-b["book_id"]).alias("turn"), b["book"].alias("book"), odds.alias("odds")))
+    return F.array_max(F.transform(soft, lambda b: let(price(b, sel), lambda odds: offer(b, odds))))
 
 
 def book_count(books: Column, exclude: tuple[str, ...] = SHARP) -> Column:

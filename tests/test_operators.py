@@ -209,3 +209,14 @@ def test_scan_keeps_no_condition_on_a_markets_arrays(spark, guard):
     found = market.value_scan(market.with_anchor(q, method="multiplicative"), guard=guard)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "lambdafunction" in line]
+
+
+def test_best_soft_looks_a_price_up_once(spark):
+    """One look-up a book, whatever is made of the price; a book without one, and sharp ones, make no offer; equal offers go to the first book."""
+    rows = [(0, "Pinnacle", "pinnacle", [(0, 9.0)]), (1, "bet365", "bet365", [(0, 2.5)]), (2, "bwin", "bwin", [(0, 2.5), (1, 3.0)]), (3, "matchbook", "matchbook", [(0, 2.51)])]
+    books = "array<struct<book_id:long,book:string,norm:string,odds:array<struct<sel_idx:int,odds:double>>>>"
+    df = spark.createDataFrame([(rows,)], f"books {books}").select(*(market.best_soft(F.col("books"), F.lit(i)).alias(f"o{i}") for i in (0, 1, 2)))
+    got = df.first()
+    assert (got.o0.net, got.o0.book, got.o0.odds) == (2.5, "bet365", 2.5) and (got.o1.book, got.o1.odds) == ("bwin", 3.0) and got.o2 is None
+    one = spark.createDataFrame([(rows,)], f"books {books}").select(market.best_soft(F.col("books"), F.lit(0)).alias("o"))
+    assert one._jdf.queryExecution().analyzed().toString().count("filter(") == 2  # soft books, and the price of each
