@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fairline.functions.devig import devig
 from fairline.functions.odds import clv_log
+from fairline.operators.market import TIME
 
 #: Hours before the start within which a source's last capture must be.
 GAP_HOURS = 4
@@ -21,18 +22,19 @@ def archived(archive: DataFrame, references: DataFrame, *, prefix: str) -> DataF
 
 
 def source_closes(quotes: DataFrame, sources: dict[str, Column], *, keys: tuple[str, ...] = ("event_id", "key"), gap_hours: int = GAP_HOURS, method: str = "multiplicative") -> DataFrame:
-    """(keys, source, sel_idx, fair, at): chances without margin of each source's close, of the first of its books by name that is fresh and whole.
+    """(keys, source, sel_idx, fair, at): chances without margin of each source's close, of the first of its books by name that is fresh and whole, with prices over 1.
 
     quotes: keys, book, sel_idx, odds, captured_at, kickoff and the order's l_orderkey, l_linenumber; sources: a condition on a quote's book, each. The last
-    capture before the start counts; a market has as many selections as any book has priced by then.
+    capture before the start counts, of quotes that tie on time and order the one with the highest odds; a market has as many selections as any book has
+    priced by then.
     """
     named = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in sources.items())))
-    order = F.struct("captured_at", "l_orderkey", "l_linenumber")
-    last = quotes.where("captured_at <= kickoff").groupBy(*keys, F.lower(F.trim("book")).alias("book"), "sel_idx").agg(F.max_by("odds", order).alias("odds"), F.max("captured_at").alias("at"), F.any_value("kickoff").alias("kickoff"))
+    last = quotes.where("captured_at <= kickoff").groupBy(*keys, F.lower(F.trim("book")).alias("book"), "sel_idx").agg(F.max_by("odds", F.struct(*TIME)).alias("odds"), F.max("captured_at").alias("at"), F.any_value("kickoff").alias("kickoff"))
     width = last.groupBy(*keys).agg(F.count_distinct("sel_idx").alias("width"))
     books = last.groupBy(*keys, "book").agg(F.array_sort(F.collect_list(F.struct("sel_idx", "odds"))).alias("legs"), F.max("at").alias("at"), F.any_value("kickoff").alias("kickoff")).join(width, list(keys))
     fresh = F.unix_seconds(F.col("kickoff").cast("timestamp")) - F.unix_seconds(F.col("at").cast("timestamp")) <= gap_hours * 3600
-    whole = books.where(fresh & (F.size("legs") == F.col("width")) & (F.col("width") >= 2)).withColumn("source", F.explode(named))
+    usable = F.forall("legs", lambda x: x["odds"] > 1)
+    whole = books.where(fresh & (F.size("legs") == F.col("width")) & (F.col("width") >= 2) & usable).withColumn("source", F.explode(named))
     first = whole.groupBy(*keys, "source").agg(F.min_by(F.struct("legs", "at"), "book").alias("b")).select(*keys, "source", "b.*")
     fair = first.withColumn("d", devig(F.transform("legs", lambda x: x["odds"]), method)).where("d IS NOT NULL")
     return fair.select(*keys, "source", "at", F.explode(F.arrays_zip(F.transform("legs", lambda x: x["sel_idx"]).alias("sel_idx"), F.col("d.fair").alias("fair"))).alias("l")).select(*keys, "source", "l.sel_idx", "l.fair", "at")

@@ -137,7 +137,7 @@ def trusted_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = own.select("event_id").distinct().withColumn("ref", F.when(F.col("event_id") % 5 != 0, F.col("event_id") * 10))
     sources = {"pinnacle": book == "pinnacle", "betfair exchange": book.startswith("betfair"), "soft": book.isin("bwin", "unibet")}
     found = [closes.source_closes(closes.archived(archive, known, prefix="pinnacle:"), {"archive": book == "pinnacle"}), closes.source_closes(own, sources)]
-    fills = own.where((book == "bet365") & F.expr(f"captured_at <= {EARLY}")).groupBy("event_id", "key", "sel_idx").agg(F.max_by("odds", F.struct("captured_at", "l_orderkey", "l_linenumber")).alias("odds")).withColumn("book", F.lit("bet365"))
+    fills = own.where((book == "bet365") & F.expr(f"captured_at <= {EARLY}")).groupBy("event_id", "key", "sel_idx").agg(F.max_by("odds", F.struct(*market.TIME)).alias("odds")).withColumn("book", F.lit("bet365"))
     g = closes.graded_by_close(fills, found, ["archive", *sources])
     return rounded(g, "close_fair", "clv").select("event_id", "key", F.col("sel_idx").cast("long").alias("sel_idx"), "odds", "close_source", "close_fair", F.date_format("close_at", "yyyy-MM-dd HH").alias("close_at"), "clv", F.array_join("tried", ",").alias("tried"))
 
